@@ -4,14 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillwave.llm import decontaminate as _decontaminate
+from quillwave.llm import mixing as _mixing
 from quillwave.llm.common import table
+from quillwave.llm.neardup import near_duplicates
 from quillwave.llm.toxicity import toxicity
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op9_toxicity": op9_toxicity}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op9_toxicity": op9_toxicity,
+    "op10_near_duplicates": op10_near_duplicates,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": _mixing.ORACLE,
+    "op6_decontamination": _decontaminate.ORACLE,
+}
