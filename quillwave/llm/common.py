@@ -73,3 +73,12 @@ def by_slices(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch,
     for batch in batches:
         for lo, hi in tk.slices(batch.column(text_at)):
             yield work(batch.slice(lo, hi - lo), text_at)
+
+
+#: Up to so many ids are broadcast to filter documents; more are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """`documents` but for those whose doc_id is in `ids`, a written table of one column doc_id."""
+    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(documents.columns)

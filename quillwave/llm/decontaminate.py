@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
+from quillwave.llm.common import stash, without
 
 WINDOW = 13
 SHINGLE = 4
@@ -250,6 +251,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "hits", "items").mapInArrow(_finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `documents`, all columns, that aren't contaminated."""
+    return without(documents, stash(decontaminate(documents, benchmark).where("contaminated").select("doc_id"), "contaminated"))
+
+
 ORACLE = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwave.llm.common import stash
+from quillwave.llm.common import BROADCAST_IDS, stash
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -119,6 +119,18 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return met.select(columns).unionByName(nothing.select(columns))
 
 
+def mixed_documents(documents: DataFrame) -> DataFrame:
+    """The mix as whole documents, all columns: each as many times as the words taken of it make up, rounded half up.
+
+    At most one document a source differs from the words taken.  Documents of which under half is taken are left out.
+    """
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = stash(mix(documents).where("taken > 0").groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0"), "times")
+    match = F.col("doc_id").eqNullSafe(F.col("_id"))
+    taken = taken.withColumnRenamed("doc_id", "_id")
+    return documents.join(F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken, match).withColumn("_n", F.explode(F.sequence(F.lit(1), "times"))).select(documents.columns)
+
+
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
-from quillwave.llm.common import stash
+from quillwave.llm.common import BROADCAST_IDS, stash, without
 from quillwave.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -39,8 +39,6 @@ WINDOW = 24
 MIN_MATCHES = 57
 CELL = 192
 SHARED = 8
-#: Up to so many class ids are broadcast to pick their texts; beyond that the ids are shuffled.
-BROADCAST_IDS = 500_000
 
 _SEEDS = tk.mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[:POSITIONS, None], _SEEDS[POSITIONS:, None] | np.uint64(1)
@@ -251,6 +249,11 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     )
 
 
+def one_of_each_group(documents: DataFrame) -> DataFrame:
+    """The rows of `documents`, all columns, that stay: of each group of near-duplicates the smallest id."""
+    return without(documents, stash(near_duplicates(documents).where("NOT kept").select("doc_id"), "copies"))
+
+
 def _large_links(rows: DataFrame, k: int) -> DataFrame:
     """Confirmed links of groups of more than a cell: within cells first, then of what is still apart."""
     rows = stash(

@@ -8,6 +8,7 @@ from quillwave.llm import decontaminate as _decontaminate
 from quillwave.llm import mixing as _mixing
 from quillwave.llm.common import table
 from quillwave.llm.neardup import near_duplicates
+from quillwave.llm.tokenfiles import token_files
 from quillwave.llm.toxicity import toxicity
 
 
@@ -15,6 +16,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +34,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op5_token_ids": op5_token_ids,
     "op6_decontamination": op6_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,

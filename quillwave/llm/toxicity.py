@@ -203,7 +203,7 @@ def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str], text_col: st
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, dense.shape[1], dtype=np.int32)), pa.array(dense.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], flat], names=[*keep, "features"])
 
-    chosen = df.select(text_col, *keep)
+    chosen = df.select(F.col(text_col).alias("_text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     return chosen.mapInArrow(run, f"{schema}, features array<double>")
 
@@ -252,6 +252,11 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per
     return Model(lexicon, trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw), share)
 
 
+def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `documents`, all columns, whose score stays under the threshold."""
+    return train(documents, labels).score(documents, documents.columns).where(F.col("score") < THRESHOLD).drop("score")
+
+
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of `documents`."""
     model = train(documents, labels)
