@@ -1,4 +1,4 @@
-"""Connected components of a link table by label hooking, all in joins and aggregates."""
+"""Connected components of a link table by label hooking and pointer doubling, all in joins and aggregates."""
 
 from __future__ import annotations
 
@@ -13,21 +13,21 @@ SALTS = 8
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every end of an edge; `edges` is (u long, v long), label the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours, hooks the node's whole label to it and follows
-    one hook further; the tables are written after each round.  A label may gather many nodes, so the join that
-    moves nodes to their label's hook is salted.  Labels only fall, and a round without a hook ends the loop.
+    Each round takes the smallest label among a node's neighbours, hooks the node's whole label to the smallest
+    that any of its nodes saw, and follows the label's own label, so distances halve from round to round.  The
+    tables are written after each round.  A label may gather many nodes, so the join that moves nodes to their
+    label's hook is salted.  Labels only fall, and a round without a change ends the loop.
     """
     both = edges.where("u <> v").select("u", "v")
     both = stash(both.union(both.select("v", "u")).distinct(), "edges")
-    labels = stash(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "u"), "u").groupBy("v").agg(F.min("label").alias("m")).withColumnRenamed("v", "node")
-        seen = stash(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("m")), "labels")
-        hooks = stash(seen.where("m < label").groupBy("label").agg(F.min("m").alias("hook")), "hooks")
-        if hooks.isEmpty():
-            return labels
-        further = hooks.select(F.col("label").alias("hook"), F.col("hook").alias("next"))
-        hooks = hooks.join(further, "hook", "left").select("label", F.coalesce("next", "hook").alias("hook"))
+    labels = stash(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("changed")), "labels")
+    while not labels.where("changed").isEmpty():
+        near = both.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("m")).withColumnRenamed("v", "node")
+        seen = stash(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("m")), "seen")
+        own = seen.select(F.col("node").alias("label"), F.col("m").alias("own"))
+        hooks = seen.groupBy("label").agg(F.min("m").alias("least")).join(own, "label").select("label", F.least("least", "own").alias("hook")).where("hook < label")
         salted = hooks.select("label", "hook", F.explode(F.array([F.lit(k) for k in range(SALTS)])).alias("salt"))
         moved = seen.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["label", "salt"], "left")
-        labels = stash(moved.select("node", F.least("m", F.coalesce("hook", "m")).alias("label")), "labels")
+        new = F.least("m", F.coalesce("hook", "m"))
+        labels = stash(moved.select("node", new.alias("label"), (new < F.col("label")).alias("changed")), "labels")
+    return labels.select("node", "label")

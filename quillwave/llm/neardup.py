@@ -162,7 +162,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _group_edges(nodes: list[int], sides: list[int], comps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links of a cell.
+    """The confirmed links of a cell, reduced to pairs of a component's smallest node and each other one.
 
     With sides 0 and 1 only pairs across them that lie in different components are looked at.
     """
@@ -182,10 +182,13 @@ def _group_edges(nodes: list[int], sides: list[int], comps: list[int], sets: lis
         comp = np.array(comps)
         keep = comp[a] != comp[b]
         a, b = a[keep], b[keep]
-    label = _local_labels(len(nodes), a, b)
+    by_node = np.argsort(np.array(nodes), kind="stable")  # rows that share an id are one node
+    same = np.flatnonzero(np.array(nodes)[by_node][1:] == np.array(nodes)[by_node][:-1])
+    label = _local_labels(len(nodes), np.concatenate([a, by_node[same]]), np.concatenate([b, by_node[same + 1]]))
     order = np.lexsort((np.array(nodes), label))
-    joined = np.flatnonzero(label[order][1:] == label[order][:-1])
-    return [(nodes[i], nodes[j]) for i, j in zip(order[joined], order[joined + 1], strict=True)]
+    _, first, sizes = np.unique(label[order], return_index=True, return_counts=True)
+    smallest = np.repeat(order[first], sizes)
+    return sorted({(nodes[i], nodes[j]) for i, j in zip(smallest, order, strict=True) if nodes[i] != nodes[j]})
 
 
 def _confirm(k: int):
@@ -239,10 +242,10 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     sized = stash(groups.join(large, "label", "left"), "groups")
     total, n_large = sized.agg(F.count("*"), F.count("members")).first()
     small = sized.where("members IS NULL").select("node", F.col("label").cast("string").alias("cell"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("comp"))
-    edges = stash(_confirmed(_texts(documents, small, total), k), "links")
+    # A small group lies whole in one cell, so its links already name each component's smallest node.
+    found = stash(_confirmed(_texts(documents, small, total), k).select(F.col("v").alias("node"), F.col("u").alias("label")), "links")
     if n_large:
-        edges = edges.unionByName(_large_links(_texts(documents, sized.where("members IS NOT NULL"), n_large), k))
-    found = components(edges)
+        found = found.unionByName(components(_large_links(_texts(documents, sized.where("members IS NOT NULL"), n_large), k)))
     links = stash(classes.select("n_shingles", "h1", "h2", "node").join(found, "node", "left").select("n_shingles", "h1", "h2", F.coalesce("label", "node").alias("component")), "members")
     return described.join(links, ["n_shingles", "h1", "h2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
