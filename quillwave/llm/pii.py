@@ -46,6 +46,8 @@ DIGIT_NAMES = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
+#: Last names of domains that a bare "at" and "dot" are taken for; brackets need none of them.
+TOP_LEVEL = {"com", "net", "org", "edu", "gov", "info", "biz", "io", "dev", "app", "co", "me", "eu", "de", "fr", "es", "it", "nl", "uk", "us", "ch", "at", "ca", "au", "jp", "ru", "br", "mx"}
 #: One of these stands in every text with spelled digits worth a look.
 _NAME_HINTS = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", "zwei", "drei", "vier", "sechs", "sieben", "deux", "trois", "quatre", "cinq", "huit", "dos", "tres", "cuatro", "cinco", "siete", "ocho")
 
@@ -66,6 +68,7 @@ _DISGUISED = re.compile(
     rf"(?:(?:{_BRACKET_AT}|@){_LABEL}(?:{_ANY_DOT}{_LABEL}){{1,6}}|[ \t]{{1,2}}at[ \t]{{1,2}}{_LABEL}(?:(?:{_BRACKET_DOT}|{_WORD_DOT}){_LABEL}){{1,6}})"
 )
 _AT_PART = re.compile(rf"(?i){_BRACKET_AT}|@|[ \t]{{1,2}}at[ \t]{{1,2}}")
+_NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9]){_BRACKET_DOT}(?=[0-9])")
 _DOT_PART = re.compile(rf"(?i){_BRACKET_DOT}|{_WORD_DOT}")
 _DISGUISE_HINT = re.compile(r"(?i)[\[({<][ \t]?(?:at|@|ät|arobase|arroba|dot|\.|punkt|point|punto)[ \t]?[\])}>]|[ \t](?:dot|punkt|punto)[ \t]")
 
@@ -166,9 +169,12 @@ def _spelled_digits(copy: Mapped) -> Mapped:
 
 
 def _at_dot(copy: Mapped) -> Mapped:
-    edits = []
+    edits = [(*m.span(), ".") for m in _NUMBER_DOT.finditer(copy.text)]
+    copy, edits = (copy.rewrite(edits) if edits else copy), []
     for m in _DISGUISED.finditer(copy.text):
         cut = m.end("local")
+        if _AT_PART.match(m.string, cut)[0].strip().lower() == "at" and re.split(r"[^A-Za-z0-9]+", m[0])[-1].lower() not in TOP_LEVEL:
+            continue
         edits += [(*d.span(), ".") for d in _DOT_PART.finditer(copy.text, m.start(), cut)]
         at = _AT_PART.match(copy.text, cut)
         edits.append((*at.span(), "@"))
