@@ -7,15 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from quillwave.llm import decontaminate as _decontaminate
 from quillwave.llm import mixing as _mixing
 from quillwave.llm.common import table
+from quillwave.llm.langid import identify
+from quillwave.llm.licenses import license_digest
+from quillwave.llm.media import media_columns
 from quillwave.llm.neardup import near_duplicates
+from quillwave.llm.pii import pii_digest
+from quillwave.llm.quality import quality
 from quillwave.llm.tokenfiles import token_files
 from quillwave.llm.toxicity import toxicity
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -24,6 +41,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,9 +58,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
+    "op4_language": op4_language,
     "op5_token_ids": op5_token_ids,
     "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
+    "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
 }
