@@ -253,8 +253,9 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `documents`, all columns, whose score stays under the threshold."""
-    return train(documents, labels).score(documents, documents.columns).where(F.col("score") < THRESHOLD).drop("score")
+    """The rows of `documents`, all columns, whose id isn't rejected; ids alone are scored and texts stay where they are."""
+    scored = train(documents, labels).score(documents, ["doc_id"])
+    return common.without(documents, common.stash(scored.where(F.col("score") >= THRESHOLD).select("doc_id"), "toxic"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
