@@ -8,7 +8,8 @@ take sections, any number in parallel, check their checksums and decode them.
 
 The tokenizers library encodes texts.  Its pipeline never looks across ASCII white space, so each distinct piece
 between white space is encoded once in a worker's bounded memory (`MEMO` pieces) and texts are put together from
-their pieces' ids.
+their pieces' ids.  Of texts in Latin letters alone, the pieces are lower-cased first and a comma or full stop at a
+word's end is a piece of its own, as the tokenizer does both itself; so more pieces are alike.
 
 Null and empty texts have the end id alone.  Null ids come first; rows that share an id are ordered by text.  An empty table makes no file and no
 row.  Extra columns are ignored.
@@ -16,6 +17,7 @@ row.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -30,9 +32,19 @@ from quillwave.llm.common import fresh_path, stash
 
 END_ID = 1
 SECTION_IDS = 1 << 20
-MEMO = 400_000
+MEMO = 700_000
 ENCODE_TOGETHER = 512
 _SEPARATOR = "~"
+#: Latin characters whose lower case and composition are the same in any library.
+_LATIN = re.compile("[\x00-\x7f\xa0-\xff]*")
+_WORD_END = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([,.])(?=[ \t\n\r\x0b\x0c]|$)")
+
+
+def _alike(text: str) -> str:
+    """The text with fewer distinct pieces and the same ids."""
+    if not _LATIN.fullmatch(text):
+        return text
+    return _WORD_END.sub(r" \1", text.lower())
 
 
 def default_tokenizer() -> str:
@@ -82,7 +94,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text, without the end id."""
-        split = [(t or "").encode().split() for t in texts]
+        split = [_alike(t or "").encode().split() for t in texts]
         out, lo = [], 0
         while lo < len(split):
             fresh: set[bytes] = set()
@@ -90,7 +102,7 @@ class Encoder:
             while hi < len(split) and (hi == lo or len(fresh) < MEMO // 4):
                 fresh.update(split[hi])
                 hi += 1
-            fresh.difference_update(self.memo)
+            fresh = fresh.difference(self.memo)
             if fresh:
                 known = len(self.memo)
                 self._learn(sorted(fresh))
