@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from quillwave.config import EndpointConfig
 
 
+def let(value: Column, then) -> Column:
+    """`then(value)` with the value worked out once: a lambda's argument is a slot, not an expression to repeat."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def normalise_pcm(pcm: Column) -> Column:
     """16-bit samples to array<float> in [-1, 1)."""
     return F.transform(pcm, lambda x: (x / F.lit(32768.0)).cast("float"))
@@ -42,26 +47,33 @@ def segment(samples: Column, rate_hz: int, config: EndpointConfig = EndpointConf
     length, shift = rate_hz * config.frame_ms // 1000, rate_hz * config.shift_ms // 1000
     least = math.ceil(config.min_speech_ms / config.shift_ms) if config.min_speech_ms % config.shift_ms else config.min_speech_ms // config.shift_ms
     hang = config.hangover_ms // config.shift_ms
-    levels = F.transform(framed(samples, length, shift), rms)
-    level = F.greatest((low_percentile(levels, config.percentile) * F.lit(config.ratio)).cast("float"), F.lit(config.floor).cast("float"))
-    none = F.lit(-1)
-    begin = F.struct(F.lit(0).alias("run"), none.alias("first"), none.alias("last"), F.lit(0).alias("i"))
+    begin = F.struct(F.lit(0).alias("run"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("i"))
+
+    def runs(levels: Column, level: Column) -> Column:
+        def step(s: Column, v: Column) -> Column:
+            run = F.when(v >= level, s["run"] + 1).otherwise(F.lit(0))
+            counts = run >= least
+            first = F.when(counts & (s["first"] < 0), s["i"] - least + 1).otherwise(s["first"])
+            return F.struct(run.alias("run"), first.alias("first"), F.when(counts, s["i"]).otherwise(s["last"]).alias("last"), (s["i"] + 1).alias("i"))
+
+        return F.aggregate(levels, begin, step)
+
+    def found(levels: Column) -> Column:
+        level = F.greatest((low_percentile(levels, config.percentile) * F.lit(config.ratio)).cast("float"), F.lit(config.floor).cast("float"))
+        return let(level, lambda x: let(runs(levels, x), lambda r: bounds(levels, r)))
 
-    def step(s: Column, v: Column) -> Column:
-        run = F.when(v >= level, s["run"] + 1).otherwise(F.lit(0))
-        counts = run >= least
-        first = F.when(counts & (s["first"] < 0), s["i"] - least + 1).otherwise(s["first"])
-        return F.struct(run.alias("run"), first.alias("first"), F.when(counts, s["i"]).otherwise(s["last"]).alias("last"), (s["i"] + 1).alias("i"))
+    def bounds(levels: Column, r: Column) -> Column:
+        start = F.greatest(F.lit(0), r["first"] - hang) * shift
+        last = F.least(F.size(levels) - 1, r["last"] + hang)
+        return F.when(r["first"] >= 0, F.struct(start.alias("start_sample"), F.least(last * shift + length, F.size(samples)).alias("end_sample")))
 
-    found = F.aggregate(levels, begin, step)
-    start = F.greatest(F.lit(0), found["first"] - hang) * shift
-    last = F.least(F.size(levels) - 1, found["last"] + hang)
-    return F.when(found["first"] >= 0, F.struct(start.alias("start_sample"), F.least(last * shift + length, F.size(samples)).alias("end_sample")))
+    return let(F.transform(framed(samples, length, shift), rms), found)
 
 
 def trim(samples: Column, found: Column) -> Column:
     """The samples of a segment; none where it is null."""
-    return F.when(found.isNotNull(), F.slice(samples, found["start_sample"] + 1, found["end_sample"] - found["start_sample"])).otherwise(F.array().cast("array<float>"))
+    cut = lambda f: F.when(f.isNotNull(), F.slice(samples, f["start_sample"] + 1, f["end_sample"] - f["start_sample"])).otherwise(F.array().cast("array<float>"))
+    return let(found, cut)
 
 
 def pre_emphasised(samples: Column, factor: float) -> Column:
@@ -84,22 +96,26 @@ def mean_subtracted(frames: Column) -> Column:
     n, width = F.size(frames), F.size(F.element_at(frames, 1))
     sums = F.aggregate(frames, F.array_repeat(F.lit(0.0), width), lambda s, f: F.zip_with(s, f, lambda x, y: x + y.cast("double")))
     means = F.transform(sums, lambda s: (s / n).cast("float"))
-    return F.when(n > 0, F.transform(frames, lambda f: F.zip_with(f, means, lambda x, y: (x - y).cast("float")))).otherwise(frames)
+    less = let(means, lambda m: F.transform(frames, lambda f: F.zip_with(f, m, lambda x, y: (x - y).cast("float"))))
+    return F.when(n > 0, less).otherwise(frames)
 
 
 def derivative(frames: Column) -> Column:
     """Half the difference of the neighbours, which stop at the ends."""
+    return let(frames, _derivative)
+
+
+def _derivative(frames: Column) -> Column:
     n = F.size(frames)
     return F.transform(frames, lambda _, i: F.zip_with(F.element_at(frames, F.least(i + 2, n)), F.element_at(frames, F.greatest(i, F.lit(1))), lambda a, b: ((a - b) / F.lit(2.0)).cast("float")))
 
 
 def with_derivatives(frames: Column, order: int) -> Column:
     """Static coefficients, then first, then second derivatives, side by side."""
-    parts, last = [frames], frames
-    for _ in range(order):
-        last = derivative(last)
-        parts.append(last)
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = F.zip_with(joined, part, lambda a, b: F.concat(a, b))
-    return joined
+
+    def extend(joined: Column, last: Column, left: int) -> Column:
+        if not left:
+            return joined
+        return let(derivative(last), lambda d: extend(F.zip_with(joined, d, lambda a, b: F.concat(a, b)), d, left - 1))
+
+    return let(frames, lambda f: extend(f, f, order))

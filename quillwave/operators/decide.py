@@ -39,7 +39,8 @@ def decide(queries: DataFrame, best: DataFrame, thresholds: DataFrame | None = N
     if thresholds is not None:
         top = top.join(thresholds.select("command_id", F.col("threshold").cast("float").alias("own")), "command_id", "left")
         limit = F.coalesce("own", limit)
-    met = queries.join(top.withColumn("limit", limit), "query_id", "left")
+    asked = queries.select("query_id", "frame_count", *[c for c in queries.columns if c == "silent"])
+    met = asked.join(top.withColumn("limit", limit), "query_id", "left")
     silent = F.coalesce(F.col("silent"), F.lit(False)) if "silent" in queries.columns else F.lit(False)
     reason = (
         F.when(silent, F.lit("SILENCE"))

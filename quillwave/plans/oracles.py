@@ -99,7 +99,7 @@ MEL = """edges AS (SELECT i, least(16, greatest(0, CAST(floor(33 * (700 * (power
 bank AS (SELECT a.i AS filter, k, CASE WHEN k >= a.at AND k < b.at THEN (k - a.at) / greatest(1, b.at - a.at) WHEN k >= b.at AND k < c.at THEN (c.at - k) / greatest(1, c.at - b.at) ELSE 0.0 END AS weight
   FROM edges a JOIN edges b ON b.i = a.i + 1 JOIN edges c ON c.i = a.i + 2, range(17) r(k)),
 mel AS (SELECT vec_id, f, filter, CAST(ln(greatest(sum(CAST(p AS DOUBLE) * weight), 1e-10)) AS FLOAT) AS e FROM power JOIN bank USING (k) GROUP BY ALL)"""
-CEPSTRA = """cep AS (SELECT vec_id, f, c, CAST(sum(CAST(e AS DOUBLE) * CASE WHEN c = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END * cos(pi() * c * (filter + 0.5) / 8)) * (1 + 11 * sin(pi() * c / 22)) AS FLOAT) AS v FROM mel, range(6) r(c) GROUP BY ALL)"""
+CEPSTRA = """cep AS (SELECT vec_id, f, c, CAST(sum(CAST(e AS DOUBLE) * CASE WHEN c = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END * cos(pi() * c * (filter + 0.5) / 8) * (1 + 11 * sin(pi() * c / 22))) AS FLOAT) AS v FROM mel, range(6) r(c) GROUP BY vec_id, f, c)"""
 LEVELS = "levels AS (SELECT user_id AS device_id, event_id AS seq, value AS level FROM events)"
 GATE = f"""WITH RECURSIVE {LEVELS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY seq) AS n FROM levels), gate(device_id, n, seq, level, speech, floor) AS (
   SELECT device_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), false, CAST(1.0 AS DOUBLE) FROM (SELECT DISTINCT device_id FROM levels)

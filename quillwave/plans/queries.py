@@ -356,13 +356,13 @@ def _flat(df: DataFrame, digits: int = 5) -> DataFrame:
     return rows.select("vec_id", F.col("f").cast("long").alias("f"), F.posexplode("row").alias("k", "v")).select("vec_id", "f", F.col("k").cast("long").alias("k"), F.round(F.col("v").cast("double"), digits).alias("v"))
 
 
-@query("SELECT vec_id, CAST(i AS BIGINT) AS i, round(CAST(CAST(trunc(embedding[i] * 32767) AS DOUBLE) / 32768 AS DOUBLE), 7) AS v FROM embeddings, range(1, 65) r(i)")
+@query("SELECT vec_id, CAST(i AS BIGINT) AS i, round(CAST(CAST(trunc(embedding[i] * 32767) AS DOUBLE) / 32768 AS DOUBLE), 7) + 0.0 AS v FROM embeddings, range(1, 65) r(i)")
 def pcm_normalize(s, d):
     pcm = _pcm(s, d).select("vec_id", normalise_pcm(F.transform("samples", lambda x: (x * F.lit(32767).cast("float")).cast("int"))).alias("x"))
     return pcm.select("vec_id", F.posexplode("x").alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round(F.col("v").cast("double"), 7).alias("v"))
 
 
-@query(f"WITH {O.PCM}, {O.FRAMES} SELECT vec_id, f, CAST(i - 1 AS BIGINT) AS k, round(CAST(w[i] AS DOUBLE), 5) AS v FROM frames, range(1, 26) r(i)")
+@query(f"WITH {O.PCM}, {O.FRAMES} SELECT vec_id, f, CAST(i - 1 AS BIGINT) AS k, round(CAST(w[i] AS DOUBLE), 5) + 0.0 AS v FROM frames, range(1, 26) r(i)")
 def framing(s, d):
     return _flat(_pcm(s, d).select("vec_id", framed(F.col("samples"), 25, 10).alias("features")))
 
@@ -396,7 +396,7 @@ def vad_trim(s, d):
     return rows.select("vec_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double")), 5).alias("total"))
 
 
-@query(f"WITH {O.EMPHASISED} SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round(CAST(x[i] AS DOUBLE), 5) AS v FROM pcm, range(1, 65) r(i)")
+@query(f"WITH {O.EMPHASISED} SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round(CAST(x[i] AS DOUBLE), 5) + 0.0 AS v FROM pcm, range(1, 65) r(i)")
 def pre_emphasis(s, d):
     rows = _pcm(s, d).select("vec_id", F.posexplode(pre_emphasised(F.col("samples"), 0.97)).alias("i", "v"))
     return rows.select("vec_id", F.col("i").cast("long").alias("i"), _r("v"))
@@ -405,28 +405,28 @@ def pre_emphasis(s, d):
 _WIN = f"WITH {O.EMPHASISED}, {O.FRAMES}, {O.POWER}"
 
 
-@query(f"{_WIN} SELECT vec_id, f, CAST(i - 1 AS BIGINT) AS k, round(CAST(w[i] AS DOUBLE), 5) AS v FROM win, range(1, 26) r(i)")
+@query(f"{_WIN} SELECT vec_id, f, CAST(i - 1 AS BIGINT) AS k, round(CAST(w[i] AS DOUBLE), 5) + 0.0 AS v FROM win, range(1, 26) r(i)")
 def hamming(s, d):
     frames = F.transform(framed(pre_emphasised(F.col("samples"), 0.97), 25, 10), lambda f: windowed(f, 25))
     return _flat(_pcm(s, d).select("vec_id", frames.alias("features")))
 
 
-@query(f"{_WIN} SELECT vec_id, f, k, round(CAST(p AS DOUBLE), 5) AS v FROM power")
+@query(f"{_WIN} SELECT vec_id, f, k, round(CAST(p AS DOUBLE), 5) + 0.0 AS v FROM power")
 def power_spectrum(s, d):
     return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"], stage="power"))
 
 
-@query(f"{_WIN}, {O.MEL} SELECT vec_id, f, filter AS k, round(CAST(e AS DOUBLE), 3) AS v FROM mel")
+@query(f"{_WIN}, {O.MEL} SELECT vec_id, f, filter AS k, round(CAST(e AS DOUBLE), 3) + 0.0 AS v FROM mel")
 def log_mel(s, d):
     return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"], stage="log_mel"), 3)
 
 
-@query(f"{_WIN}, {O.MEL}, {O.CEPSTRA} SELECT vec_id, f, c AS k, round(CAST(v AS DOUBLE), 2) AS v FROM cep")
+@query(f"{_WIN}, {O.MEL}, {O.CEPSTRA} SELECT vec_id, f, c AS k, round(CAST(v AS DOUBLE), 2) + 0.0 AS v FROM cep")
 def dct_lifter(s, d):
     return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"], stage="dct_lifter"), 2)
 
 
-@query(f"WITH {O.FIXED} SELECT vec_id, CAST(f - 1 AS BIGINT) AS f, CAST(k - 1 AS BIGINT) AS k, round(CAST(CAST(features[f][k] - CAST(list_sum(list_transform(features, lambda x: CAST(x[k] AS DOUBLE))) / 8 AS FLOAT) AS FLOAT) AS DOUBLE), 5) AS v FROM seq, range(1, 9) a(f), range(1, 9) b(k)")
+@query(f"WITH {O.FIXED} SELECT vec_id, CAST(f - 1 AS BIGINT) AS f, CAST(k - 1 AS BIGINT) AS k, round(CAST(CAST(features[f][k] - CAST(list_sum(list_transform(features, lambda x: CAST(x[k] AS DOUBLE))) / 8 AS FLOAT) AS FLOAT) AS DOUBLE), 5) + 0.0 AS v FROM seq, range(1, 9) a(f), range(1, 9) b(k)")
 def cmvn(s, d):
     return _flat(views.sequences(s, d).select("vec_id", mean_subtracted(F.col("features")).alias("features")))
 
@@ -434,7 +434,7 @@ def cmvn(s, d):
 _DELTA = "CAST((features[least(f + 1, 8)][k] - features[greatest(f - 1, 1)][k]) / CAST(2 AS FLOAT) AS FLOAT)"
 
 
-@query(f"WITH {O.FIXED} SELECT vec_id, CAST(f - 1 AS BIGINT) AS f, CAST(k - 1 AS BIGINT) AS k, round(CAST({_DELTA} AS DOUBLE), 5) AS v FROM seq, range(1, 9) a(f), range(1, 9) b(k)")
+@query(f"WITH {O.FIXED} SELECT vec_id, CAST(f - 1 AS BIGINT) AS f, CAST(k - 1 AS BIGINT) AS k, round(CAST({_DELTA} AS DOUBLE), 5) + 0.0 AS v FROM seq, range(1, 9) a(f), range(1, 9) b(k)")
 def delta(s, d):
     return _flat(views.sequences(s, d).select("vec_id", derivative(F.col("features")).alias("features")))
 
@@ -530,9 +530,9 @@ def adaptation(s, d):
 LOUD = GateConfig(floor=1.0)
 
 
-@query(f"{O.GATE} SELECT device_id, seq, speech, round(floor, 5) AS floor FROM gate WHERE n > 0")
+@query(f"{O.GATE} SELECT device_id, seq, speech, CAST(floor(floor * 100000 + 0.123) AS BIGINT) AS floor_e5 FROM gate WHERE n > 0")
 def energy_gate(s, d):
-    return gate_batch(views.levels(s, d), LOUD).select("device_id", "seq", "speech", _r("floor"))
+    return gate_batch(views.levels(s, d), LOUD).select("device_id", "seq", "speech", F.floor(F.col("floor") * 100000 + 0.123).alias("floor_e5"))
 
 
 @query(f"{O.GATE} SELECT device_id, count(*) FILTER (speech) AS n_speech, count(*) AS n FROM gate WHERE n > 0 GROUP BY device_id")
