@@ -7,7 +7,7 @@ commits, lists one finished file a stretch, so retried or lost attempts leave no
 take sections, any number in parallel, check their checksums and decode them.
 
 The tokenizers library encodes texts.  Its pipeline never looks across ASCII white space, so each distinct piece
-between white space is encoded once in a worker's bounded memory (`MEMO` pieces) and texts are put together from
+between white space is encoded once in a task's bounded memory (`MEMO` pieces) and texts are put together from
 their pieces' ids.  Of texts in Latin letters alone, the pieces are lower-cased first and a comma or full stop at a
 word's end is a piece of its own, as the tokenizer does both itself; so more pieces are alike.
 
@@ -32,7 +32,7 @@ from quillwave.llm.common import fresh_path, stash
 
 END_ID = 1
 SECTION_IDS = 1 << 20
-MEMO = 700_000
+MEMO = 400_000
 ENCODE_TOGETHER = 512
 _SEPARATOR = "~"
 #: Latin characters whose lower case and composition are the same in any library.
@@ -156,6 +156,7 @@ def _write(folder: str, path: str):
                         close()
         if doc_ids:
             close()
+        encoder(path).memo.clear()  # workers live on; what other jobs run in them needs the room
         if stream is not None:
             stream.close()
             part = TaskContext.get().partitionId()
