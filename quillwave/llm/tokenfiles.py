@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level models write bytes: printable ones stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_PROBES = ["word", "thestreet", "stra\xdfe", "\xe9t\xe9", "ni\xf1o", "\xaa\xb5", "qzxv"]
+
+
 class Encoder:
     """Texts to u2 ids through the tokenizers library, with a memory of pieces."""
 
@@ -65,15 +77,25 @@ class Encoder:
         self.memo: dict[bytes, bytes] = {}
         alone = self._ids([_SEPARATOR])[0]
         self.cut = alone[0] if len(alone) == 1 else None
+        # A lower-case Latin word is one pre-token; where the tokenizer agrees, its model is asked directly.
+        self.direct = [self._word(w) for w in _PROBES] == self._ids(_PROBES)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+
     def _learn(self, pieces: list[bytes]) -> None:
         texts = [p.decode() for p in pieces]
-        joint = [i for i, t in enumerate(texts) if self.cut is not None and _SEPARATOR not in t]
-        single = [i for i, t in enumerate(texts) if self.cut is None or _SEPARATOR in t]
-        found: dict[int, np.ndarray] = {}
+        found: dict[int, bytes] = {}
+        if self.direct:
+            model, letters = self.tokenizer.model, _BYTE_LETTERS
+            for i, t in enumerate(texts):
+                if t.isalpha() and t.islower() and _LATIN.fullmatch(t):
+                    found[i] = array("H", [x.id for x in model.tokenize(t.encode().decode("latin-1").translate(letters))]).tobytes()
+        joint = [i for i, t in enumerate(texts) if i not in found and self.cut is not None and _SEPARATOR not in t]
+        single = [i for i, t in enumerate(texts) if i not in found and (self.cut is None or _SEPARATOR in t)]
         groups = [joint[lo : lo + ENCODE_TOGETHER] for lo in range(0, len(joint), ENCODE_TOGETHER)]
         for group, ids in zip(groups, self._ids([f" {_SEPARATOR} ".join(texts[i] for i in g) for g in groups]), strict=True):
             ids = np.array(ids, dtype=np.int64)
