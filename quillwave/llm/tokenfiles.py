@@ -32,9 +32,12 @@ from quillwave.llm import rans
 from quillwave.llm.common import fresh_path, stash
 
 END_ID = 1
-SECTION_IDS = 1 << 20
-MEMO = 400_000
+SECTION_IDS = 1 << 19
+MEMO = 200_000
+#: What stays when the memory is full: pieces this short, which are the frequent ones.
+SHORT = 6
 ENCODE_TOGETHER = 512
+READ_TASKS = 4096
 _SEPARATOR = "~"
 #: Latin characters whose lower case and composition are the same in any library.
 _LATIN = re.compile("[\x00-\x7f\xa0-\xff]*")
@@ -111,7 +114,10 @@ class Encoder:
         for i, ids in zip(single, self._ids([texts[i] for i in single]), strict=True):
             found[i] = np.array(ids, dtype="<u2").tobytes()
         if len(self.memo) + len(pieces) > MEMO:
+            short = {p: ids for p, ids in self.memo.items() if len(p) <= SHORT}
             self.memo.clear()
+            if len(short) <= MEMO // 2:
+                self.memo.update(short)
         self.memo.update((p, found[i]) for i, p in enumerate(pieces))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -214,7 +220,8 @@ def _read(folder: str):
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and file of each document, from the files."""
-    spread = manifest.select("file", "at", "bytes", "start").repartition(F.col("file"), F.col("at"))
+    # The manifest is tiny but each of its rows is a section to decode, so the number of tasks is asked for.
+    spread = manifest.select("file", "at", "bytes", "start").repartition(max(1, min(READ_TASKS, manifest.count())), "file", "at")
     return spread.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
