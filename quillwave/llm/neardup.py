@@ -286,3 +286,24 @@ def _large_links(rows: DataFrame, k: int) -> DataFrame:
     cell = F.concat_ws("/", "label", "block", "stripe").alias("cell")
     both = asks.select(cell, "node", "side", "comp", "text").unionByName(answers.select(cell, "node", "side", "comp", "text"))
     return first.unionByName(stash(_confirmed(both, k), "links"))
+
+
+ORACLE = r"""
+WITH RECURSIVE low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, (greatest(len(w) - 3, 1) + 1)::BIGINT)) AS i FROM low WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n + q.n - common)
+), reach(root, node) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.root, links.y FROM reach JOIN links ON reach.node = links.x
+), components AS (
+  SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node
+)
+SELECT low.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, low.doc_id = component_id AS kept
+FROM low LEFT JOIN sizes USING (doc_id) JOIN components USING (doc_id)
+"""

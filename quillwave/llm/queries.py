@@ -10,6 +10,7 @@ from quillwave.llm.common import table
 from quillwave.llm.langid import identify
 from quillwave.llm.licenses import license_digest
 from quillwave.llm.media import media_columns
+from quillwave.llm.neardup import ORACLE as _NEAR_ORACLE
 from quillwave.llm.neardup import near_duplicates
 from quillwave.llm.pii import pii_digest
 from quillwave.llm.quality import quality
@@ -73,4 +74,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_mixing": _mixing.ORACLE,
     "op6_decontamination": _decontaminate.ORACLE,
+    "op10_near_duplicates": _NEAR_ORACLE,
 }
