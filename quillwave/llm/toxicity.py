@@ -9,6 +9,9 @@ Three steps, each a Spark job:
    punctuation and obfuscation rates.  Boosted trees (Spark ML) are fitted on a second fold.
 3. Isotonic regression on a third fold turns the trees' probability into the score.
 
+Trees and calibration weigh each sampled row by the labelled rows of its class that it stands for, so a score means
+the same on tables of any size.
+
 Bounds: `SAMPLE_PER_CLASS` labelled rows a class train the model; `LEXICON_SIZE` entries form the lexicon. Scoring
 reads every whole text once.  Null and empty texts have all-zero features and get a score like any other; rows
 with a null id are scored and count as not held out; repeated ids give a row each.  Without labelled rows of both
@@ -209,10 +212,13 @@ def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str], text_col: st
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame, label_col: str, per_class: int) -> DataFrame:
-    """(text, label, fold) of a bounded sample of labelled rows that aren't held out; fold is 0 to 9."""
+    """(text, label, weight, fold) of a bounded sample of labelled rows that aren't held out; fold is 0 to 9.
+
+    The weights of a class sum to about the number of its labelled rows.
+    """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    ids = common.bounded_sample(usable, "label", "doc_id", per_class)
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label", F.pmod(common.id_hash(F.col("doc_id"), 5), F.lit(10)).alias("fold"))
+    ids = common.bounded_sample(usable, "label", "doc_id", per_class, weight="weight")
+    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label", "weight", F.pmod(common.id_hash(F.col("doc_id"), 5), F.lit(10)).alias("fold"))
 
 
 @dataclass
@@ -237,19 +243,19 @@ def _unit(score: Column) -> Column:
 
 def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
     rows = common.stash(labelled_rows(documents, labels, label_col, per_class), "toxicity-sample")
-    found = {(r.part, r.label): r.n for r in rows.groupBy((F.col("fold") >= 5).alias("part"), "label").agg(F.count("*").alias("n")).collect()}
-    toxic, total = sum(n for (_, label), n in found.items() if label == 1), sum(found.values())
+    found = {(r.part, r.label): r for r in rows.groupBy((F.col("fold") >= 5).alias("part"), "label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()}
+    toxic, total = sum(r.weight for r in found.values() if r.label == 1), sum(r.weight for r in found.values())
     share = (toxic + 0.5) / (total + 1)
-    if any(found.get((part, label), 0) < 2 for part in (False, True) for label in (0, 1)):
+    if any((part, label) not in found or found[part, label].n < 2 for part in (False, True) for label in (0, 1)):
         return Model(None, None, None, share)
     lexicon = learn_lexicon(rows.where("fold < 5").select("text", "label"))
-    second = common.stash(with_features(rows.where("fold >= 5"), lexicon, ["label", "fold"]), "toxicity-features").withColumn("features", array_to_vector("features"))
+    second = common.stash(with_features(rows.where("fold >= 5"), lexicon, ["label", "weight", "fold"]), "toxicity-features").withColumn("features", array_to_vector("features"))
     ends = second.where("fold < 8"), second.where("fold >= 8")
     if any(part.select("label").distinct().count() < 2 for part in ends):
         ends = second, second
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7).fit(ends[0])
-    raw = trees.transform(ends[1]).select(vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"))
-    return Model(lexicon, trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw), share)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7).fit(ends[0])
+    raw = trees.transform(ends[1]).select(vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"), "weight")
+    return Model(lexicon, trees, IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(raw), share)
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from quillwave.llm.langid import identify
 from quillwave.llm.neardup import near_duplicates
 from quillwave.llm.quality import quality
 from quillwave.llm.toxicity import toxicity
+from quillwave.llm.toxicity import train as train_toxicity
 from tests.conftest import SF
 from tests.oracle import spark_rows, sql_rows
 
@@ -333,6 +334,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(rows) > 40 and sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_score_is_the_chance_in_the_whole_table(spark):
+    """A quarter of the marked texts are toxic; that stays so where the sample takes far fewer of the clean rows."""
+    rnd, words = random.Random(6), "time house river walk light stone green paper".split()
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(20)) + ("!!!" if i % 10 < 4 else "")) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = train_toxicity(docs, labels, per_class=200)
+    score = model.score(docs.where(F.col("text").endswith("!")), ["doc_id"]).agg(F.avg("score")).first()[0]
+    assert 0.1 < score < 0.45
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = _marked(spark, lambda t, r: " ".join(f"{w}{r.choice(['%%%', '&&&', '$$$'])}" for w in t.split()), lambda t: t)
     rows = quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
