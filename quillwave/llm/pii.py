@@ -48,17 +48,24 @@ DIGIT_NAMES = {
 }
 #: Last names of domains that a bare "at" and "dot" are taken for; brackets need none of them.
 TOP_LEVEL = {"com", "net", "org", "edu", "gov", "info", "biz", "io", "dev", "app", "co", "me", "eu", "de", "fr", "es", "it", "nl", "uk", "us", "ch", "at", "ca", "au", "jp", "ru", "br", "mx"}
-#: One of these stands in every text with spelled digits worth a look.
-_NAME_HINTS = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", "zwei", "drei", "vier", "sechs", "sieben", "deux", "trois", "quatre", "cinq", "huit", "dos", "tres", "cuatro", "cinco", "siete", "ocho")
-
 _NAME = "|".join(sorted(DIGIT_NAMES, key=len, reverse=True))
 _GAP = r"[ \t,.\-]{1,3}"
-#: Seven or more spelled or written digits in a row, with "plus" before them or not.
-_SPELLED = re.compile(rf"(?i)(?:\bplus{_GAP})?\b(?:{_NAME})\b(?:{_GAP}(?:(?:{_NAME})\b|[0-9]{{1,4}}\b)){{6,40}}")
-_ATOM = re.compile(rf"(?i)plus|(?:{_NAME})|[0-9]|point|dot")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKET_AT = rf"[ \t]{{0,2}}{_OPEN}[ \t]?(?:at|@|ät|arobase|arroba)[ \t]?{_CLOSE}[ \t]{{0,2}}"
 _BRACKET_DOT = rf"[ \t]{{0,2}}{_OPEN}[ \t]?(?:dot|\.|punkt|point|punto)[ \t]?{_CLOSE}[ \t]{{0,2}}"
+#: A dot said between digits.
+_SAID_DOT = rf"(?:{_BRACKET_DOT}|[ \t,\-]{{1,2}}(?:dot|punkt|point|punto)[ \t,\-]{{1,2}})"
+#: Seven or more spelled or written digits in a row, with "plus" before them or not.
+_SPELLED = re.compile(rf"(?i)(?:\bplus{_GAP})?\b(?:{_NAME})\b(?:(?:{_SAID_DOT}|{_GAP})(?:(?:{_NAME})\b|[0-9]{{1,4}}\b)){{6,40}}")
+_ATOM = re.compile(rf"(?i)plus|{_OPEN}[ \t]?\.[ \t]?{_CLOSE}|punkt|punto|point|dot|(?:{_NAME})|[0-9]")
+_OCTET = rf"(?:(?:{_NAME})\b(?:[ \t,\-]{{1,2}}(?:{_NAME})\b){{0,2}}|[0-9]{{1,3}}\b)"
+#: Four numbers of up to three spelled or written digits between said dots; between written ones a plain dot serves too.
+_SPELLED_IP = re.compile(rf"(?i)\b{_OCTET}(?:(?:{_SAID_DOT}|(?<=[0-9])\.(?=[0-9])){_OCTET}){{3}}(?![ \t\-](?:{_NAME})\b)")
+#: Before such a match: the number is a phone's.
+_PLUS = re.compile(rf"(?i)\bplus{_GAP}$")
+_IP_ATOM = re.compile(rf"{_ATOM.pattern}|\.")
+#: What every match of the two begins with; for lower-case text.
+_SPELLED_HINT = re.compile(rf"\b(?:{_NAME})\b(?:{_SAID_DOT}|{_GAP})(?:(?:{_NAME})\b|[0-9])|[0-9]{_SAID_DOT}")
 _WORD_DOT = r"[ \t]{1,2}(?:dot|punkt|punto)[ \t]{1,2}"
 _ANY_DOT = rf"(?:\.|{_BRACKET_DOT}|{_WORD_DOT})"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
@@ -156,12 +163,14 @@ def _by_character(text: str) -> Mapped:
 
 
 def _spelled_digits(copy: Mapped) -> Mapped:
+    found = [(*m.span(), _IP_ATOM) for m in _SPELLED_IP.finditer(copy.text) if not _PLUS.search(copy.text, max(0, m.start() - 8), m.start())]
+    found += [(*m.span(), _ATOM) for m in _SPELLED.finditer(copy.text) if not any(lo < m.end() and m.start() < hi for lo, hi, _ in found)]
     edits = []
-    for m in _SPELLED.finditer(copy.text):
-        atoms = list(_ATOM.finditer(copy.text, *m.span()))
+    for lo, hi, atom in sorted(found, key=lambda f: f[0]):
+        atoms = list(atom.finditer(copy.text, lo, hi))
         for i, a in enumerate(atoms):
             word = a[0].lower()
-            new = "+" if word == "plus" else "." if word in ("dot", "point") else str(DIGIT_NAMES[word]) if word in DIGIT_NAMES else word
+            new = "+" if word == "plus" else "." if word in ("dot", "punkt", "point", "punto") or "." in word else str(DIGIT_NAMES[word]) if word in DIGIT_NAMES else word
             edits.append((*a.span(), new))
             if i + 1 < len(atoms) and atoms[i + 1].start() > a.end():
                 edits.append((a.end(), atoms[i + 1].start(), ""))
@@ -199,7 +208,7 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
 def spans_of(text: str, has_digit: bool, has_odd: bool) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, disguised), by kind and start.  The flags say what the text's bytes hold."""
     plain = plain_spans(text) if has_digit or "@" in text else []
-    hints = has_odd or any(h in text for h in _NAME_HINTS) or _has_capital_hint(text) or bool(_DISGUISE_HINT.search(text))
+    hints = has_odd or bool(_SPELLED_HINT.search(text.lower())) or bool(_DISGUISE_HINT.search(text))
     found = [(*s, False) for s in plain]
     if hints:
         found += [(*s, True) for s in disguised_spans(text, plain)]
@@ -207,11 +216,6 @@ def spans_of(text: str, has_digit: bool, has_odd: bool) -> list[tuple[str, int,
     return found
 
 
-def _has_capital_hint(text: str) -> bool:
-    """Spelled digits may be in capitals."""
-    return any(h in text for h in ("ZERO", "TWO", "THREE", "FOUR", "FIVE", "SEVEN", "EIGHT", "NINE", "Zero", "Two", "Three", "Four", "Five", "Seven", "Eight", "Nine"))
-
-
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("disguised", pa.bool_())])
 _DIGIT = tk.byte_class(range(0x30, 0x3A))
 #: First bytes of two-byte characters past Latin-1 and of all longer ones, and of U+0080 to U+00BF.

@@ -99,6 +99,40 @@ def test_disguises_map_back_to_the_source(text, found):
     assert [(k, text[a:b]) for k, a, b, d in pii.spans_of(text, True, True) if d] == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("host one nine two dot one six eight dot zero dot one is up", [("ip", "one nine two dot one six eight dot zero dot one")]),
+        ("host 192 dot 168 dot 0 dot 1 is up", [("ip", "192 dot 168 dot 0 dot 1")]),
+        ("host 192.168 dot 0 point 1 is up", [("ip", "192.168 dot 0 point 1")]),
+        ("Eight Dot Eight Dot Eight Dot Eight", [("ip", "Eight Dot Eight Dot Eight Dot Eight")]),
+        ("host one zero [dot] zero (.) 0 dot uno", [("ip", "one zero [dot] zero (.) 0 dot uno")]),
+        ("un neuf deux point un six huit point zero point un", [("ip", "un neuf deux point un six huit point zero point un")]),
+        ("EINS NEUN ZWEI PUNKT EINS SECHS ACHT PUNKT NULL PUNKT EINS", [("ip", "EINS NEUN ZWEI PUNKT EINS SECHS ACHT PUNKT NULL PUNKT EINS")]),
+        ("plus DOS TRES CUATRO CINCO SEIS SIETE OCHO NUEVE CERO UNO", [("phone", "plus DOS TRES CUATRO CINCO SEIS SIETE OCHO NUEVE CERO UNO")]),
+        ("plus Zwei Drei Vier Fünf Sechs Sieben Acht Neun Null Eins", [("phone", "plus Zwei Drei Vier Fünf Sechs Sieben Acht Neun Null Eins")]),
+        ("plus Deux Trois Quatre Cinq Six Sept Huit Neuf Zéro Un", [("phone", "plus Deux Trois Quatre Cinq Six Sept Huit Neuf Zéro Un")]),
+        ("plus one oh six one oh six one oh six one", [("phone", "plus one oh six one oh six one oh six one")]),
+        ("plus un uno neuf acht nueve cero un uno neuf acht", [("phone", "plus un uno neuf acht nueve cero un uno neuf acht")]),
+        ("plus four nine dot three zero dot one two dot three four five", [("phone", "plus four nine dot three zero dot one two dot three four five")]),
+        ("john at mail1 dot 2net dot com", [("email", "john at mail1 dot 2net dot com")]),
+        ("One. Two. Three. Four. The point is: 3 point 5 of one dot, 300 dot 1 dot 1 dot 1", []),
+        ("one nine two dot one six eight dot zero dot one two three four", []),
+    ],
+)
+def test_said_dots_and_digit_names_of_each_language(text, found):
+    has_digit = any("0" <= c <= "9" for c in text)
+    assert [(k, text[a:b]) for k, a, b, d in pii.spans_of(text, has_digit, False) if d] == found
+
+
+def test_the_gate_loses_no_disguise():
+    rnd = random.Random(8)
+    pieces = ["dot", "point", "plus", "one", "Two", "SEIS", "un", "oh", "acht", "7", "192", "[dot]", "(.)", "at", "(at)", "com", "x", ".", ",", "@"]
+    for _ in range(5000):
+        text = " ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 24)))
+        assert pii.spans_of(text, True, False) == pii.spans_of(text, True, True), text
+
+
 # Licences
 
 
