@@ -1,19 +1,22 @@
 """Licence scans: winnowed fingerprints pick candidates from an inverted index, banded alignment confirms them.
 
-Texts are runs of words.  Hashes of `GRAM` consecutive words are winnowed: of every `WINDOW` consecutive hashes
-the smallest (the rightmost of equals) is kept, so a notice and a text that share `GRAM + WINDOW - 1` words share
-a fingerprint.  The notices' fingerprints form an inverted index (fingerprint to notices and places), small and of
-fixed size, that goes to every task.  A shared fingerprint gives a diagonal; each notice is then aligned word by
-word with the stretch of the text around that diagonal, `BAND` words to either side, and the best local alignment
-gives matched words, their share of the notice and the span in code points.  Matches from `COVERAGE` on are
-reported; of matches that overlap, the one with more matched words stays.
-
-All words of all texts are fingerprinted.  Null and empty texts have no matches and give a row with none.
+Texts are runs of words.  Of the hashes of a notice's `gram` consecutive words the smallest of every `window`
+consecutive ones (the rightmost of equals) is kept.  Both are chosen for each notice so that one fingerprint stays
+whole wherever changed words fall, as long as the rest makes up `COVERAGE`; `GRAM` and `WINDOW` are their upper bounds.
+The notices' fingerprints form an inverted index (fingerprint to notices and places), small and of fixed size, that
+goes to every task and is asked for every gram of the texts.  A shared fingerprint gives a diagonal; each notice is
+then aligned word by word with the stretch of the text around that diagonal, `BAND` words to either side, and the
+best local alignment gives matched words, their share of the notice and the span in code points.  What is left of
+the stretch before and after a match is searched again.  Matches from `COVERAGE` on are reported; of matches that
+overlap, the one with more matched words stays.
+
+All words of all texts are looked up.  Null and empty texts have no matches and give a row with none.
 Repeated rows give a row each; null ids are kept; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +33,16 @@ COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
-def winnow(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Places of the kept hashes; rows with fewer than WINDOW hashes keep their smallest."""
+def sizes(n_words: int) -> tuple[int, int]:
+    """Gram and window for a notice: changed words that COVERAGE allows leave gram + window - 1 in a row somewhere."""
+    changed = n_words - math.ceil(COVERAGE * n_words - 1e-9)
+    run = -(-(n_words - changed) // (changed + 1))
+    gram = min(GRAM, run)
+    return gram, min(WINDOW, run - gram + 1)
+
+
+def winnow(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the kept hashes; rows with fewer than `window` hashes keep their smallest."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
@@ -39,9 +50,9 @@ def winnow(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     end = np.searchsorted(rows, rows, side="right")
     # The window that begins here, cut to the row; only full windows count unless the row is shorter than one.
     start = np.arange(n)
-    full = (start + WINDOW <= end) | (start == begin)
+    full = (start + window <= end) | (start == begin)
     best, place = hashes.copy(), start.copy()
-    for step in range(1, WINDOW):
+    for step in range(1, window):
         at = np.minimum(start + step, n - 1)
         better = (start + step < end) & (hashes[at] <= best)
         best, place = np.where(better, hashes[at], best), np.where(better, at, place)
@@ -52,9 +63,7 @@ def winnow(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Index:
     names: list[str]
     words: list[np.ndarray]
-    fingerprints: np.ndarray  # sorted
-    notice: np.ndarray
-    place: np.ndarray
+    by_gram: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # fingerprints, sorted; notice and place of each
 
 
 def build_index(notices: dict[str, str]) -> Index:
@@ -65,13 +74,20 @@ def build_index(notices: dict[str, str]) -> Index:
         low = tk.lower(data)
         starts, ends, _ = tk.word_bounds(low, offsets, tk.ALNUM)
         words.append(tk.span_hashes(low, starts, ends))
-    rows = np.repeat(np.arange(len(names)), [len(w) for w in words])
-    base = np.cumsum([0, *map(len, words)])
-    hashes, first = tk.shingle_hashes(np.concatenate(words), rows, GRAM)
-    kept = winnow(hashes, rows[first])
-    order = np.argsort(hashes[kept], kind="stable")
-    kept = kept[order]
-    return Index(names, words, hashes[kept], rows[first[kept]], first[kept] - base[rows[first[kept]]])
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for i, own in enumerate(words):
+        if not len(own):
+            continue
+        gram, window = sizes(len(own))
+        hashes, first = tk.shingle_hashes(own, np.zeros(len(own), np.int64), gram)
+        kept = winnow(hashes, np.zeros(len(hashes), np.int64), window)
+        found.setdefault(gram, []).append((hashes[kept], np.full(len(kept), i), first[kept]))
+    by_gram = {}
+    for gram, parts in found.items():
+        hashes, notice, place = (np.concatenate(column) for column in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        by_gram[gram] = hashes[order], notice[order], place[order]
+    return Index(names, words, by_gram)
 
 
 def align(text: np.ndarray, notice: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -110,19 +126,28 @@ def align(text: np.ndarray, notice: np.ndarray, diagonal: int) -> tuple[int, int
 
 def matches(text_words: np.ndarray, found: list[tuple[int, int, int]], index: Index) -> list[tuple[str, int, float, int, int]]:
     """(notice, matched words, coverage, first word, end word); `found`: (place in text, notice, place in notice)."""
-    out, tried = [], set()
+    hits: dict[tuple[int, int], set[int]] = {}
     for at, notice, place in found:
-        diagonal = at - place
-        key = notice, diagonal // BAND
-        if key in tried:
+        hits.setdefault((notice, at - place), set()).add(at)
+    out: list[tuple[str, int, float, int, int]] = []
+    taken: dict[int, list[tuple[int, int]]] = {}
+    # The diagonals with most fingerprints come first; one whose fingerprints all lie in matches has nothing to add.
+    for (notice, diagonal), places in sorted(hits.items(), key=lambda h: (-len(h[1]), h[0])):
+        words, known = index.words[notice], taken.setdefault(notice, [])
+        if all(any(lo <= at < hi for lo, hi in known) for at in places):
             continue
-        tried |= {key, (notice, diagonal // BAND + 1)} if diagonal % BAND > BAND // 2 else {key}
-        lo = max(0, diagonal - BAND)
-        stretch = text_words[lo : diagonal + len(index.words[notice]) + BAND]
-        matched, first, last = align(stretch, index.words[notice], diagonal - lo)
-        coverage = matched / len(index.words[notice])
-        if coverage >= COVERAGE:
-            out.append((index.names[notice], matched, coverage, first + lo, last + lo))
+        stretches = [(max(0, diagonal - BAND), min(len(text_words), diagonal + len(words) + BAND))]
+        while stretches:
+            lo, hi = stretches.pop()
+            stretch = text_words[lo:hi]
+            if np.isin(words, stretch).sum() < COVERAGE * len(words):
+                continue
+            matched, first, last = align(stretch, words, diagonal - lo)
+            coverage = matched / len(words)
+            if coverage >= COVERAGE:
+                out.append((index.names[notice], matched, coverage, first + lo, last + lo))
+                known.append((first + lo, last + lo))
+                stretches += [(lo, lo + first), (lo + last, hi)]
     out.sort(key=lambda m: (-m[1], m[3], m[0]))
     kept: list = []
     for m in out:
@@ -144,15 +169,15 @@ def _scan(index: Index):
                 starts, ends, rows = tk.word_bounds(low, offsets, tk.ALNUM)
                 words = tk.span_hashes(low, starts, ends)
                 cut = np.searchsorted(rows, np.arange(len(offsets)))
-                hashes, first = tk.shingle_hashes(words, rows, GRAM)
-                kept = winnow(hashes, rows[first])
-                a = np.searchsorted(index.fingerprints, hashes[kept], side="left")
-                b = np.searchsorted(index.fingerprints, hashes[kept], side="right")
                 by_row: dict[int, list] = {}
-                for i in np.flatnonzero(b > a):
-                    word = int(first[kept[i]])
-                    r = int(rows[word])
-                    by_row.setdefault(r, []).extend((word - int(cut[r]), int(index.notice[x]), int(index.place[x])) for x in range(a[i], b[i]))
+                for gram, (fingerprints, notice, place) in index.by_gram.items():
+                    hashes, first = tk.shingle_hashes(words, rows, gram)
+                    a = np.searchsorted(fingerprints, hashes, side="left")
+                    b = np.searchsorted(fingerprints, hashes, side="right")
+                    for i in np.flatnonzero(b > a):
+                        word = int(first[i])
+                        r = int(rows[word])
+                        by_row.setdefault(r, []).extend((word - int(cut[r]), int(notice[x]), int(place[x])) for x in range(a[i], b[i]))
                 out: list[list[dict]] = [[] for _ in range(hi - lo)]
                 for r, found in by_row.items():
                     for name, matched, coverage, w0, w1 in matches(words[cut[r] : cut[r + 1]], found, index):

@@ -153,6 +153,28 @@ def test_alignment_bears_changed_and_missing_words():
     assert matched == len(words) - 2 and (first, last) == (0, len(words) - 1)
 
 
+def test_notices_amid_random_words_and_repeated_ones(spark):
+    """Every notice whole and with the changed words that COVERAGE allows, spread evenly; short ones in a row."""
+    rnd, rows, want = random.Random(12), [], {}
+    noise = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    for name, notice in licenses.NOTICES.items():
+        for turn in range(12):
+            words = re.findall(r"[A-Za-z0-9]+", notice)
+            # Without its ShareAlike that line is another notice, which matches better.
+            changed = len(words) // 5 if turn % 2 and name != "cc-by-sa-4.0-line" else 0
+            for k in range(changed):
+                words[(k + 1) * (len(words) - changed) // (changed + 1) + k] = f"x{turn}"
+            want[len(rows)] = [name]
+            rows.append((len(rows), " ".join(noise(20) + words + noise(20))))
+    for name in ("all-rights-reserved", "mit-line", "cc-by-nc-4.0-line"):
+        for gap in range(8):
+            want[len(rows)] = [name] * 4
+            rows.append((len(rows), " ".join(w for _ in range(4) for w in [licenses.NOTICES[name], *noise(gap)])))
+    got = {r.doc_id: [m.license for m in r.matches] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = {i: (want[i], found) for i, found in got.items() if found != want[i]}
+    assert not wrong, (len(wrong), len(want), wrong)
+
+
 # Mixing, decontamination: SQL
 
 
