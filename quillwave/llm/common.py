@@ -54,20 +54,17 @@ def id_hash(doc_id: Column, salt: int = 0) -> Column:
     return F.xxhash64(doc_id, F.lit(salt))
 
 
-def bounded_sample(df: DataFrame, class_col: str, id_col: str, per_class: int, classes_at_most: int = 64, weight: str | None = None) -> DataFrame:
-    """About `per_class` rows of each class at most, chosen by a hash of the id, alike in every run.
+def bounded_sample(df: DataFrame, class_col: str, id_col: str, per_class: int, weight: str | None = None) -> DataFrame:
+    """About `per_class` rows of each class at most, of every class, chosen by a hash of the id, alike in every run.
 
     A column `weight`, if named, says how many rows of its class each one stands for: 1 where the class is whole.
-    Only one count a class reaches the driver. Beyond `classes_at_most` classes the most frequent ones are kept.
+    The counts of the classes are a written table; nothing reaches the driver.
     """
-    counts = df.where(F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(classes_at_most).collect()
-    keep, stands_for = F.lit(False), F.lit(None).cast("double")
+    part = F.least(F.lit(SAMPLE_SPACE), F.ceil(F.lit(SAMPLE_SPACE * per_class) / F.col("count")))
+    parts = stash(df.where(F.col(class_col).isNotNull()).groupBy(class_col).count().select(class_col, part.alias("_part")), "class-counts")
     bucket = F.pmod(id_hash(F.col(id_col), 17), F.lit(SAMPLE_SPACE))
-    for value, count in counts:
-        part = min(SAMPLE_SPACE, -(-SAMPLE_SPACE * per_class // count))
-        keep = keep | ((F.col(class_col) == F.lit(value)) & (bucket < part))
-        stands_for = F.when(F.col(class_col) == F.lit(value), F.lit(SAMPLE_SPACE / part)).otherwise(stands_for)
-    return df.where(keep).withColumn(weight, stands_for) if weight else df.where(keep)
+    kept = df.join(F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts, class_col).where(bucket < F.col("_part"))
+    return kept.select(*df.columns, *([(F.lit(SAMPLE_SPACE) / F.col("_part")).alias(weight)] if weight else []))
 
 
 def by_slices(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch, int], pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:

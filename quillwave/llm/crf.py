@@ -16,6 +16,10 @@ from quillwave.llm import textkernel as tk
 
 TABLE_BITS = 16
 SEGMENT = 64
+#: Up to so many labels slices of texts have their full size.
+FULL_SLICE_LABELS = 32
+#: Training works on so many posteriors at a time.
+FIT_CELLS = 1 << 22
 _U = np.uint64
 LETTERS = tk.byte_class([*range(0x61, 0x7B), *range(0x80, 0x100)])
 
@@ -152,14 +156,17 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], number: np.ndarray, word
     gold_steps = np.zeros((k, k))
     np.add.at(gold_steps, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
     total = rows * steps
+    at_once = max(1, FIT_CELLS // (steps * k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(transitions), np.zeros_like(transitions)]
     for t in range(1, rounds + 1):
         word_scores = emissions(weights, number, word, n_words)
-        log_e = word_scores[ids.ravel()]
-        p, pairs = _expected(log_e.reshape(rows, steps, k), transitions)
-        expected_words = np.zeros((n_words, k))
-        for label in range(k):
-            expected_words[:, label] = np.bincount(ids.ravel(), weights=p.reshape(-1, k)[:, label], minlength=n_words)
+        expected_words, pairs = np.zeros((n_words, k)), np.zeros((k, k))
+        for lo in range(0, rows, at_once):
+            some = ids[lo : lo + at_once]
+            p, met = _expected(word_scores[some], transitions)
+            pairs += met
+            for label in range(k):
+                expected_words[:, label] += np.bincount(some.ravel(), weights=p[:, :, label].ravel(), minlength=n_words)
         diff = (gold_words - expected_words) / total
         grad = np.stack([np.bincount(number, weights=diff[word, label], minlength=1 << TABLE_BITS) for label in range(k)], axis=1) - l2 * weights
         grad_t = (gold_steps - pairs) / total - l2 * transitions
@@ -187,8 +194,9 @@ def _expected(log_e: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, n
         backward[t] = state
         right = e[:, t] * state
         if t:
-            joint = forward[t - 1][:, :, None] * a[None] * right[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            # The sum over rows of forward x a x right, each row's brought to 1.
+            before = forward[t - 1]
+            pairs += a * ((before / ((before @ a) * right).sum(axis=1, keepdims=True)).T @ right)
         state = _unit(right @ a.T, 1)
     p = _unit(forward * backward, 2).transpose(1, 0, 2)
     return p, pairs

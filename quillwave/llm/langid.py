@@ -5,8 +5,8 @@ is known; every second training sequence is spliced from two windows of differen
 transitions are learned from.  A text's language is the one with the largest sum of word posteriors; the score is
 its share of that sum.
 
-Bounds: `DOCS_PER_LANG` documents a language and `WINDOWS_PER_DOC` windows of each, at most 64 languages (the most
-frequent), `LEXICON_SIZE` words in the lexicon.  Prediction reads every whole text once.
+Bounds: `DOCS_PER_LANG` documents a language and `WINDOWS_PER_DOC` windows of each, `LEXICON_SIZE` words in the
+lexicon.  All languages are learned; training time grows with the cube of their number.  Prediction reads every whole text once.
 
 Null texts and texts without letters are `und` with score 0.  Without any labelled document all texts are `und`.
 Repeated rows give a row each; rows with a null id are predicted and count as not held out.  Extra columns are
@@ -98,8 +98,10 @@ def _predict(shared):
     def run(batches):
         model: crf.Crf = shared.value
         k = len(model.labels)
+        # Each segment has a matrix of labels by labels.
+        most = min(tk.SLICE_BYTES, tk.SLICE_BYTES * crf.FULL_SLICE_LABELS**2 // k**2)
         for batch in batches:
-            for lo, hi in tk.slices(batch.column(1)):
+            for lo, hi in tk.slices(batch.column(1), most):
                 part = batch.slice(lo, hi - lo)
                 low, starts, ends, known, number, cut = _distinct(part.column(1))
                 scores = crf.emissions(model.weights, *crf.word_features(low, starts, ends, known, model.lexicon), len(known))

@@ -219,6 +219,17 @@ def test_language_of_held_out_documents(spark):
     assert got >= 0.95
 
 
+def test_no_language_is_left_out(spark):
+    """Seventy languages of words of their own; each held-out text gets its own."""
+    rnd, rows = random.Random(14), []
+    for k in range(70):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(k * 12 + i, f"l{k}", " ".join(rnd.choice(words) for _ in range(40))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got), sum(r.lang == r.lang_pred for r in got) / len(got)
+
+
 # Token ids
 
 
