@@ -78,6 +78,16 @@ def by_slices(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch,
 BROADCAST_IDS = 500_000
 
 
-def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """`documents` but for those whose doc_id is in `ids`, a written table of one column doc_id."""
-    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(documents.columns)
+#: The name of a hash of the text in tables of rows that a stage rejects; no table of documents is likely to have it.
+TEXT_KEY = "__text_key"
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """`documents` but for the rows named by `gone`, a written table of doc_id and TEXT_KEY; null ids are ids like any other."""
+    some = gone.select(F.col("doc_id").alias("__gone_id"), F.col(TEXT_KEY).alias("__gone_key")).distinct()
+    named = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (text_key(F.col("text")) == F.col("__gone_key"))
+    return documents.join(F.broadcast(some) if gone.count() <= BROADCAST_IDS else some, named, "left_anti")

@@ -7,29 +7,34 @@
    of the order every class meets its `WINDOW` predecessors that share a prefix of at least `MIN_DEPTH` values:
    in a region of up to `WINDOW` classes that is every pair, in a denser one it is those with the longest common
    prefixes, so the depth follows the region.  Pairs whose signatures agree too little are dropped (the bound lies
-   five standard deviations under the threshold) and the rest is reduced to a forest.
-3. Connected candidates form groups.  Groups of up to `CELL` classes are confirmed whole in one task by exact
-   intersections of full sets.  Larger groups are cut into cells of about `CELL`, each with a few classes that
-   all cells share; classes that are still outside their group's main component afterwards are compared with
-   every cell.  So no link between classes of a group is lost, whatever the group's size, and no task holds more
-   than two cells.
+   five standard deviations under the threshold).  A class is linked with the first class of its run only.  The
+   ends of the ranges are scanned once more together, so candidates don't depend on where ranges end.
+3. Connected candidates form groups.  Groups of up to `CELL` classes (and `CELL_SHINGLES` shingles) are confirmed
+   whole in one task by exact intersections of full sets.  Larger groups are cut into cells of about that size, each
+   with a few classes that all cells share.  That links what is alike throughout.  Classes outside their group's
+   main component afterwards are confirmed against all others of the group by a prefix-filtered join: a link at the
+   threshold shares one of either side's rarest shingles.  Shingles there that more than `POSTINGS` classes have are
+   treated like a group of their own, and what remains apart in one is compared with all of it, stripe by cell.
+   So no link between classes of a group is lost, whatever its size, and no task holds more than two cells.
 4. Components of the confirmed links.
 
 Nothing is capped: the window limits only which candidates connect a group.  Null, empty and wordless texts have
 no shingles and link with nothing.  A text of fewer words than a shingle is one shingle.  Rows with a null id link
-with nothing and are kept; rows that share an id count as one document.  Extra columns are ignored.
+with nothing and are kept.  Rows that share an id and have different texts are judged each by its text, and the id
+stands for both.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
-from quillwave.llm.common import BROADCAST_IDS, stash, without
-from quillwave.llm.components import components
+from quillwave.llm.common import BROADCAST_IDS, TEXT_KEY, stash, text_key, without
+from quillwave.llm.components import components, star_groups
 
 SHINGLE_WORDS = 4
 THRESHOLD = (80, 100)
@@ -38,6 +43,8 @@ TREES, STRIDE, MIN_DEPTH = 19, 5, 4
 WINDOW = 24
 MIN_MATCHES = 57
 CELL = 192
+CELL_SHINGLES = 1 << 21
+POSTINGS = 1024
 SHARED = 8
 
 _SEEDS = tk.mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -85,8 +92,8 @@ def _describe(k: int):
                     h2 = np.array([tk.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() for s in sets], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
-                ], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), part.column(2),
+                ], names=["doc_id", "n_shingles", "h1", "h2", "sig", TEXT_KEY])
 
     return run
 
@@ -106,30 +113,63 @@ def _local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _forest_scan(batches):
-    """Candidate edges of one stretch of the sorted orders."""
-    key, sig, node = np.zeros(0, np.uint64), np.zeros((0, POSITIONS), np.uint8), np.zeros(0, np.int64)
-    for batch in batches:
-        old, n = len(node), batch.num_rows
-        fresh = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, POSITIONS)
-        tree = batch.column(0).to_numpy().astype(np.uint64)
-        prefix = np.ascontiguousarray(fresh[:, :MIN_DEPTH]).view(np.uint32).ravel().astype(np.uint64)
-        key, sig, node = np.concatenate([key, prefix | tree << np.uint64(32)]), np.concatenate([sig, fresh]), np.concatenate([node, batch.column(2).to_numpy()])
-        a, b = [], []
-        for step in range(1, WINDOW + 1):
-            at = np.flatnonzero(key[step:] == key[:-step])
-            at = at[at + step >= old]
-            if not len(at):
-                break
-            at = at[(sig[at + step] == sig[at]).sum(axis=1) >= MIN_MATCHES]
-            a.append(at)
-            b.append(at + step)
-        label = _local_labels(len(node), np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64))
-        # A path through each local group: no point gets many edges.
-        order = np.argsort(label, kind="stable")
-        joined = np.flatnonzero(label[order][1:] == label[order][:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(node[order[joined]]), pa.array(node[order[joined + 1]])], names=["u", "v"])
-        key, sig, node = key[-WINDOW:], sig[-WINDOW:], node[-WINDOW:]
+def _forest_scan(borders: bool):
+    """Links of one stretch of the sorted orders: each class with the hub of the run of candidates that it lies in.
+
+    Rows of a stretch's own first and last `WINDOW` classes go out as well, under the stretch's number; a second scan of
+    those alone, with `borders`, compares across the ends of stretches what the first one could not see.
+    """
+
+    def run(batches):
+        stretch = TaskContext.get().partitionId()
+        empty = np.zeros(0, np.int64)
+        key, sig, node, part, hub = np.zeros(0, np.uint64), np.zeros((0, POSITIONS), np.uint8), empty, empty, empty
+        seen, last = 0, None
+        for batch in batches:
+            old, n = len(node), batch.num_rows
+            fresh = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, POSITIONS)
+            tree = batch.column(0).to_numpy().astype(np.uint64)
+            prefix = np.ascontiguousarray(fresh[:, :MIN_DEPTH]).view(np.uint32).ravel().astype(np.uint64)
+            key, sig, node = np.concatenate([key, prefix | tree << np.uint64(32)]), np.concatenate([sig, fresh]), np.concatenate([node, batch.column(2).to_numpy()])
+            part = np.concatenate([part, batch.column(3).to_numpy() if borders else np.full(n, stretch)])
+            hub = np.concatenate([hub, node[old:]])
+            a, b = [empty], [empty]
+            for step in range(1, WINDOW + 1):
+                at = np.flatnonzero(key[step:] == key[:-step])
+                if not len(at):
+                    break
+                at = at[at + step >= old]
+                if borders:
+                    at = at[part[at] != part[at + step]]
+                at = at[(sig[at + step] == sig[at]).sum(axis=1) >= MIN_MATCHES]
+                a.append(at)
+                b.append(at + step)
+            label = _local_labels(len(node), np.concatenate(a), np.concatenate(b))
+            # A run that began in an earlier batch keeps its hub; the smallest class is the hub of a new one, so that the trees agree.
+            least = node.copy()
+            np.minimum.at(least, label, node)
+            to = np.where(label < old, hub[label], least[label])
+            links = np.unique(np.stack([hub, to], axis=1)[hub != to], axis=0)
+            hub = to
+            none = pa.nulls(len(links), pa.int32()), pa.nulls(len(links), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), *none], names=["u", "v", "tree", "turned"])
+            if not borders:
+                if seen < WINDOW:
+                    yield _border(batch.slice(0, WINDOW - seen), stretch)
+                end = batch.slice(max(0, n - WINDOW))
+                last = end if last is None else pa.concat_batches([last, end])
+                last = last.slice(max(0, last.num_rows - WINDOW))
+            seen += n
+            key, sig, node, part, hub = key[-WINDOW:], sig[-WINDOW:], node[-WINDOW:], part[-WINDOW:], hub[-WINDOW:]
+        if last is not None and seen > WINDOW:
+            yield _border(last.slice(max(0, last.num_rows - min(WINDOW, seen - WINDOW))), stretch)
+
+    return run
+
+
+def _border(rows: pa.RecordBatch, stretch: int) -> pa.RecordBatch:
+    """Rows of a stretch's ends: the class as `u`, the stretch as `v`."""
+    return pa.RecordBatch.from_arrays([rows.column(2), pa.array(np.full(rows.num_rows, stretch)), rows.column(0), rows.column(1)], names=["u", "v", "tree", "turned"])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -161,45 +201,47 @@ def linked(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray,
     return np.nonzero((THRESHOLD[1] * both >= THRESHOLD[0] * union) & (both > 0))
 
 
-def _group_edges(nodes: list[int], sides: list[int], comps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The confirmed links of a cell, reduced to pairs of a component's smallest node and each other one.
+MEMBER, ASKS, SHARED_MEMBER = 0, 1, 2
+
 
-    With sides 0 and 1 only pairs across them that lie in different components are looked at.
+def _cell_links(nodes: np.ndarray, sides: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The confirmed links of a cell, reduced to one a class: with its component's smallest class, or smallest shared one.
+
+    Where some ask, only their pairs with members of other components are looked at.
     """
-    if len(nodes) < 2:
-        return []
-    side = np.array(sides)
-    if (side == 0).all():
+    asks = np.flatnonzero(sides == ASKS)
+    if len(asks):
+        members = np.flatnonzero(sides != ASKS)
+        if not len(members):
+            return np.zeros((0, 2), np.int64)
+        a, b = linked([sets[i] for i in asks], [sets[i] for i in members])
+        a, b = asks[a], members[b]
+        keep = comps[a] != comps[b]
+    else:
         a, b = linked(sets, sets)
         keep = a < b
-        a, b = a[keep], b[keep]
-    else:
-        q, m = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        if not len(q) or not len(m):
-            return []
-        a, b = linked([sets[i] for i in q], [sets[i] for i in m])
-        a, b = q[a], m[b]
-        comp = np.array(comps)
-        keep = comp[a] != comp[b]
-        a, b = a[keep], b[keep]
-    by_node = np.argsort(np.array(nodes), kind="stable")  # rows that share an id are one node
-    same = np.flatnonzero(np.array(nodes)[by_node][1:] == np.array(nodes)[by_node][:-1])
+    a, b = a[keep], b[keep]
+    by_node = np.argsort(nodes, kind="stable")  # rows that share an id are one node
+    same = np.flatnonzero(nodes[by_node][1:] == nodes[by_node][:-1])
     label = _local_labels(len(nodes), np.concatenate([a, by_node[same]]), np.concatenate([b, by_node[same + 1]]))
-    order = np.lexsort((np.array(nodes), label))
+    order = np.lexsort((nodes, sides != SHARED_MEMBER, label))
     _, first, sizes = np.unique(label[order], return_index=True, return_counts=True)
-    smallest = np.repeat(order[first], sizes)
-    return sorted({(nodes[i], nodes[j]) for i, j in zip(smallest, order, strict=True) if nodes[i] != nodes[j]})
+    links = np.stack([nodes[order], np.repeat(nodes[order][first], sizes)], axis=1)
+    return np.unique(links[links[:, 0] != links[:, 1]], axis=0)
 
 
 def _confirm(k: int):
-    """Rows (cell string, node, side, comp, text) sorted by cell to confirmed edges."""
+    """Rows (cell string, node, side, comp, text) sorted by cell to confirmed links."""
 
     def run(batches):
         cell, rows = None, []
 
         def done():
-            edges = _group_edges(*map(list, zip(*rows, strict=True))) if rows else []
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["u", "v"])
+            links = np.zeros((0, 2), np.int64)
+            if len(rows) > 1:
+                node, side, comp, sets = zip(*rows, strict=True)
+                links = _cell_links(np.array(node), np.array(side), np.array(comp), list(sets))
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
         for batch in batches:
             for lo, hi in tk.slices(batch.column(4)):
@@ -219,11 +261,15 @@ def _confirmed(rows: DataFrame, k: int) -> DataFrame:
     return parted.mapInArrow(_confirm(k), "u long, v long")
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """`nodes`: (node, sig), written.  Pairs that connect the candidate groups."""
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """`nodes`: (node, sig), written.  Links that connect the candidate groups; each `u` has few."""
     turned = [F.struct(F.lit(t).alias("tree"), F.expr(f"substring(concat(sig, sig), {t * STRIDE + 1}, {POSITIONS})").alias("turned")) for t in range(TREES)]
     rows = nodes.select("node", F.explode(F.array(turned)).alias("x")).select("x.tree", "x.turned", "node")
-    return rows.repartitionByRange("tree", "turned", "node").sortWithinPartitions("tree", "turned", "node").mapInArrow(_forest_scan, "u long, v long")
+    order = "tree", "turned", "node"
+    found = stash(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_forest_scan(False), "u long, v long, tree int, turned binary"), "forest")
+    ends = found.where("tree IS NOT NULL").select("tree", "turned", F.col("u").alias("node"), F.col("v").alias("stretch"))
+    across = ends.repartition("tree", F.substring("turned", 1, MIN_DEPTH)).sortWithinPartitions(*order).mapInArrow(_forest_scan(True), "u long, v long, tree int, turned binary")
+    return found.where("tree IS NULL").select("u", "v").union(across.select("u", "v"))
 
 
 def _texts(documents: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -232,60 +278,127 @@ def _texts(documents: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return texts.join(F.broadcast(members) if n <= BROADCAST_IDS else members.hint("shuffle_hash"), "node")
 
 
-def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of `documents` (doc_id long, text string)."""
-    k = shingle_words
-    described = stash(documents.select("doc_id", "text").mapInArrow(_describe(k), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
+def _described(documents: DataFrame, k: int) -> DataFrame:
+    rows = documents.select("doc_id", "text", text_key(F.col("text")).alias(TEXT_KEY))
+    return stash(rows.mapInArrow(_describe(k), f"doc_id long, n_shingles long, h1 long, h2 long, sig binary, {TEXT_KEY} long"), "signatures")
+
+
+def _judged(documents: DataFrame, k: int) -> DataFrame:
+    described = _described(documents, k)
     classes = stash(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "classes")
-    groups = components(candidate_edges(classes.select("node", "sig")))
-    large = stash(groups.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") > CELL), "large-groups")
+    groups = star_groups(candidate_links(classes.select("node", "sig"))).join(classes.groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
+    cells = F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int")
+    large = stash(groups.groupBy("label").agg(cells.alias("cells")).where("cells > 1"), "large-groups")
     sized = stash(groups.join(large, "label", "left"), "groups")
-    total, n_large = sized.agg(F.count("*"), F.count("members")).first()
-    small = sized.where("members IS NULL").select("node", F.col("label").cast("string").alias("cell"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("comp"))
+    total, n_large = sized.agg(F.count("*"), F.count("cells")).first()
+    none = F.lit(0).cast("long").alias("comp")
+    small = sized.where("cells IS NULL").select("node", F.col("label").cast("string").alias("cell"), F.lit(MEMBER).alias("side"), none)
     # A small group lies whole in one cell, so its links already name each component's smallest node.
-    found = stash(_confirmed(_texts(documents, small, total), k).select(F.col("v").alias("node"), F.col("u").alias("label")), "links")
+    found = stash(_confirmed(_texts(documents, small, total), k).select(F.col("u").alias("node"), F.col("v").alias("label")), "links")
     if n_large:
-        found = found.unionByName(components(_large_links(_texts(documents, sized.where("members IS NOT NULL"), n_large), k)))
+        found = found.unionByName(components(_large_links(_texts(documents, sized.where("cells IS NOT NULL"), n_large), k)))
     links = stash(classes.select("n_shingles", "h1", "h2", "node").join(found, "node", "left").select("n_shingles", "h1", "h2", F.coalesce("label", "node").alias("component")), "members")
+    component = F.coalesce("component", "doc_id")
     return described.join(links, ["n_shingles", "h1", "h2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), TEXT_KEY
     )
 
 
-def one_of_each_group(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of `documents` (doc_id long, text string)."""
+    return _judged(documents, shingle_words).drop(TEXT_KEY)
+
+
+def one_of_each_group(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of `documents`, all columns, that stay: of each group of near-duplicates the smallest id."""
-    return without(documents, stash(near_duplicates(documents).where("NOT kept").select("doc_id"), "copies"))
+    return without(documents, stash(_judged(documents, shingle_words).where("NOT kept").select("doc_id", TEXT_KEY), "copies"))
 
 
-def _large_links(rows: DataFrame, k: int) -> DataFrame:
-    """Confirmed links of groups of more than a cell: within cells first, then of what is still apart."""
-    rows = stash(
-        rows.withColumn("cells", F.ceil(F.col("members") / CELL).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells").cast("long")).cast("int"))
-        .withColumn("rank", F.xxhash64(F.lit(11), "node")),
-        "large-texts",
-    )
+def _placed(rows: DataFrame) -> DataFrame:
+    """(label, node, n, cells, text) with the class's cell `block` and its `rank`, written."""
+    return stash(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells").cast("long")).cast("int")).withColumn("rank", F.xxhash64(F.lit(11), "node")), "large-texts")
+
+
+def _within_cells(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Links found within the cells of each group, and (label, node, n, cells, block, comp, main) by them."""
     firsts = rows.groupBy("label", "block").agg(F.min(F.struct("rank", "node")).alias("first")).select("label", "first.*")
-    shared = firsts.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("rank"))).where(F.col("n") <= SHARED).select("label", "node")
-    spread = rows.join(F.broadcast(shared), ["label", "node"], "left_semi") if shared.count() <= BROADCAST_IDS else rows.join(shared, ["label", "node"], "left_semi")
-    everywhere = spread.withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).where("block2 <> block").select("label", "node", "text", F.col("block2").alias("block"))
-    inside = rows.select("label", "node", "text", "block").unionByName(everywhere)
-    cell = F.concat_ws("/", "label", "block")
-    first = stash(_confirmed(inside.select(cell.alias("cell"), "node", F.lit(0).alias("side"), F.lit(0).cast("long").alias("comp"), "text"), k), "links")
-    comp = components(first).withColumnRenamed("label", "comp")
-    placed = stash(rows.select("label", "node", "block", "cells").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    main = stash(placed.groupBy("label", "comp").agg(F.count("*").alias("n")).groupBy("label").agg(F.max(F.struct("n", "comp")).alias("m")).select("label", F.col("m.comp").alias("main")), "main")
-    apart = stash(placed.join(main, "label").where("comp <> main").select("label", "node", "cells", "comp"), "apart")
-    per_group = stash(apart.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("int").alias("stripes")), "apart-groups")
-    if per_group.isEmpty():
-        return first
-    texts = rows.select("node", "text")
-    asks = apart.join(per_group, "label").withColumn("stripe", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("stripes").cast("long")).cast("int")).join(texts, "node")
-    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("side", F.lit(1))
-    answers = placed.join(per_group, "label").join(texts, "node").withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1))).withColumn("side", F.lit(0))
+    shared = stash(firsts.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("rank"))).where(F.col("nth") <= SHARED).select("label", "node", F.lit(SHARED_MEMBER).alias("side")), "shared")
+    marked = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, ["label", "node"], "left").withColumn("side", F.coalesce("side", F.lit(MEMBER)))
+    blocks = F.when(F.col("side") == MEMBER, F.array("block")).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))
+    inside = marked.select("label", "node", "side", F.lit(0).cast("long").alias("comp"), F.explode(blocks).alias("block"), "text")
+    links = stash(_confirmed(inside.withColumn("cell", F.concat_ws("/", "label", "block")), k), "links")
+    comp = star_groups(links).withColumnRenamed("label", "comp")
+    placed = stash(rows.select("label", "node", "n", "cells", "block").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    main = stash(placed.groupBy("label", "comp").agg(F.count("*").alias("m")).groupBy("label").agg(F.max(F.struct("m", "comp"))["comp"].alias("main")), "main")
+    return links, placed.join(main, "label")
+
+
+def _large_links(rows: DataFrame, k: int) -> DataFrame:
+    """Confirmed links of groups of more than a cell, (label, node, n, cells, text): within cells first, then of what is still apart."""
+    rows = _placed(rows)
+    links, placed = _within_cells(rows, k)
+    apart = stash(placed.where("comp <> main").select("label").distinct(), "apart")
+    if apart.isEmpty():
+        return links
+    open_ = rows.select("label", "node", "text").join(placed.join(apart, "label", "left_semi").select("label", "node", "n", "comp", "main"), ["label", "node"])
+    return links.union(_prefix_links(stash(open_, "open-texts"), k))
+
+
+def _explode_sets(k: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi in tk.slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                sets = shingle_sets(part.column(1), k)
+                owner = np.repeat(np.arange(hi - lo), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["node", "shingle"])
+
+    return run
+
+
+def _prefix_links(rows: DataFrame, k: int) -> DataFrame:
+    """Links of classes outside the main component with any of their group; `rows`: (label, node, text, n, comp, main), written."""
+    tokens = stash(rows.select("node", "text").mapInArrow(_explode_sets(k), "node long, shingle long"), "shingles")
+    told = rows.select("node", "label", "n", "comp", (F.col("comp") != F.col("main")).alias("apart"))
+    tokens = tokens.join(told, "node")
+    often = tokens.groupBy("label", "shingle").agg(F.count("*").alias("often"))
+    by_rarity = Window.partitionBy("node").orderBy("often", "shingle")
+    length = F.col("n") - F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1]) + 1
+    prefix = stash(tokens.join(often, ["label", "shingle"]).withColumn("place", F.row_number().over(by_rarity)).where(F.col("place") <= length).drop("place", "often"), "prefixes")
+    lists = prefix.groupBy("label", "shingle").agg(F.count("*").alias("m"), F.max("apart").alias("asked"), (F.min("comp") != F.max("comp")).alias("mixed")).where("asked AND mixed")
+    lists = stash(lists.select("label", "shingle", "m"), "postings")
+    some = prefix.join(lists.where(F.col("m") <= POSTINGS), ["label", "shingle"])
+    a, b = (some.where("apart") if side == "a" else some for side in "ab")
+    a, b = (x.select("label", "shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "comp", "apart")]) for x, side in ((a, "a"), (b, "b")))
+    fits = F.least("n_a", "n_b") * THRESHOLD[1] >= F.greatest("n_a", "n_b") * THRESHOLD[0]
+    pairs = stash(a.join(b, ["label", "shingle"]).where("comp_a <> comp_b AND (NOT apart_b OR node_a < node_b)").where(fits).select("node_a", "comp_a", "node_b", "comp_b").distinct(), "pairs")
+    # Each asking class with its partners, in stripes of a cell.
+    stripes = pairs.groupBy("node_a").agg(F.ceil(F.count("*") / CELL).cast("long").alias("stripes"))
+    striped = pairs.join(stripes, "node_a").withColumn("cell", F.concat_ws("/", "node_a", F.pmod(F.xxhash64("node_b"), F.col("stripes"))))
+    asks = striped.select("cell", F.col("node_a").alias("node"), F.lit(ASKS).alias("side"), F.col("comp_a").alias("comp")).distinct()
+    members = striped.select("cell", F.col("node_b").alias("node"), F.lit(MEMBER).alias("side"), F.col("comp_b").alias("comp"))
+    links = stash(_confirmed(asks.union(members).join(rows.select("node", "text"), "node"), k), "links")
+    hot = stash(lists.where(F.col("m") > POSTINGS).select(F.concat_ws("/", "label", "shingle").alias("list"), "label", "shingle", F.ceil(F.col("m") / CELL).cast("int").alias("cells")), "hot-postings")
+    if hot.isEmpty():
+        return links
+    of_list = prefix.select("label", "shingle", "node", "n").join(hot, ["label", "shingle"]).select(F.col("list").alias("label"), "node", "n", "cells")
+    return links.union(_list_links(of_list.join(rows.select("node", "text"), "node"), k))
+
+
+def _list_links(rows: DataFrame, k: int) -> DataFrame:
+    """As `_large_links`; what is still apart is compared with all others of its list, stripe by cell."""
+    rows = _placed(rows)
+    links, placed = _within_cells(rows, k)
+    apart = stash(placed.where("comp <> main").select("label", "node", "cells", "comp"), "apart")
+    stripes = stash(apart.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("int").alias("stripes")), "stripes")
+    if stripes.isEmpty():
+        return links
+    texts = rows.select("label", "node", "text")
+    asks = apart.join(stripes, "label").withColumn("stripe", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("stripes").cast("long")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    answers = placed.join(stripes, "label").withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))
     cell = F.concat_ws("/", "label", "block", "stripe").alias("cell")
-    both = asks.select(cell, "node", "side", "comp", "text").unionByName(answers.select(cell, "node", "side", "comp", "text"))
-    return first.unionByName(stash(_confirmed(both, k), "links"))
+    both = asks.select("label", cell, "node", F.lit(ASKS).alias("side"), "comp").union(answers.select("label", cell, "node", F.lit(MEMBER).alias("side"), "comp"))
+    return links.union(stash(_confirmed(both.join(texts, ["label", "node"]), k), "links"))
 
 
 ORACLE = r"""

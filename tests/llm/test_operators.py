@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillwave.llm import archives, crf, decontaminate, licenses, media, mixing, pii, rans, tokenfiles
-from quillwave.llm.components import components
+from quillwave.llm import archives, crf, decontaminate, licenses, media, mixing, neardup, pii, rans, tokenfiles
+from quillwave.llm.components import components, star_groups
 from quillwave.llm.langid import identify
 from quillwave.llm.neardup import near_duplicates
 from quillwave.llm.quality import quality
@@ -363,6 +363,51 @@ def test_a_group_larger_than_a_cell_loses_no_link(spark):
     assert got == _brute(rows)
 
 
+def test_families_in_a_large_group_are_found_by_their_rare_shingles(spark, monkeypatch):
+    """Texts of one boilerplate: candidates of each other, but links lie within small families only; then hot shingles."""
+    rnd, base = random.Random(10), [f"b{i}" for i in range(150)]
+    rows = []
+    for f in range(60):
+        own = [f"f{f}x{i}" for i in range(36)]
+        for m in range(5):
+            tail = own.copy()
+            for at in rnd.sample(range(36), rnd.randint(0, 2)):
+                tail[at] = f"m{f}x{m}x{at}"
+            rows.append((f * 100 + m, " ".join(base + tail)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = _brute(rows)
+    monkeypatch.setattr(neardup, "CELL", 40)
+    for postings in (1024, 3):
+        monkeypatch.setattr(neardup, "POSTINGS", postings)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == want
+
+
+def test_candidates_do_not_depend_on_ranges(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    nodes = neardup._described(docs, 4).where("n_shingles > 0").select(F.col("doc_id").alias("node"), "sig")
+    groups = []
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would join small ranges
+        for ranges in ("1", "41"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            label = {r.node: r.label for r in components(neardup.candidate_links(nodes)).collect()}
+            groups.append(label)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert groups[0] == groups[1] and len(groups[0]) > 40
+
+
+def test_star_groups_are_the_components(spark):
+    rnd = random.Random(5)
+    rows = [(u, v) for u in range(400) for v in rnd.sample(range(u // 40 * 40, u // 40 * 40 + 40), 2)]
+    df = spark.createDataFrame(rows, "u long, v long")
+    want = {r.node: r.label for r in components(df).collect()}
+    got = {r.node: r.label for r in star_groups(df).collect()}
+    assert got.keys() == want.keys() and len({(want[x], got[x]) for x in want}) == len(set(want.values())) == len(set(got.values()))
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(300)] + [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(300)]
