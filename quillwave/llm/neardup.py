@@ -12,9 +12,9 @@
 3. Connected candidates form groups.  Groups of up to `CELL` classes (and `CELL_SHINGLES` shingles) are confirmed
    whole in one task by exact intersections of full sets.  Larger groups are cut into cells of about that size, each
    with a few classes that all cells share.  That links what is alike throughout.  Classes outside their group's
-   main component afterwards are confirmed against all others of the group by a prefix-filtered join: a link at the
-   threshold shares one of either side's rarest shingles.  Shingles there that more than `POSTINGS` classes have are
-   treated like a group of their own, and what remains apart in one is compared with all of it, stripe by cell.
+   main component afterwards are compared with all others of the group: stripe by cell if they fill no more than
+   `GRID_STRIPES` cells, else by a prefix-filtered join, since a link at the threshold shares one of either side's
+   rarest shingles; only classes with one there that more than `POSTINGS` have go stripe by cell then.
    So no link between classes of a group is lost, whatever its size, and no task holds more than two cells.
 4. Components of the confirmed links.
 
@@ -44,6 +44,7 @@ WINDOW = 24
 MIN_MATCHES = 57
 CELL = 192
 CELL_SHINGLES = 1 << 21
+GRID_STRIPES = 8
 POSTINGS = 1024
 SHARED = 8
 
@@ -314,11 +315,6 @@ def one_of_each_group(documents: DataFrame, shingle_words: int = SHINGLE_WORDS)
     return without(documents, stash(_judged(documents, shingle_words).where("NOT kept").select("doc_id", TEXT_KEY), "copies"))
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """(label, node, n, cells, text) with the class's cell `block` and its `rank`, written."""
-    return stash(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells").cast("long")).cast("int")).withColumn("rank", F.xxhash64(F.lit(11), "node")), "large-texts")
-
-
 def _within_cells(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Links found within the cells of each group, and (label, node, n, cells, block, comp, main) by them."""
     firsts = rows.groupBy("label", "block").agg(F.min(F.struct("rank", "node")).alias("first")).select("label", "first.*")
@@ -335,13 +331,28 @@ def _within_cells(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 def _large_links(rows: DataFrame, k: int) -> DataFrame:
     """Confirmed links of groups of more than a cell, (label, node, n, cells, text): within cells first, then of what is still apart."""
-    rows = _placed(rows)
+    block = F.pmod(F.xxhash64("node"), F.col("cells").cast("long")).cast("int")
+    rows = stash(rows.withColumn("block", block).withColumn("rank", F.xxhash64(F.lit(11), "node")), "large-texts")
     links, placed = _within_cells(rows, k)
-    apart = stash(placed.where("comp <> main").select("label").distinct(), "apart")
-    if apart.isEmpty():
+    apart = F.col("comp") != F.col("main")
+    stripes = placed.where(apart).groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("int").alias("stripes"))
+    open_ = stash(placed.join(stripes, "label").select("label", "node", "n", "cells", "block", "comp", apart.alias("apart"), "stripes"), "open")
+    if open_.isEmpty():
         return links
-    open_ = rows.select("label", "node", "text").join(placed.join(apart, "label", "left_semi").select("label", "node", "n", "comp", "main"), ["label", "node"])
-    return links.union(_prefix_links(stash(open_, "open-texts"), k))
+    texts = rows.select("label", "node", "text")
+    links = links.union(_grid_links(open_.where(F.col("stripes") <= GRID_STRIPES), texts, k))
+    many = open_.where(F.col("stripes") > GRID_STRIPES)
+    return links if many.isEmpty() else links.union(_prefix_links(many, texts, k))
+
+
+def _grid_links(placed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Links of the classes that are apart with all others of their group, stripe by cell."""
+    stripe = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("stripes").cast("long")).cast("int")
+    asks = placed.where("apart").withColumn("stripe", stripe).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    answers = placed.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))
+    cell = F.concat_ws("/", "label", "block", "stripe").alias("cell")
+    both = asks.select("label", cell, "node", F.lit(ASKS).alias("side"), "comp").union(answers.select("label", cell, "node", F.lit(MEMBER).alias("side"), "comp"))
+    return stash(_confirmed(both.join(texts, ["label", "node"]), k), "links")
 
 
 def _explode_sets(k: int):
@@ -356,49 +367,30 @@ def _explode_sets(k: int):
     return run
 
 
-def _prefix_links(rows: DataFrame, k: int) -> DataFrame:
-    """Links of classes outside the main component with any of their group; `rows`: (label, node, text, n, comp, main), written."""
-    tokens = stash(rows.select("node", "text").mapInArrow(_explode_sets(k), "node long, shingle long"), "shingles")
-    told = rows.select("node", "label", "n", "comp", (F.col("comp") != F.col("main")).alias("apart"))
-    tokens = tokens.join(told, "node")
+def _prefix_links(placed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """As `_grid_links`, of classes that share a rare shingle; the grid is left for those that share a frequent one."""
+    some = texts.join(placed.select("label", "node"), ["label", "node"])
+    tokens = stash(some.select("node", "text").mapInArrow(_explode_sets(k), "node long, shingle long"), "shingles").join(placed.select("label", "node", "n", "comp", "apart"), "node")
     often = tokens.groupBy("label", "shingle").agg(F.count("*").alias("often"))
-    by_rarity = Window.partitionBy("node").orderBy("often", "shingle")
+    by_rarity = Window.partitionBy("label", "node").orderBy("often", "shingle")
     length = F.col("n") - F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1]) + 1
     prefix = stash(tokens.join(often, ["label", "shingle"]).withColumn("place", F.row_number().over(by_rarity)).where(F.col("place") <= length).drop("place", "often"), "prefixes")
-    lists = prefix.groupBy("label", "shingle").agg(F.count("*").alias("m"), F.max("apart").alias("asked"), (F.min("comp") != F.max("comp")).alias("mixed")).where("asked AND mixed")
-    lists = stash(lists.select("label", "shingle", "m"), "postings")
-    some = prefix.join(lists.where(F.col("m") <= POSTINGS), ["label", "shingle"])
-    a, b = (some.where("apart") if side == "a" else some for side in "ab")
-    a, b = (x.select("label", "shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "comp", "apart")]) for x, side in ((a, "a"), (b, "b")))
+    lists = prefix.groupBy("label", "shingle").agg(F.count("*").alias("m"), F.max("apart").alias("asked"), (F.min("comp") != F.max("comp")).alias("mixed"))
+    prefix = stash(prefix.join(lists.where("asked AND mixed").select("label", "shingle", "m"), ["label", "shingle"]), "postings")
+    rare = prefix.where(F.col("m") <= POSTINGS)
+    a, b = (x.select("label", "shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "comp", "apart")]) for x, side in ((rare.where("apart"), "a"), (rare, "b")))
     fits = F.least("n_a", "n_b") * THRESHOLD[1] >= F.greatest("n_a", "n_b") * THRESHOLD[0]
-    pairs = stash(a.join(b, ["label", "shingle"]).where("comp_a <> comp_b AND (NOT apart_b OR node_a < node_b)").where(fits).select("node_a", "comp_a", "node_b", "comp_b").distinct(), "pairs")
-    # Each asking class with its partners, in stripes of a cell.
-    stripes = pairs.groupBy("node_a").agg(F.ceil(F.count("*") / CELL).cast("long").alias("stripes"))
-    striped = pairs.join(stripes, "node_a").withColumn("cell", F.concat_ws("/", "node_a", F.pmod(F.xxhash64("node_b"), F.col("stripes"))))
-    asks = striped.select("cell", F.col("node_a").alias("node"), F.lit(ASKS).alias("side"), F.col("comp_a").alias("comp")).distinct()
-    members = striped.select("cell", F.col("node_b").alias("node"), F.lit(MEMBER).alias("side"), F.col("comp_b").alias("comp"))
-    links = stash(_confirmed(asks.union(members).join(rows.select("node", "text"), "node"), k), "links")
-    hot = stash(lists.where(F.col("m") > POSTINGS).select(F.concat_ws("/", "label", "shingle").alias("list"), "label", "shingle", F.ceil(F.col("m") / CELL).cast("int").alias("cells")), "hot-postings")
-    if hot.isEmpty():
-        return links
-    of_list = prefix.select("label", "shingle", "node", "n").join(hot, ["label", "shingle"]).select(F.col("list").alias("label"), "node", "n", "cells")
-    return links.union(_list_links(of_list.join(rows.select("node", "text"), "node"), k))
-
-
-def _list_links(rows: DataFrame, k: int) -> DataFrame:
-    """As `_large_links`; what is still apart is compared with all others of its list, stripe by cell."""
-    rows = _placed(rows)
-    links, placed = _within_cells(rows, k)
-    apart = stash(placed.where("comp <> main").select("label", "node", "cells", "comp"), "apart")
-    stripes = stash(apart.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("int").alias("stripes")), "stripes")
-    if stripes.isEmpty():
-        return links
-    texts = rows.select("label", "node", "text")
-    asks = apart.join(stripes, "label").withColumn("stripe", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("stripes").cast("long")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    answers = placed.join(stripes, "label").withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))
-    cell = F.concat_ws("/", "label", "block", "stripe").alias("cell")
-    both = asks.select("label", cell, "node", F.lit(ASKS).alias("side"), "comp").union(answers.select("label", cell, "node", F.lit(MEMBER).alias("side"), "comp"))
-    return links.union(stash(_confirmed(both.join(texts, ["label", "node"]), k), "links"))
+    once = "comp_a <> comp_b AND (NOT apart_b OR node_a < node_b)"
+    pairs = stash(a.join(b, ["label", "shingle"]).where(once).where(fits).select("label", "node_a", "comp_a", "node_b", "comp_b").distinct(), "pairs")
+    # Each asking class with its partners, a cell's worth at a time.
+    parts = pairs.groupBy("label", "node_a").agg(F.ceil(F.count("*") / CELL).cast("long").alias("parts"))
+    dealt = pairs.join(parts, ["label", "node_a"]).withColumn("cell", F.concat_ws("/", "label", "node_a", F.pmod(F.xxhash64("node_b"), F.col("parts"))))
+    asks = dealt.select("label", "cell", F.col("node_a").alias("node"), F.lit(ASKS).alias("side"), F.col("comp_a").alias("comp")).distinct()
+    members = dealt.select("label", "cell", F.col("node_b").alias("node"), F.lit(MEMBER).alias("side"), F.col("comp_b").alias("comp"))
+    links = stash(_confirmed(asks.union(members).join(texts, ["label", "node"]), k), "links")
+    hot = stash(placed.join(prefix.where(F.col("m") > POSTINGS).select("label", "node").distinct(), ["label", "node"]), "hot")
+    stripes = hot.where("apart").groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("int").alias("stripes"))
+    return links.union(_grid_links(hot.drop("stripes").join(stripes, "label"), texts, k))
 
 
 ORACLE = r"""
