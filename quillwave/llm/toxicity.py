@@ -259,9 +259,10 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `documents`, all columns, whose id isn't rejected; ids alone are scored and texts stay where they are."""
-    scored = train(documents, labels).score(documents, ["doc_id"])
-    return common.without(documents, common.stash(scored.where(F.col("score") >= THRESHOLD).select("doc_id"), "toxic"))
+    """The rows of `documents`, all columns, whose text isn't rejected, null ids like others; texts stay where they are, their hashes are scored."""
+    keyed = documents.select("doc_id", "text", common.text_key(F.col("text")).alias(common.TEXT_KEY))
+    scored = train(documents, labels).score(keyed, ["doc_id", common.TEXT_KEY])
+    return common.without(documents, common.stash(scored.where(F.col("score") >= THRESHOLD).drop("score"), "toxic"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
