@@ -4,14 +4,16 @@ Texts are runs of words.  Of the hashes of a notice's `gram` consecutive words t
 consecutive ones (the rightmost of equals) is kept.  Both are chosen for each notice so that one fingerprint stays
 whole wherever changed words fall, as long as the rest makes up `COVERAGE`; `GRAM` and `WINDOW` are their upper bounds.
 The notices' fingerprints form an inverted index (fingerprint to notices and places), small and of fixed size, that
-goes to every task and is asked for every gram of the texts.  A shared fingerprint gives a diagonal; each notice is
-then aligned word by word with the stretch of the text around that diagonal, `BAND` words to either side, and the
-best local alignment gives matched words, their share of the notice and the span in code points.  What is left of
-the stretch before and after a match is searched again.  Matches from `COVERAGE` on are reported; of matches that
-overlap, the one with more matched words stays.
-
-All words of all texts are looked up.  Null and empty texts have no matches and give a row with none.
-Repeated rows give a row each; null ids are kept; extra columns are ignored.
+goes to every task and is asked for every gram of the texts.  A shared fingerprint gives a diagonal.  A stretch of
+neighbouring diagonals is a candidate where it has as many different fingerprints of a notice as changed words can't
+take away.  All candidates of a notice in a slice are aligned with it at once, word by word, `band` diagonals around
+the stretch; the best local alignment gives matched words, their share of the notice and the span in code points.
+Matches from `COVERAGE` on are reported; of matches that overlap, the one with more matched words stays,
+or else more coverage.
+
+All words of all texts are looked up, and time is in proportion to the text even where it is made of notices.  Null
+and empty texts have no matches and give a row with none.  Repeated rows give a row each; null ids are kept; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
-from quillwave.llm.license_texts import NOTICES
+from quillwave.llm.license_texts import all_notices
 
 GRAM, WINDOW = 3, 3
 BAND = 6
 COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Scores that are kept for the way back, at a time.
+ALIGN_CELLS = 1 << 24
+
+
+def changes(n_words: int) -> int:
+    """How many words of a notice may be changed."""
+    return n_words - math.ceil(COVERAGE * n_words - 1e-9)
 
 
 def sizes(n_words: int) -> tuple[int, int]:
     """Gram and window for a notice: changed words that COVERAGE allows leave gram + window - 1 in a row somewhere."""
-    changed = n_words - math.ceil(COVERAGE * n_words - 1e-9)
+    changed = changes(n_words)
     run = -(-(n_words - changed) // (changed + 1))
     gram = min(GRAM, run)
     return gram, min(WINDOW, run - gram + 1)
@@ -64,6 +73,8 @@ class Index:
     names: list[str]
     words: list[np.ndarray]
     by_gram: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # fingerprints, sorted; notice and place of each
+    band: np.ndarray  # diagonals that a match of the notice may drift by
+    need: np.ndarray  # different fingerprints that a match of the notice has
 
 
 def build_index(notices: dict[str, str]) -> Index:
@@ -75,10 +86,15 @@ def build_index(notices: dict[str, str]) -> Index:
         starts, ends, _ = tk.word_bounds(low, offsets, tk.ALNUM)
         words.append(tk.span_hashes(low, starts, ends))
     found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    band, need = np.zeros(len(names), np.int64), np.ones(len(names), np.int64)
     for i, own in enumerate(words):
         if not len(own):
             continue
         gram, window = sizes(len(own))
+        changed, run = changes(len(own)), gram + window - 1
+        band[i] = min(BAND, changed)
+        # Each changed word spoils at most `run` windows; those left share a fingerprint `window` by `window`.
+        need[i] = max(1, -(-(len(own) - run + 1 - changed * run) // window))
         hashes, first = tk.shingle_hashes(own, np.zeros(len(own), np.int64), gram)
         kept = winnow(hashes, np.zeros(len(hashes), np.int64), window)
         found.setdefault(gram, []).append((hashes[kept], np.full(len(kept), i), first[kept]))
@@ -87,73 +103,111 @@ def build_index(notices: dict[str, str]) -> Index:
         hashes, notice, place = (np.concatenate(column) for column in zip(*parts, strict=True))
         order = np.argsort(hashes, kind="stable")
         by_gram[gram] = hashes[order], notice[order], place[order]
-    return Index(names, words, by_gram)
+    return Index(names, words, by_gram, band, need)
+
 
+def align(text: np.ndarray, notice: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each candidate: matched words and the range of text words of the best local alignment.
+
+    A candidate's alignment stays within `half` of the diagonal on which the notice's first word is text[first], and in
+    text[lo:hi].
+    """
+    n, width, some = len(notice), 2 * half + 1, len(first)
+    column = np.arange(width)
+    base = first[:, None] + column - half
+    score = np.zeros((n + 1, some, width + 1), dtype=np.int16)  # one column more, for the diagonal beyond the band
+    best, at_i, at_k = np.zeros(some, np.int64), np.zeros(some, np.int64), np.zeros(some, np.int64)
+
+    def same(i: int, j: np.ndarray) -> np.ndarray:
+        return text[np.clip(j, 0, len(text) - 1)] == notice[i - 1]
 
-def align(text: np.ndarray, notice: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Matched words and the range of text words of the best local alignment within BAND of text = notice + diagonal."""
-    n, width = len(notice), 2 * BAND + 1
-    score = np.zeros((n + 1, width), dtype=np.int64)
-    step = np.zeros((n + 1, width), dtype=np.int8)
-    best, at = 0, (0, 0)
     for i in range(1, n + 1):
-        for k in range(width):
-            j = i + diagonal + k - BAND  # words of the text used
-            if not 1 <= j <= len(text):
-                continue
-            moves = (  # the last one begins anew
-                (score[i - 1, k] + (MATCH if text[j - 1] == notice[i - 1] else MISMATCH), 1),
-                (score[i - 1, k + 1] + GAP if k + 1 < width else -1, 2),
-                (score[i, k - 1] + GAP if k else -1, 3),
-                (0, 0),
-            )
-            score[i, k], step[i, k] = max(moves, key=lambda m: (m[0], m[1] == 0, m[1] == 1))
-            if score[i, k] > best:
-                best, at = int(score[i, k]), (i, k)
-    i, k = at
-    last, matched, first = i + diagonal + k - BAND, 0, i + diagonal + k - BAND
-    while step[i, k]:
-        j = i + diagonal + k - BAND
-        if step[i, k] == 1:
-            matched += int(text[j - 1] == notice[i - 1])
-            first, i = j - 1, i - 1
-        elif step[i, k] == 2:
-            i, k = i - 1, k + 1
-        else:
-            first, k = j - 1, k - 1
-    return matched, first, last
-
-
-def matches(text_words: np.ndarray, found: list[tuple[int, int, int]], index: Index) -> list[tuple[str, int, float, int, int]]:
-    """(notice, matched words, coverage, first word, end word); `found`: (place in text, notice, place in notice)."""
-    hits: dict[tuple[int, int], set[int]] = {}
-    for at, notice, place in found:
-        hits.setdefault((notice, at - place), set()).add(at)
-    out: list[tuple[str, int, float, int, int]] = []
-    taken: dict[int, list[tuple[int, int]]] = {}
-    # The diagonals with most fingerprints come first; one whose fingerprints all lie in matches has nothing to add.
-    for (notice, diagonal), places in sorted(hits.items(), key=lambda h: (-len(h[1]), h[0])):
-        words, known = index.words[notice], taken.setdefault(notice, [])
-        if all(any(lo <= at < hi for lo, hi in known) for at in places):
-            continue
-        stretches = [(max(0, diagonal - BAND), min(len(text_words), diagonal + len(words) + BAND))]
-        while stretches:
-            lo, hi = stretches.pop()
-            stretch = text_words[lo:hi]
-            if np.isin(words, stretch).sum() < COVERAGE * len(words):
-                continue
-            matched, first, last = align(stretch, words, diagonal - lo)
-            coverage = matched / len(words)
-            if coverage >= COVERAGE:
-                out.append((index.names[notice], matched, coverage, first + lo, last + lo))
-                known.append((first + lo, last + lo))
-                stretches += [(lo, lo + first), (lo + last, hi)]
-    out.sort(key=lambda m: (-m[1], m[3], m[0]))
-    kept: list = []
-    for m in out:
-        if not any(m[3] < k[4] and k[3] < m[4] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m[3])
+        j = base + (i - 1)
+        inside = (j >= lo[:, None]) & (j < hi[:, None])
+        step = np.where(same(i, j), MATCH, MISMATCH)
+        own = np.maximum(np.maximum(score[i - 1, :, :-1] + step, score[i - 1, :, 1:] + GAP), 0)
+        own = np.maximum.accumulate(np.where(inside, own, 0) - GAP * column, axis=1) + GAP * column  # words of the text left out
+        own = np.where(inside, own, 0)
+        score[i, :, :-1] = own
+        k = own.argmax(axis=1)
+        top = own[np.arange(some), k]
+        better = top > best
+        best, at_i, at_k = np.where(better, top, best), np.where(better, i, at_i), np.where(better, k, at_k)
+    last = first + at_i + at_k - half
+    start, matched = last.copy(), np.zeros(some, np.int64)
+    on = np.flatnonzero(best > 0)
+    while len(on):
+        i, k = at_i[on], at_k[on]
+        j = first[on] + i - 1 + k - half
+        own, equal = score[i, on, k].astype(np.int64), text[np.clip(j, 0, len(text) - 1)] == notice[i - 1]
+        paired = own == score[i - 1, on, k] + np.where(equal, MATCH, MISMATCH)
+        skips = ~paired & (own == score[i - 1, on, k + 1] + GAP)
+        matched[on] += paired & equal
+        start[on] = np.where(skips, start[on], j)
+        at_i[on] = i - (paired | skips)
+        at_k[on] = k + skips - (~paired & ~skips)
+        on = on[score[at_i[on], on, at_k[on]] > 0]
+    return matched, start, last
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows, in order."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return [c[new] for c in columns]
+
+
+def _candidates(words: np.ndarray, rows: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, notice, stretch): a notice's stretch s is of the band + 1 diagonals from s * (band + 1) on and as many after."""
+    hits: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    for gram, (fingerprints, notice, place) in index.by_gram.items():
+        hashes, first = tk.shingle_hashes(words, rows, gram)
+        a = np.searchsorted(fingerprints, hashes, side="left")
+        b = np.searchsorted(fingerprints, hashes, side="right")
+        at = np.flatnonzero(b > a)
+        each = (b - a)[at]
+        entry = np.repeat(a[at], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        hits.append((np.repeat(first[at], each), notice[entry], place[entry]))
+    word, notice, place = (np.concatenate(c) for c in zip(*hits, strict=True))
+    stretch = (word - place) // (index.band[notice] + 1)
+    row = rows[word]
+    row, notice, stretch, place = _distinct(np.tile(row, 2), np.tile(notice, 2), np.concatenate([stretch, stretch - 1]), np.tile(place, 2))
+    new = np.ones(len(row), dtype=bool)
+    if len(row):
+        new[1:] = (row[1:] != row[:-1]) | (notice[1:] != notice[:-1]) | (stretch[1:] != stretch[:-1])
+    begin = np.flatnonzero(new)
+    enough = begin[np.diff(np.append(begin, len(row))) >= index.need[notice[begin]]]
+    return row[enough], notice[enough], stretch[enough]
+
+
+def matches(words: np.ndarray, rows: np.ndarray, index: Index) -> list[np.ndarray]:
+    """(row, notice, matched words, first word, end word) of all reported matches, by row and place."""
+    row, notice, stretch = _candidates(words, rows, index)
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 5]
+    for i in np.unique(notice):
+        own = np.flatnonzero(notice == i)
+        text, band = index.words[i], int(index.band[i])
+        half = 2 * band + 1
+        at_once = max(1, ALIGN_CELLS // ((len(text) + 1) * (2 * half + 2)))
+        for part in np.split(own, range(at_once, len(own), at_once)):
+            lo, hi = np.searchsorted(rows, row[part], side="left"), np.searchsorted(rows, row[part], side="right")
+            matched, first, last = align(words, text, (stretch[part] + 1) * (band + 1), lo, hi, half)
+            good = matched >= COVERAGE * len(text)
+            found.append((row[part][good], np.full(good.sum(), i), matched[good], first[good], last[good]))
+    row, notice, matched, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+    # Of those that overlap the one with more matched words stays; equals by coverage, place and name.
+    taken, kept = np.zeros(len(words), dtype=bool), []
+    coverage = matched / np.array([len(w) for w in index.words])[notice]
+    for x in np.lexsort((notice, first, -coverage, -matched)):
+        if not taken[first[x] : last[x]].any():
+            taken[first[x] : last[x]] = True
+            kept.append(x)
+    kept = np.array(kept, dtype=np.int64)
+    kept = kept[np.argsort(first[kept], kind="stable")]
+    return [c[kept] for c in (row, notice, matched, first, last)]
 
 
 _MATCH = pa.struct([("license", pa.string()), ("matched", pa.int32()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
@@ -167,24 +221,14 @@ def _scan(index: Index):
                 data, offsets = tk.text_bytes(part.column(1))
                 low = tk.lower(data)
                 starts, ends, rows = tk.word_bounds(low, offsets, tk.ALNUM)
-                words = tk.span_hashes(low, starts, ends)
-                cut = np.searchsorted(rows, np.arange(len(offsets)))
-                by_row: dict[int, list] = {}
-                for gram, (fingerprints, notice, place) in index.by_gram.items():
-                    hashes, first = tk.shingle_hashes(words, rows, gram)
-                    a = np.searchsorted(fingerprints, hashes, side="left")
-                    b = np.searchsorted(fingerprints, hashes, side="right")
-                    for i in np.flatnonzero(b > a):
-                        word = int(first[i])
-                        r = int(rows[word])
-                        by_row.setdefault(r, []).extend((word - int(cut[r]), int(notice[x]), int(place[x])) for x in range(a[i], b[i]))
                 out: list[list[dict]] = [[] for _ in range(hi - lo)]
-                for r, found in by_row.items():
-                    for name, matched, coverage, w0, w1 in matches(words[cut[r] : cut[r + 1]], found, index):
-                        raw, base = data[offsets[r] : offsets[r + 1]].tobytes(), int(offsets[r])
-                        start = len(raw[: int(starts[cut[r] + w0]) - base].decode())
-                        length = len(raw[int(starts[cut[r] + w0]) - base : int(ends[cut[r] + w1 - 1]) - base].decode())
-                        out[r].append({"license": name, "matched": matched, "coverage": coverage, "start": start, "end": start + length})
+                found = matches(tk.span_hashes(low, starts, ends), rows, index)
+                if len(found[0]):
+                    # Code points before each byte.
+                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    for r, notice, matched, first, last in zip(*(c.tolist() for c in found), strict=True):
+                        base = points[offsets[r]]
+                        out[r].append({"license": index.names[notice], "matched": matched, "coverage": matched / len(index.words[notice]), "start": int(points[starts[first]] - base), "end": int(points[ends[last - 1]] - base)})
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(_MATCH))], names=["doc_id", "matches"])
 
     return run
@@ -192,7 +236,7 @@ def _scan(index: Index):
 
 def scan_licenses(documents: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id and matches array<struct<license, matched, coverage, start, end>> of every row of `documents`."""
-    return documents.select("doc_id", "text").mapInArrow(_scan(build_index(notices or NOTICES)), "doc_id long, matches array<struct<license string, matched int, coverage double, start int, end int>>")
+    return documents.select("doc_id", "text").mapInArrow(_scan(build_index(notices or all_notices())), "doc_id long, matches array<struct<license string, matched int, coverage double, start int, end int>>")
 
 
 def license_digest(documents: DataFrame) -> DataFrame:
