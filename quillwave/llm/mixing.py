@@ -1,17 +1,19 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
 Each source's documents are laid end to end in a shuffled order (by a hash of the id); that stream of words,
-repeated, is cut into blocks of `BLOCK_WORDS` words.  The mix is a list of slots.  Slot i takes the point
-frac(i * golden ratio); the cumulative target weights map it to a source; the slot's rank among the slots of its
-source names the block that it takes.  Ranks are joined to blocks, and a document is taken as far as the blocks of
-its occurrences reach.  A source stops where its target is met (its last block may be cut short); the few ranks
-by which the point sequence falls short of a target are appended.
+repeated, is cut into blocks of `BLOCK_WORDS` words.  The mix is a list of slots, as many as blocks make up all words.
+Slot i takes the point frac(i * golden ratio); the cumulative target weights map it to a source; the slot's rank among
+the slots of its source names the block that it takes.  So the schedule alone decides how many blocks a source gives
+and in which order; the points are spread so evenly that this stays within a few blocks of the target whatever the
+size.  Ranks are joined to blocks, and a document is taken as far as the blocks of its occurrences reach.  A stream
+ends after `REPEATS` rounds of its source; slots past its end stay empty.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share all words.  A target stops at
 `REPEATS` times its source's size and what is left is shared by weight among the others, until none is above.
 
 Scale: the texts are read once, for word counts.  Ranks and positions are two-step prefix sums (within buckets of
-about the root of the rows, then over buckets), so one hot source is spread over many tasks.
+about the root of the rows, then over buckets), so one hot source is spread over many tasks.  Sums over the table of
+sources, a row a source, run in one task: that table is the list of names that the mix is defined by.
 
 Null texts, empty texts and texts of white space have no words and nothing is taken of them.  Sources of no words
 have target 0.  Repeated rows are rows of their own.  Extra columns are ignored.
@@ -24,14 +26,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwave.llm.common import BROADCAST_IDS, stash
+from quillwave.llm.common import BROADCAST_IDS, TEXT_KEY, stash, text_key
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-BLOCK_WORDS = 512
+BLOCK_WORDS = 128
 #: The golden ratio's fractional part in units of 2^-32, so that points are exact integers.
 GOLDEN = 2654435769
-#: Cells of [0, 1) by which points meet the sources' weight intervals.
+UNIT = 1 << 32
+#: Cells of [0, UNIT) by which points meet the sources' weight intervals.
 CELLS = 1024
 #: Up to so many sources the table of sources is broadcast.
 BROADCAST_SOURCES = 10_000
@@ -73,62 +76,81 @@ def _prefix(df: DataFrame, group: list[str], bucket: str, order: list[Column], v
     return inner.join(base, match).withColumn(name, F.col("_base") + F.col("_in")).drop("_base", "_in", *[f"_{c}" for c in [*group, bucket]])
 
 
-def schedule(shares: DataFrame, n_slots: int, block_words: int, small: bool) -> DataFrame:
+def points(i: Column) -> Column:
+    """The point of slot i, in units of 1 / UNIT."""
+    return F.pmod(F.pmod(i, F.lit(2**31)) * F.lit(GOLDEN), F.lit(UNIT))
+
+
+def schedule(shares: DataFrame, n_slots: int, small: bool) -> DataFrame:
     """(sid, rank, slot): which source each slot of the mix draws from, and its rank among that source's slots."""
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
+    by_place = Window.orderBy("sid")
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cut = shares.where("quota > 0").select("sid", "quota", "target", F.sum("target").over(upto).alias("upper"), F.sum("target").over(everything).alias("total"))
-    # Intervals of [0, 1); the last one takes what rounding leaves.
-    last = F.max("sid").over(everything)
-    upper = F.when(F.col("sid") == last, F.lit(1.0)).otherwise(F.col("upper") / F.col("total"))
-    cut = cut.select("sid", "quota", upper.alias("hi")).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0)))
-    cells = cut.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    point = F.pmod(F.pmod("id", F.lit(2**31)) * F.lit(GOLDEN), F.lit(2**32)) / F.lit(float(2**32))
-    points = cut.sparkSession.range(n_slots).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * CELLS))
-    drawn = points.join(F.broadcast(cells) if small else cells, (points.cell == cells.cell) & (points.point >= cells.lo) & (points.point < cells.hi)).select("sid", "quota", F.col("id").alias("slot"))
+    # Intervals of [0, UNIT); the last one takes what rounding leaves.
+    share = F.sum("target").over(by_place.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(everything)
+    cut = shares.where("target > 0").select("sid", F.when(F.col("sid") == F.max("sid").over(everything), F.lit(UNIT)).otherwise(F.floor(share * UNIT)).alias("hi"))
+    cut = cut.withColumn("lo", F.coalesce(F.lag("hi").over(by_place), F.lit(0))).where("lo < hi")
+    width = UNIT // CELLS
+    cells = cut.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    drawn = cut.sparkSession.range(n_slots).withColumn("point", points(F.col("id"))).withColumn("cell", F.floor(F.col("point") / width))
+    drawn = drawn.join(F.broadcast(cells) if small else cells, (drawn.cell == cells.cell) & (drawn.point >= cells.lo) & (drawn.point < cells.hi)).select("sid", F.col("id").alias("slot"))
     drawn = drawn.withColumn("chunk", F.floor(F.col("slot") / max(1, math.isqrt(n_slots))))
-    ranked = _prefix(drawn, ["sid"], "chunk", [F.col("slot")], F.lit(1), "rank")
-    blocks = F.ceil(F.col("quota") / block_words)
-    counted = shares.where("quota > 0").join(drawn.groupBy("sid").agg(F.count("*").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    short = counted.where(F.col("n") < blocks).select("sid", F.explode(F.sequence(F.col("n"), blocks - 1)).alias("rank")).withColumn("slot", F.lit(n_slots) + F.col("rank"))
-    return ranked.where(F.col("rank") < blocks).select("sid", "rank", "slot").unionByName(short)
+    return _prefix(drawn, ["sid"], "chunk", [F.col("slot")], F.lit(1), "rank").select("sid", "rank", "slot")
 
 
-def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and first_slot of every row of `documents`."""
-    sized = stash(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    shares = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("quota", F.round("target").cast("long")), "targets")
-    rows = sized.count()
-    n_sources, n_slots = shares.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("quota") / block_words)), F.lit(0))).first()
-    small = n_sources <= BROADCAST_SOURCES
+def _occurrences(documents: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with their source's numbers; each row of words at its `place`; and the occurrences that the mix takes.
+
+    An occurrence has its source and place, which round it is of, the words taken, its blocks and its first slot.
+    """
+    sized = stash(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_key(F.col("text")).alias(TEXT_KEY)), "sizes")
+    shares = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    n_rows, n_words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    small = shares.count() <= BROADCAST_SOURCES
     s = shares.withColumnRenamed("source", "of")
     named = sized.join(F.broadcast(s) if small else s, F.col("source").eqNullSafe(F.col("of"))).drop("of", "weight")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    n_buckets = 2 * math.isqrt(rows) + 1
+    n_buckets = 2 * math.isqrt(n_rows) + 1
     bucketed = named.where("size > 0").withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n_buckets / (1 << 28)).cast("int"))
     # Every document at its place in its source's stream of words.
-    placed = _prefix(bucketed, ["sid"], "bucket", [F.col("key"), F.col("size")], F.col("size"), "place").select("doc_id", "source", "size", "source_size", "target", "quota", "sid", "place")
-    again = placed.withColumn("again", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("start", F.col("again") * F.col("source_size") + F.col("place")).where("start < quota")
-    pieces = again.withColumn("end", F.least(F.col("start") + F.col("size"), "quota")).withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
-    drawn = pieces.join(schedule(shares, int(n_slots), block_words, small), ["sid", "rank"])
+    placed = _prefix(bucketed, ["sid"], "bucket", [F.col("key"), F.col("size"), F.col(TEXT_KEY)], F.col("size"), "place").drop("key", "bucket")
+    rounds = placed.select("sid", "place", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("round"))
+    begin = rounds.withColumn("start", F.col("round") * F.col("source_size") + F.col("place")).withColumn("end", F.col("start") + F.col("size"))
+    pieces = begin.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
+    drawn = pieces.join(schedule(shares, -(-n_words // block_words), small), ["sid", "rank"])
     words = F.least(F.col("end"), (F.col("rank") + 1) * block_words) - F.greatest(F.col("start"), F.col("rank") * block_words)
-    taken = drawn.groupBy("sid", "place").agg(F.sum(words).alias("taken"), F.min("slot").alias("first_slot"))
-    met = placed.join(taken, ["sid", "place"], "left")
-    nothing = named.where("size = 0").withColumn("taken", F.lit(None).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot"]
-    return met.select(columns).unionByName(nothing.select(columns))
+    taken = drawn.groupBy("sid", "place", "round").agg(F.sum(words).alias("taken"), F.count("*").alias("n_slots"), F.min("slot").alias("first_slot"))
+    return named, placed, taken
+
+
+def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, n_slots and first_slot of every row of `documents`.
+
+    `n_slots` counts the pieces of the mix that the document lies in, `first_slot` is where it first comes.
+    """
+    named, placed, taken = _occurrences(documents, block_words)
+    of_row = taken.groupBy("sid", "place").agg(F.sum("taken").alias("taken"), F.sum("n_slots").alias("n_slots"), F.min("first_slot").alias("first_slot"))
+    none = F.lit(0).cast("long")
+    columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("n_slots", none).alias("n_slots"), "first_slot"]
+    nothing = named.where("size = 0").select("*", *[F.lit(None).cast("long").alias(c) for c in ("taken", "n_slots", "first_slot")])
+    return placed.join(of_row, ["sid", "place"], "left").select(columns).unionByName(nothing.select(columns))
 
 
-def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The mix as whole documents, all columns: each as many times as the words taken of it make up, rounded half up.
+def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as whole documents, all columns, in the schedule's order: each occurrence of which half or more is taken.
 
-    At most one document a source differs from the words taken.  Documents of which under half is taken are left out.
+    Only a source's last occurrence can be cut, so at most one document a source differs from the words taken.  Rows
+    that share id, source and text are taken alike, as often as the one of them that is taken most.  Tasks hold
+    stretches of the mix in order, and so do the files written of them.
     """
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = stash(mix(documents).where("taken > 0").groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0"), "times")
-    match = F.col("doc_id").eqNullSafe(F.col("_id"))
-    taken = taken.withColumnRenamed("doc_id", "_id")
-    return documents.join(F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken, match).withColumn("_n", F.explode(F.sequence(F.lit(1), "times"))).select(documents.columns)
+    _, placed, taken = _occurrences(documents, block_words)
+    whole = taken.join(placed.select("sid", "place", "doc_id", F.col("source").alias("of"), "size", TEXT_KEY), ["sid", "place"]).where("2 * taken >= size")
+    slots = whole.groupBy("doc_id", "of", TEXT_KEY, "round").agg(F.min("first_slot").alias("slot"))
+    slots = stash(slots.select(F.col("doc_id").alias("id"), "of", F.col(TEXT_KEY).alias("key"), "slot"), "slots")
+    # Only these names are free of the documents' own, whatever their columns are called.
+    rows = documents.select(F.struct("*").alias("row"), "doc_id", "source", text_key(F.col("text")).alias("key_of"))
+    match = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("key_of") == F.col("key"))
+    met = rows.join(F.broadcast(slots) if slots.count() <= BROADCAST_IDS else slots, match).select("row", "slot")
+    return met.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
 
 
 ORACLE = r"""
@@ -147,12 +169,27 @@ WITH sized AS (
   SELECT nth, rest, open_weight FROM filled WHERE rest * weight <= source_size * 3 * open_weight ORDER BY nth LIMIT 1
 ), targets AS (
   SELECT source, source_size, CASE WHEN filled.nth < opened.nth THEN CAST(source_size * 3 AS DOUBLE) ELSE CAST(opened.rest AS DOUBLE) / CAST(opened.open_weight AS DOUBLE) * weight END AS target FROM filled, opened
+), cuts AS (
+  SELECT source, CASE WHEN row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 THEN 4294967296
+    ELSE CAST(floor(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * 4294967296) AS BIGINT) END AS hi
+  FROM targets WHERE target > 0
+), intervals AS (
+  SELECT source, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo, hi FROM cuts
+), slots AS (
+  SELECT CAST(i AS BIGINT) AS slot, i % 2147483648 * 2654435769 % 4294967296 AS point FROM (SELECT unnest(range((SELECT CAST(ceil(sum(size) / 128.0) AS BIGINT) FROM sized))) AS i)
+), schedule AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM slots JOIN intervals ON point >= lo AND point < hi
 ), placed AS (
-  SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS quota,
+  SELECT row_number() OVER () AS r, doc_id, sized.source, size, source_size, target,
     CAST(coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+), pieces AS (
+  SELECT r, source, b, greatest(b * 128, start) AS lo, least(b * 128 + 128, start + size) AS hi FROM (
+    SELECT r, source, size, start, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS b FROM (
+      SELECT r, source, size, k * source_size + place AS start FROM placed, (SELECT unnest([0, 1, 2]) AS k) WHERE size > 0))
+), drawn AS (
+  SELECT r, CAST(sum(hi - lo) AS BIGINT) AS taken, count(*) AS n_slots, min(slot) AS first_slot
+  FROM pieces JOIN schedule ON rank = b AND pieces.source IS NOT DISTINCT FROM schedule.source GROUP BY r
 )
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(place + size, quota) - place) + greatest(0, least(source_size + place + size, quota) - source_size - place) + greatest(0, least(2 * source_size + place + size, quota) - 2 * source_size - place) AS BIGINT) AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(n_slots, 0) AS n_slots, first_slot FROM placed LEFT JOIN drawn USING (r)
 """
