@@ -21,7 +21,7 @@ import numpy as np
 import zstandard
 
 MAGIC = b"RANSIDS1"
-LANES, STEPS = 32, 512
+LANES, STEPS = 128, 128
 BLOCK = LANES * STEPS
 BITS = 16
 _HEAD = struct.Struct("<8sIQIIIIII")
@@ -60,8 +60,12 @@ def quantise(counts: np.ndarray) -> np.ndarray:
 
 def encode(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """`ids`: the u2 ids of all documents in a row; `lengths`: ids of each document."""
-    symbols, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
     n = len(ids)
+    counts = np.bincount(ids, minlength=1 << BITS)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(1 << BITS, np.int64)
+    place[symbols] = np.arange(len(symbols))
+    place, counts = place[ids], counts[symbols]
     blocks = -(-n // BLOCK)
     freq = quantise(counts) if n else np.zeros(0, np.int64)
     start = np.cumsum(freq) - freq

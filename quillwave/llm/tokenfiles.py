@@ -6,10 +6,11 @@ section.  Files go to the shared folder under a name of the attempt's own; the m
 commits, lists one finished file a stretch, so retried or lost attempts leave nothing that a reader sees.  Readers
 take sections, any number in parallel, check their checksums and decode them.
 
-The tokenizers library encodes texts.  Its pipeline never looks across ASCII white space, so each distinct piece
-between white space is encoded once in a task's bounded memory (`MEMO` pieces) and texts are put together from
-their pieces' ids.  Of texts in Latin letters alone, the pieces are lower-cased first and a comma or full stop at a
-word's end is a piece of its own, as the tokenizer does both itself; so more pieces are alike.
+The tokenizers library encodes texts.  Where its pipeline never looks across ASCII white space, each distinct piece
+between white space is encoded once in a worker's bounded memory (`MEMO` pieces a half) and texts are put together
+from their pieces' ids.  Where it folds case, texts in Latin letters alone are lower-cased first, so more pieces are
+alike, and a lower-case word, with or without a comma or full stop, is asked of the tokenizer's model directly.
+Probes of the tokenizer at hand tell which of these hold; one for which none holds gets whole texts.
 
 Null and empty texts have the end id alone.  Null ids come first; rows that share an id are ordered by text.  An empty table makes no file and no
 row.  Extra columns are ignored.
@@ -17,6 +18,7 @@ row.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -33,22 +35,14 @@ from quillwave.llm.common import fresh_path, stash
 
 END_ID = 1
 SECTION_IDS = 1 << 19
-MEMO = 200_000
-#: What stays when the memory is full: pieces this short, which are the frequent ones.
-SHORT = 6
+#: Pieces in either half of a worker's memory; a full young half becomes the old one, from which what is met again comes back.
+MEMO = 120_000
 ENCODE_TOGETHER = 512
 READ_TASKS = 4096
 _SEPARATOR = "~"
+_MARKS = b",", b"."
 #: Latin characters whose lower case and composition are the same in any library.
 _LATIN = re.compile("[\x00-\x7f\xa0-\xff]*")
-_WORD_END = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([,.])(?=[ \t\n\r\x0b\x0c]|$)")
-
-
-def _alike(text: str) -> str:
-    """The text with fewer distinct pieces and the same ids."""
-    if not _LATIN.fullmatch(text):
-        return text
-    return _WORD_END.sub(r" \1", text.lower())
 
 
 def default_tokenizer() -> str:
@@ -66,77 +60,116 @@ def _byte_letters() -> dict[int, str]:
 
 _BYTE_LETTERS = _byte_letters()
 _PROBES = ["word", "thestreet", "stra\xdfe", "\xe9t\xe9", "ni\xf1o", "\xaa\xb5", "qzxv"]
+_CAPITALS = ["Word", "WORD", "aBc", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ", *(chr(c) for c in range(0xC0, 0xDF)), "\xc9T\xc9", "NI\xd1O"]
+_SPACED = "one two\tthree,\r\n four. it's 5 !? \xe9t\xe9  don't\x0b\x0cA-b c_d (e) ~ f"
 
 
 class Encoder:
     """Texts to u2 ids through the tokenizers library, with a memory of pieces."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores; threads of its own would only take memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit into 16 bits")
+        self.model = self.tokenizer.model
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         alone = self._ids([_SEPARATOR])[0]
         self.cut = alone[0] if len(alone) == 1 else None
+        self.pieces = self._ids([_SPACED])[0] == [i for ids in self._ids(_SPACED.split()) for i in ids] and not any(re.search(r"\s", t) for t in self.added)
+        self.folds = self.pieces and self._ids(_CAPITALS) == self._ids([p.lower() for p in _CAPITALS])
         # A lower-case Latin word is one pre-token; where the tokenizer agrees, its model is asked directly.
-        self.direct = [self._word(w) for w in _PROBES] == self._ids(_PROBES)
+        self.direct = self.pieces and [self._word(w.encode()) for w in _PROBES] == [self._packed(ids) for ids in self._ids(_PROBES)]
+        self.marks = {m: self._packed(self._ids([m.decode()])[0]) for m in _MARKS}
+        marked = [(w, m) for w in _PROBES for m in _MARKS]
+        if self._ids([w + m.decode() for w, m in marked]) != [ids + self._ids([m.decode()])[0] for (_, m), ids in zip(marked, self._ids([w for w, _ in marked]), strict=True)]:
+            self.marks = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return array("H", ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_LETTERS)
+        return self._packed([t.id for t in self.model.tokenize(text)])
+
+    def _folded(self, text: str) -> str:
+        """The text with fewer distinct pieces and the same ids."""
+        if not self.folds or not _LATIN.fullmatch(text):
+            return text
+        low = text.lower()
+        # Added tokens are looked for in the text as it is.
+        return text if any(t in low and low.count(t) != text.count(t) for t in self.added) else low
+
+    def _direct(self, pieces: list[bytes]) -> list[bytes]:
+        """Adds lower-case Latin words, with a mark at their end or not, to the memory; returns the other pieces."""
+        left, memo, marks, tokenize = [], self.memo, self.marks, self.model.tokenize
+        for p in pieces:
+            end = marks.get(p[-1:])
+            stem = p if end is None else p[:-1]
+            if stem.isalpha() and stem.islower():
+                text = stem.decode()
+            elif not stem.isascii() and (text := stem.decode()).isalpha() and text.islower() and _LATIN.fullmatch(text):
+                text = stem.decode("latin-1").translate(_BYTE_LETTERS)
+            else:
+                left.append(p)
+                continue
+            ids = memo.get(stem)
+            if ids is None:
+                ids = memo[stem] = array("H", [t.id for t in tokenize(text)]).tobytes()
+            if end is not None:
+                memo[p] = ids + end
+        return left
 
     def _learn(self, pieces: list[bytes]) -> None:
-        texts = [p.decode() for p in pieces]
-        found: dict[int, bytes] = {}
-        if self.direct:
-            model, letters = self.tokenizer.model, _BYTE_LETTERS
-            for i, t in enumerate(texts):
-                if t.isalpha() and t.islower() and _LATIN.fullmatch(t):
-                    found[i] = array("H", [x.id for x in model.tokenize(t.encode().decode("latin-1").translate(letters))]).tobytes()
-        joint = [i for i, t in enumerate(texts) if i not in found and self.cut is not None and _SEPARATOR not in t]
-        single = [i for i, t in enumerate(texts) if i not in found and (self.cut is None or _SEPARATOR in t)]
-        groups = [joint[lo : lo + ENCODE_TOGETHER] for lo in range(0, len(joint), ENCODE_TOGETHER)]
-        for group, ids in zip(groups, self._ids([f" {_SEPARATOR} ".join(texts[i] for i in g) for g in groups]), strict=True):
-            ids = np.array(ids, dtype=np.int64)
+        memo = self.memo
+        left = self._direct(pieces) if self.direct else pieces
+        texts = [p.decode() for p in left]
+        joint = [i for i, t in enumerate(texts) if self.cut is not None and _SEPARATOR not in t]
+        single = [i for i, t in enumerate(texts) if self.cut is None or _SEPARATOR in t]
+        for lo in range(0, len(joint), ENCODE_TOGETHER):
+            group = joint[lo : lo + ENCODE_TOGETHER]
+            ids = np.array(self._ids([f" {_SEPARATOR} ".join([texts[i] for i in group])])[0], dtype=np.int64)
             bounds = np.flatnonzero(ids == self.cut)
             if len(bounds) != len(group) - 1:
                 single += group
                 continue
-            packed, ends = ids.astype("<u2").tobytes(), [*bounds.tolist(), len(ids)]
-            begin = 0
-            for i, end in zip(group, ends, strict=True):
-                found[i] = packed[2 * begin : 2 * end]
+            packed, begin = ids.astype("<u2").tobytes(), 0
+            for i, end in zip(group, [*bounds.tolist(), len(ids)], strict=True):
+                memo[left[i]] = packed[2 * begin : 2 * end]
                 begin = end + 1
         for i, ids in zip(single, self._ids([texts[i] for i in single]), strict=True):
-            found[i] = np.array(ids, dtype="<u2").tobytes()
-        if len(self.memo) + len(pieces) > MEMO:
-            short = {p: ids for p, ids in self.memo.items() if len(p) <= SHORT}
-            self.memo.clear()
-            if len(short) <= MEMO // 2:
-                self.memo.update(short)
-        self.memo.update((p, found[i]) for i, p in enumerate(pieces))
+            memo[left[i]] = self._packed(ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text, without the end id."""
-        split = [_alike(t or "").encode().split() for t in texts]
+        if not self.pieces:
+            return [self._packed(ids) for ids in self._ids([t or "" for t in texts])]
+        split = [self._folded(t or "").encode().split() for t in texts]
         out, lo = [], 0
         while lo < len(split):
-            fresh: set[bytes] = set()
-            hi = lo
-            while hi < len(split) and (hi == lo or len(fresh) < MEMO // 4):
-                fresh.update(split[hi])
+            if len(self.memo) > MEMO:
+                self.old, self.memo = self.memo, {}
+            met, hi = set(), lo
+            while hi < len(split) and (hi == lo or len(met) < MEMO // 4):
+                met.update(split[hi])
                 hi += 1
-            fresh = fresh.difference(self.memo)
-            if fresh:
-                known = len(self.memo)
-                self._learn(sorted(fresh))
-                if len(self.memo) < known + len(fresh):  # the memory was cleared: what these texts need is learned again
-                    self._learn(sorted({p for words in split[lo:hi] for p in words} - self.memo.keys()))
-            get = self.memo.__getitem__
+            memo, fresh = self.memo, []
+            for p in met:
+                if p not in memo:
+                    if (ids := self.old.get(p)) is None:
+                        fresh.append(p)
+                    else:
+                        memo[p] = ids
+            self._learn(fresh)
+            get = memo.__getitem__
             out += [b"".join(map(get, words)) for words in split[lo:hi]]
             lo = hi
         return out
@@ -184,7 +217,6 @@ def _write(folder: str, path: str):
                         close()
         if doc_ids:
             close()
-        encoder(path).memo.clear()  # workers live on; what other jobs run in them needs the room
         if stream is not None:
             stream.close()
             part = TaskContext.get().partitionId()
