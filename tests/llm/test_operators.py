@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quillwave.llm import archives, crf, decontaminate, licenses, media, mixing, neardup, pii, rans, tokenfiles
 from quillwave.llm.components import components, star_groups
 from quillwave.llm.langid import identify
+from quillwave.llm.license_texts import NOTICES, all_notices
 from quillwave.llm.neardup import near_duplicates
 from quillwave.llm.quality import quality
 from quillwave.llm.toxicity import toxicity
@@ -137,27 +139,84 @@ def test_the_gate_loses_no_disguise():
 
 
 def test_notices_are_found_with_their_spans(spark):
-    rows = [(i, f"Some words before é\n{t} and more after.") for i, t in enumerate(licenses.NOTICES.values())]
+    rows = [(i, f"Some words before é\n{t} and more after.") for i, t in enumerate(NOTICES.values())]
     for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        name = list(licenses.NOTICES)[r.doc_id]
+        name = list(NOTICES)[r.doc_id]
         assert [(m.license, m.coverage) for m in r.matches] == [(name, 1.0)]
         cut = rows[r.doc_id][1][r.matches[0].start : r.matches[0].end]
-        assert licenses.NOTICES[name].startswith(cut[:20])
+        assert NOTICES[name].startswith(cut[:20])
 
 
 def test_alignment_bears_changed_and_missing_words():
-    index = licenses.build_index(licenses.NOTICES)
-    words = index.words[index.names.index("mit")].copy()
+    index = licenses.build_index(NOTICES)
+    whole = index.words[index.names.index("mit")]
+    words = whole.copy()
     words[20] = 1
-    matched, first, last = licenses.align(np.delete(words, 50), index.words[index.names.index("mit")], 0)
-    assert matched == len(words) - 2 and (first, last) == (0, len(words) - 1)
+    words = np.delete(words, 50)
+    one = lambda x: np.array([x])
+    matched, first, last = licenses.align(words, whole, one(0), one(0), one(len(words)), 13)
+    assert matched == len(words) - 1 and (first, last) == (0, len(words))
+
+
+def _best_local(text, notice):
+    """Score of the best local alignment over all pairs of places, without a band."""
+    best, above = 0, [0] * (len(text) + 1)
+    for x in notice:
+        row = [0]
+        for j, y in enumerate(text):
+            row.append(max(0, above[j] + (2 if x == y else -1), above[j + 1] - 1, row[j] - 1))
+        best, above = max(best, *row), row
+    return best
+
+
+def test_coverage_and_spans_against_plain_alignment():
+    """Random edits of a notice within its band: the way back has the score of an alignment without any band."""
+    rnd, notice = random.Random(15), np.arange(100, 160, dtype=np.uint64)
+    for _ in range(150):
+        words = list(notice)
+        for _ in range(rnd.randint(0, 6)):
+            at = rnd.randrange(len(words))
+            rnd.choice([lambda: words.__setitem__(at, 1), lambda: words.insert(at, 2), lambda: words.pop(at)])()  # noqa: B023
+        before, after = rnd.randint(0, 9), rnd.randint(0, 9)
+        text = np.array([3] * before + words + [4] * after, dtype=np.uint64)
+        one = lambda x: np.array([x])
+        matched, first, last = (int(x[0]) for x in licenses.align(text, notice, one(before), one(0), one(len(text)), 13))
+        cut = text[first:last]
+        assert matched == int(np.isin(cut, notice).sum()) and first >= before and last <= before + len(words)
+        assert _best_local(cut.tolist(), notice.tolist()) == _best_local(text.tolist(), notice.tolist())
+
+
+def test_scan_against_brute_force(spark):
+    """Every notice at every place of short texts, compared word by word; edited notices count from COVERAGE on."""
+    rnd, rows, want = random.Random(16), [], {}
+    short = {n: re.findall("[a-z0-9]+", t.lower()) for n, t in NOTICES.items() if len(t) < 160}
+    for i in range(200):
+        words = [rnd.choice(["foo", "licensed", "under", "the", "license", "rights", "all"]) for _ in range(rnd.randint(0, 25))]
+        for name in rnd.sample(sorted(short), rnd.randint(0, 2)):
+            at = rnd.randint(0, len(words))
+            words[at:at] = ["xx", *short[name], "yy"]
+        rows.append((i, " ".join(words)))
+        want[i] = {(n, len(" ".join(words[:at])) + (at > 0)) for n, own in short.items() for at in range(len(words)) if words[at : at + len(own)] == own}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in licenses.scan_licenses(df, {n: NOTICES[n] for n in short}).collect():
+        exact = {(m.license, m.start) for m in r.matches if m.end - m.start == len(" ".join(short[m.license])) and m.coverage == 1.0}
+        inside = lambda n, at: any(m.start <= at and at + len(" ".join(short[n])) <= m.end for m in r.matches)  # noqa: E731, B023
+        assert exact <= want[r.doc_id] and all(inside(*x) for x in want[r.doc_id] - exact), (r, want[r.doc_id])
+
+
+def test_long_texts_of_notices_take_time_in_proportion(spark):
+    phrases = ["All rights reserved. ", "all copies or substantial portions of the Software ", "Released under the MIT License. "]
+    rows = [(i, p * (2_000_000 // len(p))) for i, p in enumerate(phrases)]
+    begin = time.time()
+    got = {r.doc_id: len(r.matches) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 2_000_000 // 21, 1: 0, 2: 2_000_000 // 32} and time.time() - begin < 60
 
 
 def test_notices_amid_random_words_and_repeated_ones(spark):
     """Every notice whole and with the changed words that COVERAGE allows, spread evenly; short ones in a row."""
     rnd, rows, want = random.Random(12), [], {}
     noise = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
-    for name, notice in licenses.NOTICES.items():
+    for name, notice in NOTICES.items():
         for turn in range(12):
             words = re.findall(r"[A-Za-z0-9]+", notice)
             # Without its ShareAlike that line is another notice, which matches better.
@@ -169,7 +228,7 @@ def test_notices_amid_random_words_and_repeated_ones(spark):
     for name in ("all-rights-reserved", "mit-line", "cc-by-nc-4.0-line"):
         for gap in range(8):
             want[len(rows)] = [name] * 4
-            rows.append((len(rows), " ".join(w for _ in range(4) for w in [licenses.NOTICES[name], *noise(gap)])))
+            rows.append((len(rows), " ".join(w for _ in range(4) for w in [NOTICES[name], *noise(gap)])))
     got = {r.doc_id: [m.license for m in r.matches] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     wrong = {i: (want[i], found) for i, found in got.items() if found != want[i]}
     assert not wrong, (len(wrong), len(want), wrong)
@@ -180,10 +239,36 @@ def test_notices_amid_random_words_and_repeated_ones(spark):
 
 def test_mixing_and_decontamination_match_their_sql(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    assert spark_rows(mixing.mix(docs).drop("source", "first_slot")) == sql_rows(SF, mixing.ORACLE)
+    assert spark_rows(mixing.mix(docs).drop("source")) == sql_rows(SF, mixing.ORACLE)
     assert spark_rows(decontaminate.decontaminate(docs, bench)) == sql_rows(SF, decontaminate.ORACLE)
 
 
+def test_the_mix_follows_its_points(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r.source, [r.target, 0])[1] += r.taken
+        assert r.taken <= 3 * r.size
+    total = sum(r.size for r in rows)
+    assert all(abs(got - target) <= 0.01 * total + 4 * mixing.BLOCK_WORDS for target, got in by_source.values())
+    monkeypatch.setattr(mixing, "GOLDEN", 12345)  # these points fill the interval from below
+    other = mixing.mix(docs).collect()
+    assert sorted((r.doc_id, r.taken, r.first_slot) for r in rows) != sorted((r.doc_id, r.taken, r.first_slot) for r in other)
+    assert sorted((r.doc_id, r.taken) for r in rows) != sorted((r.doc_id, r.taken) for r in other)
+
+
+def test_mixed_documents_come_in_the_order_of_slots(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("times", F.lit(1)).withColumn("_id", F.lit("x")).withColumn("row", F.lit(2)).withColumn("slot", F.lit(3))
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    ids = [r.doc_id for r in got.collect()]
+    rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert Counter(ids) == Counter({i: int(r.taken / r.size + 0.5) for i, r in rows.items() if r.taken and int(r.taken / r.size + 0.5)})
+    firsts = [rows[i].first_slot for n, i in enumerate(ids) if i not in ids[:n]]
+    assert firsts == sorted(firsts)
+
+
 def test_blocks_of_items_add_up(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = spark_rows(decontaminate.decontaminate(docs, bench))
@@ -259,14 +344,25 @@ def test_files_hold_what_the_library_encodes(spark):
         start += len(ids)
 
 
-def test_encoder_on_odd_characters():
-    e, rnd = tokenfiles.Encoder(tokenfiles.default_tokenizer()), random.Random(3)
-    pieces = [*"abcXYZ  ..,,'!éÉßñ~7½ªµ$ \n\t", "'s", "it's ", "<|endoftext|>", "Σ", "İ", "é", "ﬁ", "中", "．", "\x1c", "\xa0", "DON'T "]
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_on_odd_characters(name):
+    import public_tokenizers
+
+    e, rnd = tokenfiles.Encoder(public_tokenizers.path(name)), random.Random(3)
+    pieces = [*"abcXYZ  ..,,'!éÉßñ~7½ªµ$ \n\t", "'s", "it's ", "word, ", "été. ", "word.", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "Σ", "İ", "é", "ﬁ", "中", "．", "\x1c", "\xa0", "DON'T "]
     texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
     for text, packed, ids in zip(texts, e.encode(texts), e._ids(texts), strict=True):
         assert np.frombuffer(packed, "<u2").tolist() == ids, ascii(text)
 
 
+def test_a_full_memory_loses_nothing(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "MEMO", 50)
+    e, rnd = tokenfiles.Encoder(tokenfiles.default_tokenizer()), random.Random(4)
+    texts = [" ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 5))) + rnd.choice(["", ",", "."]) for _ in range(rnd.randint(0, 200))) for _ in range(100)]
+    assert [np.frombuffer(p, "<u2").tolist() for p in e.encode(texts)] == e._ids(texts)
+    assert len(e.memo) <= 50 + 2 * 1000
+
+
 # Media
 
 
@@ -377,7 +473,8 @@ def test_families_in_a_large_group_are_found_by_their_rare_shingles(spark, monke
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = _brute(rows)
     monkeypatch.setattr(neardup, "CELL", 40)
-    for postings in (1024, 3):
+    for stripes, postings in ((8, 1024), (0, 1024), (0, 3)):
+        monkeypatch.setattr(neardup, "GRID_STRIPES", stripes)
         monkeypatch.setattr(neardup, "POSTINGS", postings)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == want
 
