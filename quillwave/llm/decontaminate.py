@@ -1,14 +1,16 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with whole documents.
 
-A window is `WINDOW` consecutive words of an item (an item of fewer words is one window).  A document contains a
-window only if it contains every word shingle of it, so of each window's shingles, ordered by their frequency in
-all documents, the rarest one alone is the necessary prefix.  Documents are joined on these prefix shingles; the
-place of the shingle in its window and the document's length bound where the window can lie; what is left is
-verified word by word over the whole window.
-
-Two scans of the texts, no shuffle of documents: the first counts the items' shingles over all documents (summed
-in each batch, then by Spark), the second joins.  Items are sent to the tasks in blocks of `BLOCK_WORDS` words at
-most (or one item), as a broadcast of that bounded size; more items make more blocks, never a larger one.
+A window is `WINDOW` consecutive words of an item (an item of fewer words is one window).  Equal windows are one, with
+a list of its items.  A document contains a window only if it contains every word shingle of it, so of each window's
+shingles, ordered by their frequency in all documents, the rarest one alone is the necessary prefix.  Documents are
+joined on these prefix shingles; the place of the shingle in its window and the document's length bound where the
+window can lie; what is left is verified word by word over the whole window.
+
+Two scans of the texts, whatever the benchmark's size, and no shuffle of texts: the first counts the items' shingles
+over all documents, the second finds the places of prefix shingles with the words around them, which Spark joins with
+the windows.  Both scans know the shingles by a bitmap of `BITMAP_BITS` bits, the only thing that is broadcast by hand:
+what passes it without need is dropped by the join.  Hits, ranges of words and lists of items are joined and
+aggregated by Spark too.
 
 Null texts have no words; such documents and empty ones are returned with zero counts.  Items without words
 contribute nothing; an item with a null id counts under the empty string, and items that share an id are one item.
@@ -17,23 +19,24 @@ Repeated documents give a row each.  Extra columns are ignored.  `spans` gives t
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
-from quillwave.llm.common import stash, without
+from quillwave.llm.common import TEXT_KEY, stash, text_key, without
 
 WINDOW = 13
 SHINGLE = 4
-BLOCK_WORDS = 200_000
 #: A document is contaminated if 20 times its hit words are at least its words.
 SHARE = 20
-_BITS = 20
+BITMAP_BITS = 24
+#: Bits that Spark's bitmap aggregate holds in one row.
+_BUCKET = 15
+#: Rows that go out of a task at a time.
+ROWS = 4096
 
 
 def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,216 +47,165 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tk.span_hashes(low, starts, ends), np.searchsorted(rows, np.arange(len(offsets)))
 
 
-@dataclass
-class Members:
-    """A sorted set of 64-bit hashes behind a bitmap of their leading bits."""
-
-    sorted: np.ndarray
-    bitmap: np.ndarray
-
-    @classmethod
-    def of(cls, hashes: np.ndarray) -> Members:
-        bitmap = np.zeros(1 << _BITS, dtype=bool)
-        bitmap[hashes >> np.uint64(64 - _BITS)] = True
-        return cls(np.unique(hashes), bitmap)
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the hashes that are members, and each one's place in `sorted`."""
-        maybe = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
-        if not len(maybe):
-            return maybe, maybe
-        place = np.searchsorted(self.sorted, hashes[maybe])
-        place[place == len(self.sorted)] = 0
-        is_in = self.sorted[place] == hashes[maybe]
-        return maybe[is_in], place[is_in]
-
-
-@dataclass
-class Block:
-    """Items as one run of word hashes; windows by their first word and length; each window's items."""
-
-    ids: list[str]
-    words: np.ndarray
-    start: np.ndarray
-    length: np.ndarray
-    item: np.ndarray
-
-    def shingle_size(self) -> np.ndarray:
-        return np.minimum(self.length, SHINGLE)
-
-    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, place in the window, hash) of all shingles of the windows whose shingle size this is."""
-        windows = np.flatnonzero(self.shingle_size() == size)
-        hashes, _ = tk.shingle_hashes(self.words, np.zeros(len(self.words), np.int64), size)
-        each = self.length[windows] - size + 1
-        window = np.repeat(windows, each)
-        place = np.arange(len(window)) - np.repeat(np.cumsum(each) - each, each)
-        return window, place, hashes[self.start[window] + place]
-
-
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Blocks of items, in the order in which the table is read."""
-    ids, words, size = [], [], 0
-    for item, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit(""))).toLocalIterator():
-        own, _ = text_words(pa.array([text]))
-        if ids and size + len(own) > BLOCK_WORDS:
-            yield _block(ids, words)
-            ids, words, size = [], [], 0
-        if len(own):
-            ids.append(item)
-            words.append(own)
-            size += len(own)
-    if ids:
-        yield _block(ids, words)
-
-
-def _block(ids: list[str], words: list[np.ndarray]) -> Block:
-    base = np.cumsum([0, *map(len, words)])
-    start, length, item = [], [], []
-    for i, own in enumerate(words):
-        n = max(1, len(own) - WINDOW + 1)
-        start.append(base[i] + np.arange(n))
-        length.append(np.full(n, min(WINDOW, len(own))))
-        item.append(np.full(n, i))
-    return Block(ids, np.concatenate(words), np.concatenate(start), np.concatenate(length), np.concatenate(item))
-
-
-def _tally(members: dict[int, Members]):
+def _longs(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64))
+
+
+def _runs(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Lists of words[first : first + size]."""
+    ends = np.cumsum(size)
+    at = np.repeat(first, size) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _longs(words[at]))
+
+
+def _item_windows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words, _ = text_words(batch.column(1).slice(i, 1))
+            size = min(WINDOW, len(words))
+            for lo in range(0, len(words) - size + 1 if size else 0, ROWS):
+                first = np.arange(lo, min(lo + ROWS, len(words) - size + 1))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(first)), _runs(words, first, np.full(len(first), size))], names=["item", "words"])
+
+
+def _shingles(batches):
+    for batch in batches:
+        lists = batch.column(1)
+        cut = np.asarray(lists.offsets)
+        words, cut = np.asarray(lists.values).view(np.uint64)[cut[0] : cut[-1]], cut - cut[0]
+        rows, wid = np.repeat(np.arange(len(cut) - 1), np.diff(cut)), batch.column(0).to_numpy()
+        for size in range(1, SHINGLE + 1):
+            hashes, first = tk.shingle_hashes(words, rows, size)
+            own = np.minimum(np.diff(cut), SHINGLE)[rows[first]] == size
+            row, place = rows[first][own], (first - cut[rows[first]])[own]
+            yield pa.RecordBatch.from_arrays([pa.array(wid[row]), pa.array(np.full(len(row), size, np.int32)), pa.array(place.astype(np.int32)), _longs(hashes[own])], names=["wid", "size", "place", "hash"])
+
+
+class Bitmap:
+    """Which leading bits of hashes occur."""
+
+    def __init__(self, hashes: DataFrame):
+        self.bits = BITMAP_BITS
+        lead = F.shiftrightunsigned("hash", 64 - self.bits)
+        rows = hashes.select(F.shiftright(lead, _BUCKET).alias("bucket"), lead.bitwiseAND(F.lit((1 << _BUCKET) - 1)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        self.packed = np.zeros(1 << (self.bits - 3), np.uint8)
+        for r in rows.toLocalIterator():  # as many as the bitmap has buckets at most
+            at = r.bucket << (_BUCKET - 3)
+            self.packed[at : at + (1 << (_BUCKET - 3))] = np.frombuffer(r.bits, np.uint8)
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        """Indexes of the hashes that may be among those given."""
+        lead = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        return np.flatnonzero((self.packed[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1)
+
+
+def _tally(shared, sizes: list[int]):
     def run(batches):
+        bitmap = shared.value
         for batch in batches:
-            total = {size: np.zeros(len(m.sorted), np.int64) for size, m in members.items()}
             for lo, hi in tk.slices(batch.column(0)):
                 words, cut = text_words(batch.column(0).slice(lo, hi - lo))
                 rows = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-                for size, m in members.items():
-                    _, place = m.find(tk.shingle_hashes(words, rows, size)[0])
-                    total[size] += np.bincount(place, minlength=len(m.sorted))
-            for size, count in total.items():
-                some = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(some.astype(np.int32)), pa.array(count[some])], names=["size", "place", "n"])
+                for size in sizes:
+                    hashes, _ = tk.shingle_hashes(words, rows, size)
+                    known, count = np.unique(hashes[bitmap.maybe(hashes)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([_longs(known), pa.array(count)], names=["hash", "n"])
 
     return run
 
 
-def _prefixes(documents: DataFrame, block: Block) -> dict[int, tuple[Members, np.ndarray, np.ndarray, np.ndarray]]:
-    """By shingle size: the prefix shingles, and for each, from `cut` on, the windows with the shingle's place in them."""
-    by_size = {int(size): block.shingles(int(size)) for size in np.unique(block.shingle_size())}
-    members = {size: Members.of(h) for size, (_, _, h) in by_size.items()}
-    count = {size: np.zeros(len(m.sorted), np.int64) for size, m in members.items()}
-    for size, place, n in documents.select("text").mapInArrow(_tally(members), "size int, place int, n long").groupBy("size", "place").agg(F.sum("n")).collect():
-        count[size][place] = n
-    out = {}
-    for size, (window, place, hashes) in by_size.items():
-        known = np.searchsorted(members[size].sorted, hashes)
-        order = np.lexsort((place, known, count[size][known], window))
-        first = order[np.concatenate([[True], window[order][1:] != window[order][:-1]])]
-        # A shingle that no document has rules its windows out.
-        first = first[count[size][known[first]] > 0]
-        chosen = Members.of(hashes[first]) if len(first) else None
-        if chosen:
-            at = np.searchsorted(chosen.sorted, hashes[first])
-            by_shingle = np.argsort(at, kind="stable")
-            out[size] = chosen, np.searchsorted(at[by_shingle], np.arange(len(chosen.sorted) + 1)), window[first][by_shingle], place[first][by_shingle]
-    return out
-
-
-def _occurrences(words: np.ndarray, cut: np.ndarray, block: Block, prefixes) -> tuple[np.ndarray, np.ndarray]:
-    """First word and window of each occurrence of a window in the texts."""
-    rows = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    starts, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for size, (members, lists, window_of, place_of) in prefixes.items():
-        hashes, first = tk.shingle_hashes(words, rows, size)
-        at, shingle = members.find(hashes)
-        n = lists[shingle + 1] - lists[shingle]
-        entry = np.repeat(lists[shingle], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        word, window = np.repeat(first[at], n), window_of[entry]
-        start, length = word - place_of[entry], block.length[window]
-        row = rows[word]
-        fits = (start >= cut[row]) & (start + length <= cut[row + 1])
-        start, window, length = start[fits], window[fits], length[fits]
-        for size_ in np.unique(length):
-            some = np.flatnonzero(length == size_)
-            for lo in range(0, len(some), 1 << 16):
-                part = some[lo : lo + (1 << 16)]
-                steps = np.arange(size_)
-                same = (words[start[part][:, None] + steps] == block.words[block.start[window[part]][:, None] + steps]).all(axis=1)
-                starts.append(start[part][same])
-                windows.append(window[part][same])
-    return np.concatenate(starts), np.concatenate(windows)
-
-
-def _search(shared):
-    """(doc_id, text, n_words, hits, items) with the block's occurrences added to hits (word ranges) and items."""
+_FOUND = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("n_words", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("left", pa.int64()), ("around", pa.list_(pa.int64()))])
+
+
+def _search(shared, sizes: list[int]):
+    """A row for each document, and one for each place of a prefix shingle: its hash and word, and the words around from `left` on."""
 
     def run(batches):
-        block, prefixes = shared.value
+        bitmap, rid = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi in tk.slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 words, cut = text_words(part.column(1))
-                start, window = _occurrences(words, cut, block, prefixes)
-                hits, items = part.column(3).to_pylist(), part.column(4).to_pylist()
-                row = np.searchsorted(cut, start, side="right") - 1
-                order = np.lexsort((start, row))
-                for r in np.unique(row):
-                    own = order[np.searchsorted(row[order], r) : np.searchsorted(row[order], r, side="right")]
-                    first = start[own] - cut[r]
-                    hits[r] = _merged(hits[r] + [x for pair in zip(first.tolist(), (first + block.length[window[own]]).tolist(), strict=True) for x in pair])
-                    items[r] = sorted(set(items[r]) | {block.ids[i] for i in np.unique(block.item[window[own]])})
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(cut)), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hits", "items"])
+                rows, ids = np.repeat(np.arange(hi - lo), np.diff(cut)), np.arange(rid, rid + hi - lo)
+                rid += hi - lo
+                yield _batch({"rid": pa.array(ids), "doc_id": part.column(0), TEXT_KEY: part.column(2), "n_words": pa.array(np.diff(cut))})
+                for size in sizes:
+                    hashes, first = tk.shingle_hashes(words, rows, size)
+                    found = bitmap.maybe(hashes)
+                    for some in np.split(found, range(ROWS, len(found), ROWS)):
+                        word = first[some]
+                        left = np.maximum(word - (WINDOW - 1), cut[rows[word]])
+                        right = np.minimum(word + WINDOW, cut[rows[word] + 1])
+                        begin = cut[rows[word]]
+                        yield _batch({"rid": pa.array(ids[rows[word]]), "hash": _longs(hashes[some]), "at": pa.array(word - begin), "left": pa.array(left - begin), "around": _runs(words, left, right - left)})
 
     return run
 
 
-def _merged(flat: list[int]) -> list[int]:
-    """Word ranges [start, end, start, end, ...] with overlapping and touching ones joined."""
-    out: list[int] = []
-    for start, end in sorted(zip(flat[::2], flat[1::2], strict=True)):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], end)
-        else:
-            out += [start, end]
-    return out
-
-
-def _finish(batches):
-    for batch in batches:
-        hits, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        n_hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
-        spans = [",".join(f"{a}:{b}" for a, b in zip(h[::2], h[1::2], strict=True)) for h in hits]
-        n_words = batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
-            pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
-            pa.array([h > 0 and SHARE * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()), pa.array(spans, pa.string()),
-        ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-
-
-def _only_count(batches):
-    for batch in batches:
-        for lo, hi in tk.slices(batch.column(1)):
-            part = batch.slice(lo, hi - lo)
-            none = [[]] * (hi - lo)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(text_words(part.column(1))[1])), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hits", "items"])
+def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    n = len(columns["rid"])
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _FOUND], schema=_FOUND)
+
+
+def _item_tables(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows (wid, words), items (wid, item) and shingles (wid, size, place, hash), all written."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
+    raw = stash(items.mapInArrow(_item_windows, "item string, words array<long>"), "item-windows")
+    windows = stash(raw.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), "words"), "windows")
+    of_item = stash(raw.join(windows, "words").select("wid", "item").distinct(), "window-items")
+    return windows, of_item, stash(windows.mapInArrow(_shingles, "wid long, size int, place int, hash long"), "window-shingles")
+
+
+def _prefixes(documents: DataFrame, windows: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(hash, place, wid, words): of each window whose shingles all occur, the rarest one."""
+    shared = documents.sparkSession.sparkContext.broadcast(Bitmap(shingles))
+    counts = documents.select("text").mapInArrow(_tally(shared, sizes), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = shingles.join(counts, "hash", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "place")).alias("rarest"))
+    return stash(counted.where("rarest.n > 0").join(windows, "wid").select("rarest.hash", "rarest.place", "wid", "words"), "prefixes")
+
+
+def _judged(documents: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    windows, items, shingles = _item_tables(benchmark, id_col, text_col)
+    sizes = sorted(r.size for r in shingles.select("size").distinct().collect())
+    prefixes = _prefixes(documents, windows, shingles, sizes)
+    shared = documents.sparkSession.sparkContext.broadcast(Bitmap(prefixes))
+    texts = documents.select("doc_id", "text", text_key(F.col("text")).alias(TEXT_KEY))
+    schema = f"rid long, doc_id long, {TEXT_KEY} long, n_words long, hash long, at long, left long, around array<long>"
+    found = stash(texts.mapInArrow(_search(shared, sizes), schema), "found")
+    # Where the window begins in the words around; before them it begins before the document.
+    into = (F.col("at") - F.col("left") - F.col("place")).cast("int")
+    met = found.where("hash IS NOT NULL").select("rid", "hash", "at", "left", "around").join(prefixes, "hash").where(into >= 0)
+    met = met.where(F.slice("around", into + 1, F.size("words")) == F.col("words"))
+    hits = stash(met.select("rid", "wid", (F.col("at") - F.col("place")).alias("lo"), (F.col("at") - F.col("place") + F.size("words")).alias("hi")), "hits")
+    ranges = _merged(hits.select("rid", "lo", "hi").distinct()).groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    named = hits.select("rid", "wid").distinct().join(items, "wid").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    rows = found.where("hash IS NULL").select("rid", "doc_id", TEXT_KEY, "n_words").join(ranges, "rid", "left").join(named, "rid", "left")
+    none = F.lit(0).cast("long")
+    spans = F.array_join(F.transform("ranges", lambda r: F.concat_ws(":", r["lo"].cast("string"), r["hi"].cast("string"))), ",")
+    n_hit: Column = F.coalesce("n_hit", none)
+    return rows.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items").cast("long"), none).alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce(spans, F.lit("")).alias("spans"), TEXT_KEY,
+    )
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """Ranges (lo, hi) of each rid with overlapping and touching ones joined."""
+    by_place = Window.partitionBy("rid").orderBy("lo", "hi")
+    before = F.max("hi").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = ranges.withColumn("fresh", F.when(F.col("lo") <= before, 0).otherwise(1))
+    return fresh.withColumn("run", F.sum("fresh").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rid", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans of every row of `documents`."""
-    state = "doc_id long, text string, n_words long, hits array<long>, items array<string>"
-    found = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    done = 0
-    for block in blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast((block, _prefixes(documents, block)))
-        found = found.mapInArrow(_search(shared), state)
-        done += 1
-    if not done:
-        found = found.mapInArrow(_only_count, state)
-    return found.select("doc_id", "n_words", "hits", "items").mapInArrow(_finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    return _judged(documents, benchmark).drop(TEXT_KEY)
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `documents`, all columns, that aren't contaminated."""
-    return without(documents, stash(decontaminate(documents, benchmark).where("contaminated").select("doc_id"), "contaminated"))
+    return without(documents, stash(_judged(documents, benchmark).where("contaminated").select("doc_id", TEXT_KEY), "contaminated"))
 
 
 ORACLE = r"""
