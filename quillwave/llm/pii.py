@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ _BRACKET_DOT = rf"[ \t]{{0,2}}{_OPEN}[ \t]?(?:dot|\.|punkt|point|punto)[ \t]?{_C
 #: A dot said between digits.
 _SAID_DOT = rf"(?:{_BRACKET_DOT}|[ \t,\-]{{1,2}}(?:dot|punkt|point|punto)[ \t,\-]{{1,2}})"
 #: Seven or more spelled or written digits in a row, with "plus" before them or not.
-_SPELLED = re.compile(rf"(?i)(?:\bplus{_GAP})?\b(?:{_NAME})\b(?:(?:{_SAID_DOT}|{_GAP})(?:(?:{_NAME})\b|[0-9]{{1,4}}\b)){{6,40}}")
+_SPELLED = re.compile(rf"(?i)(?:\bplus{_GAP})?\b(?:{_NAME})\b(?:(?:{_SAID_DOT}|{_GAP})(?:(?:{_NAME})\b|[0-9]{{1,4}}\b)){{6,}}+")
 _ATOM = re.compile(rf"(?i)plus|{_OPEN}[ \t]?\.[ \t]?{_CLOSE}|punkt|punto|point|dot|(?:{_NAME})|[0-9]")
 _OCTET = rf"(?:(?:{_NAME})\b(?:[ \t,\-]{{1,2}}(?:{_NAME})\b){{0,2}}|[0-9]{{1,3}}\b)"
 #: Four numbers of up to three spelled or written digits between said dots; between written ones a plain dot serves too.
@@ -68,15 +69,14 @@ _IP_ATOM = re.compile(rf"{_ATOM.pattern}|\.")
 _SPELLED_HINT = re.compile(rf"\b(?:{_NAME})\b(?:{_SAID_DOT}|{_GAP})(?:(?:{_NAME})\b|[0-9])|[0-9]{_SAID_DOT}")
 _WORD_DOT = r"[ \t]{1,2}(?:dot|punkt|punto)[ \t]{1,2}"
 _ANY_DOT = rf"(?:\.|{_BRACKET_DOT}|{_WORD_DOT})"
-_LABEL = r"[A-Za-z0-9-]{1,63}"
-#: local at domain dot name; a bare "at" counts only together with disguised dots.
-_DISGUISED = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{_ANY_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}})"
-    rf"(?:(?:{_BRACKET_AT}|@){_LABEL}(?:{_ANY_DOT}{_LABEL}){{1,6}}|[ \t]{{1,2}}at[ \t]{{1,2}}{_LABEL}(?:(?:{_BRACKET_DOT}|{_WORD_DOT}){_LABEL}){{1,6}})"
-)
-_AT_PART = re.compile(rf"(?i){_BRACKET_AT}|@|[ \t]{{1,2}}at[ \t]{{1,2}}")
+_LABEL = r"[A-Za-z0-9_%+-]"
+#: Labels with dots of any kind between them, as many as there are.
+_CHAIN = re.compile(rf"(?i){_LABEL}++(?:{_ANY_DOT}{_LABEL}++)*+")
+_AT_PART = re.compile(rf"(?i){_BRACKET_AT}|@")
+_BARE = re.compile(r"[ \t]{1,2}")
 _NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9]){_BRACKET_DOT}(?=[0-9])")
-_DOT_PART = re.compile(rf"(?i){_BRACKET_DOT}|{_WORD_DOT}")
+_DOT_PART = re.compile(rf"(?i){_BRACKET_DOT}|{_WORD_DOT}|\.")
+_NOT_IN_DOMAIN = re.compile("[_%+]")
 _DISGUISE_HINT = re.compile(r"(?i)[\[({<][ \t]?(?:at|@|ät|arobase|arroba|dot|\.|punkt|point|punto)[ \t]?[\])}>]|[ \t](?:dot|punkt|punto)[ \t]")
 
 
@@ -116,6 +116,17 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class _Spans:
+    """Spans in order that don't overlap."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+
+    def meet(self, lo: int, hi: int) -> bool:
+        i = bisect_left(self.starts, hi) - 1
+        return i >= 0 and self.ends[i] > lo
+
+
 class Mapped:
     """A text of which each character knows its stretch of the source."""
 
@@ -164,7 +175,8 @@ def _by_character(text: str) -> Mapped:
 
 def _spelled_digits(copy: Mapped) -> Mapped:
     found = [(*m.span(), _IP_ATOM) for m in _SPELLED_IP.finditer(copy.text) if not _PLUS.search(copy.text, max(0, m.start() - 8), m.start())]
-    found += [(*m.span(), _ATOM) for m in _SPELLED.finditer(copy.text) if not any(lo < m.end() and m.start() < hi for lo, hi, _ in found)]
+    numbers = _Spans([f[:2] for f in found])
+    found += [(*m.span(), _ATOM) for m in _SPELLED.finditer(copy.text) if not numbers.meet(*m.span())]
     edits = []
     for lo, hi, atom in sorted(found, key=lambda f: f[0]):
         atoms = list(atom.finditer(copy.text, lo, hi))
@@ -177,17 +189,46 @@ def _spelled_digits(copy: Mapped) -> Mapped:
     return copy.rewrite(edits) if edits else copy
 
 
+def _domain(text: str, lo: int, hi: int, bare: bool) -> tuple[int, int]:
+    """Where a chain's domain ends, label by label, and how many labels it has; after a bare "at" a plain dot ends it."""
+    end, labels, at = lo, 0, lo
+    for dot in [*_DOT_PART.finditer(text, lo, hi), None]:
+        upto = dot.start() if dot else hi
+        if odd := _NOT_IN_DOMAIN.search(text, at, upto):
+            return (odd.start(), labels + 1) if odd.start() > at else (end, labels)
+        end, labels = upto, labels + 1
+        if dot is None or (bare and dot[0] == "."):
+            break
+        at = dot.end()
+    return end, labels
+
+
 def _at_dot(copy: Mapped) -> Mapped:
     edits = [(*m.span(), ".") for m in _NUMBER_DOT.finditer(copy.text)]
     copy, edits = (copy.rewrite(edits) if edits else copy), []
-    for m in _DISGUISED.finditer(copy.text):
-        cut = m.end("local")
-        if _AT_PART.match(m.string, cut)[0].strip().lower() == "at" and re.split(r"[^A-Za-z0-9]+", m[0])[-1].lower() not in TOP_LEVEL:
+    text, done = copy.text, 0
+    chains = [m.span() for m in _CHAIN.finditer(text)]
+    begins = {lo: (lo, hi) for lo, hi in chains}
+    for (start, cut), (lo, hi) in zip(chains, chains[1:]):
+        if start < done:
+            continue
+        bare = False
+        if at := _AT_PART.match(text, cut):
+            at_end = at.end()
+        elif text[lo:hi].lower() == "at" and _BARE.fullmatch(text, cut, lo) and (gap := _BARE.match(text, hi)):
+            bare, at_end = True, gap.end()
+        else:
+            continue
+        if at_end not in begins:
+            continue
+        lo, hi = begins[at_end]
+        end, labels = _domain(text, lo, hi, bare)
+        if labels < 2 or (bare and re.split(r"[^A-Za-z0-9]+", text[lo:end])[-1].lower() not in TOP_LEVEL):
             continue
-        edits += [(*d.span(), ".") for d in _DOT_PART.finditer(copy.text, m.start(), cut)]
-        at = _AT_PART.match(copy.text, cut)
-        edits.append((*at.span(), "@"))
-        edits += [(*d.span(), ".") for d in _DOT_PART.finditer(copy.text, at.end(), m.end())]
+        edits += [(*d.span(), ".") for d in _DOT_PART.finditer(text, start, cut)]
+        edits.append((cut, at_end, "@"))
+        edits += [(*d.span(), ".") for d in _DOT_PART.finditer(text, lo, end)]
+        done = end
     return copy.rewrite(edits) if edits else copy
 
 
@@ -196,12 +237,12 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     copy = _at_dot(_spelled_digits(_by_character(text)))
     if copy.text == text:
         return []
-    out, taken = [], {kind: [(s, e) for k, s, e in plain if k == kind] for kind in KINDS}
+    out, taken, done = [], {kind: _Spans([(s, e) for k, s, e in plain if k == kind]) for kind in KINDS}, dict.fromkeys(KINDS, 0)
     for kind, start, end in plain_spans(copy.text):
         span = copy.starts[start], copy.ends[end - 1]
-        if text[span[0] : span[1]] != copy.text[start:end] and not any(s < span[1] and span[0] < e for s, e in taken[kind]):
+        if text[span[0] : span[1]] != copy.text[start:end] and span[0] >= done[kind] and not taken[kind].meet(*span):
             out.append((kind, *span))
-            taken[kind].append(span)
+            done[kind] = span[1]
     return out
 
 
@@ -242,9 +283,10 @@ def find_pii(documents: DataFrame) -> DataFrame:
 
 
 def pii_digest(documents: DataFrame) -> DataFrame:
-    """Counts and digest of the plain spans, all spans as text, and the number of disguised ones."""
+    """Counts and digest of the plain spans, all spans as text, and the numbers of all and of disguised ones."""
     found = find_pii(documents)
     plain = F.filter("spans", lambda s: ~s["disguised"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: (s["kind"] == kind) & ~s["disguised"])).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written(plain), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised"))
+    spans_in_all = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *[count(k) for k in KINDS], spans_in_all, F.sha2(written(plain), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised"))
