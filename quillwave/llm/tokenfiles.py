@@ -38,7 +38,8 @@ SECTION_IDS = 1 << 19
 #: Pieces in either half of a worker's memory; a full young half becomes the old one, from which what is met again comes back.
 MEMO = 120_000
 ENCODE_TOGETHER = 512
-READ_TASKS = 4096
+#: Sections that a reading task decodes, one after another.
+SECTIONS_A_TASK = 8
 _SEPARATOR = "~"
 _MARKS = b",", b"."
 #: Latin characters whose lower case and composition are the same in any library.
@@ -253,7 +254,7 @@ def _read(folder: str):
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and file of each document, from the files."""
     # The manifest is tiny but each of its rows is a section to decode, so the number of tasks is asked for.
-    spread = manifest.select("file", "at", "bytes", "start").repartition(max(1, min(READ_TASKS, manifest.count())), "file", "at")
+    spread = manifest.select("file", "at", "bytes", "start").repartition(-(-manifest.count() // SECTIONS_A_TASK) or 1)
     return spread.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
