@@ -29,22 +29,61 @@ def band_cells(n: int, m: int, band_ratio: float) -> list[list[int]]:
     return rows
 
 
+#: Cells of the recurrence's two rows that are held at a time.
+TILE = 1 << 21
+
+
 def block_distances(left: np.ndarray, right: np.ndarray, band_ratio: float = 0.1, metric: Metric = euclidean) -> np.ndarray:
     """Normalised path costs of all pairs: left (a, n, w) float32, right (b, m, w) float32, result (a, b) float64.
 
-    Empty sequences and pairs whose end the band does not reach are at infinite distance.
+    Empty sequences and pairs whose end the band does not reach are at infinite distance.  Pairs are worked on in tiles,
+    so memory follows `TILE`, whatever the lengths.
     """
     (a, n, _), (b, m, _) = left.shape, right.shape
+    out = np.full((a, b), np.inf)
     if not n or not m:
-        return np.full((a, b), np.inf)
-    before = np.full((m + 1, a, b), np.inf)
-    before[0] = 0.0  # the corner; later rows start at infinity
-    for i, columns in enumerate(band_cells(n, m, band_ratio)):
-        now = np.full((m + 1, a, b), np.inf)
+        return out
+    cells = band_cells(n, m, band_ratio)
+    tile_b = min(b, max(1, TILE // (m + 1)))
+    tile_a = min(a, max(1, TILE // ((m + 1) * tile_b)))
+    for x in range(0, a, tile_a):
+        for y in range(0, b, tile_b):
+            out[x : x + tile_a, y : y + tile_b] = _tile(left[x : x + tile_a], right[y : y + tile_b], cells, metric)
+    return out
+
+
+def _costs(left: np.ndarray, right: np.ndarray, metric: Metric) -> Callable[[int, int], np.ndarray]:
+    """The cost of frame i against frame j for all pairs; the array is reused from call to call."""
+    if metric is not euclidean:
+        return lambda i, j: metric(left[:, None, i], right[None, :, j])
+    # Frame by frame and value by value, so that every step runs along whole rows of pairs.
+    by_value, against = np.ascontiguousarray(left.transpose(1, 2, 0)), np.ascontiguousarray(right.transpose(1, 2, 0))
+    shape = len(left), len(right)
+    narrow, wide, total = np.empty(shape, np.float32), np.empty(shape), np.empty(shape)
+
+    def cost(i: int, j: int) -> np.ndarray:
+        total.fill(0)
+        for x, y in zip(by_value[i], against[j], strict=True):
+            np.subtract(x[:, None], y[None, :], out=narrow)
+            np.multiply(narrow, narrow, out=wide, dtype=np.float64)
+            np.add(total, wide, out=total)
+        return np.sqrt(total, out=total)
+
+    return cost
+
+
+def _tile(left: np.ndarray, right: np.ndarray, cells: list[list[int]], metric: Metric) -> np.ndarray:
+    n, m = len(cells), right.shape[1]
+    before, now = (np.full((m + 1, len(left), len(right)), np.inf) for _ in range(2))
+    before[0], used = 0.0, (0, 1)  # the corner; later rows start at infinity
+    cost, least = _costs(left, right, metric), np.empty((len(left), len(right)))
+    for i, columns in enumerate(cells):
         for j in columns:
-            cost = metric(left[:, None, i], right[None, :, j])
-            now[j + 1] = cost + np.minimum(np.minimum(before[j + 1], now[j]), before[j])
-        before = now
+            np.minimum(before[j + 1], before[j], out=least)
+            np.minimum(least, now[j], out=least)
+            np.add(least, cost(i, j), out=now[j + 1])
+        before[used[0] : used[1]] = np.inf
+        before, now, used = now, before, (columns[0] + 1, columns[-1] + 2) if columns else (0, 0)
     return before[m] / (n + m)
 
 

@@ -1,14 +1,18 @@
-"""Query by template distances: blocks of sequences meet by width, the kernel runs on whole blocks.
+"""Query by template distances: blocks of sequences meet in a grid, the kernel runs on whole blocks.
 
 `queries`: (query_id, features); `templates`: (template_id, command_id, created_at, features), features being
-array<array<float>>.  Both sides are packed into blocks of up to `BLOCK` sequences of one width and the blocks are
-equi-joined on the width, so pairs of other widths never meet and what moves is (queries/BLOCK) x (templates/BLOCK)
-pairs of blocks, not pairs of sequences.  Spark broadcasts the smaller packed side while it is under its limit; beyond
-that both are shuffled and adaptive execution splits the widths that many blocks share.
+array<array<float>>.  A hash of its id gives each query a row and each template a column of a square grid.  Where they
+lie, rows are packed into blocks of up to `BLOCK` sequences of one width; a block of queries is sent to every cell of
+its row, one of templates to every cell of its column.  So each pair meets once, pairs of other widths never do, one
+common width is spread over the whole grid, and a block is copied as often as the grid is wide (the root of the number
+of tasks), not as often as the other side has blocks.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,73 +21,110 @@ from pyspark.sql import functions as F
 from quillwave.functions.dtw import Metric, block_distances, euclidean
 
 BLOCK = 256
+#: Frames in a block at most, but for a single longer sequence.
+BLOCK_FRAMES = 1 << 16
+CELLS_A_CORE = 2
 
 
-def _packed(df: DataFrame, key: str, columns: list[str], prefix: str) -> DataFrame:
-    """(width, block, items): lists of up to about BLOCK rows of one width."""
-    sized = df.where(F.size("features") > 0).withColumn("width", F.size(F.element_at("features", 1)))
-    n = max(1, -(-sized.count() // BLOCK))
-    blocked = sized.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)))
-    return blocked.groupBy("width", "block").agg(F.collect_list(F.struct(*columns, "features")).alias(prefix)).select("width", prefix)
+def _blocks(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array | int | str | bytes]]:
+    """Blocks of one width, part and place in the grid, ordered by length; the last column is the features."""
+    names = batch.schema.names[3:-1]
+    frames = batch.column(batch.num_columns - 1)
+    lengths = frames.value_lengths().to_numpy(zero_copy_only=False)
+    width, place, part = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).dictionary_encode()
+    code = part.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((lengths, place, code, width))
+    flat = frames.take(pa.array(order)).flatten().flatten().to_numpy(zero_copy_only=False).astype("<f4")
+    width, place, code, lengths = width[order], place[order], code[order], lengths[order]
+    at = np.concatenate([[0], np.cumsum(lengths * width)])
+    new = np.flatnonzero((width[1:] != width[:-1]) | (place[1:] != place[:-1]) | (code[1:] != code[:-1])) + 1
+    for lo, hi in zip([0, *new], [*new, len(order)], strict=True):
+        while lo < hi:
+            total = np.cumsum(lengths[lo : min(hi, lo + BLOCK)])
+            upto = lo + max(1, int(np.searchsorted(total, BLOCK_FRAMES, side="right")))
+            rows = pa.array(order[lo:upto])
+            yield {"width": int(width[lo]), "place": int(place[lo]), "part": part.dictionary[int(code[lo])].as_py() if code[lo] >= 0 else None, "lengths": lengths[lo:upto].tolist(), "data": flat[at[lo] : at[upto]].tobytes(), **{n: batch.column(n).take(rows).to_pylist() for n in names}}
+            lo = upto
+
+
+def _packed(df: DataFrame, key: str, columns: list[str], part: str | None, side: int) -> DataFrame:
+    """(width, place, part, lengths, data, a list of each of `columns`), a row a block."""
+    place = F.pmod(F.xxhash64(key), F.lit(side)).cast("int").alias("place")
+    within = (F.col(part).cast("string") if part else F.lit("")).alias("part")
+    rows = df.where(F.size("features") > 0).select(F.size(F.element_at("features", 1)).alias("width"), place, within, *columns, F.col("features").cast("array<array<float>>"))
+    lists = ", ".join(f"`{c}` array<{df.schema[c].dataType.simpleString()}>" for c in columns)
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                for block in _blocks(batch):
+                    yield pa.RecordBatch.from_pylist([block], schema=schema)
 
-def _stack(items: pa.StructArray) -> tuple[dict[str, list], dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The columns without features, and by frame count: row numbers and (rows, frames, width) features."""
-    names = [items.type.field(i).name for i in range(items.type.num_fields)]
-    plain = {name: items.field(i).to_pylist() for i, name in enumerate(names) if name != "features"}
-    frames = items.field(names.index("features"))
-    lengths = frames.value_lengths().to_numpy(zero_copy_only=False)
-    flat = frames.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    width = len(flat) // max(1, int(lengths.sum()))
-    starts = (np.cumsum(lengths) - lengths) * width
-    by_length = {}
-    for n in np.unique(lengths):
-        own = np.flatnonzero(lengths == n)
-        by_length[int(n)] = own, np.stack([flat[starts[i] : starts[i] + n * width].reshape(n, width) for i in own])
-    return plain, by_length
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([("width", pa.int32()), ("place", pa.int32()), ("part", pa.string()), ("lengths", pa.list_(pa.int32())), ("data", pa.binary()), *((c, pa.list_(kinds[df.schema[c].dataType.simpleString()])) for c in columns)])
+    return rows.mapInArrow(run, f"width int, place int, part string, lengths array<int>, data binary, {lists}")
 
 
-def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float = 0.1, metric: Metric = euclidean, best_only: bool = True) -> DataFrame:
+def _by_length(lengths: np.ndarray, data: bytes, width: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of one frame count, which lie together, and their (rows, frames, width) features."""
+    flat, at = np.frombuffer(data, "<f4"), 0
+    cuts = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(lengths)], strict=True):
+        n = int(lengths[lo])
+        size = (hi - lo) * n * width
+        yield slice(lo, hi), flat[at : at + size].reshape(hi - lo, n, width)
+        at += size
+
+
+def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float = 0.1, metric: Metric = euclidean, best_only: bool = True, within: str | None = None) -> DataFrame:
     """(query_id, command_id, template_id, created_at, distance float) of pairs of equal width.
 
     With `best_only` each pair of blocks gives its best template of each (query, command), by distance, age and id:
-    the partial step of `best_per_command`.  Infinite distances are kept.
+    the partial step of `best_per_command`.  Infinite distances are kept.  With `within`, a column of both sides, only
+    pairs that agree on it meet.
     """
-    q = _packed(queries, "query_id", ["query_id"], "q")
-    t = _packed(templates, "template_id", ["template_id", "command_id", "created_at"], "t")
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    side = math.isqrt(CELLS_A_CORE * cores - 1) + 1
+    q, t = _packed(queries, "query_id", ["query_id"], within, side), _packed(templates, "template_id", ["template_id", "command_id", "created_at"], within, side)
+    others = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    q = q.select("width", "part", F.col("place").alias("row"), others.alias("col"), F.col("lengths").alias("q_lengths"), F.col("data").alias("q_data"), "query_id")
+    t = t.select("width", "part", others.alias("row"), F.col("place").alias("col"), F.col("lengths").alias("t_lengths"), F.col("data").alias("t_data"), "template_id", "command_id", "created_at")
+    cell = ["width", "part", "row", "col"]
+    tasks = 2 * side * side
+    met = q.repartition(tasks, *cell).join(t.repartition(tasks, *cell), cell).select("width", "q_lengths", "q_data", "t_lengths", "t_data", "query_id", "template_id", "command_id", "created_at")
     query_type = queries.schema["query_id"].dataType.simpleString()
-    kind = pa.int64() if query_type in ("bigint", "int") else pa.string()
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                qs, q_by = _stack(batch.column(0)[row].values)
-                ts, t_by = _stack(batch.column(1)[row].values)
-                dist = np.full((len(qs["query_id"]), len(ts["template_id"])), np.inf, dtype=np.float32)
-                for rows, left in q_by.values():
-                    for cols, right in t_by.values():
-                        dist[np.ix_(rows, cols)] = block_distances(left, right, band_ratio, metric).astype(np.float32)
-                order = sorted(range(len(ts["template_id"])), key=lambda i: (ts["created_at"][i], ts["template_id"][i]))
-                dist, command = dist[:, order], np.array([ts["command_id"][i] for i in order], dtype=object)
-                if best_only:
-                    picks = []
-                    for c in sorted(set(command)):
-                        cols = np.flatnonzero(command == c)
-                        picks.append(cols[dist[:, cols].argmin(axis=1)])
-                    col = np.stack(picks, axis=1)
-                else:
-                    col = np.broadcast_to(np.arange(len(order)), dist.shape)
-                r = np.repeat(np.arange(len(dist)), col.shape[1])
-                c = col.ravel()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([qs["query_id"][i] for i in r], kind), pa.array(command[c].tolist(), pa.string()), pa.array([ts["template_id"][order[i]] for i in c], pa.string()),
-                    pa.array([ts["created_at"][order[i]] for i in c], pa.int64()), pa.array(dist[r, c], pa.float32()),
-                ], names=["query_id", "command_id", "template_id", "created_at", "distance"])
-
-    met = q.join(t, "width").select("q", "t")
+                yield _pair_of_blocks(batch.slice(row, 1), band_ratio, metric, best_only)
+
     return met.mapInArrow(run, f"query_id {query_type}, command_id string, template_id string, created_at long, distance float")
 
 
+def _pair_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, best_only: bool) -> pa.RecordBatch:
+    width, lists = row.column(0)[0].as_py(), {name: row.column(name)[0].values for name in ("query_id", "template_id", "command_id", "created_at")}
+    q_lengths, t_lengths = (np.asarray(row.column(c)[0].values) for c in ("q_lengths", "t_lengths"))
+    dist = np.empty((len(q_lengths), len(t_lengths)), dtype=np.float32)
+    for rows, left in _by_length(q_lengths, row.column("q_data")[0].as_py(), width):
+        for cols, right in _by_length(t_lengths, row.column("t_data")[0].as_py(), width):
+            dist[rows, cols] = block_distances(left, right, band_ratio, metric)
+    command = np.array(lists["command_id"].to_pylist(), dtype=object)
+    if best_only:
+        template, created = lists["template_id"].to_pylist(), lists["created_at"].to_pylist()
+        order = np.array(sorted(range(len(template)), key=lambda i: (created[i], template[i])))  # so the first of equals is the one to take
+        picks = []
+        for c in sorted(set(command)):
+            own = order[command[order] == c]
+            picks.append(own[dist[:, own].argmin(axis=1)])
+        col = np.stack(picks, axis=1)
+    else:
+        col = np.broadcast_to(np.arange(dist.shape[1]), dist.shape)
+    r, c = np.repeat(np.arange(len(dist)), col.shape[1]), col.ravel()
+    at = pa.array(c)
+    return pa.RecordBatch.from_arrays([lists["query_id"].take(pa.array(r)), *(lists[n].take(at) for n in ("command_id", "template_id", "created_at")), pa.array(dist[r, c])], names=["query_id", "command_id", "template_id", "created_at", "distance"])
+
+
 def best_per_command(pairs: DataFrame) -> DataFrame:
     """(query_id, command_id, template_id, distance): the best template of each command; ties go to age, then id."""
     best = F.min(F.struct("distance", "created_at", "template_id")).alias("b")
