@@ -1,9 +1,8 @@
-"""Shared helpers: the folder that all executors see, written tables, contract hashes, bounded samples."""
+"""Shared helpers: contract hashes, bounded samples, memory of Python workers, rejection of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
+from quillwave.shared import fresh_path, shared_dir, stash
+
+__all__ = ["BROADCAST_IDS", "TEXT_KEY", "bounded_sample", "by_slices", "fresh_path", "held_out", "id_hash", "shared_dir", "stash", "table", "text_key", "tidy", "without"]
 
 SAMPLE_SPACE = 1 << 20
 
@@ -19,30 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`, the folder that driver and executors share.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+def tidy(run):
+    """`run` for mapInArrow, giving memory back at a task's end: workers live on, and other stages need the room."""
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has no such call
+            pass
 
-
-def stash(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write `df` as a table into the shared folder and read it back; this cuts the lineage.
-
-    A lost executor then costs a reread, not a recomputation.
-    """
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return task
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
-from quillwave.llm.common import TEXT_KEY, stash, text_key, without
+from quillwave.llm.common import TEXT_KEY, stash, text_key, tidy, without
 
 WINDOW = 13
 SHINGLE = 4
@@ -150,16 +150,16 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 def _item_tables(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Windows (wid, words), items (wid, item) and shingles (wid, size, place, hash), all written."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
-    raw = stash(items.mapInArrow(_item_windows, "item string, words array<long>"), "item-windows")
+    raw = stash(items.mapInArrow(tidy(_item_windows), "item string, words array<long>"), "item-windows")
     windows = stash(raw.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), "words"), "windows")
     of_item = stash(raw.join(windows, "words").select("wid", "item").distinct(), "window-items")
-    return windows, of_item, stash(windows.mapInArrow(_shingles, "wid long, size int, place int, hash long"), "window-shingles")
+    return windows, of_item, stash(windows.mapInArrow(tidy(_shingles), "wid long, size int, place int, hash long"), "window-shingles")
 
 
 def _prefixes(documents: DataFrame, windows: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
     """(hash, place, wid, words): of each window whose shingles all occur, the rarest one."""
     shared = documents.sparkSession.sparkContext.broadcast(Bitmap(shingles))
-    counts = documents.select("text").mapInArrow(_tally(shared, sizes), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = documents.select("text").mapInArrow(tidy(_tally(shared, sizes)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     counted = shingles.join(counts, "hash", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "place")).alias("rarest"))
     return stash(counted.where("rarest.n > 0").join(windows, "wid").select("rarest.hash", "rarest.place", "wid", "words"), "prefixes")
 
@@ -171,7 +171,7 @@ def _judged(documents: DataFrame, benchmark: DataFrame, id_col: str = "item_id",
     shared = documents.sparkSession.sparkContext.broadcast(Bitmap(prefixes))
     texts = documents.select("doc_id", "text", text_key(F.col("text")).alias(TEXT_KEY))
     schema = f"rid long, doc_id long, {TEXT_KEY} long, n_words long, hash long, at long, left long, around array<long>"
-    found = stash(texts.mapInArrow(_search(shared, sizes), schema), "found")
+    found = stash(texts.mapInArrow(tidy(_search(shared, sizes)), schema), "found")
     # Where the window begins in the words around; before them it begins before the document.
     into = (F.col("at") - F.col("left") - F.col("place")).cast("int")
     met = found.where("hash IS NOT NULL").select("rid", "hash", "at", "left", "around").join(prefixes, "hash").where(into >= 0)

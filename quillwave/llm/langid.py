@@ -48,7 +48,7 @@ def _distinct(column: pa.Array):
 def train(documents: DataFrame, seed: int = 11) -> crf.Crf | None:
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
     # Windows are cut where the documents are; only they come here.
-    rows = common.bounded_sample(usable.select("doc_id", "lang", "text"), "lang", "doc_id", DOCS_PER_LANG).select("doc_id", "lang", "text").mapInArrow(_windows, "doc_id long, lang string, words string").orderBy("doc_id", "words").collect()
+    rows = common.bounded_sample(usable.select("doc_id", "lang", "text"), "lang", "doc_id", DOCS_PER_LANG).select("doc_id", "lang", "text").mapInArrow(common.tidy(_windows), "doc_id long, lang string, words string").orderBy("doc_id", "words").collect()
     by_lang: dict[str, list[str]] = {}
     for r in rows:
         by_lang.setdefault(r.lang, []).append(r.words)
@@ -136,5 +136,5 @@ def identify(documents: DataFrame) -> DataFrame:
     if model is None:
         return documents.select("doc_id", held, F.lit(NO_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_switches"), F.lit("").alias("shares"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    found = documents.select("doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, n_words long, n_switches long, shares string")
+    found = documents.select("doc_id", "text").mapInArrow(common.tidy(_predict(shared)), "doc_id long, lang_pred string, score double, n_words long, n_switches long, shares string")
     return found.select("doc_id", held, "lang_pred", "score", "n_words", "n_switches", "shares")

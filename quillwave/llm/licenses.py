@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
+from quillwave.llm.common import tidy
 from quillwave.llm.license_texts import all_notices
 
 GRAM, WINDOW = 3, 3
@@ -236,7 +237,7 @@ def _scan(index: Index):
 
 def scan_licenses(documents: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id and matches array<struct<license, matched, coverage, start, end>> of every row of `documents`."""
-    return documents.select("doc_id", "text").mapInArrow(_scan(build_index(notices or all_notices())), "doc_id long, matches array<struct<license string, matched int, coverage double, start int, end int>>")
+    return documents.select("doc_id", "text").mapInArrow(tidy(_scan(build_index(notices or all_notices()))), "doc_id long, matches array<struct<license string, matched int, coverage double, start int, end int>>")
 
 
 def license_digest(documents: DataFrame) -> DataFrame:

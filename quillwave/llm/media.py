@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillwave.llm import archives
-from quillwave.llm.common import fresh_path, stash
+from quillwave.llm.common import fresh_path, stash, tidy
 
 FRAME = 64
 SAMPLE_RATE = 8000
@@ -85,7 +85,7 @@ def _measure(batches):
 
 def store(documents: DataFrame, folder: str) -> None:
     """Write the archives of all texts; only one record an archive comes to the driver."""
-    manifest = stash(documents.select("doc_id", "text").mapInArrow(_store(folder), "file string, members long, directory long"), "archives")
+    manifest = stash(documents.select("doc_id", "text").mapInArrow(tidy(_store(folder)), "file string, members long, directory long"), "archives")
     archives.write_index(folder, [r.asDict() for r in manifest.collect()])
 
 
@@ -99,4 +99,4 @@ def media_columns(documents: DataFrame, folder: str | None = None) -> DataFrame:
     """Stores all texts in `folder` (a fresh shared one by default), reads them back and measures them."""
     folder = folder or fresh_path(documents.sparkSession, "media")
     store(documents, folder)
-    return read(documents.sparkSession, folder).select("doc_id", "media").mapInArrow(_measure, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return read(documents.sparkSession, folder).select("doc_id", "media").mapInArrow(tidy(_measure), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
-from quillwave.llm.common import BROADCAST_IDS, TEXT_KEY, stash, text_key, without
+from quillwave.llm.common import BROADCAST_IDS, TEXT_KEY, stash, text_key, tidy, without
 from quillwave.llm.components import components, star_groups
 
 SHINGLE_WORDS = 4
@@ -259,7 +259,7 @@ def _confirm(k: int):
 
 def _confirmed(rows: DataFrame, k: int) -> DataFrame:
     parted = rows.select("cell", "node", "side", "comp", "text").repartition("cell").sortWithinPartitions("cell")
-    return parted.mapInArrow(_confirm(k), "u long, v long")
+    return parted.mapInArrow(tidy(_confirm(k)), "u long, v long")
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
@@ -267,9 +267,9 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     turned = [F.struct(F.lit(t).alias("tree"), F.expr(f"substring(concat(sig, sig), {t * STRIDE + 1}, {POSITIONS})").alias("turned")) for t in range(TREES)]
     rows = nodes.select("node", F.explode(F.array(turned)).alias("x")).select("x.tree", "x.turned", "node")
     order = "tree", "turned", "node"
-    found = stash(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_forest_scan(False), "u long, v long, tree int, turned binary"), "forest")
+    found = stash(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_forest_scan(False)), "u long, v long, tree int, turned binary"), "forest")
     ends = found.where("tree IS NOT NULL").select("tree", "turned", F.col("u").alias("node"), F.col("v").alias("stretch"))
-    across = ends.repartition("tree", F.substring("turned", 1, MIN_DEPTH)).sortWithinPartitions(*order).mapInArrow(_forest_scan(True), "u long, v long, tree int, turned binary")
+    across = ends.repartition("tree", F.substring("turned", 1, MIN_DEPTH)).sortWithinPartitions(*order).mapInArrow(tidy(_forest_scan(True)), "u long, v long, tree int, turned binary")
     return found.where("tree IS NULL").select("u", "v").union(across.select("u", "v"))
 
 
@@ -281,7 +281,7 @@ def _texts(documents: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
 def _described(documents: DataFrame, k: int) -> DataFrame:
     rows = documents.select("doc_id", "text", text_key(F.col("text")).alias(TEXT_KEY))
-    return stash(rows.mapInArrow(_describe(k), f"doc_id long, n_shingles long, h1 long, h2 long, sig binary, {TEXT_KEY} long"), "signatures")
+    return stash(rows.mapInArrow(tidy(_describe(k)), f"doc_id long, n_shingles long, h1 long, h2 long, sig binary, {TEXT_KEY} long"), "signatures")
 
 
 def _judged(documents: DataFrame, k: int) -> DataFrame:
@@ -370,7 +370,7 @@ def _explode_sets(k: int):
 def _prefix_links(placed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """As `_grid_links`, of classes that share a rare shingle; the grid is left for those that share a frequent one."""
     some = texts.join(placed.select("label", "node"), ["label", "node"])
-    tokens = stash(some.select("node", "text").mapInArrow(_explode_sets(k), "node long, shingle long"), "shingles").join(placed.select("label", "node", "n", "comp", "apart"), "node")
+    tokens = stash(some.select("node", "text").mapInArrow(tidy(_explode_sets(k)), "node long, shingle long"), "shingles").join(placed.select("label", "node", "n", "comp", "apart"), "node")
     often = tokens.groupBy("label", "shingle").agg(F.count("*").alias("often"))
     by_rarity = Window.partitionBy("label", "node").orderBy("often", "shingle")
     length = F.col("n") - F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1]) + 1

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
+from quillwave.llm.common import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -279,7 +280,7 @@ def _find(batches):
 
 def find_pii(documents: DataFrame) -> DataFrame:
     """doc_id and spans array<struct<kind, start, end, disguised>> of every row of `documents`, by kind and start."""
-    return documents.select("doc_id", "text").mapInArrow(_find, "doc_id long, spans array<struct<kind string, start int, end int, disguised boolean>>")
+    return documents.select("doc_id", "text").mapInArrow(tidy(_find), "doc_id long, spans array<struct<kind string, start int, end int, disguised boolean>>")
 
 
 def pii_digest(documents: DataFrame) -> DataFrame:

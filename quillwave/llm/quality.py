@@ -64,7 +64,7 @@ def with_difference(df: DataFrame, dictionaries: tuple[bytes, bytes], keep: list
 
     chosen = df.select(F.col("text").alias("_text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(run, f"{schema}, difference double")
+    return chosen.mapInArrow(common.tidy(run), f"{schema}, difference double")
 
 
 def train_dictionary(rows: DataFrame) -> bytes:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import rans
-from quillwave.llm.common import fresh_path, stash
+from quillwave.llm.common import fresh_path, stash, tidy
 
 END_ID = 1
 SECTION_IDS = 1 << 19
@@ -229,7 +229,7 @@ def _write(folder: str, path: str):
 def write_files(documents: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Writes the files and returns the manifest: part, file, section, at, bytes, ids and start, a row a section."""
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = stash(ordered.mapInArrow(_write(folder, tokenizer), "part int, file string, section long, at long, bytes long, ids long"), "manifest")
+    manifest = stash(ordered.mapInArrow(tidy(_write(folder, tokenizer)), "part int, file string, section long, at long, bytes long, ids long"), "manifest")
     totals = manifest.groupBy("part").agg(F.sum("ids").alias("_ids"))
     before = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -255,7 +255,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and file of each document, from the files."""
     # The manifest is tiny but each of its rows is a section to decode, so the number of tasks is asked for.
     spread = manifest.select("file", "at", "bytes", "start").repartition(-(-manifest.count() // SECTIONS_A_TASK) or 1)
-    return spread.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return spread.mapInArrow(tidy(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_files(documents: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:

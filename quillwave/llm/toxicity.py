@@ -188,7 +188,7 @@ def _distinct(h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn_lexicon(labelled: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
     """`labelled`: (text, label). Keeps at most `size` words and word beginnings by smoothed ratio of document rates."""
     n_toxic, n_all = labelled.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    counted = labelled.select("text", F.col("label").cast("long")).mapInArrow(_count_words, "kind int, hash long, n_toxic long, n_other long").groupBy("kind", "hash").agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"))
+    counted = labelled.select("text", F.col("label").cast("long")).mapInArrow(common.tidy(_count_words), "kind int, hash long, n_toxic long, n_other long").groupBy("kind", "hash").agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"))
     ratio = ((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("o") + 0.5) / (n_all - n_toxic + 1))
     top = counted.where((F.col("t") >= LEXICON_MIN_DOCS) & (ratio >= LEXICON_MIN_RATIO)).orderBy(F.desc(F.col("t") * F.log(ratio)), "kind", "hash").limit(size).collect()
     pick = lambda kind: np.sort(np.array([r.hash for r in top if r.kind == kind], dtype=np.int64).view(np.uint64))
@@ -208,7 +208,7 @@ def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str], text_col: st
 
     chosen = df.select(F.col(text_col).alias("_text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(run, f"{schema}, features array<double>")
+    return chosen.mapInArrow(common.tidy(run), f"{schema}, features array<double>")
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame, label_col: str, per_class: int) -> DataFrame:
