@@ -3,6 +3,10 @@ sources are mixed to their weights, and the ids of what is left are written.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return the
 columns of `documents`; the last returns doc_id, start, n_tokens and ids_crc32 as read back from its files.
+
+Rows are rejected by their id and text together, null ids like others: a row that shares its id with a rejected one
+but not its text stays.  Null and empty texts pass the first three stages and are left out of the mix, which has
+nothing to take of them.  Empty tables and extra columns, whatever their names, go through every stage.
 """
 
 from __future__ import annotations
@@ -15,25 +19,29 @@ from quillwave.llm.mixing import mixed_documents
 from quillwave.llm.neardup import one_of_each_group
 from quillwave.llm.tokenfiles import token_files
 from quillwave.llm.toxicity import reject_toxic
+from quillwave.session import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+    return reject_toxic(docs, table(ship(spark), sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return one_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return clean_documents(docs, table(ship(spark), sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return mixed_documents(docs)
 
 
 def token_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return token_files(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

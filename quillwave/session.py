@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
+#: Arrow batches between Spark and Python workers are cut at so many bytes, not only at a number of rows.
+BATCH_BYTES = "8m"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -20,5 +22,6 @@ def ship(spark: SparkSession) -> SparkSession:
             for source in sorted(ROOT.rglob("*.py")):
                 out.write(source, source.relative_to(ROOT.parent))
         context.addPyFile(str(target))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         context._quillwave_shipped = True
     return spark
