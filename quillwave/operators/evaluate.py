@@ -77,7 +77,10 @@ def budget(rows: DataFrame, seconds_per_accept: float) -> DataFrame:
 
 
 def budget_split(commands: DataFrame, total: DataFrame) -> DataFrame:
-    """(command_id, allowance): shares by cumulative rounding, which sum to the budget exactly."""
+    """(command_id, allowance): shares by cumulative rounding, which sum to the budget exactly.
+
+    The running number of a command needs all commands in one task: a row a command, a vocabulary and not a corpus.
+    """
     i, n = F.row_number().over(Window.orderBy("seq")) - 1, F.count("*").over(Window.partitionBy())
     placed = commands.withColumn("i", i).withColumn("n", n)
     share = F.floor((F.col("i") + 1) * F.col("budget") / F.col("n")) - F.floor(F.col("i") * F.col("budget") / F.col("n"))
@@ -97,7 +100,7 @@ def calibrate(utterances: DataFrame, best: DataFrame, commands: DataFrame, secon
     rows = decided(utterances, best)
     shares = budget_split(commands, budget(rows, seconds_per_accept))
     nth = F.row_number().over(Window.partitionBy("command_id").orderBy("distance", "query_id"))
-    bounds = negatives_by_winner(rows).withColumn("nth", nth).join(F.broadcast(shares), "command_id").where(F.col("nth") == F.col("allowance") + 1)
+    bounds = negatives_by_winner(rows).withColumn("nth", nth).join(shares, "command_id").where(F.col("nth") == F.col("allowance") + 1)
     bounds = bounds.select("command_id", (F.col("distance") - F.lit(EPSILON).cast("float")).cast("float").alias("bound"))
     largest = finite(best).agg(F.coalesce(F.max("distance"), F.lit(FALLBACK_DISTANCE).cast("float")).alias("largest"))
     free = (F.col("largest") + F.lit(1.0).cast("float")).cast("float")
@@ -113,12 +116,32 @@ def bake_off(tables: dict[str, DataFrame], utterances: DataFrame, default: float
     return out
 
 
-def report_lines(summary: DataFrame, synthetic: bool) -> DataFrame:
-    """(line_no, line): a short markdown report; the banner follows the parameter, not a default."""
-    lines = F.array(
-        F.lit("# Evaluation" + (" (SYNTHETIC)" if synthetic else "")),
-        F.format_string("- FRR: %.1f%% (%d of %d)", F.col("frr") * 100, "false_rejects", "positives"),
-        F.format_string("- False accepts: %d in %.2f s", "false_accepts", "negative_seconds"),
-        F.format_string("- FAR: %.2f per hour", "far_per_hour"),
+def _numbered(lines: DataFrame) -> DataFrame:
+    """(line_no, line) of (part, key, line), as many as a page has."""
+    return lines.select((F.row_number().over(Window.orderBy("part", "key")) - 1).alias("line_no"), "line")
+
+
+def report_lines(rows: DataFrame, front_end: str, enrolment_failures: int = 0, synthetic: bool = False) -> DataFrame:
+    """(line_no, line): a report in markdown of `decided` rows; the banner follows the parameter, not a default."""
+    banner = ["> **SYNTHETIC: illustrative only, not a measurement on real voices.**", ""] if synthetic else []
+    head = F.array(
+        *[F.lit(x) for x in [*banner, f"# Recogniser evaluation: front end `{front_end}`", ""]],
+        F.format_string(f"- Positives: %d, negatives: %d, enrolment failures: {enrolment_failures}", "positives", "negatives"),
+        F.format_string("- **FRR: %.1f%%** (%d/%d rejected or substituted)", F.col("frr") * 100, "false_rejects", "positives"),
+        F.format_string("- **False accepts: %d** over %.1f s of negative audio (about %.2f an hour)", "false_accepts", "negative_seconds", "far_per_hour"),
+        F.lit(""),
     )
-    return summary.select(F.posexplode(lines).alias("line_no", "line"))
+    lines = overall(rows).select(F.posexplode(head).alias("i", "line")).select(F.lit(0).alias("part"), F.format_string("%04d", "i").alias("key"), "line")
+    fixed = rows.sparkSession.createDataFrame([(1, "", "## FRR by command"), (3, "", ""), (4, "", "## FRR by condition")], "part int, key string, line string")
+    by_command = frr_by(rows, "truth").select(F.lit(2).alias("part"), F.col("truth").alias("key"), F.format_string("- `%s`: %.1f%%", "truth", F.col("frr") * 100).alias("line"))
+    by_condition = frr_by(rows, "condition").select(F.lit(5).alias("part"), F.col("condition").alias("key"), F.format_string("- %s: %.1f%%", "condition", F.col("frr") * 100).alias("line"))
+    return _numbered(lines.unionByName(fixed).unionByName(by_command).unionByName(by_condition))
+
+
+def bake_off_lines(rows: DataFrame, synthetic: bool = False) -> DataFrame:
+    """(line_no, line): a table in markdown of `bake_off` rows, in their names' order."""
+    banner = ["> **SYNTHETIC: illustrative comparison, not a result on real voices.**", ""] if synthetic else []
+    head = [*banner, "# Front-end bake-off", "", "| Front end | FRR | False accepts | Negative audio (s) |", "|---|---|---|---|"]
+    top = rows.sparkSession.createDataFrame([(0, f"{i:04d}", x) for i, x in enumerate(head)], "part int, key string, line string")
+    body = rows.select(F.lit(1).alias("part"), F.col("name").alias("key"), F.format_string("| `%s` | %.1f%% | %d | %.1f |", "name", F.col("frr") * 100, "false_accepts", "negative_seconds").alias("line"))
+    return _numbered(top.unionByName(body))

@@ -21,12 +21,19 @@ SIDES = "queries AS (SELECT *, vec_id AS query_id FROM seq WHERE vec_id % 10 = 0
 SINGLE = "queries AS (SELECT *, vec_id AS query_id FROM seq WHERE vec_id % 10 = 0), templates AS (SELECT * FROM seq WHERE vec_id IN (SELECT min(vec_id) FROM seq WHERE vec_id % 10 <> 0 AND label <= 7 GROUP BY label))"
 
 
-def dtw(views: str, sides: str = SIDES, band: float = 0.1) -> str:
+def derived(order: int) -> str:
+    """`seq` with derivatives up to `order` beside the features."""
+    step = lambda x: f"list_transform(range(1, len({x}) + 1), lambda f: list_transform(range(1, len({x}[1]) + 1), lambda k: CAST(({x}[least(f + 1, len({x}))][k] - {x}[greatest(f - 1, 1)][k]) / CAST(2 AS FLOAT) AS FLOAT)))"
+    wide = ["features", "list_transform(range(1, 9), lambda f: features[f] || d1[f])", "list_transform(range(1, 9), lambda f: features[f] || d1[f] || d2[f])"][order]
+    return f"{FIXED.replace('seq AS', 'static_seq AS', 1)}, first_d AS (SELECT *, {step('features')} AS d1 FROM static_seq), second_d AS (SELECT *, {step('d1')} AS d2 FROM first_d), seq AS (SELECT * EXCLUDE (d1, d2) REPLACE ({wide} AS features) FROM second_d)"
+
+
+def dtw(views: str, sides: str = SIDES, band: float = 0.1, on: str = "true") -> str:
     """WITH clause up to `pairs` (query_id, command_id, template_id, created_at, distance): one cell of the recurrence a step."""
     return f"""WITH RECURSIVE {views}, {sides}, base AS (
   SELECT q.query_id, t.command_id, t.template_id, t.created_at, q.features AS a, t.features AS b, q.frame_count AS n, t.frame_count AS m,
     greatest(1, CAST(floor({band} * greatest(q.frame_count, t.frame_count)) AS INTEGER)) AS band, CAST(t.frame_count AS DOUBLE) / q.frame_count AS slope
-  FROM queries q, templates t WHERE len(q.features[1]) = len(t.features[1])
+  FROM queries q, templates t WHERE len(q.features[1]) = len(t.features[1]) AND {on}
 ), cells(query_id, template_id, i, j, above, now) AS (
   SELECT query_id, template_id, 1, 1, list_concat([CAST(0 AS DOUBLE)], list_transform(range(m), lambda x: CAST('Infinity' AS DOUBLE))), [CAST('Infinity' AS DOUBLE)] FROM base
   UNION ALL
@@ -107,3 +114,31 @@ GATE = f"""WITH RECURSIVE {LEVELS}, numbered AS (SELECT *, row_number() OVER (PA
   SELECT g.device_id, x.n, x.seq, x.level, coalesce(x.level >= greatest(1.0, g.floor * 3.0), false), CASE WHEN x.level IS NULL OR x.level >= greatest(1.0, g.floor * 3.0) THEN g.floor ELSE (1 - 0.05) * g.floor + 0.05 * x.level END
   FROM gate g JOIN numbered x ON x.device_id = g.device_id AND x.n = g.n + 1
 )"""
+
+
+def mfcc(order: int) -> str:
+    """The last part of a statement: coefficients less their mean, and derivatives up to `order`, a row a value."""
+    near = "SELECT x.vec_id, x.f, x.c, CAST((a.v - b.v) / CAST(2 AS FLOAT) AS FLOAT) AS v FROM {0} x JOIN {0} a ON a.vec_id = x.vec_id AND a.c = x.c AND a.f = least(x.f + 1, 3) JOIN {0} b ON b.vec_id = x.vec_id AND b.c = x.c AND b.f = greatest(x.f - 1, 0)"
+    tables = ["m0 AS (SELECT vec_id, f, c, CAST(v - CAST(avg(CAST(v AS DOUBLE)) OVER (PARTITION BY vec_id, c) AS FLOAT) AS FLOAT) AS v FROM cep)", f"m1 AS ({near.format('m0')})", f"m2 AS ({near.format('m1')})"]
+    parts = [f"SELECT vec_id, f, CAST(c + {6 * k} AS BIGINT) AS k, round(CAST(v AS DOUBLE), 4) + 0.0 AS v FROM m{k}" for k in range(order + 1)]
+    return ", ".join(tables[: order + 1]) + " " + " UNION ALL ".join(parts)
+
+
+def report(front_end: str, failures: int) -> str:
+    """Lines of a report over `decided` and `o`, its one row of rates."""
+    return f"""SELECT CAST(row_number() OVER (ORDER BY part, key) - 1 AS INTEGER) AS line_no, line FROM (
+  SELECT 0 AS part, CAST(i AS VARCHAR) AS key, line FROM (SELECT unnest(range(10, 18)) AS i, unnest(['> **SYNTHETIC: illustrative only, not a measurement on real voices.**', '', '# Recogniser evaluation: front end `{front_end}`', '',
+    '- Positives: ' || positives || ', negatives: ' || negatives || ', enrolment failures: {failures}', printf('- **FRR: %.1f%%** (%d/%d rejected or substituted)', frr * 100, false_rejects, positives),
+    printf('- **False accepts: %d** over %.1f s of negative audio (about %.2f an hour)', false_accepts, negative_seconds, far_per_hour), '']) AS line FROM o)
+  UNION ALL SELECT 1, '', '## FRR by command' UNION ALL SELECT 2, truth, printf('- `%s`: %.1f%%', truth, 100 * avg({FALSE_REJECT})) FROM decided WHERE truth IS NOT NULL GROUP BY truth
+  UNION ALL SELECT 3, '', '' UNION ALL SELECT 4, '', '## FRR by condition' UNION ALL SELECT 5, condition, printf('- %s: %.1f%%', condition, 100 * avg({FALSE_REJECT})) FROM decided WHERE truth IS NOT NULL GROUP BY condition)"""
+
+
+LISTEN = """WITH RECURSIVE frames AS (SELECT user_id AS device_id, event_id * 50 AS at_ms, value > 90 AS hit FROM events), ends AS (SELECT device_id, min(at_ms) AS first, max(at_ms) AS last FROM frames GROUP BY device_id),
+spoken AS (SELECT device_id, list(at_ms) AS hits FROM frames WHERE hit GROUP BY device_id),
+walk(device_id, window_id, start_ms, last, hits) AS (
+  SELECT device_id, CAST(0 AS BIGINT), first, last, coalesce(hits, []) FROM ends LEFT JOIN spoken USING (device_id)
+  UNION ALL
+  SELECT device_id, window_id + 1, start_ms + 1500 + CASE WHEN len(list_filter(hits, lambda h: h >= start_ms AND h < start_ms + 1500)) > 0 THEN 600 ELSE 0 END, last, hits FROM walk WHERE start_ms + 1500 <= last
+)
+SELECT device_id, window_id, start_ms, start_ms + 1500 AS end_ms, len(list_filter(hits, lambda h: h >= start_ms AND h < start_ms + 1500)) > 0 AS matched FROM walk WHERE start_ms + 1500 <= last"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwave.config import CepstraConfig, EndpointConfig, GateConfig, MatchConfig
@@ -15,14 +15,16 @@ from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
 from quillwave.operators.pairing import best_per_command, pair_distances
+from quillwave.operators import recognise as R
 from quillwave.operators.recognise import audio_features, recognise
 from quillwave.plans import oracles as O
 from quillwave.plans import textcheck, views
 from quillwave.plans.views import SECONDS_PER_ACCEPT, THRESHOLD
 from quillwave.sources import actions as A
 from quillwave.sources import store
+from quillwave.shared import stash
 from quillwave.sources.pcm import chopped, synthetic_corpus
-from quillwave.streaming.gate import gate_batch, gate_fold
+from quillwave.streaming.gate import gate_batch
 from quillwave.streaming.listen import listen_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,11 +80,16 @@ def dtw_ragged(s, d):
     return pair_distances(*_sides(s, d, "ragged"), best_only=False).select("query_id", "template_id", _r("distance"))
 
 
-@query(f"{O.dtw(O.FIXED, O.SINGLE)} SELECT query_id, template_id, round(CAST(distance AS DOUBLE), 5) AS distance FROM pairs")
+@query(f"{FIXED} SELECT query_id, template_id, round(CAST(distance AS DOUBLE), 5) AS distance FROM pairs")
 def dtw_expression(s, d):
-    """The JVM-side recurrence, against one template a command."""
-    q, t = _sides(s, d, single=True)
-    pairs = q.select("query_id", F.col("features").alias("a")).repartition(8).join(F.broadcast(t.select("template_id", F.col("features").alias("b"))), F.size(F.element_at("a", 1)) == F.size(F.element_at("b", 1)))
+    """The JVM-side recurrence; queries and templates meet by a grid as in `pair_distances`, but pair by pair."""
+    q, t = _sides(s, d)
+    width, side = F.size(F.element_at("features", 1)).alias("width"), 4
+    other = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(side)).cast("int")
+    q = q.select("query_id", F.col("features").alias("a"), width, place("query_id").alias("row"), other.alias("col"))
+    t = t.select("template_id", F.col("features").alias("b"), width, other.alias("row"), place("template_id").alias("col"))
+    pairs = q.repartition(2 * side * side, "width", "row", "col").join(t.repartition(2 * side * side, "width", "row", "col"), ["width", "row", "col"])
     return pairs.select("query_id", "template_id", F.round(distance_expression(F.col("a"), F.col("b")).cast("float").cast("double"), 5).alias("distance"))
 
 
@@ -92,8 +99,8 @@ def width_skip(s, d):
     q, t = _sides(s, d)
     wide = views.templates(views.sequences(s, d, "wide")).withColumn("template_id", F.concat(F.lit("w"), "template_id"))
     met = pair_distances(q, t.unionByName(wide), best_only=False).groupBy("query_id").agg(F.count("*").alias("met"))
-    total = t.count() + wide.count()
-    return q.select("query_id").join(met, "query_id", "left").select("query_id", F.coalesce("met", F.lit(0).cast("long")).alias("met"), (F.lit(total) - F.coalesce("met", F.lit(0))).cast("long").alias("skipped"))
+    total = t.select("template_id").union(wide.select("template_id")).agg(F.count("*")).scalar()
+    return q.select("query_id").join(met, "query_id", "left").select("query_id", F.coalesce("met", F.lit(0).cast("long")).alias("met"), (total - F.coalesce("met", F.lit(0))).cast("long").alias("skipped"))
 
 
 @query(f"{FIXED} SELECT query_id, command_id, template_id, round(CAST(distance AS DOUBLE), 5) AS distance FROM best")
@@ -226,14 +233,17 @@ def negatives_by_winner(s, d):
     return E.negatives_by_winner(_decided(s, d)).withColumn("distance", F.round(F.col("distance").cast("double"), 5))
 
 
-def _calibrated(s, d):
-    q, _ = _sides(s, d)
-    return E.calibrate(q.select("query_id", "truth", "condition", "duration_ms"), _best(s, d), _commands(s, d), SECONDS_PER_ACCEPT)
+def _utterances(s, d):
+    return _sides(s, d)[0].select("query_id", "truth", "condition", "duration_ms")
+
+
+def _calibrated(s, d, best):
+    return E.calibrate(_utterances(s, d), best, _commands(s, d), SECONDS_PER_ACCEPT)
 
 
 @query(f"{DECIDED}, {O.BUDGET}, {O.THRESHOLDS} SELECT command_id, allowance, round(CAST(threshold AS DOUBLE), 5) AS threshold FROM thresholds")
 def calibrate_thresholds(s, d):
-    return _calibrated(s, d).withColumn("threshold", F.round(F.col("threshold").cast("double"), 5))
+    return _calibrated(s, d, stash(_best(s, d), "distances")).withColumn("threshold", F.round(F.col("threshold").cast("double"), 5))
 
 
 _AGAIN = "again AS (SELECT d.*EXCLUDE (predicted), CASE WHEN winner_distance <= coalesce(t.threshold, CAST(0.192 AS FLOAT)) THEN winner END AS predicted FROM decided d LEFT JOIN thresholds t ON t.command_id = d.winner)"
@@ -241,7 +251,9 @@ _AGAIN = "again AS (SELECT d.*EXCLUDE (predicted), CASE WHEN winner_distance <=
 
 @query(f"{DECIDED}, {O.BUDGET}, {O.THRESHOLDS}, {_AGAIN} {O.OVERALL.replace('FROM decided', 'FROM again')}")
 def calibrated_report(s, d):
-    return E.overall(_decided(s, d, _calibrated(s, d)))
+    """One distance table, written once: thresholds are calibrated on it and the same table is decided again."""
+    best = stash(_best(s, d), "distances")
+    return E.overall(E.decided(_utterances(s, d), best, _calibrated(s, d, best), THRESHOLD))
 
 
 @query(f"{FIXED}, {O.decided('CAST(8 AS FLOAT)')} {O.OVERALL}")
@@ -250,7 +262,7 @@ def evaluate(s, d):
     return E.overall(E.decided(q.select("query_id", "truth", "condition", "duration_ms"), best_per_command(pair_distances(q, t))))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, frr, false_accepts, negative_seconds FROM ({O.dtw(O.derived(order))}, {O.decided()} {O.OVERALL})" for order, name in enumerate(("static", "delta", "delta_delta"))))
 def bakeoff(s, d):
     """Static, first and second derivatives of the same sequences."""
     q, t = _sides(s, d)
@@ -261,9 +273,15 @@ def bakeoff(s, d):
     return E.bake_off(tables, q.select("query_id", "truth", "condition", "duration_ms"), THRESHOLD)
 
 
-@query(f"{DECIDED}, o AS ({O.OVERALL}) SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (SELECT unnest([0, 1, 2, 3]) AS line_no, unnest(['# Evaluation (SYNTHETIC)', printf('- FRR: %.1f%% (%d of %d)', frr * 100, false_rejects, positives), printf('- False accepts: %d in %.2f s', false_accepts, negative_seconds), printf('- FAR: %.2f per hour', far_per_hour)]) AS line FROM o)")
+@query(f"{DECIDED}, o AS ({O.OVERALL}) {O.report('delta', 3)}")
 def reports(s, d):
-    return E.report_lines(E.overall(_decided(s, d)), synthetic=True)
+    return E.report_lines(_decided(s, d), "delta", enrolment_failures=3, synthetic=True)
+
+
+@query()
+def bakeoff_audio(s, d):
+    """The three front ends over the synthetic corpus: enrolment, endpoints, features, matching, rates, and the table as text."""
+    return E.bake_off_lines(R.bake_off_audio(synthetic_corpus(s)), synthetic=True)
 
 
 # Store and lookups -------------------------------------------------------------------------------------------------
@@ -319,10 +337,13 @@ def condition_fallback(s, d):
     return views.table(s, d, "embeddings").select("vec_id", stored.alias("condition")).withColumn("condition", store.known_condition())
 
 
-@query("SELECT vec_id, CAST(264 AS INTEGER) AS n_bytes, true AS same FROM embeddings")
+@query("SELECT vec_id, CAST(264 AS INTEGER) AS n_bytes, '0800000008000000' AS head, md5(array_to_string(list_transform(range(1, 65), lambda i: CAST(round(CAST(CAST(embedding[i] AS FLOAT) AS DOUBLE) * 1e6) AS BIGINT)), ',')) AS values_md5 FROM embeddings")
 def feature_codec(s, d):
-    coded = views.sequences(s, d).select("vec_id", "features", store.encode_udf("features").alias("raw"))
-    return coded.select("vec_id", F.length("raw").alias("n_bytes"), (store.decode_udf("raw") == F.col("features")).alias("same"))
+    """Features to bytes and back: the header as it is, and the values that come back."""
+    coded = store.with_encoded(views.sequences(s, d).select("vec_id", "features"))
+    back = store.with_decoded(coded.select("vec_id", F.length("raw").alias("n_bytes"), F.lower(F.hex(F.substring("raw", 1, 8))).alias("head"), "raw"))
+    values = F.transform(F.flatten("features"), lambda v: F.round(v.cast("double") * 1e6).cast("long").cast("string"))
+    return back.select("vec_id", "n_bytes", "head", F.md5(F.array_join(values, ",")).alias("values_md5"))
 
 
 @query(f"{FIXED}, {O.results(THRESHOLD)}, {O.COMMANDS}, {O.ACTION_TABLE} SELECT query_id, command_id, action, action_label FROM results JOIN commands USING (command_id) JOIN actions USING (action) WHERE kind = 'MATCH'")
@@ -416,14 +437,14 @@ def power_spectrum(s, d):
     return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"], stage="power"))
 
 
-@query(f"{_WIN}, {O.MEL} SELECT vec_id, f, filter AS k, round(CAST(e AS DOUBLE), 3) + 0.0 AS v FROM mel")
+@query(f"{_WIN}, {O.MEL} SELECT vec_id, f, filter AS k, round(CAST(e AS DOUBLE), 4) + 0.0 AS v FROM mel")
 def log_mel(s, d):
-    return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"], stage="log_mel"), 3)
+    return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"], stage="log_mel"), 4)
 
 
-@query(f"{_WIN}, {O.MEL}, {O.CEPSTRA} SELECT vec_id, f, c AS k, round(CAST(v AS DOUBLE), 2) + 0.0 AS v FROM cep")
+@query(f"{_WIN}, {O.MEL}, {O.CEPSTRA} SELECT vec_id, f, c AS k, round(CAST(v AS DOUBLE), 4) + 0.0 AS v FROM cep")
 def dct_lifter(s, d):
-    return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"], stage="dct_lifter"), 2)
+    return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"], stage="dct_lifter"), 4)
 
 
 @query(f"WITH {O.FIXED} SELECT vec_id, CAST(f - 1 AS BIGINT) AS f, CAST(k - 1 AS BIGINT) AS k, round(CAST(CAST(features[f][k] - CAST(list_sum(list_transform(features, lambda x: CAST(x[k] AS DOUBLE))) / 8 AS FLOAT) AS FLOAT) AS DOUBLE), 5) + 0.0 AS v FROM seq, range(1, 9) a(f), range(1, 9) b(k)")
@@ -439,19 +460,19 @@ def delta(s, d):
     return _flat(views.sequences(s, d).select("vec_id", derivative(F.col("features")).alias("features")))
 
 
-@query()
+@query(f"{_WIN}, {O.MEL}, {O.CEPSTRA}, {O.mfcc(0)}")
 def mfcc_static(s, d):
-    return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"]), 3)
+    return _flat(with_features(_pcm(s, d), SMALL, keep=["vec_id"]), 4)
 
 
-@query()
+@query(f"{_WIN}, {O.MEL}, {O.CEPSTRA}, {O.mfcc(1)}")
 def mfcc_delta(s, d):
-    return _flat(with_features(_pcm(s, d), CepstraConfig(sample_rate_hz=1000, filters=8, coefficients=6, delta=1), keep=["vec_id"]), 3)
+    return _flat(with_features(_pcm(s, d), CepstraConfig(sample_rate_hz=1000, filters=8, coefficients=6, delta=1), keep=["vec_id"]), 4)
 
 
-@query()
+@query(f"{_WIN}, {O.MEL}, {O.CEPSTRA}, {O.mfcc(2)}")
 def mfcc_delta_delta(s, d):
-    return _flat(with_features(_pcm(s, d), CepstraConfig(sample_rate_hz=1000, filters=8, coefficients=6, delta=2), keep=["vec_id"]), 3)
+    return _flat(with_features(_pcm(s, d), CepstraConfig(sample_rate_hz=1000, filters=8, coefficients=6, delta=2), keep=["vec_id"]), 4)
 
 
 @query()
@@ -464,10 +485,10 @@ def synthetic_signals(s, d):
 @query()
 def recognize_audio(s, d):
     """Audio to decisions over the synthetic corpus at the default parameters."""
-    rows = audio_features(synthetic_corpus(s))
-    enrol = rows.where("kind = 'enrol'").select(F.col("truth").alias("command_id"), F.concat(F.lit("t"), "seq").alias("template_id"), F.col("seq").cast("long").alias("created_at"), "features")
-    asked = rows.where("kind <> 'enrol'").select(F.col("seq").cast("long").alias("query_id"), "features", "frame_count", "silent")
-    return recognise(asked, enrol).withColumn("distance", F.round(F.col("distance").cast("double"), 3)).withColumn("confidence", F.round("confidence", 3))
+    corpus = synthetic_corpus(s).withColumn("seq", F.col("seq").cast("long"))
+    templates, _ = R.enrol_audio(corpus.where("kind = 'enrol'").withColumn("command_id", F.col("truth")), prefix="t")
+    asked = audio_features(corpus.where("kind <> 'enrol'")).select(F.col("seq").alias("query_id"), "features", "frame_count", "silent")
+    return recognise(asked, templates).withColumn("distance", F.round(F.col("distance").cast("double"), 3)).withColumn("confidence", F.round("confidence", 3))
 
 
 # Enrolment and adaptation ------------------------------------------------------------------------------------------
@@ -476,13 +497,8 @@ _COUNT = "CASE vec_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 400 ELSE 8000 END"
 
 
 def _offers(s, d):
-    return views.table(s, d, "embeddings").select(
-        "vec_id",
-        F.row_number().over(Window.orderBy("vec_id")).alias("seq"),
-        F.expr(f"{_COUNT}").alias("sample_count"),
-        F.expr("vec_id % 4 = 2").alias("silent"),
-        (F.col("vec_id") % 13).cast("int").alias("frame_count"),
-    )
+    judged = F.expr(f"{_COUNT}").alias("sample_count"), F.expr("vec_id % 4 = 2").alias("silent"), (F.col("vec_id") % 13).cast("int").alias("frame_count")
+    return views.table(s, d, "embeddings").select("vec_id", *judged)
 
 
 _REASON = f"CASE WHEN {_COUNT} = 0 THEN 'TOO_SHORT' WHEN vec_id % 4 = 2 THEN 'SILENT' WHEN vec_id % 13 < 8 THEN 'TOO_FEW_FRAMES' END"
@@ -495,18 +511,17 @@ def enroll_quality(s, d):
 
 @query(f"SELECT 'eval-' || seq AS template_id, CAST(seq AS BIGINT) AS created_at FROM (SELECT row_number() OVER (ORDER BY vec_id) AS seq, {_REASON} AS reason FROM embeddings) WHERE reason IS NULL")
 def bulk_enroll(s, d):
-    return N.bulk_enrol(N.quality_reason(_offers(s, d)))[0].select("template_id", "created_at")
+    return N.bulk_enrol(N.quality_reason(N.numbered(_offers(s, d), "vec_id")))[0].select("template_id", "created_at")
 
 
-_EXISTING = "queries AS (SELECT *, template_id AS query_id FROM seq WHERE vec_id % 10 = 1 AND label <= 7), templates AS (SELECT *EXCLUDE (query_id) FROM queries)"
-_SCORES = f"{O.dtw(O.FIXED, _EXISTING)}, scores AS (SELECT t.command_id, t.template_id, t.condition, t.created_at, CAST(min(p.distance) AS DOUBLE) AS score FROM templates t LEFT JOIN (SELECT p.*, q.command_id AS own FROM pairs p JOIN queries q ON q.query_id = p.query_id) p ON p.query_id = t.template_id AND p.own = p.command_id AND p.template_id <> t.template_id GROUP BY ALL)"
+_EXISTING = "queries AS (SELECT *, template_id AS query_id FROM seq), templates AS (SELECT * FROM seq)"
+_SCORES = f"{O.dtw(O.FIXED, _EXISTING, on='q.command_id = t.command_id')}, scores AS (SELECT t.command_id, t.template_id, t.condition, t.created_at, CAST(min(p.distance) AS DOUBLE) AS score FROM templates t LEFT JOIN (SELECT p.*, q.command_id AS own FROM pairs p JOIN queries q ON q.query_id = p.query_id) p ON p.query_id = t.template_id AND p.own = p.command_id AND p.template_id <> t.template_id GROUP BY ALL)"
 
 
 def _scored(s, d):
-    rows = views.sequences(s, d).where("vec_id % 10 = 1 AND label <= 7")
-    pairs = pair_distances(rows.withColumn("query_id", F.col("template_id")), rows, best_only=False)
-    own = rows.select(F.col("template_id").alias("query_id"), F.col("command_id").alias("own"))
-    same = pairs.join(own, "query_id").where("own = command_id").select("command_id", F.col("query_id").alias("a"), F.col("template_id").alias("b"), "distance")
+    rows = views.sequences(s, d)
+    pairs = pair_distances(rows.withColumn("query_id", F.col("template_id")), rows, best_only=False, within="command_id")
+    same = pairs.select("command_id", F.col("query_id").alias("a"), F.col("template_id").alias("b"), "distance")
     return N.redundancy(same, rows.select("command_id", "template_id", "condition", "created_at"))
 
 
@@ -537,13 +552,11 @@ def energy_gate(s, d):
 
 @query(f"{O.GATE} SELECT device_id, count(*) FILTER (speech) AS n_speech, count(*) AS n FROM gate WHERE n > 0 GROUP BY device_id")
 def energy_gate_fold(s, d):
-    """The same recurrence without leaving the JVM; for devices of few levels."""
-    run = views.levels(s, d).groupBy("device_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "level"))), lambda x: x["level"]).alias("levels"))
-    out = run.select("device_id", gate_fold(F.col("levels"), LOUD).alias("out"))
-    return out.select("device_id", F.size(F.filter("out", lambda o: o["speech"])).cast("long").alias("n_speech"), F.size("out").cast("long").alias("n"))
+    """Speech of each device, from rows that stream through; the fold over an array (`gate_fold`) is for short runs."""
+    return gate_batch(views.levels(s, d), LOUD).groupBy("device_id").agg(F.count_if("speech").alias("n_speech"), F.count("*").alias("n"))
 
 
-@query()
+@query(O.LISTEN)
 def listen_refractory(s, d):
     events = views.table(s, d, "events")
     return listen_batch(events.select(F.col("user_id").alias("device_id"), (F.col("event_id") * 50).alias("at_ms"), (F.col("value") > 90).alias("hit")))

@@ -35,16 +35,13 @@ def labelled(results: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def publish(path: str):
-    """A `foreachBatch` sink: at-least-once delivery, and no key twice in what was published."""
+    """A `foreachBatch` sink: each epoch has a folder of its own, which a repeated epoch writes anew.
+
+    So what was delivered twice is there once, and nothing that was published is read again.  Within an epoch a query
+    is there once; a stream that may bring one again later goes through `dropDuplicatesWithinWatermark` first.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        from pyspark.errors import AnalysisException
-
-        fresh = batch.dropDuplicates(["query_id"])
-        try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(path).select("query_id"), "query_id", "left_anti")
-        except AnalysisException:
-            pass
-        fresh.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        batch.dropDuplicates(["query_id"]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
     return write

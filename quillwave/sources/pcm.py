@@ -6,6 +6,7 @@ import io
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,21 +32,39 @@ def wav_samples(raw: bytes) -> tuple[int, np.ndarray]:
     return rate, samples
 
 
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sample_rate_hz, samples array<float>) of the WAV files under a folder, one row a file."""
+def _wav_rows(batches):
+    for batch in batches:
+        read = [wav_samples(raw.as_py()) for raw in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r for r, _ in read], pa.int32()), pa.array([s.tolist() for _, s in read], pa.list_(pa.int16()))], names=["path", "sample_rate_hz", "pcm"])
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            read = [wav_samples(raw.as_py()) for raw in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r for r, _ in read], pa.int32()), pa.array([s.tolist() for _, s in read], pa.list_(pa.int16()))], names=["path", "sample_rate_hz", "pcm"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    pcm = files.select("path", "content").mapInArrow(run, "path string, sample_rate_hz int, pcm array<smallint>")
+def _from_wav(files: DataFrame) -> DataFrame:
+    pcm = files.select("path", "content").mapInArrow(_wav_rows, "path string, sample_rate_hz int, pcm array<smallint>")
     return pcm.select("path", "sample_rate_hz", normalise_pcm(F.col("pcm")).alias("samples"))
 
 
+def read_wav(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sample_rate_hz, samples array<float>) of the WAV files under a folder, one row a file."""
+    return _from_wav(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path))
+
+
+def capture_stream(spark: SparkSession, path: str, frame_ms: int, files_at_once: int = 100) -> DataFrame:
+    """A stream of (device_id, seq, sample_rate_hz, samples): frames of the recordings that arrive in a folder.
+
+    Recordings are named `device-number.wav`, numbered from 0 in the order of capture.  Frames are `frame_ms` long and
+    the last one of a recording may be shorter; their numbers rise over a device's recordings.
+    """
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", "*.wav").option("maxFilesPerTrigger", files_at_once).load(path)
+    name = F.regexp_extract("path", r"([0-9]+)-([0-9]+)\.wav$", 1), F.regexp_extract("path", r"([0-9]+)-([0-9]+)\.wav$", 2)
+    audio = _from_wav(files).select(name[0].cast("long").alias("device_id"), name[1].cast("long").alias("number"), "sample_rate_hz", "samples")
+    size = F.greatest(F.lit(1), (F.col("sample_rate_hz") * frame_ms / 1000).cast("int"))
+    starts = F.sequence(F.lit(0), F.size("samples") - 1, size)
+    pieces = F.when(F.size("samples") > 0, F.transform(starts, lambda s: F.slice("samples", s + 1, size)))
+    frames = audio.select("device_id", "number", "sample_rate_hz", F.posexplode(pieces).alias("nth", "samples"))
+    return frames.select("device_id", (F.col("number") * F.lit(1 << 32) + F.col("nth")).alias("seq"), "sample_rate_hz", "samples")
+
+
 def chopped(audio: DataFrame, frame: int) -> DataFrame:
     """Consecutive frames of `samples`: (device_id, seq, samples); the last one may be shorter."""
     starts = F.sequence(F.lit(0), F.size("samples") - 1, F.lit(frame))

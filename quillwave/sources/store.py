@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillwave.config import CONDITIONS
 
@@ -42,6 +45,10 @@ def template_counts(commands: DataFrame, templates: DataFrame) -> DataFrame:
     return commands.join(counts, "command_id", "left").withColumn("templates", F.coalesce("templates", F.lit(0).cast("long")))
 
 
+def header(frames: int, width: int) -> bytes:
+    return _HEAD.pack(frames, width)
+
+
 def encode_features(features) -> bytes:
     """Little-endian frames, width, then the values; nothing is zero frames of width zero."""
     frames = np.asarray(features, dtype="<f4") if features is not None and len(features) else np.zeros((0, 0), "<f4")
@@ -56,58 +63,122 @@ def decode_features(raw: bytes | None) -> list[list[float]]:
     return np.frombuffer(raw, "<f4", frames * width, _HEAD.size).reshape(frames, width).tolist()
 
 
-encode_udf = F.udf(encode_features, T.BinaryType(), useArrow=True)
-decode_udf = F.udf(decode_features, T.ArrayType(T.ArrayType(T.FloatType())), useArrow=True)
+def with_encoded(rows: DataFrame) -> DataFrame:
+    """`rows` with `raw` in place of `features`; whole Arrow batches are encoded, row by row only their slices."""
+    keep = [c for c in rows.columns if c != "features"]
 
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+            frames, at, out = lists.flatten(), 0, []
+            first, n_frames, sizes = 0, lists.value_lengths().fill_null(0).to_pylist(), frames.value_lengths().to_pylist()
+            for n in n_frames:
+                width = sizes[first] if n else 0
+                out.append(header(n, width) + flat[at : at + 4 * n * width])
+                first, at = first + n, at + 4 * n * width
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], names=[*keep, "raw"])
 
-class TemplateStore:
-    """Both tables under one folder.  A change writes a new version and then moves the pointer to it, so readers see
-    the old table or the new one."""
+    return rows.select("features", *keep).mapInArrow(run, _schema(rows, keep, "raw binary"))
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.folder}/{name}.versions"
+def with_decoded(rows: DataFrame) -> DataFrame:
+    """`rows` with `features` in place of `raw`."""
+    keep = [c for c in rows.columns if c != "raw"]
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
+    def run(batches):
+        kind = pa.list_(pa.list_(pa.float32()))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([decode_features(r) for r in batch.column(0).to_pylist()], kind)], names=[*keep, "features"])
 
+    return rows.select("raw", *keep).mapInArrow(run, _schema(rows, keep, "features array<array<float>>"))
+
+
+def _schema(rows: DataFrame, keep: list[str], more: str) -> str:
+    return ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [more])
+
+
+class Conflict(RuntimeError):
+    """Another writer was first, again and again."""
+
+
+class TemplateStore:
+    """Both tables under one folder.  A change writes new tables and then one version file that names both of them, under
+    a number that only one writer can get; a writer that comes second takes the other's tables and applies its
+    change to them.  So readers see a whole change or none of it, and no change is lost."""
+
+    TRIES = 20
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.versions = f"{self.folder}/versions"
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.versions).getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.versions).toUri(), conf)
+        self._no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+
+    def latest(self) -> tuple[int, dict[str, str]]:
+        """The last version's number and the folder of each table; 0 and none before the first change."""
+        folder = self._path(self.versions)
+        if not self._fs.exists(folder):
+            return 0, {}
+        numbers = [int(f.getPath().getName()[1:-5]) for f in self._fs.listStatus(folder) if f.getPath().getName().startswith("v")]
+        if not numbers:
+            return 0, {}
+        row = self.spark.read.json(f"{self.versions}/v{max(numbers):012d}.json").first()
+        return max(numbers), row.asDict()
+
+    def _table(self, state: dict[str, str], name: str) -> DataFrame:
+        schema = {"commands": COMMAND_SCHEMA, "templates": TEMPLATE_SCHEMA}[name]
+        return self.spark.read.schema(schema).parquet(state[name]) if state.get(name) else self.spark.createDataFrame([], schema)
+
+    def change(self, apply: Callable[[DataFrame, DataFrame], dict[str, DataFrame]]) -> int:
+        """Commit what `apply(commands, templates)` makes of the tables that it names; returns the version's number."""
+        for _ in range(self.TRIES):
+            n, state = self.latest()
+            new = dict(state)
+            for name, df in apply(self._table(state, "commands"), self._table(state, "templates")).items():
+                new[name] = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+                df.write.parquet(new[name])
+            if self._commit(n + 1, new):
+                return n + 1
+        raise Conflict(self.folder)
+
+    def _commit(self, n: int, state: dict[str, str]) -> bool:
+        waiting, target = self._path(f"{self.folder}/waiting-{uuid.uuid4().hex}"), self._path(f"{self.versions}/v{n:012d}.json")
+        self._fs.mkdirs(target.getParent())
+        out = self._fs.create(waiting, False)
+        out.write(json.dumps(state).encode())
+        out.close()
         try:
-            last = self.spark.read.parquet(self._pointer(name)).orderBy(F.desc("n")).first()
-        except AnalysisException:
-            last = None
-        if last is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(last.path)
-
-    def write(self, name: str, df: DataFrame) -> None:
-        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        try:
-            n = self.spark.read.parquet(self._pointer(name)).agg(F.max("n")).first()[0] + 1
-        except Exception as e:
-            if type(e).__name__ != "AnalysisException":
+            self._files.rename(waiting, target, self._no_overwrite)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
                 raise
-            n = 0
-        self.spark.createDataFrame([(n, path)], "n long, path string").write.mode("append").parquet(self._pointer(name))
+            self._fs.delete(waiting, False)
+            return False
+        return True
 
     def commands(self) -> DataFrame:
-        return self.read("commands", COMMAND_SCHEMA)
+        return self._table(self.latest()[1], "commands")
 
     def templates(self) -> DataFrame:
-        return self.read("templates", TEMPLATE_SCHEMA)
+        return self._table(self.latest()[1], "templates")
 
     def upsert_commands(self, rows: DataFrame) -> None:
-        self.write("commands", upsert(self.commands(), rows, "command_id"))
+        self.change(lambda commands, templates: {"commands": upsert(commands, rows, "command_id")})
 
     def add_templates(self, rows: DataFrame) -> None:
-        self.write("templates", upsert(self.templates(), rows, "template_id"))
+        self.change(lambda commands, templates: {"templates": upsert(templates, rows, "template_id")})
 
     def delete_commands(self, ids: DataFrame) -> None:
-        commands, templates = delete_command(self.commands(), self.templates(), ids)
-        self.write("templates", templates)
-        self.write("commands", commands)
+        self.change(lambda commands, templates: dict(zip(("commands", "templates"), delete_command(commands, templates, ids), strict=True)))
 
     def delete_templates(self, ids: DataFrame) -> None:
-        self.write("templates", delete_templates(self.templates(), ids))
+        self.change(lambda commands, templates: {"templates": delete_templates(templates, ids)})
+
+    def live(self, then: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
+        """A running stream that calls `then(commands, templates, epoch)` for the store as it is, and again after changes."""
+        changes = self.spark.readStream.schema("commands string, templates string").json(self.versions)
+        return changes.writeStream.foreachBatch(lambda _, epoch: then(self.commands(), self.templates(), epoch)).option("checkpointLocation", checkpoint)

@@ -59,7 +59,10 @@ def gate_step(level: float | None, floor: float, config: GateConfig) -> tuple[bo
 
 
 class Gate(StatefulProcessor):
-    """One floor and last sequence number a device; rows at or before that number are dropped as late."""
+    """One floor and last sequence number a device; rows at or before that number are dropped as late.
+
+    Columns beside device_id, seq and level go through as they are.
+    """
 
     def __init__(self, config: GateConfig):
         self.config = config
@@ -79,12 +82,15 @@ class Gate(StatefulProcessor):
             speech.append(said)
             floors.append(floor)
         self.state.update((float(floor), int(pdf["seq"].iloc[-1])))
-        yield pd.DataFrame({"device_id": key[0], "seq": pdf["seq"], "level": pdf["level"], "speech": speech, "floor": floors})
+        yield pdf.assign(device_id=key[0], speech=speech, floor=floors)
 
     def close(self) -> None:
         pass
 
 
 def gate_stream(levels: DataFrame, config: GateConfig = GateConfig()) -> DataFrame:
-    """The same over a stream of (device_id, seq, level); needs the RocksDB state store."""
-    return levels.groupBy("device_id").transformWithStateInPandas(Gate(config), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+    """The same over a stream of (device_id, seq, level) and perhaps more columns; needs the RocksDB state store."""
+    more = [f"`{f.name}` {f.dataType.simpleString()}" for f in levels.schema.fields if f.name not in ("device_id", "seq", "level")]
+    rows = levels.select("device_id", "seq", "level", *[c for c in levels.columns if c not in ("device_id", "seq", "level")])
+    schema = ", ".join(["device_id long, seq long, level double", *more, "speech boolean, floor double"])
+    return rows.groupBy("device_id").transformWithStateInPandas(Gate(config), outputStructType=schema, outputMode="Append", timeMode="None")

@@ -1,4 +1,4 @@
-"""Listening windows over a stream of frames, with a gap after each match, and the two-stage loop."""
+"""Listening windows over a stream of frames, with a gap after each match; the stages of a window are in `twostage`."""
 
 from __future__ import annotations
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillwave.functions import dtw
 from quillwave.functions.dtw import band_cells, distance, distance_expression
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
@@ -48,6 +49,32 @@ def test_expression_agrees_with_the_kernel(spark):
         assert r.d == want or abs(r.d - want) < 1e-9
 
 
+def test_tiles_and_other_metrics_give_the_same_distances(monkeypatch):
+    rng = np.random.default_rng(4)
+    left, right = rng.normal(size=(7, 9, 3)).astype("float32"), rng.normal(size=(5, 12, 3)).astype("float32")
+    whole = dtw.block_distances(left, right)
+    plain = lambda a, b: np.sqrt(((a - b).astype(np.float64) ** 2).sum(axis=-1))
+    assert np.allclose(dtw.block_distances(left, right, metric=plain), whole, rtol=1e-12)
+    monkeypatch.setattr(dtw, "TILE", 30)
+    assert (dtw.block_distances(left, right) == whole).all()
+    alone = [[distance(x, y) for y in right] for x in left]
+    assert np.array(alone) == pytest.approx(whole) or (np.isinf(whole) == np.isinf(alone)).all()
+
+
+def test_pairs_of_ragged_widths_and_parts_against_the_kernel(spark):
+    """Every pair of equal width once, whatever blocks and grid; with `within` only those that agree; any metric."""
+    rng = np.random.default_rng(5)
+    make = lambda i: rng.normal(size=(int(rng.integers(1, 9)), 2 + i % 2)).astype("float32").tolist()
+    q, t = [(i, f"c{i % 3}", make(i)) for i in range(40)], [(f"t{i}", f"c{i % 3}", i, make(i)) for i in range(50)]
+    qs = spark.createDataFrame([*q, (99, "c0", []), (98, "c1", None)], "query_id long, command_id string, features array<array<float>>").repartition(3)
+    ts = spark.createDataFrame(t, "template_id string, command_id string, created_at long, features array<array<float>>")
+    city = lambda a, b: np.abs(a - b).sum(axis=-1).astype(np.float64)
+    for within, metric in ((None, dtw.euclidean), ("command_id", city)):
+        want = {(a[0], b[0]): distance(a[2], b[3], metric=metric) for a in q for b in t if len(a[2][0]) == len(b[3][0]) and (not within or a[1] == b[1])}
+        rows = pair_distances(qs, ts, metric=metric, best_only=False, within=within).collect()
+        assert len(rows) == len(want) and all(r.distance == pytest.approx(want[r.query_id, r.template_id], rel=1e-6) for r in rows)
+
+
 A, B, GARBAGE = [[1.0, 0.0]] * 3, [[0.0, 1.0]] * 3, [[9.0, 9.0]] * 3
 
 

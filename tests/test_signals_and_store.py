@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from quillwave.config import CepstraConfig, EndpointConfig, GateConfig
 from quillwave.functions import cepstra as C
 from quillwave.functions.frames import framed, rms, segment, trim
+from quillwave.operators.enrol import numbered
+from quillwave.operators.recognise import audio_features, enrol_audio
 from quillwave.sources import actions, pcm, store
 from quillwave.streaming.gate import gate_batch, gate_fold, gate_step, gate_stream
-from quillwave.streaming.listen import listen_batch, next_windows
+from quillwave.streaming.listen import listen_batch, listen_stream, next_windows
+from quillwave.streaming.twostage import two_stage_batch, two_stage_stream
 
 
 def tone(hz, ms, amp=0.3, rate=16000):
@@ -72,6 +75,126 @@ def test_store_upsert_keeps_templates_and_delete_cascades(spark, tmp_path):
     assert {r.command_id: r.templates for r in counts} == {"a": 0, "b": 1}
 
 
+def test_store_changes_by_two_writers_are_both_kept(spark, tmp_path):
+    s = store.TemplateStore(spark, f"file://{tmp_path}/store")
+    row = lambda i: spark.createDataFrame([(i, i.upper(), "HOME")], store.COMMAND_SCHEMA)
+    s.upsert_commands(row("a"))
+    turns = []
+
+    def slow(commands, templates):
+        if not turns:  # another writer comes first
+            store.TemplateStore(spark, s.folder).upsert_commands(row("b"))
+        turns.append(commands.count())
+        return {"commands": store.upsert(commands, row("c"), "command_id")}
+
+    assert s.change(slow) == 3 and turns == [1, 2]
+    assert sorted(r.command_id for r in s.commands().collect()) == ["a", "b", "c"]
+
+
+def test_live_query_sees_changes(spark, tmp_path):
+    s, seen = store.TemplateStore(spark, f"file://{tmp_path}/store"), []
+    s.upsert_commands(spark.createDataFrame([("a", "A", "HOME")], store.COMMAND_SCHEMA))
+    running = s.live(lambda commands, templates, epoch: seen.append(sorted(r.command_id for r in commands.collect())), f"{tmp_path}/cp").start()
+    try:
+        running.processAllAvailable()
+        s.upsert_commands(spark.createDataFrame([("b", "B", "HOME")], store.COMMAND_SCHEMA))
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert seen == [["a"], ["a", "b"]]
+
+
+def test_codec_of_columns_agrees_with_the_functions(spark):
+    rows = [(1, [[1.5, -2.0], [3.0, 4.0]]), (2, []), (3, None), (4, [[0.25]])]
+    df = spark.createDataFrame(rows, "i int, features array<array<float>>")
+    raw = {r.i: bytes(r.raw) for r in store.with_encoded(df).collect()}
+    assert raw == {i: store.encode_features(f) for i, f in rows}
+    assert {r.i: r.features for r in store.with_decoded(store.with_encoded(df)).collect()} == {i: f or [] for i, f in rows}
+
+
+def test_published_epochs_are_written_once(spark, tmp_path):
+    sink = actions.publish(f"file://{tmp_path}/out")
+    batch = spark.createDataFrame([(1, "HOME"), (1, "HOME"), (2, "BACK")], "query_id long, action string")
+    for epoch in (0, 0, 1):
+        sink(batch.where("query_id = 2") if epoch else batch, epoch)
+    assert sorted((r.epoch, r.query_id) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [(0, 1), (0, 2), (1, 2)]
+
+
+def _wav(samples):
+    body = (np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
+
+
+def test_capture_stream_chops_recordings(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "7-0.wav").write_bytes(_wav(tone(440, 50)))
+    (tmp_path / "in" / "7-1.wav").write_bytes(_wav(tone(440, 20)))
+    q = pcm.capture_stream(spark, f"{tmp_path}/in", 20).writeStream.format("memory").queryName("captured").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.device_id, r.seq, len(r.samples)) for r in spark.table("captured").collect())
+    assert got == [(7, 0, 320), (7, 1, 320), (7, 2, 160), (7, 1 << 32, 320)]
+
+
+def test_audio_enrolment_gives_templates_or_reasons(spark):
+    pad = np.zeros(3200, "float32")
+    good = np.concatenate([pad, tone(440, 400), pad])
+    short = np.concatenate([pad, tone(440, 90), pad])
+    rows = [(1, "A", good, 16000), (2, "A", [], 16000), (3, "B", pad, 16000), (4, "B", good, 8000), (5, "B", short, 16000)]
+    df = spark.createDataFrame([(i, c, "NORMAL", [float(v) for v in x], r) for i, c, x, r in rows], "seq long, command_id string, condition string, samples array<float>, sample_rate_hz int")
+    templates, rejected = enrol_audio(df, min_frames=40)
+    assert [(r.template_id, r.command_id, r.created_at) for r in templates.collect()] == [("eval-1", "A", 1)]
+    assert {r.seq: r.reason for r in rejected.collect()} == {2: "TOO_SHORT", 3: "SILENT", 4: "WRONG_RATE", 5: "TOO_FEW_FRAMES"}
+
+
+def test_numbers_follow_the_order_whatever_the_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(7)
+    got = sorted((r.seq, r.k) for r in numbered(df, "k").collect())
+    assert got == [(i + 1, k) for i, k in enumerate(sorted(i * 7919 % 1009 for i in range(1000)))]
+
+
+def _two_stage_fixture(spark):
+    """Windows of two devices: silence, the wake word alone, a command after it, and noise that the gate stops."""
+    pad = np.zeros(3200, "float32")
+    wake, command = np.concatenate([pad, tone(300, 400), pad]), np.concatenate([pad, tone(1200, 400), pad])
+    windows = [(1, 0, pad), (1, 1, wake), (1, 2, command), (2, 0, command), (2, 1, wake), (2, 2, [])]
+    df = spark.createDataFrame([(d, s, [float(v) for v in x]) for d, s, x in windows], "device_id long, seq long, samples array<float>")
+    t = spark.createDataFrame([(1, "__wake__", "NORMAL", [float(v) for v in wake]), (2, "go", "NORMAL", [float(v) for v in command])], "seq long, command_id string, condition string, samples array<float>")
+    untrimmed = audio_features(t.where("seq = 1"), endpoint=None).select(F.lit("w").alias("template_id"), "command_id", "condition", F.col("seq").alias("created_at"), "features")
+    return df, untrimmed.unionByName(enrol_audio(t.where("seq = 2"))[0])
+
+
+def test_two_stages_let_only_woken_windows_through(spark, tmp_path):
+    windows, templates = _two_stage_fixture(spark)
+    got = {(r.device_id, r.seq): (r.wake, r.wake_reason, r.command_id, r.rejection) for r in two_stage_batch(windows, templates, 1.0).collect()}
+    assert got.keys() == {(1, 1), (1, 2), (2, 0), (2, 1)}  # silence and the empty window stop at the gate
+    assert got[1, 2] == (False, "BELOW_THRESHOLD", None, None) and got[2, 0][0] is False
+    assert got[1, 1][0] is True and got[1, 1][3] == "LOW_CONFIDENCE"  # it woke, and is none of the commands
+    wide = {(r.device_id, r.seq): r.command_id for r in two_stage_batch(windows, templates, 1000.0).collect()}
+    assert wide[1, 2] == "go" and wide[2, 0] == "go"
+    none = two_stage_batch(windows, templates.where("command_id = 'go'"), 1.0).collect()
+    assert {r.wake_reason for r in none} == {"NO_WAKE_ENROLLED"} and len(none) == 4
+    windows.where("seq < 2").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    windows.where("seq = 2").coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema(windows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    kept = templates.persist()
+    out = []
+    q = two_stage_stream(stream, lambda: kept, 1.0, lambda batch, epoch: out.extend(batch.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert {(r.device_id, r.seq): (r.wake, r.wake_reason, r.command_id, r.rejection) for r in out} == got
+
+
+def test_listening_stream_agrees_with_the_batch(spark, tmp_path):
+    rows = [(d, t, (t + d) % 1700 == 0) for d in (1, 2) for t in range(0, 9000, 100)]
+    df = spark.createDataFrame(rows, "device_id long, at_ms long, hit boolean")
+    want = sorted(tuple(r) for r in listen_batch(df).collect())
+    df.where("at_ms < 4000").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    df.where("at_ms >= 4000").coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = listen_stream(stream).writeStream.format("memory").queryName("listened").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.table("listened").collect()) == want
+
+
 def test_wav_source(spark, tmp_path):
     body = struct.pack("<4h", 0, 16384, -32768, 32767)
     head = b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(body))
