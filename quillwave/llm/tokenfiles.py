@@ -12,7 +12,8 @@ from their pieces' ids.  Where it folds case, texts in Latin letters alone are l
 alike, and a lower-case word, with or without a comma or full stop, is asked of the tokenizer's model directly.
 Probes of the tokenizer at hand tell which of these hold; one for which none holds gets whole texts.
 
-Null and empty texts have the end id alone.  Null ids come first; rows that share an id are ordered by text.  An empty table makes no file and no
+Null and empty texts have the end id alone.  Null ids come first; rows that share an id are
+ordered by a hash of the text, by which ranges may cut them too.  An empty table makes no file and no
 row.  Extra columns are ignored.
 """
 
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import rans
-from quillwave.llm.common import fresh_path, stash, tidy
+from quillwave.llm.common import TEXT_KEY, fresh_path, stash, text_key, tidy
 
 END_ID = 1
 SECTION_IDS = 1 << 19
 #: Pieces in either half of a worker's memory; a full young half becomes the old one, from which what is met again comes back.
-MEMO = 120_000
+MEMO = 250_000
 ENCODE_TOGETHER = 512
 #: Sections that a reading task decodes, one after another.
 SECTIONS_A_TASK = 8
@@ -209,8 +210,8 @@ def _write(folder: str, path: str):
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 256):
-                for doc, ids_of in zip(ids[lo : lo + 256], encoder(path).encode(texts.slice(lo, 256).to_pylist()), strict=True):
+            for lo in range(0, len(ids), 512):
+                for doc, ids_of in zip(ids[lo : lo + 512], encoder(path).encode(texts.slice(lo, 512).to_pylist()), strict=True):
                     doc_ids.append(doc)
                     packed.append(ids_of + end)
                     size += len(packed[-1]) // 2
@@ -228,7 +229,9 @@ def _write(folder: str, path: str):
 
 def write_files(documents: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Writes the files and returns the manifest: part, file, section, at, bytes, ids and start, a row a section."""
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first(), F.col(TEXT_KEY).asc()
+    keyed = documents.select("doc_id", "text", text_key(F.col("text")).alias(TEXT_KEY))
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = stash(ordered.mapInArrow(tidy(_write(folder, tokenizer)), "part int, file string, section long, at long, bytes long, ids long"), "manifest")
     totals = manifest.groupBy("part").agg(F.sum("ids").alias("_ids"))
     before = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
