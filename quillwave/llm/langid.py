@@ -79,19 +79,18 @@ def train(documents: DataFrame, seed: int = 11) -> crf.Crf | None:
 def _windows(batches):
     """Up to WINDOWS_PER_DOC windows of WINDOW words, spread over the text; a shorter text is repeated to fill one."""
     for batch in batches:
-        out = []
-        for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            low = crf.fold(raw)
-            starts, ends, _ = tk.word_bounds(low, np.array([0, len(low)]), crf.LETTERS)
-            n = len(starts)
-            if not n:
-                continue
-            firsts = sorted({int(x) for x in np.linspace(0, max(0, n - WINDOW), WINDOWS_PER_DOC)})
-            for at in firsts:
-                words = [low[starts[i % n] : ends[i % n]].tobytes().decode("utf-8", "replace") for i in range(at, at + WINDOW)]
-                out.append((doc, lang, " ".join(words)))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=["doc_id", "lang", "words"])
+        for first, upto in tk.slices(batch.column(2)):
+            out = []
+            for doc, lang, text in zip(*(c.to_pylist() for c in batch.slice(first, upto - first).columns), strict=True):
+                low = crf.fold(np.frombuffer(text.encode(), np.uint8))
+                starts, ends, _ = tk.word_bounds(low, np.array([0, len(low)]), crf.LETTERS)
+                n = len(starts)
+                if not n:
+                    continue
+                for at in sorted({int(x) for x in np.linspace(0, max(0, n - WINDOW), WINDOWS_PER_DOC)}):
+                    words = [low[starts[i % n] : ends[i % n]].tobytes().decode("utf-8", "replace") for i in range(at, at + WINDOW)]
+                    out.append((doc, lang, " ".join(words)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=["doc_id", "lang", "words"])
 
 
 def _predict(shared):

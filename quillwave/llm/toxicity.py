@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import common
@@ -41,6 +41,8 @@ THRESHOLD = 0.5
 PREFIX_BYTES = (4, 5, 6)
 NEAR_WORDS = 4
 TREES, DEPTH = 24, 4
+#: The share of the second fold that the trees are fitted on; the rest calibrates them.
+TRAINED = 0.6
 
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split()
@@ -140,6 +142,8 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     inner = np.zeros(len(data), dtype=bool)
     if len(data) > 2:
         inner[1:-1] = (symbol[1:-1] | ((data[1:-1] >= 0x30) & (data[1:-1] <= 0x39))) & _LETTER[low[:-2]] & _LETTER[low[2:]]
+        some = offsets[1:] > offsets[:-1]
+        inner[offsets[:-1][some]] = inner[offsets[1:][some] - 1] = False  # its neighbour is another text's
     capital = (data >= 0x41) & (data <= 0x5A)
     digit = (data >= 0x30) & (data <= 0x39)
     mark = tk.byte_class(b"!?.,;:")[data]
@@ -249,10 +253,11 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per
     if any((part, label) not in found or found[part, label].n < 2 for part in (False, True) for label in (0, 1)):
         return Model(None, None, None, share)
     lexicon = learn_lexicon(rows.where("fold < 5").select("text", "label"))
-    second = common.stash(with_features(rows.where("fold >= 5"), lexicon, ["label", "weight", "fold"]), "toxicity-features").withColumn("features", array_to_vector("features"))
-    ends = second.where("fold < 8"), second.where("fold >= 8")
-    if any(part.select("label").distinct().count() < 2 for part in ends):
-        ends = second, second
+    second = common.stash(with_features(rows.where("fold >= 5"), lexicon, ["label", "weight", "fold"]), "toxicity-features").withColumnRenamed("features", "dense")
+    # Of each class the last two fifths in a fixed order are for calibration; it has two rows at least, so both parts have one.
+    nth = F.percent_rank().over(Window.partitionBy("label").orderBy("fold", F.xxhash64("dense")))
+    second = common.stash(second.withColumn("nth", nth), "toxicity-parts").withColumn("features", array_to_vector("dense"))
+    ends = second.where(f"nth < {TRAINED}"), second.where(f"nth >= {TRAINED}")
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7).fit(ends[0])
     raw = trees.transform(ends[1]).select(vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"), "weight")
     return Model(lexicon, trees, IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(raw), share)
