@@ -8,14 +8,20 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from quillwave.llm import archives, crf, decontaminate, licenses, media, mixing, neardup, pii, rans, tokenfiles
+from quillwave.llm import archives, crf, decontaminate, langid, licenses, media, mixing, neardup, pii, rans, tokenfiles
 from quillwave.llm.components import components, star_groups
 from quillwave.llm.langid import identify
 from quillwave.llm.license_texts import NOTICES, all_notices
 from quillwave.llm.neardup import near_duplicates
+from quillwave.llm import quality as quality_module
+from quillwave.llm import textkernel as tk
+from quillwave.llm import toxicity as toxicity_module
 from quillwave.llm.quality import quality
 from quillwave.llm.toxicity import toxicity
 from quillwave.llm.toxicity import train as train_toxicity
@@ -367,12 +373,48 @@ def test_language_of_held_out_documents(spark):
     assert got >= 0.95
 
 
+def test_languages_against_a_word_by_word_model(spark):
+    """The whole query recounted: features of one word at a time, and forward-backward over each text in one piece."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).cache()
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    k, a, seen = len(model.labels), np.exp(model.transitions), {}
+
+    def emission(word):
+        if word not in seen:
+            raw = np.frombuffer(word, np.uint8)
+            number, _ = crf.word_features(raw, np.array([0]), np.array([len(raw)]), tk.span_hashes(raw, np.array([0]), np.array([len(raw)])), model.lexicon)
+            seen[word] = model.weights[number].sum(axis=0)
+        return seen[word]
+
+    for r in docs.collect():
+        low = crf.fold(np.frombuffer((r.text or "").encode(), np.uint8)).tobytes()
+        words = re.findall(rb"[a-z\x80-\xff]+", low)
+        if not words or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        e = [np.exp(x - x.max()) for x in map(emission, words)]
+        forward, state = [], np.ones(k) / k
+        for x in e:
+            state = (state @ a) * x
+            state = state / state.sum()
+            forward.append(state)
+        total, state = np.zeros(k), np.ones(k) / k
+        for x, f in zip(e[::-1], forward[::-1]):
+            p = f * state
+            total += p / p.sum()
+            state = a @ (x * state)
+            state = state / state.sum()
+        assert got[r.doc_id].lang_pred == model.labels[int(total.argmax())]
+        assert got[r.doc_id].score == pytest.approx(total.max() / len(words), abs=1e-6) and got[r.doc_id].n_words == len(words)
+
+
 def test_no_language_is_left_out(spark):
     """Seventy languages of words of their own; each held-out text gets its own."""
     rnd, rows = random.Random(14), []
     for k in range(70):
         words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
-        rows += [(k * 12 + i, f"l{k}", " ".join(rnd.choice(words) for _ in range(40))) for i in range(12)]
+        rows += [(k * 12 + i, f"l{k}", " ".join(rnd.choice(words) for _ in range(langid.WINDOW))) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     got = identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got), sum(r.lang == r.lang_pred for r in got) / len(got)
@@ -429,6 +471,20 @@ def test_a_full_memory_loses_nothing(monkeypatch):
 # Media
 
 
+def test_media_bytes_and_features_against_plain_code(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for r in media.media_columns(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        payload, length = media.payload_of(r.text)
+        stored = media.to_wav(payload, length)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.from_wav(stored) == (payload, length)
+        x = [b - 128 for b in payload]
+        told = dict(p.split("=") for p in r.feature.split(";"))
+        assert float(told["mean"]) == pytest.approx(sum(x) / len(x), abs=1e-3) and float(told["rms"]) == pytest.approx((sum(v * v for v in x) / len(x)) ** 0.5, abs=1e-3)
+        assert float(told["turns"]) == pytest.approx(sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:])) / (len(x) - 1), abs=1e-5)
+        power = sum(np.abs(np.fft.fft(np.array(x[i : i + 64], float))[:33]) ** 2 for i in range(0, len(x), 64))
+        assert int(told["peak"]) == int(power[1:].argmax()) + 1 or np.isclose(power[int(told["peak"])], power[1:].max(), rtol=1e-4)
+
+
 def test_media_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for r in media.media_columns(docs).join(docs, "doc_id").collect():
@@ -617,12 +673,108 @@ def test_toxicity_score_is_the_chance_in_the_whole_table(spark):
     assert 0.1 < score < 0.45
 
 
+def test_dense_features_against_a_plain_count():
+    """Every feature of every text, word by word and character by character."""
+    rnd = random.Random(21)
+    lexicon_words, beginnings = ["idiot", "moron", "trottel"], ["stupi", "idio"]
+    lexicon = toxicity_module.Lexicon(toxicity_module._sorted_hashes(lexicon_words), {4: toxicity_module._sorted_hashes(["idio"]), 5: toxicity_module._sorted_hashes(["stupi"]), 6: np.zeros(0, np.uint64)})
+    pieces = ["you", "YOU", "idiot", "Idiot!", "id1ot", "m0ron", "$tupid", "stupid", "stupidity", "a.b", "été", "ÉTÉ", "x-y", "42", "4you2", "tú", "!!", "..", "moron,", "@", "i*d", ""]
+    texts = [" ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30))) for _ in range(200)]
+    got = toxicity_module.features(*tk.text_bytes(pa.array(texts)), lexicon)
+    for text, row in zip(texts, got, strict=True):
+        raw = text.encode()
+        low = re.sub(rb"\xc3([\x80-\x96\x98-\x9e])", lambda m: b"\xc3" + bytes([m[1][0] + 0x20]), re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", low)
+        hit = [w.decode() in lexicon_words for w in words]
+        begins = [any(len(w) > len(b) and w.startswith(b.encode()) for b in beginnings) for w in words]
+        you = [w.decode() in toxicity_module.SECOND_PERSON for w in words]
+        near = [any(abs(i - j) <= 4 and i != j and you[j] for j in range(len(words))) for i in range(len(words))]
+        near = [(h or b) and n for h, b, n in zip(hit, begins, near)]
+        shown = re.findall(rb"[0-9a-z\x80-\xff@$]+", low)
+        table = bytes.maketrans("".join(toxicity_module.LOOKALIKES).encode(), "".join(toxicity_module.LOOKALIKES.values()).encode())
+        disguised = sum(w.translate(table) != w and w.translate(table).decode("utf-8", "replace") in lexicon_words for w in shown)
+        letter = lambda c: 0x61 <= c <= 0x7A or c >= 0x80
+        inner = sum(raw[i] in b"@$*#%&!._-^~+=|0123456789" and letter(low[i - 1]) and letter(low[i + 1]) for i in range(1, len(raw) - 1))
+        n, size = max(1, len(words)), max(1, len(raw))
+        count = lambda chars: sum(c in chars for c in raw) / size  # noqa: E731, B023
+        want = [
+            np.log1p(len(words)), sum(hit) / n, np.log1p(sum(hit)), sum(begins) / n, np.log1p(sum(begins)), disguised / n, np.log1p(disguised),
+            sum(near) / n, sum(you) / n, sum(65 <= c <= 90 for c in raw) / size, count(b"!?.,;:"), count(b"!"), count(b"@$*#%&!._-^~+=|"), count(b"0123456789"), inner / n, sum(map(len, words)) / n,
+        ]
+        assert row == pytest.approx(want), (text, dict(zip(toxicity_module.FEATURES, zip(row, want))))
+
+
+def test_toxicity_scores_follow_the_trees_and_the_calibration(spark):
+    """Recounted: the trees' probability of each text through a plain isotonic fit of the calibration rows."""
+    docs, labels = _marked(spark, lambda t, r: f"{t} you {r.choice(['idiot', 'moron'])} {t}" if r.random() < 0.7 else t, lambda t: f"{t} {t}")
+    model = train_toxicity(docs, labels)
+    bounds, values = np.array(model.calibration.boundaries.toArray()), np.array(model.calibration.predictions.toArray())
+    assert (np.diff(values) >= 0).all()
+    dense = toxicity_module.with_features(docs, model.lexicon, ["doc_id"]).withColumn("features", array_to_vector("features"))
+    raw = {r.doc_id: float(r.probability[1]) for r in model.trees.transform(dense).collect()}
+    rows = toxicity(docs, labels).collect()
+    assert all(r.score == pytest.approx(float(np.clip(np.interp(raw[r.doc_id], bounds, values), 0, 1))) and r.predicted == int(r.score >= 0.5) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_few_labelled_rows_of_a_class_are_enough(spark):
+    docs, labels = _marked(spark, lambda t, r: f"{t} you idiot {t}", lambda t: t)
+    few = labels.where("toxic = 0 OR doc_id < 60")
+    assert toxicity(docs, few).count() == docs.count()
+
+
+def test_quality_scores_against_plain_compression(spark):
+    """Recounted: every text piece by piece with either dictionary, then the isotonic function by interpolation."""
+    docs, labels = _marked(spark, lambda t, r: " ".join(f"{w}{r.choice(['%%%', '&&&'])}" for w in t.split()) * 40, lambda t: t)
+    model = quality_module.train(docs, labels)
+    sides = [zstandard.ZstdCompressor(level=quality_module.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in model.dictionaries]
+    bounds, values = np.array(model.calibration.boundaries.toArray()), np.array(model.calibration.predictions.toArray())
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality(docs, labels).collect():
+        cut = [text[r.doc_id][at : at + quality_module.PIECE].encode() for at in range(0, len(text[r.doc_id]), quality_module.PIECE)]
+        good, bad = (sum(len(side.compress(c)) for c in cut) for side in sides)
+        score = float(np.clip(np.interp((bad - good) / (bad + good), bounds, values), 0, 1))
+        assert r.score == pytest.approx(score) and r.predicted == int(score >= 0.3 - 1e-12)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = _marked(spark, lambda t, r: " ".join(f"{w}{r.choice(['%%%', '&&&', '$$$'])}" for w in t.split()), lambda t: t)
     rows = quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
 
 
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Every stage takes nulls in any column, repeated rows, clashing names and empty tables; null ids are judged like others."""
+    import corpus_pipeline as P
+
+    bad, junk = "you idiot " * 30, " ".join(f"w{i}" for i in range(60))
+    docs, labels = _marked(spark, lambda t, r: f"{t} you {r.choice(['idiot', 'moron'])} {t}", lambda t: f"{t} {t}")
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(None, bad), (None, junk), (9000, bad), (9000, junk), (9001, None), (None, None), (9002, ""), (None, item), (9003, item), (9004, junk), (9004, junk)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    more = {"lang": "string", "source": "string", "n_chars": "long", "features": "string", "score": "double", "times": "long", "_id": "string", "_n": "long", "node": "long", "slot": "int", "row": "string", "key": "string", "rid": "long", "hash": "long", "words": "string", "label": "string"}
+    whole = docs.unionByName(odd).select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in more.items()])
+    whole.select(docs.columns).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    before, kept = count(whole), {}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, whole, str(tmp_path))
+        assert out.columns == whole.columns, name
+        kept[name] = count(out)
+        assert stage(spark, whole.where("doc_id = -1"), str(tmp_path)).collect() == [], name
+    gone = {name: before - k for name, k in kept.items()}
+    assert {(None, bad), (9000, bad)} <= set(gone["toxicity"]) and (9000, junk) not in gone["toxicity"] and (None, junk) not in gone["toxicity"]
+    assert {(None, item), (9003, item)} <= set(gone["decontamination"]) and len(gone["decontamination"]) == 2
+    # Null ids link with nothing; 9004 is a copy of 9000's second text.
+    assert (9004, junk) in gone["near_dedup"] and not any(i is None for i, _ in gone["near_dedup"]) and (9000, junk) not in gone["near_dedup"]
+    assert not any(t in (None, "") for _, t in kept["mixing"]) and kept["mixing"]
+    last = P.STAGES[-1][1](spark, whole, str(tmp_path))
+    assert Counter(r.doc_id for r in last.collect()) == Counter(i for i, _ in before.elements())
+    assert P.STAGES[-1][1](spark, whole.where("doc_id = -1"), str(tmp_path)).collect() == []
+
+
 def test_pipeline_against_its_stages_by_hand(spark):
     """Each stage's decision is the operator's own, and the last one reads back what the mix kept."""
     import corpus_pipeline as P
