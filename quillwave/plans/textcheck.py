@@ -343,8 +343,6 @@ _MANIFEST_TESTS = [
     ("'no microphone type'", r"""NOT regexp_matches(body, 'android:foregroundServiceType\s*=\s*"[^"]*microphone')"""),
     ("'no permission'", "NOT contains(body, 'FOREGROUND_SERVICE_MICROPHONE')"),
 ]
-_COUNTS = " UNION ALL ".join(f"SELECT '{name}' AS \"check\", count(*) AS failures, count(*) = 0 AS passed FROM {sql}" for name, sql in (("placeholders", f"notes WHERE {_PLACE} IS NOT NULL"), ("links", f"notes WHERE {_UNSAFE} > 0"), ("decisions", f"notes WHERE NOT {_VERB}"), ("empty", "notes WHERE body IS NULL")))
-
 Check = tuple
 
 
@@ -352,10 +350,13 @@ def _read(source, then):
     return lambda s, d: then(source(s, d))
 
 
+#: The checks of a bundle, each a query below that gives a row a failure.
+BUNDLE = ("note_failures", "code_paths", "plan_failures", "dynamic_versions", "fixed_coordinates", "wrapper_failures", "manifest_failures", "unsafe_notes")
+
+
 def check_summary(s, d):
     """How often each of a bundle's checks fails, and which pass."""
-    n, body = notes(s, d), F.col("body")
-    return bundle({"placeholders": n.where(first_placeholder(body).isNotNull()), "links": n.where(unsafe_links(body) > 0), "decisions": n.where(~decides(body)), "empty": n.where(body.isNull())}, s)
+    return bundle({name: CHECKS[name][0](s, d) for name in BUNDLE}, s)
 
 
 CHECKS: dict[str, Check] = {
@@ -390,5 +391,6 @@ CHECKS: dict[str, Check] = {
         lambda s, d: s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", f"{_MAKER} AS maker").withColumn("family", maker_family(F.col("maker"))).join(guidance(s), "family").select("doc_id", "family", "step_no", "step", "package", "page"),
         f"SELECT doc_id, family, CAST(step_no AS INTEGER) AS step_no, step, package, page FROM (SELECT doc_id, {_FAMILY} AS fam FROM (SELECT doc_id, {_MAKER} AS maker FROM documents)) JOIN (VALUES {_STEP_ROWS}) g(family, step_no, step, package, page) ON family = fam",
     ),
-    "check_summary": (check_summary, f"{_NOTES} {_COUNTS}"),
+    "unsafe_notes": (_read(notes, lambda n: n.where(unsafe_links(F.col("body")) > 0).select("doc_id")), f"{_NOTES} SELECT doc_id FROM notes WHERE {_UNSAFE} > 0"),
 }
+CHECKS["check_summary"] = check_summary, " UNION ALL ".join(f"SELECT '{name}' AS \"check\", count(*) AS failures, count(*) = 0 AS passed FROM ({CHECKS[name][1]})" for name in BUNDLE)
