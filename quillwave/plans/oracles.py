@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillwave.plans.views import SECONDS_PER_ACCEPT, THRESHOLD
+from quillwave.sources import pcm
 from quillwave.sources.actions import ACTIONS
 
 _ACTION = "CASE label % 9 " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(ACTIONS)) + " END"
@@ -142,3 +143,11 @@ walk(device_id, window_id, start_ms, last, hits) AS (
   SELECT device_id, window_id + 1, start_ms + 1500 + CASE WHEN len(list_filter(hits, lambda h: h >= start_ms AND h < start_ms + 1500)) > 0 THEN 600 ELSE 0 END, last, hits FROM walk WHERE start_ms + 1500 <= last
 )
 SELECT device_id, window_id, start_ms, start_ms + 1500 AS end_ms, len(list_filter(hits, lambda h: h >= start_ms AND h < start_ms + 1500)) > 0 AS matched FROM walk WHERE start_ms + 1500 <= last"""
+
+
+_SPECS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS {'DOUBLE' if isinstance(x, float) else 'BIGINT'})" for x in row) + ")" for row in pcm.corpus_specs())
+SIGNALS = f"""WITH specs(seq, kind, truth, condition, f0, f1, amp, noise) AS (VALUES {_SPECS}),
+samples AS (SELECT *, i / 16000.0::DOUBLE AS t, ((i * i * {pcm.NOISE_SQUARE} + i * {pcm.NOISE_STEP} + seq * {pcm.NOISE_SEED}) % {pcm.NOISE_PRIME}) / CAST({pcm.NOISE_PRIME / 2} AS DOUBLE) - 1 AS jitter FROM specs, range({pcm.RATE * pcm.TONE_MS // 1000}) r(i)),
+waves AS (SELECT *, 2 * pi() * (f0 * t + (f1 - f0) * t * t / {2 * pcm.TONE_MS / 1000}::DOUBLE) AS phase FROM samples)
+SELECT seq, kind, truth, condition, n, round(CAST(CAST(sqrt(sum(power(CAST(CAST(amp * sin(phase) + 0.15::DOUBLE * amp * sin(2 * phase) + (noise + 0.003::DOUBLE) * jitter AS FLOAT) AS DOUBLE), 2)) / {pcm.RATE * (pcm.TONE_MS + 2 * pcm.PAD_MS) // 1000}) AS FLOAT) AS DOUBLE), 4) AS rms
+FROM waves, (SELECT CAST({pcm.RATE * (pcm.TONE_MS + 2 * pcm.PAD_MS) // 1000} AS INTEGER) AS n) GROUP BY seq, kind, truth, condition, n"""

@@ -475,7 +475,7 @@ def mfcc_delta_delta(s, d):
     return _flat(with_features(_pcm(s, d), CepstraConfig(sample_rate_hz=1000, filters=8, coefficients=6, delta=2), keep=["vec_id"]), 4)
 
 
-@query()
+@query(O.SIGNALS)
 def synthetic_signals(s, d):
     """The synthetic corpus in short: a row a signal."""
     x = synthetic_corpus(s)
@@ -485,7 +485,7 @@ def synthetic_signals(s, d):
 @query()
 def recognize_audio(s, d):
     """Audio to decisions over the synthetic corpus at the default parameters."""
-    corpus = synthetic_corpus(s).withColumn("seq", F.col("seq").cast("long"))
+    corpus = synthetic_corpus(s)
     templates, _ = R.enrol_audio(corpus.where("kind = 'enrol'").withColumn("command_id", F.col("truth")), prefix="t")
     asked = audio_features(corpus.where("kind <> 'enrol'")).select(F.col("seq").alias("query_id"), "features", "frame_count", "silent")
     return recognise(asked, templates).withColumn("distance", F.round(F.col("distance").cast("double"), 3)).withColumn("confidence", F.round("confidence", 3))

@@ -78,20 +78,29 @@ ENROL, POSITIVES, TIRED, NOISES, OFF_TARGET = 2, 3, 1, 6, 4
 TONE_MS, PAD_MS, RATE = 400, 200, 16_000
 
 
+#: Repeatable noise: a quadratic sequence modulo a prime, so that any engine with whole numbers makes the same.
+NOISE_PRIME, NOISE_SQUARE, NOISE_STEP, NOISE_SEED = 2_000_003, 48_271, 69_621, 1_299_709
+
+
 def _jitter(seed, i):
-    """Repeatable noise in [-1, 1) from a hash of the row's seed and the sample's place."""
-    return F.pmod(F.xxhash64(seed, i), F.lit(2_000_001)) / F.lit(1_000_000.0) - 1.0
+    """Noise in [-1, 1) by the row's seed and the sample's place."""
+    return F.pmod(i * i * NOISE_SQUARE + i * NOISE_STEP + seed * NOISE_SEED, F.lit(NOISE_PRIME)) / F.lit(NOISE_PRIME / 2) - 1.0
 
 
-def synthetic_corpus(spark: SparkSession) -> DataFrame:
-    """(seq, kind, truth, condition, samples): enrolment, positive and negative signals, made on the executors."""
+def corpus_specs() -> list[tuple]:
+    """(seq, kind, truth, condition, f0, f1, amp, noise) of each signal."""
     rows = []
     for name, f0, f1 in SWEEPS:
         rows += [("enrol", name, "NORMAL", f0, f1, 0.3, 0.0)] * ENROL
         rows += [("positive", name, "NORMAL", f0, f1, 0.3, 0.0)] * POSITIVES
         rows += [("positive", name, "TIRED", f0 * 0.95, f1 * 0.95, 0.22, 0.0)] * TIRED
     rows += [("negative", None, "NORMAL", 0.0, 0.0, 0.0, 0.25)] * NOISES + [("negative", None, "NORMAL", 2000.0, 2400.0, 0.3, 0.0)] * OFF_TARGET
-    specs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq int, kind string, truth string, condition string, f0 double, f1 double, amp double, noise double")
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+def synthetic_corpus(spark: SparkSession) -> DataFrame:
+    """(seq, kind, truth, condition, samples): enrolment, positive and negative signals, made on the executors."""
+    specs = spark.createDataFrame(corpus_specs(), "seq long, kind string, truth string, condition string, f0 double, f1 double, amp double, noise double")
     tone, pad = RATE * TONE_MS // 1000, RATE * PAD_MS // 1000
 
     def sample(i):
@@ -100,5 +109,5 @@ def synthetic_corpus(spark: SparkSession) -> DataFrame:
         return (F.col("amp") * F.sin(phase) + 0.15 * F.col("amp") * F.sin(2 * phase) + (F.col("noise") + 0.003) * _jitter(F.col("seq"), i)).cast("float")
 
     quiet = F.array_repeat(F.lit(0.0).cast("float"), pad)
-    body = F.transform(F.sequence(F.lit(0), F.lit(tone - 1)), sample)
+    body = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(tone - 1).cast("long")), sample)
     return specs.repartition(4).select("seq", "kind", "truth", "condition", F.concat(quiet, body, quiet).alias("samples"))
