@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwave.llm.common import BROADCAST_IDS, TEXT_KEY, stash, text_key
+from quillwave.llm.common import BROADCAST_IDS, TEXT_KEY, stash
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -44,6 +44,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _row_key() -> Column:
+    """A hash of what is taken alike besides the id: source and text."""
+    return F.xxhash64(F.col("source").isNull(), "source", "text")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """`sizes`: (source, source_size), a row a source.  Adds sid (its place by code point), weight and target double."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -102,7 +107,7 @@ def _occurrences(documents: DataFrame, block_words: int) -> tuple[DataFrame, Dat
 
     An occurrence has its source and place, which round it is of, the words taken, its blocks and its first slot.
     """
-    sized = stash(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_key(F.col("text")).alias(TEXT_KEY)), "sizes")
+    sized = stash(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _row_key().alias(TEXT_KEY)), "sizes")
     shares = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     n_rows, n_words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     small = shares.count() <= BROADCAST_SOURCES
@@ -143,12 +148,12 @@ def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS) -> Dat
     stretches of the mix in order, and so do the files written of them.
     """
     _, placed, taken = _occurrences(documents, block_words)
-    whole = taken.join(placed.select("sid", "place", "doc_id", F.col("source").alias("of"), "size", TEXT_KEY), ["sid", "place"]).where("2 * taken >= size")
-    slots = whole.groupBy("doc_id", "of", TEXT_KEY, "round").agg(F.min("first_slot").alias("slot"))
-    slots = stash(slots.select(F.col("doc_id").alias("id"), "of", F.col(TEXT_KEY).alias("key"), "slot"), "slots")
+    whole = taken.join(placed.select("sid", "place", "doc_id", "size", TEXT_KEY), ["sid", "place"]).where("2 * taken >= size")
+    slots = whole.groupBy("doc_id", TEXT_KEY, "round").agg(F.min("first_slot").alias("slot"))
+    slots = stash(slots.select(F.col("doc_id").alias("id"), F.col(TEXT_KEY).alias("key"), "slot"), "slots")  # rows of three numbers
     # Only these names are free of the documents' own, whatever their columns are called.
-    rows = documents.select(F.struct("*").alias("row"), "doc_id", "source", text_key(F.col("text")).alias("key_of"))
-    match = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("key_of") == F.col("key"))
+    rows = documents.select(F.struct("*").alias("row"), "doc_id", _row_key().alias("key_of"))
+    match = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key_of") == F.col("key"))
     met = rows.join(F.broadcast(slots) if slots.count() <= BROADCAST_IDS else slots, match).select("row", "slot")
     return met.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
 
