@@ -174,12 +174,16 @@ def test_the_gate_loses_no_disguise():
 
 
 def test_notices_are_found_with_their_spans(spark):
-    rows = [(i, f"Some words before é\n{t} and more after.") for i, t in enumerate(NOTICES.values())]
+    """Every notice, whole licences too, amid other words; a notice within a licence is not told apart from it."""
+    notices = all_notices()
+    assert len(notices) == len(NOTICES) + 8 and all(len(t.split()) > 900 for n, t in notices.items() if n not in NOTICES)
+    rows = [(i, f"Some words before é\n{t} and more after.") for i, t in enumerate(notices.values())]
     for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        name = list(NOTICES)[r.doc_id]
+        name = list(notices)[r.doc_id]
         assert [(m.license, m.coverage) for m in r.matches] == [(name, 1.0)]
         cut = rows[r.doc_id][1][r.matches[0].start : r.matches[0].end]
-        assert NOTICES[name].startswith(cut[:20])
+        first, last = re.findall("[A-Za-z0-9]+", notices[name])[:: len(re.findall("[A-Za-z0-9]+", notices[name])) - 1]
+        assert cut.startswith(first) and cut.endswith(last) and cut in notices[name]
 
 
 def test_alignment_bears_changed_and_missing_words():
