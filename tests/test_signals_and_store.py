@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillwave.config import CepstraConfig, EndpointConfig, GateConfig
+from quillwave.config import CepstraConfig, GateConfig
 from quillwave.functions import cepstra as C
 from quillwave.functions.frames import framed, rms, segment, trim
 from quillwave.operators.enrol import numbered
