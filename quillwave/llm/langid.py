@@ -5,8 +5,8 @@ is known; every second training sequence is spliced from two windows of differen
 transitions are learned from.  A text's language is the one with the largest sum of word posteriors; the score is
 its share of that sum.
 
-Bounds: `DOCS_PER_LANG` documents a language and `WINDOWS_PER_DOC` windows of each, `LEXICON_SIZE` words in the
-lexicon.  All languages are learned; training time grows with the cube of their number.  Prediction reads every whole text once.
+Bounds: `DOCS_PER_LANG` documents a language and `WINDOWS_PER_DOC` windows of each, `WINDOWS` windows in all,
+`LEXICON_SIZE` words in the lexicon.  All languages are learned; training time grows with the square of their number.  Prediction reads every whole text once.
 
 Null texts and texts without letters are `und` with score 0.  Without any labelled document all texts are `und`.
 Repeated rows give a row each; rows with a null id are predicted and count as not held out.  Extra columns are
@@ -26,6 +26,8 @@ from quillwave.llm import textkernel as tk
 DOCS_PER_LANG = 500
 WINDOW = 32
 WINDOWS_PER_DOC = 3
+#: Windows in all; with very many languages each has fewer, but `LEAST_WINDOWS` where it has as many.
+WINDOWS, LEAST_WINDOWS = 20_000, 30
 LEXICON_SIZE = 4096
 LEXICON_MIN_COUNT = 8
 NO_LANGUAGE = "und"
@@ -55,7 +57,8 @@ def train(documents: DataFrame, seed: int = 11) -> crf.Crf | None:
     if not by_lang:
         return None
     labels = sorted(by_lang)
-    texts = [(w, labels.index(lang)) for lang in labels for w in by_lang[lang]]
+    most = max(LEAST_WINDOWS, WINDOWS // len(labels))
+    texts = [(w, i) for i, lang in enumerate(labels) for w in by_lang[lang][:: -(-len(by_lang[lang]) // most)]]
     low, starts, ends, known, number, cut = _distinct(pa.array([t for t, _ in texts]))
     count = np.bincount(number, minlength=len(known))
     often = np.flatnonzero(count >= LEXICON_MIN_COUNT)
