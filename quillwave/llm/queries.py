@@ -13,6 +13,8 @@ from quillwave.llm.media import media_columns
 from quillwave.llm.neardup import ORACLE as _NEAR_ORACLE
 from quillwave.llm.neardup import near_duplicates
 from quillwave.llm.pii import pii_digest
+from quillwave.llm.prefixtrie import ORACLE as _TRIE_ORACLE
+from quillwave.llm.prefixtrie import prefix_trie
 from quillwave.llm.quality import quality
 from quillwave.llm.tokenfiles import token_files
 from quillwave.llm.toxicity import toxicity
@@ -58,6 +60,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_licenses": op2_licenses,
@@ -69,10 +75,12 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": _mixing.ORACLE,
     "op6_decontamination": _decontaminate.ORACLE,
     "op10_near_duplicates": _NEAR_ORACLE,
+    "op11_prefix_trie": _TRIE_ORACLE,
 }
