@@ -16,6 +16,8 @@ from quillwave.llm.pii import pii_digest
 from quillwave.llm.prefixtrie import ORACLE as _TRIE_ORACLE
 from quillwave.llm.prefixtrie import prefix_trie
 from quillwave.llm.quality import quality
+from quillwave.llm.substrings import ORACLE as _REPEATS_ORACLE
+from quillwave.llm.substrings import without_repeats
 from quillwave.llm.tokenfiles import token_files
 from quillwave.llm.toxicity import toxicity
 
@@ -64,6 +66,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_licenses": op2_licenses,
@@ -76,6 +82,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_substrings": op13_substrings,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": _decontaminate.ORACLE,
     "op10_near_duplicates": _NEAR_ORACLE,
     "op11_prefix_trie": _TRIE_ORACLE,
+    "op13_substrings": _REPEATS_ORACLE,
 }

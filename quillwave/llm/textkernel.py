@@ -155,3 +155,29 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndar
 def whole_hash(words: np.ndarray) -> np.uint64:
     """The hash of a sequence shorter than a shingle, taken as one."""
     return shingle_hashes(words, np.zeros(len(words), np.int64), len(words))[0][0]
+
+
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of words[start:end] for each run of word hashes, by prefix sums as in `span_hashes`."""
+    n = len(words)
+    power, inverse = _power_tables(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(words * power[:n], dtype=np.uint64, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U(0x9FB21C651E98DF25))
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k words in a row (k up to 8), across rows too."""
+    n = len(words) - k + 1
+    total = np.full(max(n, 0), k * 0x2545F4914F6CDD1D & (1 << 64) - 1, dtype=np.uint64)
+    for i in range(k if n > 0 else 0):
+        total += words[i : i + n] * _SHINGLE[i]
+    return mix(total)
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each `width` values in a row."""
+    out, reach = values, 1
+    while 2 * reach <= width:
+        out, reach = np.minimum(out[:-reach], out[reach:]), 2 * reach
+    return np.minimum(out[: len(out) - (width - reach)], out[width - reach :]) if reach < width else out
