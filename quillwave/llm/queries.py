@@ -12,6 +12,8 @@ from quillwave.llm.licenses import license_digest
 from quillwave.llm.media import media_columns
 from quillwave.llm.neardup import ORACLE as _NEAR_ORACLE
 from quillwave.llm.neardup import near_duplicates
+from quillwave.llm.phrases import ORACLE as _PHRASES_ORACLE
+from quillwave.llm.phrases import collocations
 from quillwave.llm.pii import pii_digest
 from quillwave.llm.prefixtrie import ORACLE as _TRIE_ORACLE
 from quillwave.llm.prefixtrie import prefix_trie
@@ -66,6 +68,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_phrases": op12_phrases,
     "op13_substrings": op13_substrings,
 }
 
@@ -90,5 +97,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": _decontaminate.ORACLE,
     "op10_near_duplicates": _NEAR_ORACLE,
     "op11_prefix_trie": _TRIE_ORACLE,
+    "op12_phrases": _PHRASES_ORACLE,
     "op13_substrings": _REPEATS_ORACLE,
 }
