@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +71,29 @@ def segment(samples: Column, rate_hz: int, config: EndpointConfig = EndpointConf
     return let(F.transform(framed(samples, length, shift), rms), found)
 
 
+def frame_levels(x: np.ndarray, length: int, shift: int) -> np.ndarray:
+    """`rms` of the frames that fit whole, in numpy, summed in the same order."""
+    n = (len(x) - length) // shift + 1 if len(x) >= length else 0
+    frames = x.astype(np.float64)[np.arange(n)[:, None] * shift + np.arange(length)]
+    return np.sqrt(np.cumsum(frames * frames, axis=1)[:, -1] / length).astype(np.float32) if n else np.zeros(0, np.float32)
+
+
+def speech_bounds(x: np.ndarray, rate_hz: int, config: EndpointConfig = EndpointConfig()) -> tuple[int, int] | None:
+    """`segment` of one signal in numpy, for tasks that hold it as an array."""
+    length, shift = rate_hz * config.frame_ms // 1000, rate_hz * config.shift_ms // 1000
+    least, hang = -(-config.min_speech_ms // config.shift_ms), config.hangover_ms // config.shift_ms
+    levels = frame_levels(x, length, shift)
+    if not len(levels):
+        return None
+    low = np.sort(levels)[int(config.percentile * (len(levels) - 1))]
+    loud = levels >= max(np.float32(np.float64(low) * config.ratio), np.float32(config.floor))
+    counts = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(loud, least).all(axis=1)) if len(loud) >= least else []
+    if not len(counts):
+        return None
+    start, last = max(0, counts[0] - hang), min(len(levels) - 1, counts[-1] + least - 1 + hang)
+    return int(start * shift), int(min(last * shift + length, len(x)))
+
+
 def trim(samples: Column, found: Column) -> Column:
     """The samples of a segment; none where it is null."""
     cut = lambda f: F.when(f.isNotNull(), F.slice(samples, f["start_sample"] + 1, f["end_sample"] - f["start_sample"])).otherwise(F.array().cast("array<float>"))

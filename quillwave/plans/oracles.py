@@ -145,6 +145,26 @@ walk(device_id, window_id, start_ms, last, hits) AS (
 SELECT device_id, window_id, start_ms, start_ms + 1500 AS end_ms, len(list_filter(hits, lambda h: h >= start_ms AND h < start_ms + 1500)) > 0 AS matched FROM walk WHERE start_ms + 1500 <= last"""
 
 
+LOOP = """WITH RECURSIVE ev AS (SELECT user_id AS device_id, event_id * 50 AS tick, CAST(value AS FLOAT) AS v, event_type, event_id FROM events),
+puts AS (SELECT * FROM (SELECT *, min(CASE WHEN event_type = 'error' THEN tick END) OVER (PARTITION BY device_id ORDER BY tick ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS gone FROM ev) WHERE event_type = 'signup'),
+devices AS (SELECT device_id, min(tick) AS first, max(tick) AS last, list({'tick': tick, 'v': v} ORDER BY tick) AS fr FROM ev GROUP BY device_id),
+stored AS (SELECT device_id, list({'put': tick, 'gone': gone, 't': v, 'c': 'c' || event_id % 3, 'made': event_id, 'id': 't' || event_id}) AS ts FROM puts GROUP BY device_id),
+walk(device_id, place, number, idle, start, idle_steps, heard, near, is_window) AS (
+  SELECT device_id, first, CAST(0 AS BIGINT), CAST(0 AS BIGINT), first, CAST(0 AS BIGINT), false, CAST(NULL AS STRUCT(d FLOAT, c VARCHAR, made BIGINT, id VARCHAR)), false FROM devices
+  UNION ALL
+  SELECT device_id, CASE WHEN NOT alive THEN place + 800 WHEN near.d <= 2 THEN place + 2100 ELSE place + 1500 END, number + CASE WHEN alive THEN 1 ELSE 0 END, CASE WHEN alive THEN 0 ELSE idle + 1 END, place, idle, peak IS NOT NULL, near, alive
+  FROM (
+    SELECT *, len(live) > 0 AS alive, CASE WHEN peak IS NOT NULL THEN list_sort(list_transform(live, lambda t: {'d': CAST(abs(CAST(peak - t.t AS DOUBLE)) / 2 AS FLOAT), 'c': t.c, 'made': t.made, 'id': t.id}))[1] END AS near
+    FROM (
+      SELECT w.device_id, w.place, w.number, w.idle, d.last, list_filter(coalesce(ts, []), lambda t: t.put <= w.place AND (t.gone IS NULL OR t.gone > w.place)) AS live,
+        list_max(list_transform(list_filter(fr, lambda f: f.tick >= w.place AND f.tick < w.place + 1500), lambda f: f.v)) AS peak
+      FROM walk w JOIN devices d ON d.device_id = w.device_id LEFT JOIN stored s ON s.device_id = w.device_id))
+  WHERE place + CASE WHEN alive THEN 1500 ELSE 800 END <= last
+)
+SELECT device_id, number - 1 AS window_id, start, start + 1500 AS "end", idle_steps, CASE WHEN near.d <= 2 THEN 'MATCH' ELSE 'NO_MATCH' END AS kind, near.c AS command_id, near.id AS template_id, round(CAST(near.d AS DOUBLE), 5) AS distance,
+  CASE WHEN NOT heard THEN 'EMPTY_INPUT' WHEN near.d > 2 THEN 'BELOW_CONFIDENCE' END AS reason FROM walk WHERE is_window"""
+
+
 _SPECS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS {'DOUBLE' if isinstance(x, float) else 'BIGINT'})" for x in row) + ")" for row in pcm.corpus_specs())
 SIGNALS = f"""WITH specs(seq, kind, truth, condition, f0, f1, amp, noise) AS (VALUES {_SPECS}),
 samples AS (SELECT *, i / 16000.0::DOUBLE AS t, ((i * i * {pcm.NOISE_SQUARE} + i * {pcm.NOISE_STEP} + seq * {pcm.NOISE_SEED}) % {pcm.NOISE_PRIME}) / CAST({pcm.NOISE_PRIME / 2} AS DOUBLE) - 1 AS jitter FROM specs, range({pcm.RATE * pcm.TONE_MS // 1000}) r(i)),

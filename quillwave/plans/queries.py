@@ -26,6 +26,7 @@ from quillwave.shared import stash
 from quillwave.sources.pcm import chopped, synthetic_corpus
 from quillwave.streaming.gate import gate_batch
 from quillwave.streaming.listen import listen_batch
+from quillwave.streaming.loop import PeakDecision, loop_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -562,6 +563,13 @@ def listen_refractory(s, d):
     return listen_batch(events.select(F.col("user_id").alias("device_id"), (F.col("event_id") * 50).alias("at_ms"), (F.col("value") > 90).alias("hit")))
 
 
+@query(O.LOOP)
+def listen_loop(s, d):
+    """Windows that are decided as they fill, with templates that come and go; a match or their absence moves the next one."""
+    made = loop_batch(views.loop_rows(s, d), PeakDecision(MatchConfig(threshold=2.0)))
+    return made.select("device_id", "window_id", "start", "end", "idle_steps", "kind", "command_id", "template_id", F.round(F.when(F.col("distance") < F.lit(float("inf")), F.col("distance").cast("double")), 5).alias("distance"), "reason")
+
+
 @query(f"WITH {O.PCM} SELECT vec_id AS device_id, CAST(i AS INTEGER) AS seq, CAST(CASE WHEN i = 3 THEN 4 ELSE 20 END AS INTEGER) AS n FROM pcm, range(4) r(i)")
 def capture_frames(s, d):
     return chopped(_pcm(s, d).withColumnRenamed("vec_id", "device_id"), 20).select("device_id", "seq", F.size("samples").alias("n"))

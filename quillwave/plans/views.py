@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwave.sources.actions import ACTIONS
@@ -65,3 +65,15 @@ def small_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("device_id"), F.col("event_id").alias("seq"), F.col("value").alias("level"))
+
+
+def loop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings for the listening loop; a signup puts a template of its value, which goes at the device's next error."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("device_id"), (F.col("event_id") * 50).alias("at"), F.col("value").cast("float").alias("v"), "event_type", "event_id")
+    after = Window.partitionBy("device_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    puts = events.withColumn("gone", F.min(F.when(F.col("event_type") == "error", F.col("at"))).over(after)).where("event_type = 'signup'")
+    nothing = {"samples": "array<float>", "change": "string", "template_id": "string", "command_id": "string", "created_at": "long", "features": "array<array<float>>"}
+    row = lambda at, **told: ["device_id", at.alias("at"), at.alias("upto"), *[told.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in nothing.items()]]
+    named = F.concat(F.lit("t"), F.col("event_id").cast("string"))
+    put = row(F.col("at"), change=F.lit("put"), template_id=named, command_id=F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")), created_at=F.col("event_id"), features=F.array(F.array("v")))
+    return events.select(*row(F.col("at"), samples=F.array("v"))).union(puts.select(*put)).union(puts.where("gone IS NOT NULL").select(*row(F.col("gone"), change=F.lit("drop"), template_id=named)))
