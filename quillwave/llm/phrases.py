@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,11 @@ COVERED = (50, 100)
 SCALE = 1_000_000
 #: Bytes of pieces that a task folds at a time, and duckdb's memory.
 CHUNK_BYTES, MEMORY = 8 << 20, "256MB"
+LANGUAGES = 1 << 16
 _WORD = ~tk.byte_class([0x20])
-_BLOCK = pa.schema([("lang", pa.string()), ("gram", pa.large_string()), ("weight", pa.int64())])
+_BLOCK = pa.schema([("lang", pa.uint16()), ("gram", pa.string()), ("weight", pa.int64())])
+#: Grams whose letters are copied at a time.
+SPANS = 1 << 15
 #: Parts in which a language is ranked first.
 RANK_PARTS = 64
 
@@ -51,33 +55,43 @@ def pieces(documents: DataFrame) -> DataFrame:
     return split.select("lang", clean.alias("piece")).where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("weight"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Array]]:
+    """Rows of about `CHUNK_BYTES` and their languages, of which a chunk has no more than a block can number."""
+
+    def chunk() -> Iterator[tuple[pa.Table, pa.Array]]:
+        table = pa.Table.from_batches(held)
+        languages = table.column("lang").unique()
+        for lo in range(0, len(languages), LANGUAGES):
+            some = languages.slice(lo, LANGUAGES)
+            yield (table if len(languages) <= LANGUAGES else table.filter(pc.is_in(table.column("lang"), some))), some
+
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
         if size >= CHUNK_BYTES:
-            yield pa.Table.from_batches(held)
+            yield from chunk()
             held, size = [], 0
     if held:
-        yield pa.Table.from_batches(held)
+        yield from chunk()
 
 
-def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeStringArray:
-    """data[start:end] as strings."""
-    sizes = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    copied = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(copied))
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.ChunkedArray:
+    """data[start:end] as strings, copied in chunks."""
+    out = []
+    for lo in range(0, len(starts), SPANS):
+        first, sizes = starts[lo : lo + SPANS], ends[lo : lo + SPANS] - starts[lo : lo + SPANS]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        copied = data[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        out.append(pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(copied)))
+    return pa.chunked_array(out, pa.string())
 
 
-def folded(table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
-    """For each length of grams: their hashes, and their (lang, gram, weight), each once but for clashing hashes."""
-    lang = table.column("lang").combine_chunks().dictionary_encode()
-    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
-    names, offsets = tk.text_bytes(lang.dictionary)
+def folded(table: pa.Table, languages: pa.Array) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """For each length of grams: their hashes, and their (place of lang, gram, weight), each once but for clashing hashes."""
+    names, offsets = tk.text_bytes(languages)
     lang_hash = tk.span_hashes(names, offsets[:-1], offsets[1:])
-    code, weight = lang.indices.to_numpy(), table.column("weight").to_numpy()
+    code, weight = pc.index_in(table.column("lang"), languages).to_numpy(), table.column("weight").to_numpy()
     data, offsets = tk.text_bytes(table.column("piece"))
     starts, ends, rows = tk.word_bounds(data, offsets, _WORD)
     words = tk.span_hashes(data, starts, ends)
@@ -94,14 +108,14 @@ def folded(table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
         cut = np.flatnonzero(new)
         total = np.add.reduceat(weight[own], cut)
         at, n_lang = first[cut], code[own[cut]]
-        yield hashes[cut], pa.table([lang.dictionary.take(pa.array(n_lang)), spans(data, starts[at], ends[at + n - 1]), pa.array(total)], schema=_BLOCK)
+        yield hashes[cut], pa.table([pa.array(n_lang.astype(np.uint16)), spans(data, starts[at], ends[at + n - 1]), pa.array(total)], schema=_BLOCK)
 
 
 def _dealt(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for table in _chunks(batches):
-            for hashes, grams in folded(table):
+        for table, languages in _chunks(batches):
+            for hashes, grams in folded(table, languages):
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 grams, bounds = grams.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -109,7 +123,7 @@ def _dealt(buckets: int):
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, _BLOCK, options=options) as out:
                         out.write_table(grams.slice(bounds[b], bounds[b + 1] - bounds[b]))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "block"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([languages.to_pylist()], pa.list_(pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "languages", "block"])
 
     return run
 
@@ -123,8 +137,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     try:
         con.execute("CREATE TABLE grams (lang VARCHAR, gram VARCHAR, weight BIGINT)")
         for batch in batches:
-            for block in batch.column(1):
+            for languages, block in zip(batch.column(1), batch.column(2), strict=True):
                 held = pa.ipc.open_stream(block.as_buffer()).read_all()
+                held = held.set_column(0, "lang", languages.values.take(held.column("lang")))
                 con.register("held", held)
                 con.execute("INSERT INTO grams SELECT * FROM held")
                 con.unregister("held")
@@ -141,7 +156,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gram_counts(documents: DataFrame) -> DataFrame:
     """(lang, gram, f) of all n-grams of up to `WORDS` words that occur `LEAST` times; gram '' has parts of the words in all."""
     buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = pieces(documents).mapInArrow(tidy(_dealt(buckets)), "bucket int, block binary")
+    blocks = pieces(documents).mapInArrow(tidy(_dealt(buckets)), "bucket int, languages array<string>, block binary")
     return stash(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(_counted), "lang string, gram string, f long"), "gram-counts")
 
 
