@@ -87,6 +87,71 @@ def _tile(left: np.ndarray, right: np.ndarray, cells: list[list[int]], metric: M
     return before[m] / (n + m)
 
 
+def lower_bounds(left: np.ndarray, right: np.ndarray, cells: list[list[int]]) -> np.ndarray:
+    """What the Euclidean path cost of each pair is at least, of sequences as in `block_distances`: (a, b) float64.
+
+    A path has a cell in every row, within the columns that the row may use.  So each row costs at least the distance of its
+    frame from the box around the frames of those columns.  Rounding is monotone, so the bound holds to the last bit
+    of the differences; only sums differ in their order.  Rows without columns make a pair unreachable, at no bound.
+    """
+    (a, n, width), (b, m, _) = left.shape, right.shape
+    total, square, low, high = np.zeros((a, b)), np.empty((a, b)), np.empty((a, b), np.float32), np.empty((a, b), np.float32)
+    by_value = np.ascontiguousarray(left.transpose(1, 2, 0))
+    for i, columns in enumerate(cells):
+        if not columns:
+            continue
+        some = right[:, columns[0] : columns[-1] + 1]
+        least, most = np.ascontiguousarray(some.min(axis=1).T), np.ascontiguousarray(some.max(axis=1).T)
+        square.fill(0)
+        for k in range(width):
+            np.subtract(by_value[i, k][:, None], most[k][None, :], out=high)
+            np.subtract(least[k][None, :], by_value[i, k][:, None], out=low)
+            np.maximum(high, low, out=high)
+            np.maximum(high, 0, out=high)
+            square += np.multiply(high, high, dtype=np.float64)
+        total += np.sqrt(square, out=square)
+    return total / (n + m)
+
+
+#: Pairs listed one by one are abandoned where this factor on the best distance is passed: far over what rounding can do.
+SLACK = 1 + 1e-5
+#: Values of a batch of listed pairs, and rows between two looks at what can be abandoned.
+LISTED, LOOK = 1 << 22, 4
+
+
+def listed_distances(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols: np.ndarray, cells: list[list[int]], limits: np.ndarray) -> np.ndarray:
+    """The distances of listed pairs, bit for bit those of `block_distances`; infinite where a pair is sure to pass its limit.
+
+    Every path crosses every row, so a pair whose row minimum is over the limit is abandoned there.
+    """
+    (_, n, width), m = left.shape, right.shape[1]
+    out = np.full(len(rows), np.inf)
+    step = max(1, LISTED // ((n + m) * width + 2 * m + 2))
+    for lo in range(0, len(rows), step):
+        own = np.arange(lo, min(len(rows), lo + step))
+        x, y = np.ascontiguousarray(left[rows[own]].transpose(1, 2, 0)), np.ascontiguousarray(right[cols[own]].transpose(1, 2, 0))
+        bound = limits[own] * SLACK * (n + m)
+        before, now = (np.full((m + 1, len(own)), np.inf) for _ in range(2))
+        before[0], used = 0.0, (0, 1)
+        for i, columns in enumerate(cells):
+            for j in columns:
+                total = np.zeros(len(own))
+                for k in range(width):
+                    d = x[i, k] - y[j, k]
+                    total += np.multiply(d, d, dtype=np.float64)
+                now[j + 1] = np.minimum(np.minimum(before[j + 1], before[j]), now[j]) + np.sqrt(total)
+            before[used[0] : used[1]] = np.inf
+            before, now, used = now, before, (columns[0] + 1, columns[-1] + 2) if columns else (0, 0)
+            if i % LOOK == LOOK - 1 and i < n - 1:
+                alive = before[used[0] : used[1]].min(axis=0, initial=np.inf) <= bound
+                if 2 * alive.sum() < len(alive):
+                    own, bound, before, now, x, y = own[alive], bound[alive], before[:, alive], now[:, alive], x[:, :, alive], y[:, :, alive]
+                    if not len(own):
+                        break
+        out[own] = before[m] / (n + m)
+    return out
+
+
 def distance(a: np.ndarray, b: np.ndarray, band_ratio: float = 0.1, metric: Metric = euclidean) -> float:
     """One pair of (frames, width) sequences; differing widths are an error."""
     a, b = np.asarray(a, np.float32), np.asarray(b, np.float32)

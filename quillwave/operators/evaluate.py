@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwave.config import SECONDS_PER_FALSE_ACCEPT, MatchConfig
 from quillwave.operators.decide import ranked
+from quillwave.operators.selection import kth_smallest
 
 EPSILON = 1e-4
 FALLBACK_DISTANCE = 8.0
@@ -99,9 +100,9 @@ def calibrate(utterances: DataFrame, best: DataFrame, commands: DataFrame, secon
     """
     rows = decided(utterances, best)
     shares = budget_split(commands, budget(rows, seconds_per_accept))
-    nth = F.row_number().over(Window.partitionBy("command_id").orderBy("distance", "query_id"))
-    bounds = negatives_by_winner(rows).withColumn("nth", nth).join(shares, "command_id").where(F.col("nth") == F.col("allowance") + 1)
-    bounds = bounds.select("command_id", (F.col("distance") - F.lit(EPSILON).cast("float")).cast("float").alias("bound"))
+    wanted = shares.select("command_id", (F.col("allowance") + 1).alias("k"))
+    bounds = kth_smallest(negatives_by_winner(rows), wanted, "command_id", "distance")
+    bounds = bounds.select("command_id", (F.col("value") - F.lit(EPSILON).cast("float")).cast("float").alias("bound"))
     largest = finite(best).agg(F.coalesce(F.max("distance"), F.lit(FALLBACK_DISTANCE).cast("float")).alias("largest"))
     free = (F.col("largest") + F.lit(1.0).cast("float")).cast("float")
     return shares.join(bounds, "command_id", "left").join(F.broadcast(largest)).select("command_id", "allowance", F.coalesce("bound", free).alias("threshold"))

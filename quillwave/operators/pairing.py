@@ -6,24 +6,46 @@ lie, rows are packed into blocks of up to `BLOCK` sequences of one width; a bloc
 its row, one of templates to every cell of its column.  So each pair meets once, pairs of other widths never do, one
 common width is spread over the whole grid, and a block is copied as often as the grid is wide (the root of the number
 of tasks), not as often as the other side has blocks.
+
+Where only the best template of each command is asked for, most pairs need no warping.  A lower bound from the boxes
+around the frames that a band lets meet costs one row where the recurrence costs a band; the pair of each (query, command)
+with the least bound is compared first, and then only those whose bound does not pass the best distance so far, each
+abandoned at the row where it does.  The best so far is kept from one pair of blocks to the next.  What is left out is
+farther away than what goes out, so the rows after `best_per_command` are the same.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwave.functions.dtw import Metric, block_distances, euclidean
+from quillwave.functions.dtw import SLACK, Metric, band_cells, block_distances, euclidean, listed_distances, lower_bounds
 
 BLOCK = 256
 #: Frames in a block at most, but for a single longer sequence.
 BLOCK_FRAMES = 1 << 16
 CELLS_A_CORE = 2
+#: Cells of the recurrence a row from which a bound is worth its cost, and blocks of queries whose best distances are kept.
+PRUNE_FROM, KEPT = 4, 8
+
+
+class PairCounts(NamedTuple):
+    """How many pairs met, and how many of them were warped to their end."""
+
+    met: Accumulator
+    warped: Accumulator
+
+    @staticmethod
+    def of(spark: SparkSession) -> PairCounts:
+        return PairCounts(spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array | int | str | bytes]]:
@@ -76,12 +98,12 @@ def _by_length(lengths: np.ndarray, data: bytes, width: int) -> Iterator[tuple[s
         at += size
 
 
-def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float = 0.1, metric: Metric = euclidean, best_only: bool = True, within: str | None = None) -> DataFrame:
+def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float = 0.1, metric: Metric = euclidean, best_only: bool = True, within: str | None = None, counts: PairCounts | None = None) -> DataFrame:
     """(query_id, command_id, template_id, created_at, distance float) of pairs of equal width.
 
     With `best_only` each pair of blocks gives its best template of each (query, command), by distance, age and id:
     the partial step of `best_per_command`.  Infinite distances are kept.  With `within`, a column of both sides, only
-    pairs that agree on it meet.
+    pairs that agree on it meet.  `counts` tells after an action how many pairs were pruned.
     """
     cores = queries.sparkSession.sparkContext.defaultParallelism
     side = math.isqrt(CELLS_A_CORE * cores - 1) + 1
@@ -95,34 +117,101 @@ def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float =
     query_type = queries.schema["query_id"].dataType.simpleString()
 
     def run(batches):
+        kept: OrderedDict[tuple, dict[str, np.ndarray]] = OrderedDict()
         for batch in batches:
             for row in range(batch.num_rows):
-                yield _pair_of_blocks(batch.slice(row, 1), band_ratio, metric, best_only)
+                pair = batch.slice(row, 1)
+                yield _best_of_blocks(pair, band_ratio, metric, kept, counts) if best_only else _pair_of_blocks(pair, band_ratio, metric, counts)
 
     return met.mapInArrow(run, f"query_id {query_type}, command_id string, template_id string, created_at long, distance float")
 
 
-def _pair_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, best_only: bool) -> pa.RecordBatch:
+def _sides(row: pa.RecordBatch) -> tuple[dict[str, pa.Array], list, list]:
+    """Lists of the two blocks, and the runs of one length of either side with their features."""
     width, lists = row.column(0)[0].as_py(), {name: row.column(name)[0].values for name in ("query_id", "template_id", "command_id", "created_at")}
-    q_lengths, t_lengths = (np.asarray(row.column(c)[0].values) for c in ("q_lengths", "t_lengths"))
-    dist = np.empty((len(q_lengths), len(t_lengths)), dtype=np.float32)
-    for rows, left in _by_length(q_lengths, row.column("q_data")[0].as_py(), width):
-        for cols, right in _by_length(t_lengths, row.column("t_data")[0].as_py(), width):
+    runs = [list(_by_length(np.asarray(row.column(f"{side}_lengths")[0].values), row.column(f"{side}_data")[0].as_py(), width)) for side in "qt"]
+    return lists, *runs
+
+
+def _rows(lists: dict[str, pa.Array], q: np.ndarray, t: np.ndarray, distances: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(t)
+    return pa.RecordBatch.from_arrays([lists["query_id"].take(pa.array(q)), *(lists[n].take(at) for n in ("command_id", "template_id", "created_at")), pa.array(distances.astype(np.float32))], names=["query_id", "command_id", "template_id", "created_at", "distance"])
+
+
+def _pair_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, counts: PairCounts | None) -> pa.RecordBatch:
+    lists, queries, templates = _sides(row)
+    dist = np.empty((len(lists["query_id"]), len(lists["template_id"])), dtype=np.float32)
+    for rows, left in queries:
+        for cols, right in templates:
             dist[rows, cols] = block_distances(left, right, band_ratio, metric)
-    command = np.array(lists["command_id"].to_pylist(), dtype=object)
-    if best_only:
-        template, created = lists["template_id"].to_pylist(), lists["created_at"].to_pylist()
-        order = np.array(sorted(range(len(template)), key=lambda i: (created[i], template[i])))  # so the first of equals is the one to take
-        picks = []
-        for c in sorted(set(command)):
-            own = order[command[order] == c]
-            picks.append(own[dist[:, own].argmin(axis=1)])
-        col = np.stack(picks, axis=1)
-    else:
-        col = np.broadcast_to(np.arange(dist.shape[1]), dist.shape)
-    r, c = np.repeat(np.arange(len(dist)), col.shape[1]), col.ravel()
-    at = pa.array(c)
-    return pa.RecordBatch.from_arrays([lists["query_id"].take(pa.array(r)), *(lists[n].take(at) for n in ("command_id", "template_id", "created_at")), pa.array(dist[r, c])], names=["query_id", "command_id", "template_id", "created_at", "distance"])
+    if counts is not None:
+        counts.met.add(dist.size)
+        counts.warped.add(dist.size)
+    q, t = np.indices(dist.shape).reshape(2, -1)
+    return _rows(lists, q, t, dist.ravel())
+
+
+def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept: OrderedDict, counts: PairCounts | None) -> pa.RecordBatch:
+    """The best template of each (query, command) of two blocks, where it is not worse than what was found before."""
+    lists, queries, templates = _sides(row)
+    ids, names = lists["query_id"].to_pylist(), lists["template_id"].to_pylist()
+    created = lists["created_at"].to_pylist()
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=lambda i: (created[i], names[i]))] = np.arange(len(names))
+    commands, code = np.unique(np.array(lists["command_id"].to_pylist(), dtype=object), return_inverse=True)
+    known = kept.pop((ids[0], ids[-1], len(ids)), {})
+    best = np.stack([known.get(c, np.full(len(ids), np.inf)) for c in commands], axis=1)
+    dist, seen = np.full((len(ids), len(names)), np.inf), np.zeros((len(ids), len(names)), bool)
+    for rows, left in queries:
+        for cols, right in templates:
+            some, done = _nearest(left, right, best[rows], code[cols], band_ratio, metric)
+            dist[rows, cols], seen[rows, cols] = some, done
+            for c in np.unique(code[cols]):
+                best[rows, c] = np.minimum(best[rows, c], some[:, code[cols] == c].min(axis=1))
+    if counts is not None:
+        counts.met.add(dist.size)
+        counts.warped.add(int(seen.sum()))
+    narrow, picks = np.where(seen, dist.astype(np.float32), np.float32(np.nan)), []
+    for c in range(len(commands)):
+        own = np.flatnonzero(code == c)
+        own = own[np.argsort(rank[own])]  # the first of equals is the one to take
+        out = np.where(np.isnan(narrow[:, own]), np.inf, narrow[:, own])
+        pick = np.where(seen[:, own].any(axis=1), np.where(seen[:, own], out, np.float32(np.finfo(np.float32).max)).argmin(axis=1), -1)
+        pick = np.where((pick >= 0) & np.isinf(out.min(axis=1)), seen[:, own].argmax(axis=1), pick)
+        found = np.flatnonzero((pick >= 0) & (out.min(axis=1) <= best[:, c].astype(np.float32)))
+        picks.append((found, own[pick[found]]))
+        known[commands[c]] = best[:, c]
+    kept[ids[0], ids[-1], len(ids)] = known
+    while len(kept) > KEPT:
+        kept.popitem(last=False)
+    q, t = (np.concatenate([p[i] for p in picks]) for i in range(2))
+    return _rows(lists, q, t, dist[q, t])
+
+
+def _nearest(left: np.ndarray, right: np.ndarray, best: np.ndarray, code: np.ndarray, band_ratio: float, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all pairs that can be the best of their command, and which were worked out; the others are infinite."""
+    (a, n, _), (b, m, _) = left.shape, right.shape
+    cells = band_cells(n, m, band_ratio)
+    if metric is not euclidean or sum(map(len, cells)) < PRUNE_FROM * n:
+        return block_distances(left, right, band_ratio, metric), np.ones((a, b), bool)
+    bound, dist, done = lower_bounds(left, right, cells), np.full((a, b), np.inf), np.zeros((a, b), bool)
+    best, every = best.copy(), np.arange(a)
+    own = [np.flatnonzero(code == c) for c in np.unique(code)]
+    first = np.concatenate([o[bound[:, o].argmin(axis=1)] for o in own])
+    rows = np.tile(every, len(own))
+    dist[rows, first], done[rows, first] = listed_distances(left, right, rows, first, cells, np.full(len(rows), np.inf)), True
+    for o in own:
+        c = code[o[0]]
+        best[:, c] = np.minimum(best[:, c], dist[:, o].min(axis=1))
+    limit = best[:, code]
+    rest = ~done & (bound <= limit * SLACK)
+    if 2 * rest.sum() > rest.size:
+        return block_distances(left, right, band_ratio, metric), np.ones((a, b), bool)
+    rows, cols = np.nonzero(rest)
+    some = listed_distances(left, right, rows, cols, cells, limit[rows, cols])
+    dist[rows, cols] = some
+    done[rows, cols] = np.isfinite(some) | np.isinf(limit[rows, cols])
+    return dist, done
 
 
 def best_per_command(pairs: DataFrame) -> DataFrame:

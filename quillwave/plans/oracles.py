@@ -145,6 +145,21 @@ walk(device_id, window_id, start_ms, last, hits) AS (
 SELECT device_id, window_id, start_ms, start_ms + 1500 AS end_ms, len(list_filter(hits, lambda h: h >= start_ms AND h < start_ms + 1500)) > 0 AS matched FROM walk WHERE start_ms + 1500 <= last"""
 
 
+LONG = "long AS (SELECT CAST(label AS BIGINT) AS recording_id, flatten(list(CAST(embedding AS FLOAT[]) ORDER BY vec_id)) AS x FROM embeddings GROUP BY label)"
+LONG_SEGMENTS = f"""WITH {LONG},
+lv AS (SELECT recording_id, f, n, n_samples, CAST(sqrt(list_sum(list_transform(w, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / 20) AS FLOAT) AS e FROM (
+  SELECT recording_id, f, n, len(x) AS n_samples, x[f * 10 + 1:f * 10 + 20] AS w FROM (SELECT *, (len(x) - 20) // 10 + 1 AS n, unnest(range((len(x) - 20) // 10 + 1)) AS f FROM long))),
+floors AS (SELECT recording_id, greatest(CAST(e * CAST(1.2 AS DOUBLE) AS FLOAT), CAST(0.001 AS FLOAT)) AS least FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY e) AS nth FROM lv) WHERE nth = CAST(floor(0.1 * (n - 1)) AS BIGINT) + 1),
+loud AS (SELECT lv.*, f - row_number() OVER (PARTITION BY lv.recording_id ORDER BY f) AS island FROM lv JOIN floors USING (recording_id) WHERE e >= least),
+speech AS (SELECT recording_id, min(f) AS first, max(f) AS last, any_value(n) AS n, any_value(n_samples) AS n_samples FROM loud GROUP BY recording_id, island HAVING count(*) >= 2)
+SELECT recording_id, CAST(greatest(0, min(first) - 1) * 10 AS BIGINT) AS start_sample, CAST(least(least(any_value(n) - 1, max(last) + 1) * 10 + 20, any_value(n_samples)) AS BIGINT) AS end_sample FROM speech GROUP BY recording_id"""
+LONG_FRAMES = f"""{LONG}, pcm AS (SELECT recording_id AS vec_id, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = 1 THEN x[1] ELSE CAST(x[i] - CAST(0.97 AS FLOAT) * x[i - 1] AS FLOAT) END) AS x FROM long),
+frames AS (SELECT vec_id, f, x[f * 10 + 1:f * 10 + 25] AS w FROM (SELECT *, unnest(range((len(x) - 25) // 10 + 1)) AS f FROM pcm))"""
+LONG_DELTA = """m0 AS (SELECT vec_id, f, c, CAST(v - CAST(avg(CAST(v AS DOUBLE)) OVER (PARTITION BY vec_id, c) AS FLOAT) AS FLOAT) AS v FROM cep),
+m1 AS (SELECT vec_id, f, c, CAST((coalesce(lead(v) OVER o, v) - coalesce(lag(v) OVER o, v)) / CAST(2 AS FLOAT) AS FLOAT) AS v FROM m0 WINDOW o AS (PARTITION BY vec_id, c ORDER BY f))
+SELECT vec_id, f, CAST(c AS BIGINT) AS k, round(CAST(v AS DOUBLE), 3) + 0.0 AS v FROM m0 UNION ALL SELECT vec_id, f, CAST(c + 6 AS BIGINT), round(CAST(v AS DOUBLE), 3) + 0.0 FROM m1"""
+
+
 LOOP = """WITH RECURSIVE ev AS (SELECT user_id AS device_id, event_id * 50 AS tick, CAST(value AS FLOAT) AS v, event_type, event_id FROM events),
 puts AS (SELECT * FROM (SELECT *, min(CASE WHEN event_type = 'error' THEN tick END) OVER (PARTITION BY device_id ORDER BY tick ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS gone FROM ev) WHERE event_type = 'signup'),
 devices AS (SELECT device_id, min(tick) AS first, max(tick) AS last, list({'tick': tick, 'v': v} ORDER BY tick) AS fr FROM ev GROUP BY device_id),

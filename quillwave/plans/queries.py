@@ -14,6 +14,7 @@ from quillwave.functions.frames import derivative, framed, low_percentile, mean_
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
+from quillwave.operators import longaudio, upkeep
 from quillwave.operators.pairing import best_per_command, pair_distances
 from quillwave.operators import recognise as R
 from quillwave.operators.recognise import audio_features, recognise
@@ -22,7 +23,7 @@ from quillwave.plans import textcheck, views
 from quillwave.plans.views import SECONDS_PER_ACCEPT, THRESHOLD
 from quillwave.sources import actions as A
 from quillwave.sources import store
-from quillwave.shared import stash
+from quillwave.shared import fresh_path, stash
 from quillwave.sources.pcm import chopped, synthetic_corpus
 from quillwave.streaming.gate import gate_batch
 from quillwave.streaming.listen import listen_batch
@@ -109,6 +110,13 @@ def best_of_command(s, d):
     return _best(s, d).select("query_id", "command_id", "template_id", _r("distance"))
 
 
+@query(f"{O.dtw(O.seq('16', 4), band=0.25)} SELECT query_id, command_id, template_id, round(CAST(distance AS DOUBLE), 5) AS distance FROM best")
+def best_pruned(s, d):
+    """Sequences long enough, and a band wide enough, for bounds to leave most pairs out."""
+    q, t = _sides(s, d, "long")
+    return best_per_command(pair_distances(q, t, band_ratio=0.25)).select("query_id", "command_id", "template_id", _r("distance"))
+
+
 @query(f"{FIXED} SELECT query_id, command_id, template_id, round(CAST(distance AS DOUBLE), 5) AS distance, round(CAST(runner_up AS DOUBLE), 5) AS runner_up FROM ranked")
 def rank_runner_up(s, d):
     return D.ranked(_best(s, d)).select("query_id", "command_id", "template_id", _r("distance"), _r("runner_up"))
@@ -332,6 +340,34 @@ def delete_template(s, d):
     return store.delete_templates(t, t.where("vec_id % 3 = 0").select("template_id")).select("template_id")
 
 
+def _stored(s: SparkSession, d: str) -> store.TemplateStore:
+    """A store of all commands and templates, changed by parts: some put again with another condition or command, some gone."""
+    made = store.TemplateStore(s, fresh_path(s, "store"), buckets=4)
+    t = _sides(s, d)[1].select("vec_id", "template_id", "command_id", "condition", "created_at", "features")
+    made.upsert_commands(views.commands(s, d))
+    made.add_templates(t.drop("vec_id"))
+    made.add_templates(t.where("vec_id % 5 = 1").drop("vec_id").withColumn("condition", F.lit("ILL")))
+    made.add_templates(t.where("vec_id % 7 = 1").drop("vec_id").withColumn("command_id", F.lit("c0")))
+    made.delete_templates(t.where("vec_id % 11 = 3").select("template_id"))
+    made.delete_commands(s.createDataFrame([("c4",)], "command_id string"))
+    return made
+
+
+_STORED = f"WITH {O.FIXED}, {O.SIDES}, stored AS (SELECT template_id, CASE WHEN vec_id % 7 = 1 THEN 'c0' ELSE command_id END AS command_id, CASE WHEN vec_id % 5 = 1 AND vec_id % 7 <> 1 THEN 'ILL' ELSE condition END AS condition, created_at FROM templates WHERE vec_id % 11 <> 3 AND (vec_id % 7 = 1 OR command_id <> 'c4'))"
+
+
+@query(f"{_STORED} SELECT * FROM stored")
+def store_of_parts(s, d):
+    """A store after changes that each wrote a part."""
+    return _stored(s, d).templates().select("template_id", "command_id", "condition", "created_at")
+
+
+@query(f"{_STORED} SELECT template_id, condition FROM stored WHERE command_id = 'c0'")
+def store_lookup(s, d):
+    """The templates of one command, from its bucket alone."""
+    return _stored(s, d).templates_for("c0").select("template_id", "condition")
+
+
 @query("SELECT vec_id, CASE vec_id % 6 WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'TIRED' WHEN 2 THEN 'ILL' ELSE 'OTHER' END AS condition FROM embeddings")
 def condition_fallback(s, d):
     stored = F.element_at(F.array(*[F.lit(c) for c in ("NORMAL", "TIRED", "ILL", "OTHER", "HOARSE", "")]), (F.col("vec_id") % 6 + 1).cast("int"))
@@ -476,6 +512,20 @@ def mfcc_delta_delta(s, d):
     return _flat(with_features(_pcm(s, d), CepstraConfig(sample_rate_hz=1000, filters=8, coefficients=6, delta=2), keep=["vec_id"]), 4)
 
 
+@query(O.LONG_SEGMENTS)
+def long_segments(s, d):
+    """Endpoints of recordings that lie in chunks, worked out in blocks of 16 frames."""
+    return longaudio.segments(views.long_recordings(s, d), 1000, SMALL_ENDPOINT, block_frames=16)
+
+
+@query(f"WITH {O.LONG_FRAMES}, {O.POWER}, {O.MEL}, {O.CEPSTRA}, {O.LONG_DELTA}")
+def long_features(s, d):
+    """Coefficients less their mean over a whole recording, and first derivatives, in blocks of 16 frames."""
+    rows = longaudio.features(views.long_recordings(s, d), CepstraConfig(sample_rate_hz=1000, filters=8, coefficients=6, delta=1), block_frames=16)
+    flat = rows.select(F.col("recording_id").alias("vec_id"), "first", F.posexplode("features").alias("i", "row"))
+    return flat.select("vec_id", (F.col("first") + F.col("i")).alias("f"), F.posexplode("row").alias("k", "v")).select("vec_id", "f", F.col("k").cast("long").alias("k"), (F.round(F.col("v").cast("double"), 3) + 0.0).alias("v"))
+
+
 @query(O.SIGNALS)
 def synthetic_signals(s, d):
     """The synthetic corpus in short: a row a signal."""
@@ -541,6 +591,20 @@ def adaptation(s, d):
     return N.adaptation(scored, new, most=4)
 
 
+_CHANGED = "queries AS (SELECT *, template_id AS query_id FROM seq WHERE vec_id % 11 <> 5), templates AS (SELECT * FROM seq WHERE vec_id % 11 <> 5)"
+
+
+@query(f"{O.dtw(O.FIXED, _CHANGED, on='q.command_id = t.command_id')}, near AS (SELECT p.*, q.template_id AS own, row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.template_id) AS nth FROM pairs p JOIN queries q ON q.query_id = p.query_id WHERE p.template_id <> p.query_id) SELECT t.template_id, t.command_id, round(coalesce(CAST(n.distance AS DOUBLE), 1e9), 5) AS score, n.template_id AS nearest FROM templates t LEFT JOIN near n ON n.query_id = t.template_id AND n.nth = 1")
+def redundancy_upkeep(s, d):
+    """Scores of a table that every seventh row has come to and every eleventh has left, from the scores before."""
+    rows = views.sequences(s, d).select("vec_id", "template_id", "command_id", "created_at", "features")
+    before = rows.where("vec_id % 7 <> 2")
+    scores = stash(upkeep.scored(before), "scores")
+    after = rows.where("vec_id % 11 <> 5")
+    new, gone = after.where("vec_id % 7 = 2").select("template_id"), before.where("vec_id % 11 = 5").select("template_id")
+    return upkeep.rescored(scores, after, new, gone).select("template_id", "command_id", F.round(F.least("score", F.lit(1e9)), 5).alias("score"), "nearest")
+
+
 # Streams (as batches; the streaming forms are in the tests) --------------------------------------------------------
 
 LOUD = GateConfig(floor=1.0)

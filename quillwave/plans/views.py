@@ -22,7 +22,7 @@ def frames(vector: Column, n: Column | int, width: int) -> Column:
 def sequences(spark: SparkSession, sf_dir: str, shape: str = "fixed") -> DataFrame:
     """(vec_id, command_id, template_id, created_at, truth, condition, duration_ms, features, frame_count)."""
     v = F.col("embedding")
-    features = {"fixed": lambda: frames(v, 8, 8), "ragged": lambda: frames(v, (5 + F.col("vec_id") % 4).cast("int"), 8), "wide": lambda: frames(v, 4, 16)}[shape]()
+    features = {"fixed": lambda: frames(v, 8, 8), "ragged": lambda: frames(v, (5 + F.col("vec_id") % 4).cast("int"), 8), "wide": lambda: frames(v, 4, 16), "long": lambda: frames(v, 16, 4)}[shape]()
     command = F.concat(F.lit("c"), F.col("label").cast("string"))
     condition = F.element_at(F.array(*[F.lit(c) for c in ("NORMAL", "TIRED", "ILL", "OTHER")]), (F.floor(F.col("vec_id") / 10) % 4 + 1).cast("int"))
     return table(spark, sf_dir, "embeddings").select(
@@ -77,3 +77,9 @@ def loop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.concat(F.lit("t"), F.col("event_id").cast("string"))
     put = row(F.col("at"), change=F.lit("put"), template_id=named, command_id=F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")), created_at=F.col("event_id"), features=F.array(F.array("v")))
     return events.select(*row(F.col("at"), samples=F.array("v"))).union(puts.select(*put)).union(puts.where("gone IS NOT NULL").select(*row(F.col("gone"), change=F.lit("drop"), template_id=named)))
+
+
+def long_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One recording a label: the vectors of the label in order, each a chunk of 64 samples at 1 kHz."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("recording_id"), (nth * 64).cast("long").alias("at"), F.col("embedding").cast("array<float>").alias("samples"))
