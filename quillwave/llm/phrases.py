@@ -41,6 +41,8 @@ CHUNK_BYTES, MEMORY = 8 << 20, "256MB"
 LANGUAGES = 1 << 16
 _WORD = ~tk.byte_class([0x20])
 _BLOCK = pa.schema([("lang", pa.uint16()), ("gram", pa.string()), ("weight", pa.int64())])
+#: A block as it is sent: sizes instead of offsets, which compress badly, and the letters beside them.
+_SENT = pa.schema([("lang", pa.uint16()), ("size", pa.uint32()), ("weight", pa.int64())])
 #: Grams whose letters are copied at a time.
 SPANS = 1 << 15
 #: Parts in which a language is ranked first.
@@ -111,19 +113,35 @@ def folded(table: pa.Table, languages: pa.Array) -> Iterator[tuple[np.ndarray, p
         yield hashes[cut], pa.table([pa.array(n_lang.astype(np.uint16)), spans(data, starts[at], ends[at + n - 1]), pa.array(total)], schema=_BLOCK)
 
 
+def packed(grams: pa.Table) -> tuple[bytes, bytes]:
+    """The numbers and the letters of a block."""
+    sink, letters = pa.BufferOutputStream(), pa.concat_arrays(grams.column("gram").chunks)
+    offsets = np.frombuffer(letters.buffers()[1], np.int32)[letters.offset : letters.offset + len(letters) + 1]
+    numbers = pa.table([grams.column("lang"), pa.array(np.diff(offsets).astype(np.uint32)), grams.column("weight")], schema=_SENT)
+    with pa.ipc.new_stream(sink, _SENT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(numbers.combine_chunks())
+    return sink.getvalue().to_pybytes(), pa.Codec("zstd").compress(letters.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])), asbytes=True)
+
+
+def unpacked(numbers: pa.Buffer, letters: pa.Buffer, languages: pa.Array) -> pa.Table:
+    """(lang, gram, weight) of a block."""
+    held = pa.ipc.open_stream(numbers).read_all()
+    offsets = np.concatenate([[0], np.cumsum(held.column("size").to_numpy())]).astype(np.int32)
+    data = pa.Codec("zstd").decompress(letters, decompressed_size=int(offsets[-1]))
+    grams = pa.StringArray.from_buffers(held.num_rows, pa.py_buffer(offsets), data)
+    return pa.table([languages.take(held.column("lang")), grams, held.column("weight")], names=_BLOCK.names)
+
+
 def _dealt(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for table, languages in _chunks(batches):
             for hashes, grams in folded(table, languages):
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 grams, bounds = grams.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(bounds)):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, _BLOCK, options=options) as out:
-                        out.write_table(grams.slice(bounds[b], bounds[b + 1] - bounds[b]))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([languages.to_pylist()], pa.list_(pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "languages", "block"])
+                    numbers, letters = packed(grams.slice(bounds[b], bounds[b + 1] - bounds[b]))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([languages.to_pylist()], pa.list_(pa.string())), pa.array([numbers], pa.binary()), pa.array([letters], pa.binary())], names=["bucket", "languages", "numbers", "letters"])
 
     return run
 
@@ -137,10 +155,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     try:
         con.execute("CREATE TABLE grams (lang VARCHAR, gram VARCHAR, weight BIGINT)")
         for batch in batches:
-            for languages, block in zip(batch.column(1), batch.column(2), strict=True):
-                held = pa.ipc.open_stream(block.as_buffer()).read_all()
-                held = held.set_column(0, "lang", languages.values.take(held.column("lang")))
-                con.register("held", held)
+            for languages, numbers, letters in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                con.register("held", unpacked(numbers.as_buffer(), letters.as_buffer(), languages.values))
                 con.execute("INSERT INTO grams SELECT * FROM held")
                 con.unregister("held")
         counts = f"SELECT lang, gram, CAST(sum(weight) AS BIGINT) AS f FROM grams GROUP BY ALL HAVING sum(weight) >= {LEAST}"
@@ -156,7 +172,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gram_counts(documents: DataFrame) -> DataFrame:
     """(lang, gram, f) of all n-grams of up to `WORDS` words that occur `LEAST` times; gram '' has parts of the words in all."""
     buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = pieces(documents).mapInArrow(tidy(_dealt(buckets)), "bucket int, languages array<string>, block binary")
+    blocks = pieces(documents).mapInArrow(tidy(_dealt(buckets)), "bucket int, languages array<string>, numbers binary, letters binary")
     return stash(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(_counted), "lang string, gram string, f long"), "gram-counts")
 
 
