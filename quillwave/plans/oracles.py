@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillwave.plans import views
 from quillwave.plans.views import SECONDS_PER_ACCEPT, THRESHOLD
 from quillwave.sources import pcm
 from quillwave.sources.actions import ACTIONS
@@ -180,9 +181,9 @@ SELECT device_id, number - 1 AS window_id, start, start + 1500 AS "end", idle_st
   CASE WHEN NOT heard THEN 'EMPTY_INPUT' WHEN near.d > 2 THEN 'BELOW_CONFIDENCE' END AS reason FROM walk WHERE is_window"""
 
 
-_SPECS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS {'DOUBLE' if isinstance(x, float) else 'BIGINT'})" for x in row) + ")" for row in pcm.corpus_specs())
-SIGNALS = f"""WITH specs(seq, kind, truth, condition, f0, f1, amp, noise) AS (VALUES {_SPECS}),
-samples AS (SELECT *, i / 16000.0::DOUBLE AS t, ((i * i * {pcm.NOISE_SQUARE} + i * {pcm.NOISE_STEP} + seq * {pcm.NOISE_SEED}) % {pcm.NOISE_PRIME}) / CAST({pcm.NOISE_PRIME / 2} AS DOUBLE) - 1 AS jitter FROM specs, range({pcm.RATE * pcm.TONE_MS // 1000}) r(i)),
-waves AS (SELECT *, 2 * pi() * (f0 * t + (f1 - f0) * t * t / {2 * pcm.TONE_MS / 1000}::DOUBLE) AS phase FROM samples)
-SELECT seq, kind, truth, condition, n, round(CAST(CAST(sqrt(sum(power(CAST(CAST(amp * sin(phase) + 0.15::DOUBLE * amp * sin(2 * phase) + (noise + 0.003::DOUBLE) * jitter AS FLOAT) AS DOUBLE), 2)) / {pcm.RATE * (pcm.TONE_MS + 2 * pcm.PAD_MS) // 1000}) AS FLOAT) AS DOUBLE), 4) AS rms
-FROM waves, (SELECT CAST({pcm.RATE * (pcm.TONE_MS + 2 * pcm.PAD_MS) // 1000} AS INTEGER) AS n) GROUP BY seq, kind, truth, condition, n"""
+SIGNALS = f"""WITH specs AS (SELECT CAST(vec_id AS BIGINT) AS seq, CASE WHEN label > 7 THEN 'negative' WHEN vec_id % 10 = 0 THEN 'positive' ELSE 'enrol' END AS kind, CASE WHEN label <= 7 THEN 'c' || label END AS truth,
+  CASE WHEN vec_id % 20 = 0 THEN 'TIRED' ELSE 'NORMAL' END AS condition, f0, f0 + 400.0::DOUBLE * CAST(embedding[2] AS DOUBLE) AS f1 FROM (SELECT *, 300.0::DOUBLE + 150.0::DOUBLE * label + 100.0::DOUBLE * CAST(embedding[1] AS DOUBLE) AS f0 FROM embeddings)),
+samples AS (SELECT *, i / 16000.0::DOUBLE AS t, ((i * i * {pcm.NOISE_SQUARE} + i * {pcm.NOISE_STEP} + seq * {pcm.NOISE_SEED}) % {pcm.NOISE_PRIME}) / CAST({pcm.NOISE_PRIME / 2} AS DOUBLE) - 1 AS jitter FROM specs, range({pcm.RATE * views.TONE_MS // 1000}) r(i)),
+waves AS (SELECT *, 2 * pi() * (f0 * t + (f1 - f0) * t * t / {2 * views.TONE_MS / 1000}::DOUBLE) AS phase FROM samples)
+SELECT seq, kind, truth, condition, n, round(CAST(CAST(sqrt(sum(power(CAST(CAST(0.3::DOUBLE * sin(phase) + 0.15::DOUBLE * 0.3::DOUBLE * sin(2 * phase) + 0.003::DOUBLE * jitter AS FLOAT) AS DOUBLE), 2)) / {pcm.RATE * (views.TONE_MS + 2 * views.PAD_MS) // 1000}) AS FLOAT) AS DOUBLE), 4) AS rms
+FROM waves, (SELECT CAST({pcm.RATE * (views.TONE_MS + 2 * views.PAD_MS) // 1000} AS INTEGER) AS n) GROUP BY seq, kind, truth, condition, n"""

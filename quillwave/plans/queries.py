@@ -24,7 +24,8 @@ from quillwave.plans.views import SECONDS_PER_ACCEPT, THRESHOLD
 from quillwave.sources import actions as A
 from quillwave.sources import store
 from quillwave.shared import fresh_path, stash
-from quillwave.sources.pcm import chopped, synthetic_corpus
+from quillwave.sqlfunctions import register
+from quillwave.sources.pcm import chopped
 from quillwave.streaming.gate import gate_batch
 from quillwave.streaming.listen import listen_batch
 from quillwave.streaming.loop import PeakDecision, loop_batch
@@ -143,6 +144,16 @@ def recognize(s, d):
     return recognise(q, t, config=TINY).withColumn("confidence", F.round("confidence", 4)).withColumn("distance", F.round(F.col("distance").cast("double"), 5))
 
 
+@query(f"{FIXED}, {O.results(THRESHOLD)} SELECT {O.RESULT_COLUMNS} FROM results")
+def sql_recognize(s, d):
+    """`recognize` as a table function in SQL."""
+    q, t = _sides(s, d)
+    q.createOrReplaceTempView("asked_sequences")
+    t.createOrReplaceTempView("known_templates")
+    register(s, "asked_sequences", "known_templates")
+    return s.sql(f"SELECT query_id, kind, command_id, template_id, round(confidence, 4) AS confidence, round(CAST(distance AS DOUBLE), 5) AS distance, reason, nearest_command_id FROM recognize(threshold => {THRESHOLD})")
+
+
 @query(f"{SINGLE}, {O.results(THRESHOLD)} SELECT {O.RESULT_COLUMNS} FROM results")
 def band_unreachable(s, d):
     return _recognised(s, d, "ragged", True)
@@ -289,8 +300,8 @@ def reports(s, d):
 
 @query()
 def bakeoff_audio(s, d):
-    """The three front ends over the synthetic corpus: enrolment, endpoints, features, matching, rates, and the table as text."""
-    return E.bake_off_lines(R.bake_off_audio(synthetic_corpus(s)), synthetic=True)
+    """The three front ends over recordings: enrolment, endpoints, features, matching, rates, and the table as text."""
+    return E.bake_off_lines(R.bake_off_audio(views.recordings(s, d)), synthetic=True)
 
 
 # Store and lookups -------------------------------------------------------------------------------------------------
@@ -528,15 +539,15 @@ def long_features(s, d):
 
 @query(O.SIGNALS)
 def synthetic_signals(s, d):
-    """The synthetic corpus in short: a row a signal."""
-    x = synthetic_corpus(s)
+    """The recordings in short: a row a signal."""
+    x = views.recordings(s, d)
     return x.select("seq", "kind", "truth", "condition", F.size("samples").alias("n"), F.round(rms(F.col("samples")).cast("double"), 4).alias("rms"))
 
 
 @query()
 def recognize_audio(s, d):
-    """Audio to decisions over the synthetic corpus at the default parameters."""
-    corpus = synthetic_corpus(s)
+    """Audio to decisions over recordings at the default parameters."""
+    corpus = views.recordings(s, d)
     templates, _ = R.enrol_audio(corpus.where("kind = 'enrol'").withColumn("command_id", F.col("truth")), prefix="t")
     asked = audio_features(corpus.where("kind <> 'enrol'")).select(F.col("seq").alias("query_id"), "features", "frame_count", "silent")
     return recognise(asked, templates).withColumn("distance", F.round(F.col("distance").cast("double"), 3)).withColumn("confidence", F.round("confidence", 3))

@@ -101,13 +101,18 @@ def corpus_specs() -> list[tuple]:
 def synthetic_corpus(spark: SparkSession) -> DataFrame:
     """(seq, kind, truth, condition, samples): enrolment, positive and negative signals, made on the executors."""
     specs = spark.createDataFrame(corpus_specs(), "seq long, kind string, truth string, condition string, f0 double, f1 double, amp double, noise double")
-    tone, pad = RATE * TONE_MS // 1000, RATE * PAD_MS // 1000
+    return sounded(specs.repartition(4))
+
+
+def sounded(specs: DataFrame, tone_ms: int = TONE_MS, pad_ms: int = PAD_MS) -> DataFrame:
+    """(seq, kind, truth, condition, samples): a sweep from f0 to f1 with noise, between two quiet stretches."""
+    tone, pad = RATE * tone_ms // 1000, RATE * pad_ms // 1000
 
     def sample(i):
         t = i / F.lit(float(RATE))
-        phase = F.lit(2 * np.pi) * (F.col("f0") * t + (F.col("f1") - F.col("f0")) * t * t / (2 * TONE_MS / 1000))
+        phase = F.lit(2 * np.pi) * (F.col("f0") * t + (F.col("f1") - F.col("f0")) * t * t / (2 * tone_ms / 1000))
         return (F.col("amp") * F.sin(phase) + 0.15 * F.col("amp") * F.sin(2 * phase) + (F.col("noise") + 0.003) * _jitter(F.col("seq"), i)).cast("float")
 
     quiet = F.array_repeat(F.lit(0.0).cast("float"), pad)
     body = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(tone - 1).cast("long")), sample)
-    return specs.repartition(4).select("seq", "kind", "truth", "condition", F.concat(quiet, body, quiet).alias("samples"))
+    return specs.select("seq", "kind", "truth", "condition", F.concat(quiet, body, quiet).alias("samples"))
