@@ -21,6 +21,10 @@ PLAN_REQUIRED = ["## Goal", "## Context & Constraints", "## Approach", "## Steps
 PLAN_PLACEHOLDERS = [("todo", r"(?i)<TODO"), ("tbd", r"\bTBD\b"), ("iso", "<iso>"), ("phase", "<phase>"), ("score", "<score>"), ("title", "<title>"), ("roadmap", r"(?i)<roadmap item")]
 PLAN_STATES = ["draft", "planned", "active", "blocked", "done"]
 ACCURACY = r"(?i)\b(FRR|FAR|recogni[sz]|matcher|accuracy|threshold|DTW|MFCC|false accept|false reject)\b"
+#: Folders and files that a repository has, where its worktrees are listed, and what a list names.
+REQUIRED_DIRS = ["docs/errors/2026-06", "docs/errors/rca/rca-plan-done/2026-06", "docs/plans/2026-06", "docs/plans/done/2026-06", "docs/plans/worktrees", "docs/audits/findings/2026-06", "docs/ai/retro/2026-06", "docs/meta/dreaming"]
+REQUIRED_FILES = ["docs/errors/INDEX.md", "docs/audits/INDEX.md", "docs/DOC_TOC.md", "docs/standards/documentation-governance.md"]
+WORKTREES, PLAN_CITED = "docs/plans/worktrees/", r"(docs/plans/[A-Za-z0-9_./-]+\.md)"
 #: Shapes of paths, versions and coordinates.
 CITED = r"([A-Za-z0-9_./-]+\.(?:mjs|md|kt|kts|toml|json|xml|properties|ya?ml))"
 PATH_END = r"(\.(md|mjs|json|kts|toml|properties|ya?ml|xml|kt|txt|nvmrc)|/)$"
@@ -158,21 +162,41 @@ def broken_paths(notes: DataFrame, files: DataFrame) -> DataFrame:
     return code_paths(notes).join(existing(files).select(F.col("path").alias("cited")), "cited", "left_anti").select("doc_id", "cited")
 
 
-def index_rows(notes: DataFrame) -> DataFrame:
-    """(doc_id, date, area, status, title) of incident notes, newest first; a question mark for what a note does not say."""
+def missing_structure(files: DataFrame, folders: list[str] = REQUIRED_DIRS, names: list[str] = REQUIRED_FILES) -> DataFrame:
+    """(kind, path) of the required folders and files that are not there; `files`: (path)."""
+    required = files.sparkSession.createDataFrame([("folder", x) for x in folders] + [("file", x) for x in names], "kind string, path string")
+    return required.join(existing(files), "path", "left_anti").select("kind", "path")
+
+
+def broken_plan_references(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, cited): plans that an entry of the list of worktrees names and that don't exist; once each."""
+    listed = entries.where(F.startswith("path", F.lit(WORKTREES)) & F.endswith("path", F.lit(".md")))
+    cited = listed.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(PLAN_CITED), F.lit(1)))).alias("cited"))
+    return cited.join(files.select(F.col("path").alias("cited")), "cited", "left_anti").select("doc_id", "cited")
+
 
-    def field(pattern: str, other: Column) -> Column:
-        found = F.regexp_extract("body", pattern, 1)
-        return F.when(found == "", other).otherwise(trimmed(found))
+def _field(pattern: str, other: Column) -> Column:
+    found = F.regexp_extract("body", pattern, 1)
+    return F.when(found == "", other).otherwise(trimmed(found))
 
+
+def index_rows(notes: DataFrame) -> DataFrame:
+    """(doc_id, date, area, status, title) of incident notes, newest first; a question mark for what a note does not say."""
     unknown = F.lit("?")
     rows = notes.select(
-        "doc_id", "path", field(r"\*\*Date:\*\*\s*([0-9-]+)", unknown).alias("date"), field(r"\*\*Area:\*\*\s*(.+)", unknown).alias("area"),
-        field(r"\*\*Status:\*\*\s*(.+)", unknown).alias("status"), field(r"(?m)^#\s*Incident:\s*(.+)$", F.col("path")).alias("title"),
+        "doc_id", "path", _field(r"\*\*Date:\*\*\s*([0-9-]+)", unknown).alias("date"), _field(r"\*\*Area:\*\*\s*(.+)", unknown).alias("area"),
+        _field(r"\*\*Status:\*\*\s*(.+)", unknown).alias("status"), _field(r"(?m)^#\s*Incident:\s*(.+)$", F.col("path")).alias("title"),
     )
     return rows.orderBy(F.desc("date"), "path").select("doc_id", "date", "area", "status", "title")
 
 
+def audit_rows(findings: DataFrame) -> DataFrame:
+    """(doc_id, date, severity, disposition, title) of audit findings, newest first; a question mark for what one does not say."""
+    named = {"date": r"\*\*Date:\*\*\s*([0-9-]+)", "severity": r"\*\*Severity:\*\*\s*(.+)", "disposition": r"\*\*Disposition:\*\*\s*(.+)", "title": r"(?m)^#\s*Audit Finding:\s*(.+)$"}
+    rows = findings.select("doc_id", "path", *[_field(pattern, F.lit("?")).alias(name) for name, pattern in named.items()])
+    return rows.orderBy(F.desc("date"), "path").select("doc_id", *named)
+
+
 def _lines(files: DataFrame, body: Column) -> DataFrame:
     return files.select("doc_id", F.posexplode(F.split(body, "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
 
@@ -273,7 +297,24 @@ def _files(body: str):
     return lambda s, d: s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "'docs/' || source || '/' || doc_id || '.md' AS path", f"{spark_body} AS body")
 
 
-notes, plans, catalogs, builds, properties, manifests = map(_files, (_NOTE, _PLAN, _CATALOG, _BUILD, _PROPERTIES, _MANIFEST))
+_FINDING = (
+    "CASE WHEN doc_id % 6 = 0 THEN '' ELSE '# Audit Finding: number ' || doc_id || ' \n' END || '**Date:** 2026-0' || (1 + doc_id % 9) || '-1' || doc_id % 7 || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '\n**Severity:** of ' || source END || '\n**Disposition:** ' || CASE WHEN doc_id % 3 = 0 THEN 'fix' ELSE 'accept' END || '\n' || coalesce(text, '')"
+)
+_ENTRY = "'tracks `docs/plans/' || source || '/' || (doc_id - doc_id % 3) || '.md`, docs/plans/2026-06/p' || doc_id % 7 || '.md. and (docs/plans/2026-06/p' || doc_id % 7 || '.md)'"
+#: Where documents would lie in a repository.
+_TREE = (
+    "CASE doc_id % 6 WHEN 0 THEN 'docs/errors/2026-06/' || doc_id || '.md' WHEN 1 THEN 'docs/plans/worktrees/' || doc_id || '.md' WHEN 2 THEN 'docs/errors/INDEX.md' WHEN 3 THEN 'docs/plans/' || source || '/' || doc_id || '.md' "
+    "WHEN 4 THEN 'docs/plans/2026-06/p' || doc_id % 5 || '.md' ELSE 'docs/ai/retro/2026-06/' || doc_id || '.txt' END"
+)
+
+notes, plans, catalogs, builds, properties, manifests, findings = map(_files, (_NOTE, _PLAN, _CATALOG, _BUILD, _PROPERTIES, _MANIFEST, _FINDING))
+
+
+def tree(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", f"{_TREE} AS path", f"{_ENTRY} AS body")
+
+
+_TREE_FILES = f"tree AS (SELECT doc_id, {_TREE} AS path, {_ENTRY} AS body FROM documents)"
 
 
 def _with(name: str, body: str) -> str:
@@ -351,7 +392,7 @@ def _read(source, then):
 
 
 #: The checks of a bundle, each a query below that gives a row a failure.
-BUNDLE = ("note_failures", "code_paths", "plan_failures", "dynamic_versions", "fixed_coordinates", "wrapper_failures", "manifest_failures", "unsafe_notes")
+BUNDLE = ("note_failures", "code_paths", "plan_failures", "dynamic_versions", "fixed_coordinates", "wrapper_failures", "manifest_failures", "unsafe_notes", "missing_structure", "worktree_references")
 
 
 def check_summary(s, d):
@@ -378,6 +419,18 @@ CHECKS: dict[str, Check] = {
         _read(notes, index_rows),
         f"{_NOTES} SELECT doc_id, '2026-0' || (1 + doc_id % 9) || '-1' || doc_id % 7 AS date, CASE WHEN doc_id % 4 = 0 THEN '?' ELSE source END AS area, 'closed' AS status, 'number ' || doc_id AS title FROM notes JOIN documents USING (doc_id)",
     ),
+    "audit_index": (
+        _read(findings, audit_rows),
+        f"SELECT doc_id, '2026-0' || (1 + doc_id % 9) || '-1' || doc_id % 7 AS date, CASE WHEN doc_id % 4 = 0 THEN '?' ELSE 'of ' || source END AS severity, CASE WHEN doc_id % 3 = 0 THEN 'fix' ELSE 'accept' END AS disposition, CASE WHEN doc_id % 6 = 0 THEN '?' ELSE 'number ' || doc_id END AS title FROM documents",
+    ),
+    "missing_structure": (
+        _read(tree, missing_structure),
+        f"WITH {_TREE_FILES}, required(kind, path) AS (VALUES " + ", ".join(f"('{kind}', '{x}')" for kind, names in (("folder", REQUIRED_DIRS), ("file", REQUIRED_FILES)) for x in names) + ") SELECT kind, path FROM required r WHERE NOT EXISTS (SELECT 1 FROM tree WHERE tree.path = r.path OR starts_with(tree.path, r.path || '/'))",
+    ),
+    "worktree_references": (
+        _read(tree, lambda f: broken_plan_references(f, f)),
+        f"WITH {_TREE_FILES}, cited AS (SELECT DISTINCT doc_id, unnest(['docs/plans/' || source || '/' || (doc_id - doc_id % 3) || '.md', 'docs/plans/2026-06/p' || doc_id % 7 || '.md']) AS cited FROM documents WHERE doc_id % 6 = 1) SELECT * FROM cited WHERE cited NOT IN (SELECT path FROM tree)",
+    ),
     "plan_failures": (_read(plans, plan_failures), f"{_with('plans', _PLAN)}, judged AS (SELECT *, {_STATUS} AS status, {_PLAN_PLACE} AS held FROM plans) {_explained(_PLAN_TESTS, 'judged')}"),
     "dynamic_versions": (_read(catalogs, dynamic_versions), _VERSIONS_SQL),
     "fixed_coordinates": (

@@ -11,13 +11,18 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quillwave.config import AFTER_MATCH_MS, WINDOW_MS
 
+#: Windows that go out at a time, so that a long pause is no long list.
+SLICE = 8192
 OUTPUT = "device_id long, window_id long, start_ms long, end_ms long, matched boolean"
 
 
-def next_windows(hits: list[tuple[int, bool]], start: int, window: int, gap: int, upto: int) -> tuple[list[tuple[int, int, bool]], int]:
-    """Windows that end by `upto`: (start, end, matched).  `hits`: (time, hit) in order.  A match is followed by the gap."""
+def next_windows(hits: list[tuple[int, bool]], start: int, window: int, gap: int, upto: int, most: int | None = None) -> tuple[list[tuple[int, int, bool]], int]:
+    """Windows that end by `upto`, at most `most`: (start, end, matched), and the next start.
+
+    `hits`: (time, hit) in order.  A match is followed by the gap.
+    """
     out, i = [], 0
-    while start + window <= upto:
+    while start + window <= upto and (most is None or len(out) < most):
         end = start + window
         while i < len(hits) and hits[i][0] < start:
             i += 1
@@ -30,6 +35,10 @@ def next_windows(hits: list[tuple[int, bool]], start: int, window: int, gap: int
     return out, start
 
 
+def _table(windows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(windows, columns=["device_id", "window_id", "start_ms", "end_ms", "matched"])
+
+
 def listen_batch(frames: DataFrame, window: int = WINDOW_MS, gap: int = AFTER_MATCH_MS) -> DataFrame:
     """`frames`: (device_id, at_ms, hit).  Windows of each device from its first frame to its last, in order."""
     ordered = frames.select("device_id", "at_ms", "hit").repartition("device_id").sortWithinPartitions("device_id", "at_ms")
@@ -42,11 +51,16 @@ def listen_batch(frames: DataFrame, window: int = WINDOW_MS, gap: int = AFTER_MA
                 if d != device:
                     device, hits, start, number = d, [], int(rows["at_ms"].iloc[0]), 0
                 hits += list(zip(rows["at_ms"].tolist(), rows["hit"].tolist(), strict=True))
-                made, start = next_windows(hits, start, window, gap, hits[-1][0])
-                out += [(device, number + k, *w) for k, w in enumerate(made)]
-                number += len(made)
-                hits = [h for h in hits if h[0] >= start]  # what windows to come can use
-            yield pd.DataFrame(out, columns=["device_id", "window_id", "start_ms", "end_ms", "matched"])
+                upto, made = hits[-1][0], [None] * SLICE
+                while len(made) == SLICE:
+                    made, start = next_windows(hits, start, window, gap, upto, SLICE)
+                    out += [(device, number + k, *w) for k, w in enumerate(made)]
+                    number += len(made)
+                    hits = [h for h in hits if h[0] >= start]  # what windows to come can use
+                    if len(out) >= SLICE:
+                        yield _table(out)
+                        out = []
+            yield _table(out)
 
     return ordered.mapInPandas(run, OUTPUT)
 
@@ -66,10 +80,13 @@ class Listener(StatefulProcessor):
         start, number = self.place.get() if self.place.exists() else (int(pdf["at_ms"].iloc[0]), 0)
         held = [(int(t), bool(h)) for t, h in self.open.get()]
         hits = sorted(held + [(int(t), bool(h)) for t, h in zip(pdf["at_ms"], pdf["hit"], strict=True) if t >= start])
-        made, start = next_windows(hits, start, self.window, self.gap, hits[-1][0] if hits else start)
-        self.place.update((int(start), int(number + len(made))))
-        self.open.put([(t, int(h)) for t, h in hits if t >= start])
-        yield pd.DataFrame([(key[0], number + k, *w) for k, w in enumerate(made)], columns=["device_id", "window_id", "start_ms", "end_ms", "matched"])
+        upto, made = hits[-1][0] if hits else start, [None] * SLICE
+        while len(made) == SLICE:
+            made, start = next_windows(hits, start, self.window, self.gap, upto, SLICE)
+            yield _table([(key[0], number + k, *w) for k, w in enumerate(made)])
+            number, hits = number + len(made), [h for h in hits if h[0] >= start]
+        self.place.update((int(start), int(number)))
+        self.open.put([(t, int(h)) for t, h in hits])
 
     def close(self) -> None:
         pass

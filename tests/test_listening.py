@@ -12,6 +12,7 @@ from quillwave.functions.frames import segment, speech_bounds
 from quillwave.operators.recognise import audio_features, enrol_audio, recognise
 from quillwave.sources.growing import GrowingReader, growing_capture
 from quillwave.streaming import bus
+from quillwave.streaming.listen import listen_batch
 from quillwave.streaming.loop import INPUT, AudioDecision, Change, Loop, LoopConfig, PeakDecision, Template, loop_batch, loop_stream
 
 RATE = 16_000
@@ -108,6 +109,13 @@ def test_pieces_of_any_size_give_the_same_windows():
         assert [r for a in range(0, 40_000, step) for r in run(loop, a, a + step)] == want
 
 
+def test_a_long_pause_goes_out_in_slices(spark):
+    df = spark.createDataFrame([(1, 0, False), (1, 60_000_000, True), (1, 60_009_000, False), (2, 0, True)], "device_id long, at_ms long, hit boolean")
+    rows = listen_batch(df).orderBy("window_id").collect()
+    assert [r.window_id for r in rows] == list(range(len(rows))) and len(rows) > 40_000
+    assert [r.start_ms for r in rows if r.matched] == [60_000_000] and rows[-1].end_ms <= 60_009_000 and rows[40_001].start_ms == 60_002_100
+
+
 def _loop_rows(spark):
     """Two devices: sound in frames of 100 ms, and templates that come and go."""
     rows, step = [], RATE // 10
