@@ -69,11 +69,18 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array | int | str |
             lo = upto
 
 
-def _packed(df: DataFrame, key: str, columns: list[str], part: str | None, side: int) -> DataFrame:
-    """(width, place, part, lengths, data, a list of each of `columns`), a row a block."""
-    place = F.pmod(F.xxhash64(key), F.lit(side)).cast("int").alias("place")
+def _packed(df: DataFrame, key: str, columns: list[str], part: str | None, side: int, sides: DataFrame | None) -> DataFrame:
+    """(width, place, part, lengths, data, a list of each of `columns`), a row a block.
+
+    With `sides` (_part, _side), parts have grids of their own size, and rows of a part and place are brought together first.
+    """
     within = (F.col(part).cast("string") if part else F.lit("")).alias("part")
+    if sides is not None:
+        df = df.join(sides, df[part].cast("string") == F.col("_part"))
+    place = F.pmod(F.xxhash64(key), F.col("_side") if sides is not None else F.lit(side)).cast("int").alias("place")
     rows = df.where(F.size("features") > 0).select(F.size(F.element_at("features", 1)).alias("width"), place, within, *columns, F.col("features").cast("array<array<float>>"))
+    if sides is not None:
+        rows = rows.repartition("width", "part", "place")
     lists = ", ".join(f"`{c}` array<{df.schema[c].dataType.simpleString()}>" for c in columns)
 
     def run(batches):
@@ -87,6 +94,12 @@ def _packed(df: DataFrame, key: str, columns: list[str], part: str | None, side:
     return rows.mapInArrow(run, f"width int, place int, part string, lengths array<int>, data binary, {lists}")
 
 
+def _sides_of(templates: DataFrame, within: str, side: int) -> DataFrame:
+    """(_part, _side): a part of up to a block's templates is one cell, a larger one gets a grid as wide as its blocks, `side` at most."""
+    own = F.least(F.lit(side), F.ceil(F.count("*") / F.lit(BLOCK)))
+    return templates.where(F.size("features") > 0).groupBy(F.col(within).cast("string").alias("_part")).agg(own.alias("_side"))
+
+
 def _by_length(lengths: np.ndarray, data: bytes, width: int) -> Iterator[tuple[slice, np.ndarray]]:
     """Rows of one frame count, which lie together, and their (rows, frames, width) features."""
     flat, at = np.frombuffer(data, "<f4"), 0
@@ -103,12 +116,15 @@ def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float =
 
     With `best_only` each pair of blocks gives its best template of each (query, command), by distance, age and id:
     the partial step of `best_per_command`.  Infinite distances are kept.  With `within`, a column of both sides, only
-    pairs that agree on it meet.  `counts` tells after an action how many pairs were pruned.
+    pairs that agree on it meet, each part of them on a grid that fits its size.  `counts` tells after an action how many pairs were pruned.
     """
     cores = queries.sparkSession.sparkContext.defaultParallelism
     side = math.isqrt(CELLS_A_CORE * cores - 1) + 1
-    q, t = _packed(queries, "query_id", ["query_id"], within, side), _packed(templates, "template_id", ["template_id", "command_id", "created_at"], within, side)
-    others = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    sides = _sides_of(templates, within, side) if within else None
+    q, t = _packed(queries, "query_id", ["query_id"], within, side, sides), _packed(templates, "template_id", ["template_id", "command_id", "created_at"], within, side, sides)
+    if sides is not None:
+        q, t = (df.join(sides, df["part"] == F.col("_part")) for df in (q, t))
+    others = F.explode(F.sequence(F.lit(0), (F.col("_side").cast("int") if sides is not None else F.lit(side)) - 1))
     q = q.select("width", "part", F.col("place").alias("row"), others.alias("col"), F.col("lengths").alias("q_lengths"), F.col("data").alias("q_data"), "query_id")
     t = t.select("width", "part", others.alias("row"), F.col("place").alias("col"), F.col("lengths").alias("t_lengths"), F.col("data").alias("t_data"), "template_id", "command_id", "created_at")
     cell = ["width", "part", "row", "col"]
