@@ -11,7 +11,8 @@ Where only the best template of each command is asked for, most pairs need no wa
 around the frames that a band lets meet costs one row where the recurrence costs a band; the pair of each (query, command)
 with the least bound is compared first, and then only those whose bound does not pass the best distance so far, each
 abandoned at the row where it does.  The best so far is kept from one pair of blocks to the next.  What is left out is
-farther away than what goes out, so the rows after `best_per_command` are the same.
+farther away than what goes out, so the rows after `best_per_command` are the same.  Recognition needs the first two
+commands of a query only, so there the second best distance bounds all the others.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BLOCK = 256
 BLOCK_FRAMES = 1 << 16
 CELLS_A_CORE = 2
 #: Cells of the recurrence a row from which a bound is worth its cost, and blocks of queries whose best distances are kept.
-PRUNE_FROM, KEPT = 4, 8
+PRUNE_FROM, KEPT = 3, 8
 
 
 class PairCounts(NamedTuple):
@@ -111,12 +112,13 @@ def _by_length(lengths: np.ndarray, data: bytes, width: int) -> Iterator[tuple[s
         at += size
 
 
-def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float = 0.1, metric: Metric = euclidean, best_only: bool = True, within: str | None = None, counts: PairCounts | None = None) -> DataFrame:
+def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float = 0.1, metric: Metric = euclidean, best_only: bool = True, within: str | None = None, counts: PairCounts | None = None, top: int | None = None) -> DataFrame:
     """(query_id, command_id, template_id, created_at, distance float) of pairs of equal width.
 
     With `best_only` each pair of blocks gives its best template of each (query, command), by distance, age and id:
     the partial step of `best_per_command`.  Infinite distances are kept.  With `within`, a column of both sides, only
-    pairs that agree on it meet, each part of them on a grid that fits its size.  `counts` tells after an action how many pairs were pruned.
+    pairs that agree on it meet, each part of them on a grid that fits its size.  With `top`, commands that are
+    sure not to be among a query's first so many may be left out with `best_only`.  `counts` tells after an action how many pairs were pruned.
     """
     cores = queries.sparkSession.sparkContext.defaultParallelism
     side = math.isqrt(CELLS_A_CORE * cores - 1) + 1
@@ -137,7 +139,7 @@ def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float =
         for batch in batches:
             for row in range(batch.num_rows):
                 pair = batch.slice(row, 1)
-                yield _best_of_blocks(pair, band_ratio, metric, kept, counts) if best_only else _pair_of_blocks(pair, band_ratio, metric, counts)
+                yield _best_of_blocks(pair, band_ratio, metric, kept, counts, top) if best_only else _pair_of_blocks(pair, band_ratio, metric, counts)
 
     return met.mapInArrow(run, f"query_id {query_type}, command_id string, template_id string, created_at long, distance float")
 
@@ -167,7 +169,7 @@ def _pair_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, coun
     return _rows(lists, q, t, dist.ravel())
 
 
-def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept: OrderedDict, counts: PairCounts | None) -> pa.RecordBatch:
+def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept: OrderedDict, counts: PairCounts | None, top: int | None) -> pa.RecordBatch:
     """The best template of each (query, command) of two blocks, where it is not worse than what was found before."""
     lists, queries, templates = _sides(row)
     ids, names = lists["query_id"].to_pylist(), lists["template_id"].to_pylist()
@@ -180,7 +182,8 @@ def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept
     dist, seen = np.full((len(ids), len(names)), np.inf), np.zeros((len(ids), len(names)), bool)
     for rows, left in queries:
         for cols, right in templates:
-            some, done = _nearest(left, right, best[rows], code[cols], band_ratio, metric)
+            others = [x[rows] for c, x in known.items() if c not in commands] if top else []
+            some, done = _nearest(left, right, best[rows], code[cols], band_ratio, metric, top, others)
             dist[rows, cols], seen[rows, cols] = some, done
             for c in np.unique(code[cols]):
                 best[rows, c] = np.minimum(best[rows, c], some[:, code[cols] == c].min(axis=1))
@@ -204,8 +207,11 @@ def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept
     return _rows(lists, q, t, dist[q, t])
 
 
-def _nearest(left: np.ndarray, right: np.ndarray, best: np.ndarray, code: np.ndarray, band_ratio: float, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of all pairs that can be the best of their command, and which were worked out; the others are infinite."""
+def _nearest(left: np.ndarray, right: np.ndarray, best: np.ndarray, code: np.ndarray, band_ratio: float, metric: Metric, top: int | None, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all pairs that can be the best of their command, and which were worked out; the others are infinite.
+
+    With `top`, only of pairs that can be among a query's `top` commands; `others` are best distances of further commands.
+    """
     (a, n, _), (b, m, _) = left.shape, right.shape
     cells = band_cells(n, m, band_ratio)
     if metric is not euclidean or sum(map(len, cells)) < PRUNE_FROM * n:
@@ -213,13 +219,19 @@ def _nearest(left: np.ndarray, right: np.ndarray, best: np.ndarray, code: np.nda
     bound, dist, done = lower_bounds(left, right, cells), np.full((a, b), np.inf), np.zeros((a, b), bool)
     best, every = best.copy(), np.arange(a)
     own = [np.flatnonzero(code == c) for c in np.unique(code)]
-    first = np.concatenate([o[bound[:, o].argmin(axis=1)] for o in own])
-    rows = np.tile(every, len(own))
+    least = np.stack([bound[:, o].min(axis=1) for o in own], axis=1)
+    first = np.stack([o[bound[:, o].argmin(axis=1)] for o in own], axis=1)
+    picked = np.argsort(least, axis=1, kind="stable")[:, : top or len(own)]  # of each query, the commands to compare first
+    rows, first = np.repeat(every, picked.shape[1]), np.take_along_axis(first, picked, axis=1).ravel()
     dist[rows, first], done[rows, first] = listed_distances(left, right, rows, first, cells, np.full(len(rows), np.inf)), True
     for o in own:
         c = code[o[0]]
         best[:, c] = np.minimum(best[:, c], dist[:, o].min(axis=1))
     limit = best[:, code]
+    if top:
+        every_best = np.column_stack([best, *others])
+        if every_best.shape[1] >= top:
+            limit = np.minimum(limit, np.partition(every_best, top - 1, axis=1)[:, top - 1 : top])
     rest = ~done & (bound <= limit * SLACK)
     if 2 * rest.sum() > rest.size:
         return block_distances(left, right, band_ratio, metric), np.ones((a, b), bool)

@@ -32,7 +32,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillwave.config import AFTER_MATCH_MS, IDLE_MS, WAKE_COMMAND, WINDOW_MS, CepstraConfig, EndpointConfig, GateConfig, MatchConfig
 from quillwave.functions.cepstra import cepstra
-from quillwave.functions.dtw import distance
+from quillwave.functions.dtw import block_distances
 from quillwave.functions.frames import speech_bounds
 from quillwave.streaming.gate import gate_step
 
@@ -84,9 +84,14 @@ Decide = Callable[[np.ndarray, list[Template], float], tuple[Decision, float]]
 def best_match(features: np.ndarray, templates: Iterable[Template], match: MatchConfig, threshold: float | None = None) -> Decision:
     """The nearest command by its nearest template; ties go to command, age and id.  Templates of another width are skipped."""
     best: dict[str, tuple] = {}
+    by_length: dict[int, list[Template]] = {}
     for t in templates:
         if len(t.features) and t.features.shape[1] == features.shape[1]:
-            found = (np.float32(distance(features, t.features, match.band_ratio)), t.created_at, t.template_id)
+            by_length.setdefault(len(t.features), []).append(t)
+    for some in by_length.values():
+        near = block_distances(features[None], np.stack([t.features for t in some]), match.band_ratio)[0].astype(np.float32)
+        for d, t in zip(near, some, strict=True):
+            found = (d, t.created_at, t.template_id)
             best[t.command_id] = min(best.get(t.command_id, found), found)
     if not best:
         return Decision("NO_MATCH", reason="NO_TEMPLATES")

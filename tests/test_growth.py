@@ -11,7 +11,9 @@ from quillwave.functions.cepstra import cepstra
 from quillwave.functions.dtw import band_cells, block_distances, listed_distances, lower_bounds
 from quillwave.functions.frames import speech_bounds
 from quillwave.operators import longaudio
+from quillwave.operators.decide import decide, ranked
 from quillwave.operators.pairing import PairCounts, best_per_command, pair_distances
+from quillwave.operators.recognise import recognise
 from quillwave.operators.selection import kth_smallest
 from quillwave.operators.upkeep import rescored, scored
 from quillwave.sources.store import INLINE, TEMPLATE_SCHEMA, TemplateStore
@@ -60,6 +62,20 @@ def test_pruned_rows_are_those_of_all_pairs(spark):
         assert counts.met.value == 30 * 250 and counts.warped.value < 0.6 * counts.met.value, counts
 
 
+def test_the_first_two_commands_need_few_pairs(spark):
+    rnd = np.random.default_rng(6)
+    shapes = [_walks(rnd, 1, 40)[0] for _ in range(12)]
+    noisy = lambda c: (shapes[c] + rnd.normal(0, 0.2, (40, 3))).tolist()
+    templates = spark.createDataFrame([(f"t{i:03d}", f"c{i % 12:02d}", i, noisy(i % 12)) for i in range(240)], "template_id string, command_id string, created_at long, features array<array<float>>")
+    queries = spark.createDataFrame([(i, noisy(i % 12), 40) for i in range(30)] + [(99, [], 0)], "query_id long, features array<array<float>>, frame_count int")
+    counts = PairCounts.of(spark)
+    some = best_per_command(pair_distances(queries, templates, counts=counts, top=2))
+    every = best_per_command(pair_distances(queries, templates, best_only=False))
+    two = lambda df: sorted((r.query_id, r.command_id, r.template_id, r.distance, r.runner_up) for r in ranked(df).collect())
+    assert two(some) == two(every) and counts.warped.value < 0.5 * counts.met.value, counts
+    assert sorted(tuple(r) for r in recognise(queries, templates).collect()) == sorted(tuple(r) for r in decide(queries, every).collect())
+
+
 def test_unreachable_pairs_keep_their_row(spark):
     t = spark.createDataFrame([("b", "c", 2, [[1.0]] * 12), ("a", "c", 2, [[1.0]] * 12)], "template_id string, command_id string, created_at long, features array<array<float>>")
     q = spark.createDataFrame([(1, [[1.0]] * 10)], "query_id long, features array<array<float>>")
