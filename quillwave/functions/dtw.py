@@ -29,8 +29,8 @@ def band_cells(n: int, m: int, band_ratio: float) -> list[list[int]]:
     return rows
 
 
-#: Cells of the recurrence's two rows that are held at a time.
-TILE = 1 << 21
+#: Cells of the recurrence's two rows that are held at a time, and values of pairs that are worked on together.
+TILE, STACKED = 1 << 21, 1 << 16
 
 
 def block_distances(left: np.ndarray, right: np.ndarray, band_ratio: float = 0.1, metric: Metric = euclidean) -> np.ndarray:
@@ -58,6 +58,15 @@ def _costs(left: np.ndarray, right: np.ndarray, metric: Metric) -> Callable[[int
         return lambda i, j: metric(left[:, None, i], right[None, :, j])
     # Frame by frame and value by value, so that every step runs along whole rows of pairs.
     by_value, against = np.ascontiguousarray(left.transpose(1, 2, 0)), np.ascontiguousarray(right.transpose(1, 2, 0))
+    if left.shape[2] * len(left) * len(right) <= STACKED:
+        # Few pairs: all values of a frame at once, summed in the same order.
+        small, other = by_value[:, :, :, None], against[:, :, None, :]
+
+        def together(i: int, j: int) -> np.ndarray:
+            d = small[i] - other[j]
+            return np.sqrt(np.multiply(d, d, dtype=np.float64).sum(axis=0))
+
+        return together
     shape = len(left), len(right)
     narrow, wide, total = np.empty(shape, np.float32), np.empty(shape), np.empty(shape)
 
@@ -95,21 +104,17 @@ def lower_bounds(left: np.ndarray, right: np.ndarray, cells: list[list[int]]) ->
     of the differences; only sums differ in their order.  Rows without columns make a pair unreachable, at no bound.
     """
     (a, n, width), (b, m, _) = left.shape, right.shape
-    total, square, low, high = np.zeros((a, b)), np.empty((a, b)), np.empty((a, b), np.float32), np.empty((a, b), np.float32)
-    by_value = np.ascontiguousarray(left.transpose(1, 2, 0))
+    total, by_value = np.zeros((a, b)), np.ascontiguousarray(left.transpose(1, 2, 0))
+    step = max(1, STACKED // (width * b))
     for i, columns in enumerate(cells):
         if not columns:
             continue
         some = right[:, columns[0] : columns[-1] + 1]
-        least, most = np.ascontiguousarray(some.min(axis=1).T), np.ascontiguousarray(some.max(axis=1).T)
-        square.fill(0)
-        for k in range(width):
-            np.subtract(by_value[i, k][:, None], most[k][None, :], out=high)
-            np.subtract(least[k][None, :], by_value[i, k][:, None], out=low)
-            np.maximum(high, low, out=high)
-            np.maximum(high, 0, out=high)
-            square += np.multiply(high, high, dtype=np.float64)
-        total += np.sqrt(square, out=square)
+        least, most = (np.ascontiguousarray(x.T)[:, None, :] for x in (some.min(axis=1), some.max(axis=1)))
+        for lo in range(0, a, step):
+            x = by_value[i, :, lo : lo + step, None]
+            out = np.maximum(np.maximum(x - most, least - x), np.float32(0))
+            total[lo : lo + step] += np.sqrt(np.einsum("kab,kab->ab", out, out, dtype=np.float64))
     return total / (n + m)
 
 
@@ -135,10 +140,8 @@ def listed_distances(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols
         before[0], used = 0.0, (0, 1)
         for i, columns in enumerate(cells):
             for j in columns:
-                total = np.zeros(len(own))
-                for k in range(width):
-                    d = x[i, k] - y[j, k]
-                    total += np.multiply(d, d, dtype=np.float64)
+                d = x[i] - y[j]
+                total = np.multiply(d, d, dtype=np.float64).sum(axis=0)  # row by row, as one value after the other
                 now[j + 1] = np.minimum(np.minimum(before[j + 1], before[j]), now[j]) + np.sqrt(total)
             before[used[0] : used[1]] = np.inf
             before, now, used = now, before, (columns[0] + 1, columns[-1] + 2) if columns else (0, 0)

@@ -36,6 +36,8 @@ BLOCK_FRAMES = 1 << 16
 CELLS_A_CORE = 2
 #: Cells of the recurrence a row from which a bound is worth its cost, and blocks of queries whose best distances are kept.
 PRUNE_FROM, KEPT = 3, 8
+#: Values of a frame of all pairs from which it pays to look at pairs one by one, and the share of them that is tried first.
+PRUNE_SIZE, TRIED = 1 << 14, 8
 
 
 class PairCounts(NamedTuple):
@@ -112,13 +114,14 @@ def _by_length(lengths: np.ndarray, data: bytes, width: int) -> Iterator[tuple[s
         at += size
 
 
-def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float = 0.1, metric: Metric = euclidean, best_only: bool = True, within: str | None = None, counts: PairCounts | None = None, top: int | None = None) -> DataFrame:
+def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float = 0.1, metric: Metric = euclidean, best_only: bool = True, within: str | None = None, counts: PairCounts | None = None, top: int | None = None, prune_size: int = PRUNE_SIZE) -> DataFrame:
     """(query_id, command_id, template_id, created_at, distance float) of pairs of equal width.
 
     With `best_only` each pair of blocks gives its best template of each (query, command), by distance, age and id:
     the partial step of `best_per_command`.  Infinite distances are kept.  With `within`, a column of both sides, only
     pairs that agree on it meet, each part of them on a grid that fits its size.  With `top`, commands that are
-    sure not to be among a query's first so many may be left out with `best_only`.  `counts` tells after an action how many pairs were pruned.
+    sure not to be among a query's first so many may be left out with `best_only`.  Pairs of blocks are pruned where they
+    have more than `prune_size` values a frame; fewer are done faster whole.  `counts` tells after an action how many pairs were pruned.
     """
     cores = queries.sparkSession.sparkContext.defaultParallelism
     side = math.isqrt(CELLS_A_CORE * cores - 1) + 1
@@ -139,7 +142,7 @@ def pair_distances(queries: DataFrame, templates: DataFrame, band_ratio: float =
         for batch in batches:
             for row in range(batch.num_rows):
                 pair = batch.slice(row, 1)
-                yield _best_of_blocks(pair, band_ratio, metric, kept, counts, top) if best_only else _pair_of_blocks(pair, band_ratio, metric, counts)
+                yield _best_of_blocks(pair, band_ratio, metric, kept, counts, top, prune_size) if best_only else _pair_of_blocks(pair, band_ratio, metric, counts)
 
     return met.mapInArrow(run, f"query_id {query_type}, command_id string, template_id string, created_at long, distance float")
 
@@ -169,7 +172,7 @@ def _pair_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, coun
     return _rows(lists, q, t, dist.ravel())
 
 
-def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept: OrderedDict, counts: PairCounts | None, top: int | None) -> pa.RecordBatch:
+def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept: OrderedDict, counts: PairCounts | None, top: int | None, prune_size: int) -> pa.RecordBatch:
     """The best template of each (query, command) of two blocks, where it is not worse than what was found before."""
     lists, queries, templates = _sides(row)
     ids, names = lists["query_id"].to_pylist(), lists["template_id"].to_pylist()
@@ -183,7 +186,7 @@ def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept
     for rows, left in queries:
         for cols, right in templates:
             others = [x[rows] for c, x in known.items() if c not in commands] if top else []
-            some, done = _nearest(left, right, best[rows], code[cols], band_ratio, metric, top, others)
+            some, done = _nearest(left, right, best[rows], code[cols], band_ratio, metric, top, others, prune_size)
             dist[rows, cols], seen[rows, cols] = some, done
             for c in np.unique(code[cols]):
                 best[rows, c] = np.minimum(best[rows, c], some[:, code[cols] == c].min(axis=1))
@@ -207,14 +210,14 @@ def _best_of_blocks(row: pa.RecordBatch, band_ratio: float, metric: Metric, kept
     return _rows(lists, q, t, dist[q, t])
 
 
-def _nearest(left: np.ndarray, right: np.ndarray, best: np.ndarray, code: np.ndarray, band_ratio: float, metric: Metric, top: int | None, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(left: np.ndarray, right: np.ndarray, best: np.ndarray, code: np.ndarray, band_ratio: float, metric: Metric, top: int | None, others: list[np.ndarray], prune_size: int = PRUNE_SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Distances of all pairs that can be the best of their command, and which were worked out; the others are infinite.
 
     With `top`, only of pairs that can be among a query's `top` commands; `others` are best distances of further commands.
     """
     (a, n, _), (b, m, _) = left.shape, right.shape
     cells = band_cells(n, m, band_ratio)
-    if metric is not euclidean or sum(map(len, cells)) < PRUNE_FROM * n:
+    if metric is not euclidean or sum(map(len, cells)) < PRUNE_FROM * n or left.shape[2] * a * b <= prune_size:
         return block_distances(left, right, band_ratio, metric), np.ones((a, b), bool)
     bound, dist, done = lower_bounds(left, right, cells), np.full((a, b), np.inf), np.zeros((a, b), bool)
     best, every = best.copy(), np.arange(a)
@@ -233,12 +236,14 @@ def _nearest(left: np.ndarray, right: np.ndarray, best: np.ndarray, code: np.nda
         if every_best.shape[1] >= top:
             limit = np.minimum(limit, np.partition(every_best, top - 1, axis=1)[:, top - 1 : top])
     rest = ~done & (bound <= limit * SLACK)
-    if 2 * rest.sum() > rest.size:
-        return block_distances(left, right, band_ratio, metric), np.ones((a, b), bool)
     rows, cols = np.nonzero(rest)
-    some = listed_distances(left, right, rows, cols, cells, limit[rows, cols])
-    dist[rows, cols] = some
-    done[rows, cols] = np.isfinite(some) | np.isinf(limit[rows, cols])
+    for lo, hi in ((0, len(rows) // TRIED), (len(rows) // TRIED, len(rows))):
+        r, c = rows[lo:hi], cols[lo:hi]
+        some = listed_distances(left, right, r, c, cells, limit[r, c])
+        dist[r, c] = some
+        done[r, c] = np.isfinite(some) | np.isinf(limit[r, c])
+        if not lo and 2 * len(rows) > rest.size and 2 * done[r, c].sum() > len(r):  # bounds tell little here, and rows don't either
+            return block_distances(left, right, band_ratio, metric), np.ones((a, b), bool)
     return dist, done
 
 

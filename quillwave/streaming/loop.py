@@ -21,8 +21,10 @@ device's pause is a window with what little it holds.  A pause without templates
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -168,18 +170,18 @@ class Loop:
     idle: int = 0
     known: int = -(1 << 62)
     floor: float = GateConfig().floor
-    frames: dict[int, tuple[int, np.ndarray]] = field(default_factory=dict)
+    frames: deque[tuple[int, int, np.ndarray]] = field(default_factory=deque)
     changes: list[Change] = field(default_factory=list)
     templates: dict[str, Template] = field(default_factory=dict)
 
     def feed(self, frames: Iterable[tuple[int, int, np.ndarray]], changes: Iterable[Change]) -> Iterator[tuple]:
         self.changes = sorted([*self.changes, *changes], key=lambda c: c.at)
-        for at, upto, samples in frames:
+        for frame in frames:
             if self.place is None:
-                self.place = at
-            if upto > self.place or at >= self.place:
-                self.frames.setdefault(at, (upto, samples))
-            self.known = max(self.known, upto)
+                self.place = frame[0]
+            if frame[1] > self.place or frame[0] >= self.place:
+                self._hold(frame)
+            self.known = max(self.known, frame[1])
         while self.place is not None:
             while self.changes and self.changes[0].at <= self.place:
                 self._apply(self.changes.pop(0))
@@ -190,7 +192,17 @@ class Loop:
                 yield self._window()
             elif not step:
                 return
-            self.frames = {at: f for at, f in self.frames.items() if f[0] > self.place or at >= self.place}
+            while self.frames and self.frames[0][0] < self.place and self.frames[0][1] <= self.place:
+                self.frames.popleft()
+
+    def _hold(self, frame: tuple[int, int, np.ndarray]) -> None:
+        """Frames are held in the order of their starts; mostly the new one is the last."""
+        later = []
+        while self.frames and self.frames[-1][0] > frame[0]:
+            later.append(self.frames.pop())
+        if not self.frames or self.frames[-1][0] != frame[0]:
+            self.frames.append(frame)
+        self.frames.extend(reversed(later))
 
     def _apply(self, change: Change) -> None:
         if change.op == "put":
@@ -209,8 +221,7 @@ class Loop:
 
     def _window(self) -> tuple:
         start, end = self.place, self.place + self.config.window
-        held = [(at, *self.frames[at]) for at in sorted(self.frames) if at < end]
-        parts = [samples[max(0, start - at) : max(1, end - at)] for at, upto, samples in held]
+        parts = [samples[max(0, start - at) : max(1, end - at)] for at, upto, samples in takewhile(lambda f: f[0] < end, self.frames) if upto > start or at >= start]
         found, self.floor = self.decide(np.concatenate(parts) if parts else np.zeros(0, np.float32), sorted(self.templates.values(), key=lambda t: (t.created_at, t.template_id)), self.floor)
         row = (self.number, start, end, self.idle, *found)
         self.place, self.number, self.idle = end + (self.config.after_match if found.kind == "MATCH" else 0), self.number + 1, 0
@@ -268,12 +279,12 @@ class Listening(StatefulProcessor):
         if self.place.exists():
             place, loop.number, loop.idle, loop.known, loop.floor = self.place.get()
             loop.place = None if place == self._NONE else place
-        loop.frames = {at: (upto, np.frombuffer(raw, np.float32)) for at, upto, raw in self.frames.get()}
+        loop.frames = deque((at, upto, np.frombuffer(raw, np.float32)) for at, upto, raw in self.frames.get())
         loop.changes = [self._change(row) for row in self.changes.get()]
         loop.templates = {c.template.template_id: c.template for c in map(self._change, self.templates.get())}
         made = _table(key[0], loop.feed(*_told(pd.concat(list(rows)))))
         self.place.update((self._NONE if loop.place is None else loop.place, loop.number, loop.idle, loop.known, loop.floor))
-        self._keep(self.frames, [(at, upto, samples.astype(np.float32).tobytes()) for at, (upto, samples) in loop.frames.items()])
+        self._keep(self.frames, [(at, upto, samples.astype(np.float32).tobytes()) for at, upto, samples in loop.frames])
         self._keep(self.changes, [self._row(c) for c in loop.changes])
         self._keep(self.templates, [self._row(Change(0, "put", t)) for t in loop.templates.values()])
         yield made
