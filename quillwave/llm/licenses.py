@@ -5,11 +5,14 @@ consecutive ones (the rightmost of equals) is kept.  Both are chosen for each no
 whole wherever changed words fall, as long as the rest makes up `COVERAGE`; `GRAM` and `WINDOW` are their upper bounds.
 The notices' fingerprints form an inverted index (fingerprint to notices and places), small and of fixed size, that
 goes to every task and is asked for every gram of the texts.  A shared fingerprint gives a diagonal.  A stretch of
-neighbouring diagonals is a candidate where it has as many different fingerprints of a notice as changed words can't
-take away.  All candidates of a notice in a slice are aligned with it at once, word by word, `band` diagonals around
-the stretch; the best local alignment gives matched words, their share of the notice and the span in code points.
-Matches from `COVERAGE` on are reported; of matches that overlap, the one with more matched words stays,
-or else more coverage.
+neighbouring diagonals with `piece` different fingerprints of a notice is a piece; pieces less than the notice's length
+apart form a region, which is a candidate where it has as many different fingerprints as changed words can't take away.
+All candidates of a notice in a slice are aligned with it at once, word by word, in the bands of `band` diagonals around
+their pieces.  An alignment goes on from one band to another at the price of the words left out or put in between, so
+that a text with a passage left out or put in is still one match, as in an alignment without bands.  The best local
+alignment of each start gives matched words, their share of the notice and the span in code points.  Matches from
+`COVERAGE` on are reported; of matches that overlap, the one with more matched words stays, or else more coverage.
+Unchanged runs of fewer than about a dozen words (a hundredth of a long licence) are not followed to a band of their own.
 
 All words of all texts are looked up, and time is in proportion to the text even where it is made of notices.  Null
 and empty texts have no matches and give a row with none.  Repeated rows give a row each; null ids are kept; extra
@@ -33,9 +36,11 @@ from quillwave.llm.license_texts import all_notices
 GRAM, WINDOW = 3, 3
 BAND = 6
 COVERAGE = 0.8
+#: Different fingerprints of a piece at most, but for notices of which a match has more than PART times as many.
+PIECE, PART = 4, 32
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Scores that are kept for the way back, at a time.
-ALIGN_CELLS = 1 << 24
+#: Words of text that are aligned with a notice at a time; a region of more diagonals is cut, with cuts that overlap.
+ALIGN_WORDS = 1 << 20
 
 
 def changes(n_words: int) -> int:
@@ -76,6 +81,7 @@ class Index:
     by_gram: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # fingerprints, sorted; notice and place of each
     band: np.ndarray  # diagonals that a match of the notice may drift by
     need: np.ndarray  # different fingerprints that a match of the notice has
+    piece: np.ndarray  # and that a piece of it has
 
 
 def build_index(notices: dict[str, str]) -> Index:
@@ -104,51 +110,54 @@ def build_index(notices: dict[str, str]) -> Index:
         hashes, notice, place = (np.concatenate(column) for column in zip(*parts, strict=True))
         order = np.argsort(hashes, kind="stable")
         by_gram[gram] = hashes[order], notice[order], place[order]
-    return Index(names, words, by_gram, band, need)
+    return Index(names, words, by_gram, band, need, np.maximum(np.minimum(need, PIECE), need // PART))
 
 
-def align(text: np.ndarray, notice: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each candidate: matched words and the range of text words of the best local alignment.
+def align(text: np.ndarray, notice: np.ndarray, lo: np.ndarray, hi: np.ndarray, region: np.ndarray, diagonal: np.ndarray) -> list[np.ndarray]:
+    """(region, matched words, first word, end word) of the best local alignment of each start, from COVERAGE on.
 
-    A candidate's alignment stays within `half` of the diagonal on which the notice's first word is text[first], and in
-    text[lo:hi].
+    `region` and `diagonal` are sorted and distinct: the notice's first word may meet text[diagonal], and its others those
+    that follow; a region's alignments stay in text[lo:hi] of the region.  From one diagonal an alignment goes on to any
+    other at a GAP for each word left out between them.  Of equal scores more matched words and the later start count.
     """
-    n, width, some = len(notice), 2 * half + 1, len(first)
-    column = np.arange(width)
-    base = first[:, None] + column - half
-    score = np.zeros((n + 1, some, width + 1), dtype=np.int16)  # one column more, for the diagonal beyond the band
-    best, at_i, at_k = np.zeros(some, np.int64), np.zeros(some, np.int64), np.zeros(some, np.int64)
-
-    def same(i: int, j: np.ndarray) -> np.ndarray:
-        return text[np.clip(j, 0, len(text) - 1)] == notice[i - 1]
-
-    for i in range(1, n + 1):
-        j = base + (i - 1)
-        inside = (j >= lo[:, None]) & (j < hi[:, None])
-        step = np.where(same(i, j), MATCH, MISMATCH)
-        own = np.maximum(np.maximum(score[i - 1, :, :-1] + step, score[i - 1, :, 1:] + GAP), 0)
-        own = np.maximum.accumulate(np.where(inside, own, 0) - GAP * column, axis=1) + GAP * column  # words of the text left out
-        own = np.where(inside, own, 0)
-        score[i, :, :-1] = own
-        k = own.argmax(axis=1)
-        top = own[np.arange(some), k]
-        better = top > best
-        best, at_i, at_k = np.where(better, top, best), np.where(better, i, at_i), np.where(better, k, at_k)
-    last = first + at_i + at_k - half
-    start, matched = last.copy(), np.zeros(some, np.int64)
-    on = np.flatnonzero(best > 0)
-    while len(on):
-        i, k = at_i[on], at_k[on]
-        j = first[on] + i - 1 + k - half
-        own, equal = score[i, on, k].astype(np.int64), text[np.clip(j, 0, len(text) - 1)] == notice[i - 1]
-        paired = own == score[i - 1, on, k] + np.where(equal, MATCH, MISMATCH)
-        skips = ~paired & (own == score[i - 1, on, k + 1] + GAP)
-        matched[on] += paired & equal
-        start[on] = np.where(skips, start[on], j)
-        at_i[on] = i - (paired | skips)
-        at_k[on] = k + skips - (~paired & ~skips)
-        on = on[score[at_i[on], on, at_k[on]] > 0]
-    return matched, start, last
+    n, enough = len(notice), math.ceil(COVERAGE * len(notice) - 1e-9)
+    # The regions' texts one after another, so far apart that no alignment gets across.
+    new = np.flatnonzero(np.diff(region, prepend=-1))
+    left, right = diagonal[new], diagonal[np.append(new[1:], len(diagonal)) - 1] + n
+    base = np.cumsum(right - left + 2 * n + 2) - (right - left) - n
+    flat = np.zeros(int(base[-1] + right[-1] - left[-1] + n + 2), dtype=np.uint64)
+    known = np.zeros(len(flat), dtype=bool)
+    for at, a, x, y in zip(base, left, np.maximum(left, lo[region[new]]), np.minimum(right, hi[region[new]]), strict=True):
+        flat[at + x - a : at + max(x, y) - a] = text[x : max(x, y)]
+        known[at + x - a : at + max(x, y) - a] = True
+    of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(diagonal))))
+    column = base[of] + diagonal - left[of]
+    # A cell is one number: its score above its matched words above its start.
+    bits = len(flat).bit_length()
+    high = bits + n.bit_length()
+    assert high + (len(flat) + 2 * n).bit_length() < 63
+    one, word = 1 << high, 1 << bits
+    cells, above, along = column.copy(), np.zeros(len(flat), np.int64), column << high
+    ends: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    for i in range(n):
+        at = column + i
+        equal = (flat[at] == notice[i]) & known[at]
+        cells = np.maximum(cells + np.where(equal, MATCH * one + word, MISMATCH * one), above[at] + GAP * (i + 1) * one)
+        cells = np.maximum.accumulate(cells - GAP * along) + GAP * along
+        cells = np.where(cells < one, at + 1, cells)
+        above[at] = np.maximum(above[at], cells - GAP * (i + 1) * one)
+        if i + 1 >= enough:
+            good = np.flatnonzero(equal)
+            good = good[(cells[good] >> bits & (1 << high - bits) - 1) >= enough]
+            ends.append((cells[good], at[good] + 1))
+    cell, end = (np.concatenate(c) for c in zip(*ends, strict=True))
+    start = cell & word - 1
+    order = np.lexsort((end, -cell, start))
+    order = order[np.diff(start[order], prepend=-1) > 0]
+    start, end, matched = start[order], end[order], cell[order] >> bits & (1 << high - bits) - 1
+    of = np.searchsorted(base, start, side="right") - 1
+    move = left[of] - base[of]
+    return [region[new][of], matched, start + move, end + move]
 
 
 def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
@@ -161,8 +170,8 @@ def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
     return [c[new] for c in columns]
 
 
-def _candidates(words: np.ndarray, rows: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, notice, stretch): a notice's stretch s is of the band + 1 diagonals from s * (band + 1) on and as many after."""
+def _candidates(words: np.ndarray, rows: np.ndarray, index: Index) -> list[np.ndarray]:
+    """(row, notice, region, diagonal) of all diagonals to align on, in order; regions are numbered within the call."""
     hits: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
     for gram, (fingerprints, notice, place) in index.by_gram.items():
         hashes, first = tk.shingle_hashes(words, rows, gram)
@@ -173,31 +182,62 @@ def _candidates(words: np.ndarray, rows: np.ndarray, index: Index) -> tuple[np.n
         entry = np.repeat(a[at], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         hits.append((np.repeat(first[at], each), notice[entry], place[entry]))
     word, notice, place = (np.concatenate(c) for c in zip(*hits, strict=True))
+    # A stretch s is of the band + 1 diagonals from s * (band + 1) on and as many after.
     stretch = (word - place) // (index.band[notice] + 1)
     row = rows[word]
     row, notice, stretch, place = _distinct(np.tile(row, 2), np.tile(notice, 2), np.concatenate([stretch, stretch - 1]), np.tile(place, 2))
-    new = np.ones(len(row), dtype=bool)
-    if len(row):
-        new[1:] = (row[1:] != row[:-1]) | (notice[1:] != notice[:-1]) | (stretch[1:] != stretch[:-1])
-    begin = np.flatnonzero(new)
-    enough = begin[np.diff(np.append(begin, len(row))) >= index.need[notice[begin]]]
-    return row[enough], notice[enough], stretch[enough]
+    begin = _first_of_each(row, notice, stretch)
+    count = np.diff(np.append(begin, len(row)))
+    kept = np.repeat(count >= index.piece[notice[begin]], count)
+    row, notice, stretch, place = row[kept], notice[kept], stretch[kept], place[kept]
+    size = np.array([len(w) for w in index.words])[notice]
+    diagonal = stretch * (index.band[notice] + 1)
+    apart = np.zeros(len(row), dtype=bool)
+    apart[_first_of_each(row, notice)] = True
+    apart[1:] |= np.diff(diagonal) > (size + 3 * index.band[notice] + 3)[1:]
+    region = np.cumsum(apart)
+    # Long regions are cut; a cut holds what begins in it, and no match reaches over three notices' lengths of text.
+    offset = diagonal - diagonal[apart][region - 1]
+    cut = offset // ALIGN_WORDS
+    twice = np.flatnonzero((cut > 0) & (offset % ALIGN_WORDS < 3 * size))
+    row, notice, region, cut, stretch, place = (np.concatenate([c, c[twice] - d]) for c, d in ((row, 0), (notice, 0), (region, 0), (cut, 1), (stretch, 0), (place, 0)))
+    row, notice, region, cut, place, stretch = _distinct(row, notice, region, cut, place, stretch)
+    new = np.zeros(len(row), dtype=bool)
+    new[_first_of_each(region, cut)] = True
+    region = np.cumsum(new) - 1
+    different = np.bincount(region[_first_of_each(region, place)], minlength=int(new.sum()))
+    kept = (different >= index.need[notice[new]])[region]
+    row, notice, region, stretch = _distinct(row[kept], notice[kept], region[kept], stretch[kept])
+    band = index.band[notice]
+    wide = 4 * band + 3
+    diagonal = np.repeat(stretch * (band + 1) - band, wide) + np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    return _distinct(np.repeat(row, wide), np.repeat(notice, wide), np.repeat(region, wide), diagonal)
+
+
+def _first_of_each(*columns: np.ndarray) -> np.ndarray:
+    """Places where a new run of equal rows begins."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
 
 
 def matches(words: np.ndarray, rows: np.ndarray, index: Index) -> list[np.ndarray]:
     """(row, notice, matched words, first word, end word) of all reported matches, by row and place."""
-    row, notice, stretch = _candidates(words, rows, index)
+    row, notice, region, diagonal = _candidates(words, rows, index)
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 5]
     for i in np.unique(notice):
-        own = np.flatnonzero(notice == i)
-        text, band = index.words[i], int(index.band[i])
-        half = 2 * band + 1
-        at_once = max(1, ALIGN_CELLS // ((len(text) + 1) * (2 * half + 2)))
-        for part in np.split(own, range(at_once, len(own), at_once)):
-            lo, hi = np.searchsorted(rows, row[part], side="left"), np.searchsorted(rows, row[part], side="right")
-            matched, first, last = align(words, text, (stretch[part] + 1) * (band + 1), lo, hi, half)
-            good = matched >= COVERAGE * len(text)
-            found.append((row[part][good], np.full(good.sum(), i), matched[good], first[good], last[good]))
+        own, text = notice == i, index.words[i]
+        places = diagonal[own]
+        begin = _first_of_each(region[own])
+        end = np.append(begin[1:], len(places))
+        of_row = row[own][begin]
+        lo, hi = np.searchsorted(rows, of_row, side="left"), np.searchsorted(rows, of_row, side="right")
+        # Whole regions, about ALIGN_WORDS at a time.
+        part = np.cumsum(places[end - 1] - places[begin] + 3 * len(text)) // ALIGN_WORDS
+        for a in _first_of_each(part):
+            b = np.searchsorted(part, part[a], side="right")
+            nth, matched, first, last = align(words, text, lo, hi, np.repeat(np.arange(a, b), end[a:b] - begin[a:b]), places[begin[a] : end[b - 1]])
+            found.append((of_row[nth], np.full(len(nth), i), matched, first, last))
     row, notice, matched, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
     # Of those that overlap the one with more matched words stays; equals by coverage, place and name.
     taken, kept = np.zeros(len(words), dtype=bool), []

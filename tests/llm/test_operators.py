@@ -192,11 +192,18 @@ def test_alignment_bears_changed_and_missing_words():
     words = whole.copy()
     words[20] = 1
     words = np.delete(words, 50)
-    one = lambda x: np.array([x])
-    matched, first, last = licenses.align(words, whole, one(0), one(0), one(len(words)), 13)
+    _, matched, first, last = _around(words, whole, np.arange(-13, 14))
     assert matched == len(words) - 1 and (first, last) == (0, len(words))
 
 
+def _around(text, notice, diagonals):
+    """The alignment with the most matched words on the given diagonals of one text."""
+    zero, end = np.array([0]), np.array([len(text)])
+    found = licenses.align(text, notice, zero, end, np.zeros(len(diagonals), np.int64), diagonals)
+    best = np.argmax(found[1])
+    return [c[best : best + 1] for c in found]
+
+
 def _best_local(text, notice):
     """Score of the best local alignment over all pairs of places, without a band."""
     best, above = 0, [0] * (len(text) + 1)
@@ -218,13 +225,84 @@ def test_coverage_and_spans_against_plain_alignment():
             rnd.choice([lambda: words.__setitem__(at, 1), lambda: words.insert(at, 2), lambda: words.pop(at)])()  # noqa: B023
         before, after = rnd.randint(0, 9), rnd.randint(0, 9)
         text = np.array([3] * before + words + [4] * after, dtype=np.uint64)
-        one = lambda x: np.array([x])
-        matched, first, last = (int(x[0]) for x in licenses.align(text, notice, one(before), one(0), one(len(text)), 13))
+        _, matched, first, last = (int(x[0]) for x in _around(text, notice, np.arange(before - 13, before + 14)))
         cut = text[first:last]
         assert matched == int(np.isin(cut, notice).sum()) and first >= before and last <= before + len(words)
         assert _best_local(cut.tolist(), notice.tolist()) == _best_local(text.tolist(), notice.tolist())
 
 
+def _plain_alignment(text, notice):
+    """Matched words and span of the best local alignment over all cells, cell by cell; ties as `align` has them."""
+    best, end, above = (0, 0, 0), 0, [(0, 0, j) for j in range(len(text) + 1)]
+    for x in notice:
+        row = [(0, 0, 0)]
+        for j, y in enumerate(text):
+            s, m, at = above[j]
+            paired = (s + 2, m + 1, at) if x == y else (s - 1, m, at)
+            top = max(paired, *((c[0] - 1, *c[1:]) for c in (above[j + 1], row[j])))
+            row.append(top if top[0] > 0 else (0, 0, j + 1))
+            if row[-1][:2] > best[:2]:
+                best, end = row[-1], j + 1
+        above = row
+    return best[1], best[2], end
+
+
+@pytest.mark.parametrize("more", [0, 1])
+def test_passages_left_out_or_put_in_against_an_alignment_without_bands(more):
+    """Pieces of the index alone, against all cells: a passage left out or put in at three places, in copies one after another."""
+    rnd, notices = random.Random(21), {n: t for n, t in all_notices().items() if 100 < len(t.split()) < 500}
+    index = licenses.build_index(all_notices())
+    assert len(notices) >= 5
+    for name in notices:
+        own = index.words[index.names.index(name)].tolist()
+        for k in {min(k, len(own) * 15 // 100) for k in ((5, 60) if len(own) > 400 else (5, 15, 60, 200))}:
+            for at in (len(own) // 4, len(own) // 2, len(own) * 3 // 4):
+                words = own[:at] + [rnd.randrange(10**9) for _ in range(k)] + own[at:] if more else own[:at] + own[at + k :]
+                text = np.array([1] * 30 + words + [2] * 30, dtype=np.uint64)
+                found = licenses.matches(text, np.zeros(len(text), np.int64), licenses.Index([name], [np.array(own, np.uint64)], *_only(index, name)))
+                want = _plain_alignment(text.tolist(), own)
+                assert [tuple(int(c[0]) for c in found[2:])] == [want] and len(found[0]) == 1, (name, k, at, found, want)
+                assert want[0] >= licenses.COVERAGE * len(own)
+
+
+def _only(index, name):
+    """The other fields of an index of one notice."""
+    i = index.names.index(name)
+    by_gram = {g: (h[n == i], n[n == i] * 0, p[n == i]) for g, (h, n, p) in index.by_gram.items()}
+    return by_gram, index.band[i : i + 1], index.need[i : i + 1], index.piece[i : i + 1]
+
+
+def test_whole_licences_with_passages_left_out_or_put_in(spark):
+    """Every notice of over 100 words, twice in a text, keeps its name and its share."""
+    rows, want = [], {}
+    for name, notice in all_notices().items():
+        words = re.findall("[A-Za-z0-9]+", notice)
+        for k in {min(k, len(words) * 15 // 100) for k in (5, 15, 60, 200)} if len(words) > 100 else ():
+            for part in (1, 2, 3):
+                at = len(words) * part // 4
+                for more in (0, 1):
+                    edited = words[:at] + ([f"new{i}" for i in range(k)] + words[at:] if more else words[at + k :])
+                    want[len(rows)] = name, len(words) - (0 if more else k)
+                    rows.append((len(rows), " ".join(["before", *edited, "between " * 9, *edited, "after"])))
+    got = {r.doc_id: [(m.license, m.matched) for m in r.matches] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = {i: (want[i], found) for i, found in got.items() if len(found) != 2 or any(n != want[i][0] or abs(m - want[i][1]) > 3 for n, m in found)}
+    assert len(rows) > 200 and not wrong, (len(wrong), len(rows), wrong)
+
+
+def test_long_regions_are_cut_without_loss():
+    """A text of copies, in cuts of few words, gives what it gives whole."""
+    index = licenses.build_index({"mit": NOTICES["mit"]})
+    text = np.concatenate([index.words[0][: -1 - i % 9] for i in range(40)])
+    rows = np.zeros(len(text), np.int64)
+    whole = licenses.matches(text, rows, index)
+    kept, licenses.ALIGN_WORDS = licenses.ALIGN_WORDS, 700
+    try:
+        cut = licenses.matches(text, rows, index)
+    finally:
+        licenses.ALIGN_WORDS = kept
+    assert len(whole[0]) == 40 and all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True))
+
+
 def test_scan_against_brute_force(spark):
     """Every notice at every place of short texts, compared word by word; edited notices count from COVERAGE on."""
     rnd, rows, want = random.Random(16), [], {}
