@@ -7,10 +7,13 @@ joined on these prefix shingles; the place of the shingle in its window and the
 window can lie; what is left is verified word by word over the whole window.
 
 Two scans of the texts, whatever the benchmark's size, and no shuffle of texts: the first counts the items' shingles
-over all documents, the second finds the places of prefix shingles with the words around them, which Spark joins with
-the windows.  Both scans know the shingles by a bitmap of `BITMAP_BITS` bits, the only thing that is broadcast by hand:
-what passes it without need is dropped by the join.  Hits, ranges of words and lists of items are joined and
-aggregated by Spark too.
+over all documents, the second finds the places of prefix shingles, which Spark joins with the windows.  A shingle of a
+window no longer than itself needs no words around it: such places go out as one list for each document and shingle.  Of
+others the words around go along, as far as the windows reach.  Both scans know the shingles by two bits each of a bitmap
+of 16 to 32 bits a shingle (about one word in 100 or fewer passes without need and is dropped by the join), which is
+broadcast and holds 2 ** `BITMAP_BITS` bits (64 MB) at most; beyond 32 million shingles more words pass.  A prefix that
+has more than a `SHARES`th of all places is dealt to as many keys of the join as it has such shares.  Hits, ranges of
+words and lists of items are joined and aggregated by Spark too.
 
 Null texts have no words; such documents and empty ones are returned with zero counts.  Items without words
 contribute nothing; an item with a null id counts under the empty string, and items that share an id are one item.
@@ -32,7 +35,8 @@ WINDOW = 13
 SHINGLE = 4
 #: A document is contaminated if 20 times its hit words are at least its words.
 SHARE = 20
-BITMAP_BITS = 24
+BITMAP_BITS = 29
+SHARES = 1024
 #: Bits that Spark's bitmap aggregate holds in one row.
 _BUCKET = 15
 #: Rows that go out of a task at a time.
@@ -73,30 +77,34 @@ def _shingles(batches):
         lists = batch.column(1)
         cut = np.asarray(lists.offsets)
         words, cut = np.asarray(lists.values).view(np.uint64)[cut[0] : cut[-1]], cut - cut[0]
-        rows, wid = np.repeat(np.arange(len(cut) - 1), np.diff(cut)), batch.column(0).to_numpy()
+        rows = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
         for size in range(1, SHINGLE + 1):
             hashes, first = tk.shingle_hashes(words, rows, size)
             own = np.minimum(np.diff(cut), SHINGLE)[rows[first]] == size
             row, place = rows[first][own], (first - cut[rows[first]])[own]
-            yield pa.RecordBatch.from_arrays([pa.array(wid[row]), pa.array(np.full(len(row), size, np.int32)), pa.array(place.astype(np.int32)), _longs(hashes[own])], names=["wid", "size", "place", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), size, np.int32)), pa.array(place.astype(np.int32)), _longs(hashes[own])], names=["wid", "size", "place", "hash"])
 
 
 class Bitmap:
-    """Which leading bits of hashes occur."""
+    """Which hashes may occur: for each of the `n` given, two bits of a bitmap sized by `n`, from its ends."""
 
-    def __init__(self, hashes: DataFrame):
-        self.bits = BITMAP_BITS
-        lead = F.shiftrightunsigned("hash", 64 - self.bits)
-        rows = hashes.select(F.shiftright(lead, _BUCKET).alias("bucket"), lead.bitwiseAND(F.lit((1 << _BUCKET) - 1)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    def __init__(self, hashes: DataFrame, n: int):
+        self.bits = max(_BUCKET, min(BITMAP_BITS, (16 * n).bit_length()))
+        ends = F.array(F.shiftrightunsigned("hash", 64 - self.bits), F.col("hash").bitwiseAND(F.lit((1 << self.bits) - 1)))
+        bit = F.col("bit")
+        rows = hashes.select(F.explode(ends).alias("bit")).select(F.shiftright(bit, _BUCKET).alias("bucket"), bit.bitwiseAND(F.lit((1 << _BUCKET) - 1)).alias("bit"))
         self.packed = np.zeros(1 << (self.bits - 3), np.uint8)
-        for r in rows.toLocalIterator():  # as many as the bitmap has buckets at most
+        for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # as many as the bitmap has buckets at most
             at = r.bucket << (_BUCKET - 3)
             self.packed[at : at + (1 << (_BUCKET - 3))] = np.frombuffer(r.bits, np.uint8)
 
+    def _set(self, places: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((self.packed[places >> 3] >> (places & 7).astype(np.uint8)) & 1)
+
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         """Indexes of the hashes that may be among those given."""
-        lead = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        return np.flatnonzero((self.packed[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1)
+        some = self._set((hashes >> np.uint64(64 - self.bits)).astype(np.int64))
+        return some[self._set((hashes[some] & np.uint64((1 << self.bits) - 1)).astype(np.int64))]
 
 
 def _tally(shared, sizes: list[int]):
@@ -114,11 +122,15 @@ def _tally(shared, sizes: list[int]):
     return run
 
 
-_FOUND = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("n_words", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("left", pa.int64()), ("around", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("n_words", pa.int64()), ("hash", pa.int64()), ("places", pa.list_(pa.int64())), ("left", pa.int64()), ("around", pa.list_(pa.int64()))])
+
 
+def _search(shared, sizes: list[int], before: int, after: int):
+    """A row for each document, and for its prefix shingles rows of hash and places (first words).
 
-def _search(shared, sizes: list[int]):
-    """A row for each document, and one for each place of a prefix shingle: its hash and word, and the words around from `left` on."""
+    Where windows reach beyond their shingle, by `before` words before and `after` from its first word on, a place has a
+    row of its own with the words around it from word `left` on.
+    """
 
     def run(batches):
         bitmap, rid = shared.value, TaskContext.get().partitionId() << 40
@@ -132,12 +144,23 @@ def _search(shared, sizes: list[int]):
                 for size in sizes:
                     hashes, first = tk.shingle_hashes(words, rows, size)
                     found = bitmap.maybe(hashes)
+                    if size < SHINGLE or before + after <= SHINGLE:
+                        word, own = first[found], hashes[found]
+                        order = np.lexsort((word, own, rows[word]))
+                        word, own = word[order], own[order]
+                        new = np.ones(len(word), dtype=bool)
+                        new[1:] = (own[1:] != own[:-1]) | (rows[word[1:]] != rows[word[:-1]])
+                        head = np.flatnonzero(new)
+                        places = pa.ListArray.from_arrays(pa.array(np.append(head, len(word)), pa.int32()), pa.array(word - cut[rows[word]]))
+                        yield _batch({"rid": pa.array(ids[rows[word[head]]]), "hash": _longs(own[head]), "places": places})
+                        continue
                     for some in np.split(found, range(ROWS, len(found), ROWS)):
                         word = first[some]
-                        left = np.maximum(word - (WINDOW - 1), cut[rows[word]])
-                        right = np.minimum(word + WINDOW, cut[rows[word] + 1])
                         begin = cut[rows[word]]
-                        yield _batch({"rid": pa.array(ids[rows[word]]), "hash": _longs(hashes[some]), "at": pa.array(word - begin), "left": pa.array(left - begin), "around": _runs(words, left, right - left)})
+                        left = np.maximum(word - before, begin)
+                        right = np.minimum(word + after, cut[rows[word] + 1])
+                        places = pa.ListArray.from_arrays(pa.array(np.arange(len(word) + 1), pa.int32()), pa.array(word - begin))
+                        yield _batch({"rid": pa.array(ids[rows[word]]), "hash": _longs(hashes[some]), "places": places, "left": pa.array(left - begin), "around": _runs(words, left, right - left)})
 
     return run
 
@@ -147,38 +170,54 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _FOUND], schema=_FOUND)
 
 
-def _item_tables(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Windows (wid, words), items (wid, item) and shingles (wid, size, place, hash), all written."""
+def _item_tables(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The items' windows (item, wid, words), equal ones under one wid, and their shingles (wid, size, place, hash); both written."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
-    raw = stash(items.mapInArrow(tidy(_item_windows), "item string, words array<long>"), "item-windows")
-    windows = stash(raw.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), "words"), "windows")
-    of_item = stash(raw.join(windows, "words").select("wid", "item").distinct(), "window-items")
-    return windows, of_item, stash(windows.mapInArrow(tidy(_shingles), "wid long, size int, place int, hash long"), "window-shingles")
+    raw = items.mapInArrow(tidy(_item_windows), "item string, words array<long>").distinct()
+    windows = stash(raw.select("item", F.md5(F.array_join(F.col("words").cast("array<string>"), ",").cast("binary")).alias("wid"), "words"), "item-windows")
+    return windows, stash(_once(windows).mapInArrow(tidy(_shingles), "wid string, size int, place int, hash long"), "window-shingles")
+
+
+def _once(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("wid").agg(F.first("words").alias("words"))
 
 
 def _prefixes(documents: DataFrame, windows: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
-    """(hash, place, wid, words): of each window whose shingles all occur, the rarest one."""
-    shared = documents.sparkSession.sparkContext.broadcast(Bitmap(shingles))
+    """(hash, n, place, wid, words): of each window whose shingles all occur, the rarest one and its places in all documents."""
+    shared = documents.sparkSession.sparkContext.broadcast(Bitmap(shingles, shingles.count()))
     counts = documents.select("text").mapInArrow(tidy(_tally(shared, sizes)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     counted = shingles.join(counts, "hash", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "place")).alias("rarest"))
-    return stash(counted.where("rarest.n > 0").join(windows, "wid").select("rarest.hash", "rarest.place", "wid", "words"), "prefixes")
+    return stash(counted.where("rarest.n > 0").join(_once(windows), "wid").select("rarest.hash", "rarest.n", "rarest.place", "wid", "words"), "prefixes")
+
+
+def _met(found: DataFrame, prefixes: DataFrame, total: int) -> DataFrame:
+    """Rows of places with the windows of their shingle; frequent shingles are dealt to several keys."""
+    own = F.greatest(F.lit(1), F.ceil(F.col("n") * SHARES / F.lit(max(1, total)))).cast("int")
+    dealt = prefixes.select("hash", "place", "wid", "words", F.explode(F.sequence(F.lit(0), own - 1)).alias("part"))
+    # Fewer than SHARES of them: each has more than that share of all places.
+    often = prefixes.groupBy("hash").agg(F.max(own).alias("parts")).where("parts > 1")
+    places = found.where("hash IS NOT NULL").select("rid", "hash", "places", "left", "around").join(F.broadcast(often), "hash", "left")
+    return places.withColumn("part", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts").cast("long")).cast("int"), F.lit(0))).join(dealt, ["hash", "part"])
 
 
 def _judged(documents: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    windows, items, shingles = _item_tables(benchmark, id_col, text_col)
+    windows, shingles = _item_tables(benchmark, id_col, text_col)
     sizes = sorted(r.size for r in shingles.select("size").distinct().collect())
     prefixes = _prefixes(documents, windows, shingles, sizes)
-    shared = documents.sparkSession.sparkContext.broadcast(Bitmap(prefixes))
+    size, long = F.size("words"), F.size("words") > SHINGLE
+    known = prefixes.groupBy("hash").agg(F.max("n").alias("n"), F.max(F.when(long, F.col("place"))).alias("before"), F.max(F.when(long, size - F.col("place"))).alias("after"))
+    n, total, before, after = known.agg(F.count("*"), F.sum("n"), F.max("before"), F.max("after")).first()
+    shared = documents.sparkSession.sparkContext.broadcast(Bitmap(prefixes, n))
     texts = documents.select("doc_id", "text", text_key(F.col("text")).alias(TEXT_KEY))
-    schema = f"rid long, doc_id long, {TEXT_KEY} long, n_words long, hash long, at long, left long, around array<long>"
-    found = stash(texts.mapInArrow(tidy(_search(shared, sizes)), schema), "found")
+    schema = f"rid long, doc_id long, {TEXT_KEY} long, n_words long, hash long, places array<long>, left long, around array<long>"
+    found = stash(texts.mapInArrow(tidy(_search(shared, sizes, before or 0, max(SHINGLE, after or 0))), schema), "found")
     # Where the window begins in the words around; before them it begins before the document.
-    into = (F.col("at") - F.col("left") - F.col("place")).cast("int")
-    met = found.where("hash IS NOT NULL").select("rid", "hash", "at", "left", "around").join(prefixes, "hash").where(into >= 0)
-    met = met.where(F.slice("around", into + 1, F.size("words")) == F.col("words"))
-    hits = stash(met.select("rid", "wid", (F.col("at") - F.col("place")).alias("lo"), (F.col("at") - F.col("place") + F.size("words")).alias("hi")), "hits")
+    into = (F.col("places")[0] - F.col("left") - F.col("place")).cast("int")
+    whole = F.when(F.col("around").isNull(), size <= SHINGLE).otherwise((into >= 0) & (F.slice("around", F.greatest(into, F.lit(0)) + 1, size) == F.col("words")))
+    met = _met(found, prefixes, total or 0).where(whole)
+    hits = stash(met.select("rid", "wid", F.explode("places").alias("at"), "place", size.alias("size")).select("rid", "wid", (F.col("at") - F.col("place")).alias("lo"), (F.col("at") - F.col("place") + F.col("size")).alias("hi")), "hits")
     ranges = _merged(hits.select("rid", "lo", "hi").distinct()).groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
-    named = hits.select("rid", "wid").distinct().join(items, "wid").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = hits.select("rid", "wid").distinct().join(windows.select("wid", "item"), "wid").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     rows = found.where("hash IS NULL").select("rid", "doc_id", TEXT_KEY, "n_words").join(ranges, "rid", "left").join(named, "rid", "left")
     none = F.lit(0).cast("long")
     spans = F.array_join(F.transform("ranges", lambda r: F.concat_ws(":", r["lo"].cast("string"), r["hi"].cast("string"))), ",")

@@ -411,6 +411,30 @@ def test_many_items_with_one_window_and_a_coarse_bitmap(spark, monkeypatch):
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
+def test_what_is_found_stays_in_bounds(spark, monkeypatch):
+    """A frequent short item gives a row a document without words around, dealt to many keys; strange words seldom pass."""
+    kept = {}
+
+    def keep(df, what="table"):
+        kept[what] = decontaminate_stash(df, what)
+        return kept[what]
+
+    decontaminate_stash = decontaminate.stash
+    monkeypatch.setattr(decontaminate, "stash", keep)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    the = spark.createDataFrame([(1, "the")], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, the).agg(F.sum("n_hit")).first()[0]
+    found = kept["found"].where("hash IS NOT NULL")
+    known, places, around = found.agg(F.count("*"), F.sum(F.size("places")), F.count("around")).first()
+    assert got > 0 and around == 0 and got <= places <= 1.05 * got + 100 and known <= 1.05 * docs.where("text ILIKE '%the%'").count() + 100
+    met = decontaminate._met(found, kept["prefixes"], kept["prefixes"].first().n)
+    assert met.select("part").distinct().count() > 100 and met.count() == found.join(kept["prefixes"], "hash").count()
+    others = spark.range(3000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.expr(f"cast(hash(id, {j}) as string)") for j in range(8)]).alias("text"))
+    bitmap = decontaminate.Bitmap(decontaminate._item_tables(others, "item_id", "text")[1], 15_000)
+    strange = np.random.default_rng(3).integers(0, 1 << 63, 200_000).astype(np.uint64) * np.uint64(2)
+    assert len(bitmap.maybe(strange)) < 0.02 * len(strange)
+
+
 def test_the_texts_are_read_twice_whatever_the_benchmark(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("text", F.concat("text", F.lit(" x")))
     reads = spark.sparkContext.accumulator(0)
