@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
+from quillwave.llm.bitmaps import likely
 from quillwave.shared import fresh_path, shared_dir, stash
 
 __all__ = ["BROADCAST_IDS", "TEXT_KEY", "bounded_sample", "by_slices", "fresh_path", "held_out", "id_hash", "shared_dir", "stash", "table", "text_key", "tidy", "without"]
@@ -77,7 +78,15 @@ def text_key(text: Column) -> Column:
 
 
 def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
-    """`documents` but for the rows named by `gone`, a written table of doc_id and TEXT_KEY; null ids are ids like any other."""
+    """`documents` but for the rows named by `gone`, a written table of doc_id and TEXT_KEY; null ids are ids like any other.
+
+    Up to BROADCAST_IDS of them are broadcast.  Beyond, a bitmap of bounded size tells rows that stay for sure, which are
+    not shuffled; the others, hardly more than those named, are joined.
+    """
     some = gone.select(F.col("doc_id").alias("__gone_id"), F.col(TEXT_KEY).alias("__gone_key")).distinct()
     named = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (text_key(F.col("text")) == F.col("__gone_key"))
-    return documents.join(F.broadcast(some) if gone.count() <= BROADCAST_IDS else some, named, "left_anti")
+    n = gone.count()
+    if n <= BROADCAST_IDS:
+        return documents.join(F.broadcast(some), named, "left_anti")
+    maybe = likely(gone.select(F.xxhash64("doc_id", TEXT_KEY).alias("hash")), n, F.xxhash64(F.col("doc_id"), text_key(F.col("text"))))
+    return documents.where(~maybe).union(documents.where(maybe).join(some, named, "left_anti"))

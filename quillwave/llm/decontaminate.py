@@ -29,16 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
+from quillwave.llm.bitmaps import Bitmap
 from quillwave.llm.common import TEXT_KEY, stash, text_key, tidy, without
 
 WINDOW = 13
 SHINGLE = 4
 #: A document is contaminated if 20 times its hit words are at least its words.
 SHARE = 20
-BITMAP_BITS = 29
 SHARES = 1024
-#: Bits that Spark's bitmap aggregate holds in one row.
-_BUCKET = 15
 #: Rows that go out of a task at a time.
 ROWS = 4096
 
@@ -85,28 +83,6 @@ def _shingles(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), size, np.int32)), pa.array(place.astype(np.int32)), _longs(hashes[own])], names=["wid", "size", "place", "hash"])
 
 
-class Bitmap:
-    """Which hashes may occur: for each of the `n` given, two bits of a bitmap sized by `n`, from its ends."""
-
-    def __init__(self, hashes: DataFrame, n: int):
-        self.bits = max(_BUCKET, min(BITMAP_BITS, (16 * n).bit_length()))
-        ends = F.array(F.shiftrightunsigned("hash", 64 - self.bits), F.col("hash").bitwiseAND(F.lit((1 << self.bits) - 1)))
-        bit = F.col("bit")
-        rows = hashes.select(F.explode(ends).alias("bit")).select(F.shiftright(bit, _BUCKET).alias("bucket"), bit.bitwiseAND(F.lit((1 << _BUCKET) - 1)).alias("bit"))
-        self.packed = np.zeros(1 << (self.bits - 3), np.uint8)
-        for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # as many as the bitmap has buckets at most
-            at = r.bucket << (_BUCKET - 3)
-            self.packed[at : at + (1 << (_BUCKET - 3))] = np.frombuffer(r.bits, np.uint8)
-
-    def _set(self, places: np.ndarray) -> np.ndarray:
-        return np.flatnonzero((self.packed[places >> 3] >> (places & 7).astype(np.uint8)) & 1)
-
-    def maybe(self, hashes: np.ndarray) -> np.ndarray:
-        """Indexes of the hashes that may be among those given."""
-        some = self._set((hashes >> np.uint64(64 - self.bits)).astype(np.int64))
-        return some[self._set((hashes[some] & np.uint64((1 << self.bits) - 1)).astype(np.int64))]
-
-
 def _tally(shared, sizes: list[int]):
     def run(batches):
         bitmap = shared.value

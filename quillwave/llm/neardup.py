@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.llm import textkernel as tk
+from quillwave.llm.bitmaps import likely
 from quillwave.llm.common import BROADCAST_IDS, TEXT_KEY, stash, text_key, tidy, without
 from quillwave.llm.components import components, star_groups
 
@@ -274,9 +275,12 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 
 
 def _texts(documents: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """`members` with the text of each node: one more scan of the texts, of which only candidates go on."""
+    """`members` with the text of each node: one more scan of the texts, of which only candidates go on, also to a shuffle."""
     texts = documents.select(F.col("doc_id").alias("node"), "text")
-    return texts.join(F.broadcast(members) if n <= BROADCAST_IDS else members.hint("shuffle_hash"), "node")
+    if n <= BROADCAST_IDS:
+        return texts.join(F.broadcast(members), "node")
+    some = texts.where("node IS NOT NULL").where(likely(members.select(F.xxhash64("node").alias("hash")), n, F.xxhash64("node")))
+    return some.join(members.hint("shuffle_hash"), "node")
 
 
 def _described(documents: DataFrame, k: int) -> DataFrame:

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from quillwave.llm import archives, crf, decontaminate, langid, licenses, media, mixing, neardup, pii, rans, tokenfiles
+from quillwave.llm import archives, bitmaps, common, crf, decontaminate, langid, licenses, media, mixing, neardup, pii, rans, tokenfiles
 from quillwave.llm.components import components, star_groups
 from quillwave.llm.langid import identify
 from quillwave.llm.license_texts import NOTICES, all_notices
@@ -394,7 +394,7 @@ def test_many_items_with_one_window_and_a_coarse_bitmap(spark, monkeypatch):
     docs = [(i, words(rnd.randint(0, 40)) + rnd.choice(["", " x", " " + items[310][1]])) for i in range(60)]
     spark_docs = spark.createDataFrame(docs, "doc_id long, text string")
     spark_items = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BITMAP_BITS", 16)
+    monkeypatch.setattr(bitmaps, "BITMAP_BITS", 16)
     got = {r.doc_id: r for r in decontaminate.decontaminate(spark_docs, spark_items).collect()}
     for i, text in docs:
         w, hit, ids = text.split(), set(), set()
@@ -430,11 +430,27 @@ def test_what_is_found_stays_in_bounds(spark, monkeypatch):
     met = decontaminate._met(found, kept["prefixes"], kept["prefixes"].first().n)
     assert met.select("part").distinct().count() > 100 and met.count() == found.join(kept["prefixes"], "hash").count()
     others = spark.range(3000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.expr(f"cast(hash(id, {j}) as string)") for j in range(8)]).alias("text"))
-    bitmap = decontaminate.Bitmap(decontaminate._item_tables(others, "item_id", "text")[1], 15_000)
+    bitmap = bitmaps.Bitmap(decontaminate._item_tables(others, "item_id", "text")[1], 15_000)
     strange = np.random.default_rng(3).integers(0, 1 << 63, 200_000).astype(np.uint64) * np.uint64(2)
     assert len(bitmap.maybe(strange)) < 0.02 * len(strange)
 
 
+def test_rejecting_and_fetching_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Above the bound: the same rows, null ids and repeated rows too; only rows that may be meant are shuffled."""
+    docs = _odd(spark).union(spark.range(100, 2100).select("id", F.concat(F.lit("text "), "id"), *[F.lit(None).alias(c) for c in _odd(spark).columns[2:]]))
+    gone = docs.where("doc_id IS NULL OR doc_id % 7 = 0 OR doc_id = 5 AND text LIKE 'One%'").select("doc_id", common.text_key(F.col("text")).alias(common.TEXT_KEY))
+    want = Counter((r.doc_id, r.text) for r in common.without(docs, gone).collect())
+    near = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).orderBy("doc_id", "n_shingles", "component_id").collect()]
+    for module in (common, neardup):
+        monkeypatch.setattr(module, "BROADCAST_IDS", 0)
+    got = common.without(docs, gone)
+    assert got.columns == docs.columns and Counter((r.doc_id, r.text) for r in got.collect()) == want and len(want) > 1500
+    assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).orderBy("doc_id", "n_shingles", "component_id").collect()] == near
+    key = F.xxhash64(F.col("doc_id"), common.text_key(F.col("text")))
+    passing = docs.where(bitmaps.likely(gone.select(F.xxhash64("doc_id", common.TEXT_KEY).alias("hash")), gone.count(), key)).count()
+    assert gone.count() <= passing <= gone.count() + 100
+
+
 def test_the_texts_are_read_twice_whatever_the_benchmark(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("text", F.concat("text", F.lit(" x")))
     reads = spark.sparkContext.accumulator(0)
