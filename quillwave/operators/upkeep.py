@@ -19,8 +19,9 @@ SCORES = "template_id string, command_id string, score double, nearest string"
 def _nearest(queries: DataFrame, templates: DataFrame, band_ratio: float, counts: PairCounts | None) -> DataFrame:
     """(template_id, near struct<distance, template_id>): the nearest other template of the command, where one is met."""
     asked = queries.select(F.col("template_id").alias("query_id"), "command_id", "features")
-    pairs = pair_distances(asked, templates.select("template_id", "command_id", "created_at", "features"), band_ratio, best_only=False, within="command_id", counts=counts)
-    return pairs.where("query_id <> template_id").groupBy(F.col("query_id").alias("template_id")).agg(F.min(F.struct("distance", "template_id")).alias("near"))
+    known = templates.select("template_id", "command_id", F.lit(0).cast("long").alias("created_at"), "features")  # ties go to the id, not to age
+    pairs = pair_distances(asked, known, band_ratio, within="command_id", counts=counts, apart=True)
+    return pairs.groupBy(F.col("query_id").alias("template_id")).agg(F.min(F.struct("distance", "template_id")).alias("near"))
 
 
 def scored(templates: DataFrame, band_ratio: float = 0.1, counts: PairCounts | None = None) -> DataFrame:

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwave.functions import dtw
-from quillwave.functions.dtw import band_cells, distance, distance_expression
+from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, near_bounds
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
-from quillwave.operators.pairing import best_per_command, pair_distances
+from quillwave.operators.pairing import PairCounts, best_per_command, pair_distances
 from quillwave.operators.recognise import recognise
 from quillwave.config import MatchConfig
 
@@ -152,3 +152,44 @@ def test_adaptation_removes_the_older_of_the_redundant(spark):
     assert {r.op for r in N.adaptation(alone, new, 4).collect()} == {"add"}
     with pytest.raises(ValueError):
         N.adaptation(existing, new, 3)
+
+
+@pytest.mark.parametrize("n, m, width, band, scale", [(8, 8, 8, 0.1, 1.0), (5, 8, 8, 0.1, 1e-3), (38, 35, 39, 0.1, 50.0), (16, 16, 4, 0.25, 1e-22), (12, 20, 3, 0.0, 1e9)])
+def test_near_bounds_are_close_and_never_over(n, m, width, band, scale):
+    rnd = np.random.default_rng(n * m)
+    left, right = ((rnd.normal(size=(k, f, width)) * scale).astype(np.float32) for k, f in ((150, n), (140, m)))
+    right[:9] = np.resize(left[0, :1], right[:9].shape)  # frames that are equal
+    full, near = block_distances(left, right, band), near_bounds(left, right, band_cells(n, m, band))
+    assert (near <= full).all() and np.array_equal(np.isinf(near), np.isinf(full))
+    some = np.isfinite(full[1:, 9:])
+    assert scale < 1e-9 or (near[1:, 9:][some] >= (1 - 1e-4) * full[1:, 9:][some]).all()
+    left[3, 0, 0] = 1e30
+    assert near_bounds(left, right, band_cells(n, m, band)) is None
+
+
+@pytest.mark.parametrize("top", [None, 1, 2])
+def test_narrow_bands_are_pruned(spark, top):
+    rnd = np.random.default_rng(3)
+    row = lambda: rnd.normal(size=(8, 8)).astype(np.float32).tolist()
+    t = spark.createDataFrame([(f"t{i}", f"c{i % 4}", i // 2, row()) for i in range(400)], "template_id string, command_id string, created_at long, features array<array<float>>")
+    q = spark.createDataFrame([(i, row()) for i in range(100)], "query_id long, features array<array<float>>")
+    counts = PairCounts.of(spark)
+    some, every = best_per_command(pair_distances(q, t, counts=counts, top=top, prune_size=0)), best_per_command(pair_distances(q, t, best_only=False))
+    first = lambda df: sorted([x[:2] for x in sorted(g)][: top or 4] for g in _by_query(df).values())
+    assert first(some) == first(every)
+    assert counts.met.value == 40_000 and counts.warped.value < 0.5 * counts.met.value
+
+
+def _by_query(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.query_id, []).append((r.distance, r.template_id, r.command_id))
+    return out
+
+
+def test_a_sequence_does_not_meet_itself(spark):
+    rows = spark.createDataFrame([(f"t{i}", f"c{i % 2}", i, [[float(i * i % 7)]]) for i in range(40)], "template_id string, command_id string, created_at long, features array<array<float>>").withColumn("query_id", F.col("template_id"))
+    every = pair_distances(rows, rows, best_only=False, within="command_id").where("query_id <> template_id")
+    for size in (0, 1 << 14):
+        assert sorted(best_per_command(pair_distances(rows, rows, within="command_id", apart=True, prune_size=size)).collect()) == sorted(best_per_command(every).collect())
+    assert pair_distances(rows, rows, best_only=False, within="command_id", apart=True).count() == every.count() == 40 * 19
