@@ -270,6 +270,13 @@ def _whole(left: np.ndarray, right: np.ndarray, skip: np.ndarray | None, band_ra
     return q, t, block_distances(left, right, band_ratio, metric)[q, t]
 
 
+def pairs_met(queries: DataFrame, templates: DataFrame) -> DataFrame:
+    """(query_id, met long): how many templates of its width each query meets, of queries that meet any; no pair is made."""
+    width = lambda df, *columns: df.where(F.size("features") > 0).select(F.size(F.element_at("features", 1)).alias("width"), *columns)
+    known = width(templates).groupBy("width").agg(F.count("*").alias("met"))
+    return width(queries, "query_id").join(F.broadcast(known), "width").select("query_id", "met")
+
+
 def best_per_command(pairs: DataFrame) -> DataFrame:
     """(query_id, command_id, template_id, distance): the best template of each command; ties go to age, then id."""
     best = F.min(F.struct("distance", "created_at", "template_id")).alias("b")

@@ -15,7 +15,7 @@ from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
 from quillwave.operators import longaudio, upkeep
-from quillwave.operators.pairing import best_per_command, pair_distances
+from quillwave.operators.pairing import best_per_command, pair_distances, pairs_met
 from quillwave.operators import recognise as R
 from quillwave.operators.recognise import audio_features, recognise
 from quillwave.plans import oracles as O
@@ -101,7 +101,7 @@ def width_skip(s, d):
     """Templates of another width are skipped: none of the wide ones meets a query."""
     q, t = _sides(s, d)
     wide = views.templates(views.sequences(s, d, "wide")).withColumn("template_id", F.concat(F.lit("w"), "template_id"))
-    met = pair_distances(q, t.unionByName(wide), best_only=False).groupBy("query_id").agg(F.count("*").alias("met"))
+    met = pairs_met(q, t.unionByName(wide))
     total = t.select("template_id").union(wide.select("template_id")).agg(F.count("*")).scalar()
     return q.select("query_id").join(met, "query_id", "left").select("query_id", F.coalesce("met", F.lit(0).cast("long")).alias("met"), (total - F.coalesce("met", F.lit(0))).cast("long").alias("skipped"))
 

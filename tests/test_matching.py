@@ -9,7 +9,7 @@ from quillwave.functions.dtw import band_cells, block_distances, distance, dista
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
-from quillwave.operators.pairing import PairCounts, best_per_command, pair_distances
+from quillwave.operators.pairing import PairCounts, best_per_command, pair_distances, pairs_met
 from quillwave.operators.recognise import recognise
 from quillwave.config import MatchConfig
 
@@ -193,3 +193,13 @@ def test_a_sequence_does_not_meet_itself(spark):
     for size in (0, 1 << 14):
         assert sorted(best_per_command(pair_distances(rows, rows, within="command_id", apart=True, prune_size=size)).collect()) == sorted(best_per_command(every).collect())
     assert pair_distances(rows, rows, best_only=False, within="command_id", apart=True).count() == every.count() == 40 * 19
+
+
+def test_counting_what_meets_makes_no_pair(spark):
+    kind = "template_id string, command_id string, created_at long, features array<array<float>>"
+    t = spark.createDataFrame([("a", "c", 1, [[1.0]]), ("b", "c", 1, [[1.0], [2.0]]), ("w", "c", 1, [[1.0, 2.0]]), ("e", "c", 1, [])], kind)
+    q = spark.createDataFrame([(1, [[3.0]]), (2, [[3.0, 1.0]] * 4), (3, [[1.0] * 5]), (4, [])], "query_id long, features array<array<float>>")
+    met = pairs_met(q, t)
+    assert {tuple(r) for r in met.collect()} == {(1, 2), (2, 1)}
+    counted = pair_distances(q, t, best_only=False).groupBy("query_id").agg(F.count("*").alias("met"))
+    assert sorted(met.collect()) == sorted(counted.collect())
