@@ -8,7 +8,7 @@ from quillwave.config import FRONT_ENDS, CepstraConfig, MatchConfig
 from quillwave.functions.cepstra import cepstra
 from quillwave.functions.dtw import block_distances, distance
 from quillwave.functions.frames import speech_bounds
-from quillwave.operators.recognise import bake_off_audio
+from quillwave.operators.recognise import bake_off_audio, recognise
 from quillwave.plans import views
 from quillwave.plans.queries import recognize_audio
 from quillwave.sqlfunctions import register
@@ -76,3 +76,17 @@ def test_front_ends_over_audio_are_those_of_a_plain_recount(spark):
         assert got[name].frr == pytest.approx(rejects / len(positives))
         assert got[name].false_accepts == sum(r.seq in found for r in recordings if r.kind == "negative")
     assert corpus.select(F.max(F.size("samples"))).first()[0] == 6400
+
+
+def test_recognize_in_sql_compares_blocks(spark):
+    rnd = np.random.default_rng(4)
+    row = lambda i: rnd.normal(size=(6 + i % 3, 4)).astype(np.float32).tolist()
+    spark.createDataFrame([(f"t{i}", f"c{i % 5}", i // 2, row(i)) for i in range(900)], "template_id string, command_id string, created_at long, features array<array<float>>").createOrReplaceTempView("many_templates")
+    asked = spark.createDataFrame([(i, row(i), 6 + i % 3) for i in range(300)] + [(300, [], 0), (301, [[1.0]], 1)], "query_id long, features array<array<float>>, frame_count int")
+    asked.createOrReplaceTempView("many_queries")
+    register(spark, "many_queries", "many_templates")
+    got = spark.sql("SELECT * FROM recognize(threshold => 1.2, band_ratio => 0.3)")
+    want = recognise(asked, spark.table("many_templates"), config=MatchConfig(threshold=1.2, band_ratio=0.3))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "nearest_in_blocks" in plan and "dtw_distance" not in plan
