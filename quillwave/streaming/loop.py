@@ -37,6 +37,7 @@ from quillwave.functions.cepstra import cepstra
 from quillwave.functions.dtw import block_distances
 from quillwave.functions.frames import speech_bounds
 from quillwave.streaming.gate import gate_step
+from quillwave.streaming.listen import spread
 
 INPUT = "device_id long, at long, upto long, samples array<float>, change string, template_id string, command_id string, created_at long, features array<array<float>>"
 OUTPUT = "device_id long, window_id long, start long, end long, idle_steps long, kind string, command_id string, template_id string, distance float, confidence double, reason string"
@@ -189,7 +190,7 @@ class Loop:
             if step is None:
                 if self.known < self.place + self.config.window:
                     return
-                yield self._window()
+                yield from self._windows()
             elif not step:
                 return
             while self.frames and self.frames[0][0] < self.place and self.frames[0][1] <= self.place:
@@ -219,13 +220,25 @@ class Loop:
         self.idle += steps
         return steps
 
-    def _window(self) -> tuple:
-        start, end = self.place, self.place + self.config.window
+    def _windows(self) -> Iterator[tuple]:
+        """The next window, and those after it that nothing is heard in and no change reaches: they are decided alike."""
+        start, end, floor = self.place, self.place + self.config.window, self.floor
         parts = [samples[max(0, start - at) : max(1, end - at)] for at, upto, samples in takewhile(lambda f: f[0] < end, self.frames) if upto > start or at >= start]
         found, self.floor = self.decide(np.concatenate(parts) if parts else np.zeros(0, np.float32), sorted(self.templates.values(), key=lambda t: (t.created_at, t.template_id)), self.floor)
-        row = (self.number, start, end, self.idle, *found)
+        yield self.number, start, end, self.idle, *found
         self.place, self.number, self.idle = end + (self.config.after_match if found.kind == "MATCH" else 0), self.number + 1, 0
-        return row
+        if not parts and found.kind != "MATCH" and self.floor == floor:
+            for _ in range(self._alike()):
+                yield self.number, self.place, self.place + self.config.window, 0, *found
+                self.place, self.number = self.place + self.config.window, self.number + 1
+
+    def _alike(self) -> int:
+        """How many windows from here on are complete, without frames, and begin before the next change."""
+        until = next((at for at, upto, _ in self.frames if upto > self.place or at >= self.place), self.known)
+        count = (min(until, self.known) - self.place) // self.config.window
+        if self.changes:
+            count = min(count, -((self.place - self.changes[0].at) // self.config.window))
+        return max(0, count)
 
 
 def _told(rows: pd.DataFrame) -> tuple[list[tuple[int, int, np.ndarray]], list[Change]]:
@@ -245,7 +258,7 @@ def _table(device: int, made: Iterable[tuple]) -> pd.DataFrame:
 def loop_batch(rows: DataFrame, decide: Decide, config: LoopConfig = LoopConfig()) -> DataFrame:
     """The loop over rows that are all there; a device is one ordered run that streams through a task."""
     columns = [c.split()[0] for c in INPUT.split(", ")]
-    ordered = rows.select(*columns).repartition("device_id").sortWithinPartitions("device_id", "at", "change")
+    ordered = rows.select(*columns).repartition(spread(rows.sparkSession), "device_id").sortWithinPartitions("device_id", "at", "change")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         device, loop = None, Loop(config, decide)

@@ -244,3 +244,29 @@ def test_stream_to_the_bus_over_a_restart(spark, tmp_path):
     assert run((["a", "b"], 0)) == ["a", "b"]
     assert run((["b", "c"], 1000)) == ["a", "b", "c"]
     assert run(([f"n{i:02d}" for i in range(20)], 2000)) == ["a", "b", "c", *(f"n{i:02d}" for i in range(16))]
+
+
+def test_empty_windows_of_a_pause_are_decided_once():
+    asked = []
+
+    def decide(samples, templates, floor):
+        asked.append(len(samples))
+        return PeakDecision()(samples, templates, floor)
+
+    rnd = random.Random(4)
+    template = lambda k: Template(f"t{k}", "c", k, np.array([[50.0]], np.float32))
+    at = sorted(rnd.sample(range(4_000_000), 40))
+    frames = [(t, t, np.array([rnd.choice([50.0, 90.0])], np.float32)) for t in at]
+    changes = [Change(rnd.randrange(at[-1]), rnd.choice(["put", "put", "drop"]), template(k % 5)) for k in range(30)]
+    rows = list(Loop(LoopConfig(), decide).feed(frames, changes))
+    one = Loop(LoopConfig(), decide)
+    one._alike = lambda: 0
+    quick, asked[:] = len(asked), []
+    assert rows == list(one.feed(frames, changes)) and len(rows) > 500
+    assert len(asked) == len(rows) and quick < 150
+
+
+def test_devices_of_few_rows_are_spread(spark):
+    frames = spark.range(400).selectExpr("id % 40 AS device_id", "id * 1000 AS at_ms", "id % 3 = 0 AS hit")
+    made = listen_batch(frames).groupBy(F.spark_partition_id()).count()
+    assert made.count() > 4
