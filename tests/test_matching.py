@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwave.functions import dtw
-from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, near_bounds
+from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, listed_distances, near_bounds
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
@@ -61,6 +61,15 @@ def test_tiles_and_other_metrics_give_the_same_distances(monkeypatch):
     assert np.array(alone) == pytest.approx(whole) or (np.isinf(whole) == np.isinf(alone)).all()
 
 
+def test_a_lone_pair_has_the_bits_that_it_has_among_others():
+    rng = np.random.default_rng(4)
+    left, right = (rng.normal(size=(20, n, 8)).astype(np.float32) for n in (8, 7))
+    every, cells, none = block_distances(left, right), band_cells(8, 7, 0.1), np.array([np.inf])
+    for i, j in np.ndindex(20, 20):
+        assert block_distances(left[i : i + 1], right[j : j + 1])[0, 0] == every[i, j]
+        assert listed_distances(left, right, np.array([i]), np.array([j]), cells, none)[0] == every[i, j]
+
+
 def test_pairs_of_ragged_widths_and_parts_against_the_kernel(spark):
     """Every pair of equal width once, whatever blocks and grid; with `within` only those that agree; any metric."""
     rng = np.random.default_rng(5)
