@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,9 +10,11 @@ from quillwave.functions.dtw import band_cells, block_distances, distance, dista
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
-from quillwave.operators.pairing import PairCounts, best_per_command, pair_distances, pairs_met
+from quillwave.operators.pairing import PairCounts, _first, best_per_command, pair_distances, pairs_met
 from quillwave.operators.recognise import recognise
 from quillwave.config import MatchConfig
+from quillwave.plans.queries import QUERIES
+from tests.conftest import SF
 
 
 def test_distance_of_a_sequence_to_itself_is_zero():
@@ -145,6 +148,11 @@ def test_calibration_takes_the_next_negative_less_an_epsilon(spark):
     assert got["A"].threshold == pytest.approx(2.0 - 1e-4, abs=1e-6) and got["B"].threshold == 13.0
 
 
+def test_a_budget_needs_no_match(spark):
+    plan = QUERIES["budget_split"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_no_utterances_give_zero_rates(spark):
     u, best = _utterances(spark)
     got = E.overall(E.decided(u.limit(0), best)).first()
@@ -176,6 +184,30 @@ def test_near_bounds_are_close_and_never_over(n, m, width, band, scale):
     assert near_bounds(left, right, band_cells(n, m, band)) is None
 
 
+def test_bounds_hold_the_columns_of_the_band_only():
+    left, right = (np.random.default_rng(k).normal(size=(128, 300, 2)).astype(np.float32) for k in range(2))
+    cells = band_cells(300, 300, 0.02)
+    tracemalloc.start()
+    near = near_bounds(left, right, cells)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(near, block_distances(left, right, 0.02), rtol=1e-3) and peak < 16 << 20  # all columns of two rows: 39 MB
+
+
+@pytest.mark.parametrize("share", [0.02, 0.9])
+@pytest.mark.parametrize("top", [None, 1, 2])
+def test_first_pairs_have_the_least_bounds(share, top):
+    rnd = np.random.default_rng(5)
+    bound, can, code = rnd.normal(size=(40, 50)).astype(np.float32), rnd.random((40, 50)) < share, rnd.integers(0, 7, 50)
+    bound[:, 1], code[1] = bound[:, 0], code[0]  # equal bounds
+    want = set()
+    for i in range(40):
+        least = sorted(min((bound[i, j], j) for j in range(50) if can[i, j] and code[j] == c) for c in set(code[can[i]]))
+        want |= {(i, j) for _, j in least[:top]}
+    got = list(zip(*(x.tolist() for x in _first(bound, can, code, top)), strict=True))
+    assert set(got) == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("top", [None, 1, 2])
 def test_narrow_bands_are_pruned(spark, top):
     rnd = np.random.default_rng(3)
