@@ -72,7 +72,7 @@ def frr_grouping_sets(rows: DataFrame) -> DataFrame:
 
 
 def budget(rows: DataFrame, seconds_per_accept: float) -> DataFrame:
-    """One row: the false accepts allowed in all, at least one."""
+    """One row: the false accepts allowed in all, at least one; `rows` are utterances, decided or not."""
     seconds = F.coalesce(F.sum(F.when(F.col("truth").isNull(), F.col("duration_ms"))), F.lit(0)) / 1000.0
     return rows.agg(F.greatest(F.lit(1), F.floor(seconds / seconds_per_accept + 0.5)).cast("long").alias("budget"))
 
@@ -99,7 +99,7 @@ def calibrate(utterances: DataFrame, best: DataFrame, commands: DataFrame, secon
     the largest distance in the table plus one.
     """
     rows = decided(utterances, best)
-    shares = budget_split(commands, budget(rows, seconds_per_accept))
+    shares = budget_split(commands, budget(utterances, seconds_per_accept))
     wanted = shares.select("command_id", (F.col("allowance") + 1).alias("k"))
     bounds = kth_smallest(negatives_by_winner(rows), wanted, "command_id", "distance")
     bounds = bounds.select("command_id", (F.col("value") - F.lit(EPSILON).cast("float")).cast("float").alias("bound"))

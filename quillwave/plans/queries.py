@@ -245,7 +245,8 @@ def _commands(s, d):
 
 @query(f"{DECIDED}, {O.BUDGET} SELECT command_id, allowance FROM shares")
 def budget_split(s, d):
-    return E.budget_split(_commands(s, d), E.budget(_decided(s, d), SECONDS_PER_ACCEPT))
+    """The budget follows from how long the negatives are; how they are decided doesn't matter, so nothing is matched."""
+    return E.budget_split(_commands(s, d), E.budget(_utterances(s, d), SECONDS_PER_ACCEPT))
 
 
 @query(f"{DECIDED} SELECT winner AS command_id, query_id, round(CAST(winner_distance AS DOUBLE), 5) AS distance FROM decided WHERE truth IS NULL AND winner IS NOT NULL")
