@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwave.functions import dtw
-from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, listed_distances, near_bounds
+from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, listed_distances, near_bounds, values, with_distance
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
 from quillwave.operators.pairing import PairCounts, _first, best_per_command, pair_distances, pairs_met
 from quillwave.operators.recognise import recognise
 from quillwave.config import MatchConfig
+from quillwave.plans import views
 from quillwave.plans.queries import QUERIES
 from tests.conftest import SF
 
@@ -64,6 +65,31 @@ def test_tiles_and_other_metrics_give_the_same_distances(monkeypatch):
     assert np.array(alone) == pytest.approx(whole) or (np.isinf(whole) == np.isinf(alone)).all()
 
 
+def test_cells_as_columns_agree_with_the_kernel(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, *(rng.normal(size=(n, 3)).astype("float32").tolist() for n in (6, 5))) for i in range(20)]
+    df = spark.createDataFrame(rows, "i int, a array<array<float>>, b array<array<float>>")
+    pairs = df.select("i", *values(F.col("a"), 6, 3, "a"), *values(F.col("b"), 5, 3, "b"))
+    for band in (0.1, 0.5):
+        met = with_distance(pairs, ["i"], (6, 5, 3), band)
+        assert "lambda" not in met._jdf.queryExecution().executedPlan().toString()
+        for r in met.collect():
+            assert r.distance == distance(rows[r.i][1], rows[r.i][2], band)
+
+
+def test_other_sequences_than_regular_ones_go_by_the_expression(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=64).astype("float32").tolist(), i % 3) for i in range(12)]
+    vectors += [(20, vectors[0][1][:60], 1), (21, vectors[1][1][:56], 1), (22, [*vectors[2][1][:63], None], 1), (23, None, 1), (30, vectors[3][1][:59], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seq = views.sequences(spark, str(tmp_path))
+    every = views.queries(seq).alias("q").crossJoin(views.templates(seq).alias("t")).where("size(q.features[0]) = size(t.features[0])")
+    want = every.select("query_id", F.col("t.template_id"), F.round(distance_expression(F.col("q.features"), F.col("t.features")).cast("float").cast("double"), 5).alias("distance"))
+    got = QUERIES["dtw_expression"](spark, str(tmp_path))
+    as_text = lambda df: sorted(map(str, df.collect()))
+    assert as_text(got) == as_text(want) and got.count() > 40
+
+
 def test_a_lone_pair_has_the_bits_that_it_has_among_others():
     rng = np.random.default_rng(4)
     left, right = (rng.normal(size=(20, n, 8)).astype(np.float32) for n in (8, 7))
