@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwave.functions import dtw
-from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, listed_distances, near_bounds, values, with_distance
+from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, listed_distances, near_bounds, row_bounds, values, with_distance
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
+from quillwave.operators import pairing
 from quillwave.operators.pairing import PairCounts, _first, best_per_command, pair_distances, pairs_met
 from quillwave.operators.recognise import recognise
 from quillwave.config import MatchConfig
@@ -210,6 +211,44 @@ def test_near_bounds_are_close_and_never_over(n, m, width, band, scale):
     assert near_bounds(left, right, band_cells(n, m, band)) is None
 
 
+@pytest.mark.parametrize("n, m, width, band, scale", [(8, 8, 8, 0.1, 1.0), (1, 1, 8, 0.1, 1.0), (38, 38, 39, 0.1, 50.0), (16, 16, 4, 0.25, 1e-22), (12, 20, 3, 0.0, 1e9), (5, 8, 8, 0.1, 1.0)])
+def test_row_bounds_are_never_over(monkeypatch, n, m, width, band, scale):
+    monkeypatch.setattr(dtw, "ROW_SIZE", 1 << 12)  # several tiles
+    rnd = np.random.default_rng(n + m)
+    left, right = ((rnd.normal(size=(k, f, width)) * scale).astype(np.float32) for k, f in ((50, n), (40, m)))
+    right[:9] = np.resize(left[20, :1], right[:9].shape)  # frames that are equal
+    right[9] = np.resize(left[30], right[9].shape)
+    cells, full = band_cells(n, m, band), block_distances(left, right, band)
+    tiles = [(at, x.copy()) for at, x in row_bounds(left, right, cells)]
+    if not all(cells) or cells[0][0] or cells[-1][-1] != m - 1:
+        assert not tiles
+        return
+    bound = np.concatenate([x for _, x in tiles])
+    assert [at for at, _ in tiles] == np.cumsum([0, *(len(x) for _, x in tiles[:-1])]).tolist()
+    assert bound.shape == full.shape and (bound >= 0).all() and (bound <= full).all()
+    some = near_bounds(left, right, cells) > 0
+    assert scale < 1e-9 or np.median(bound[some] / full[some]) > 0.3
+    left[3, 0, 0] = 1e30
+    assert not list(row_bounds(left, right, cells))
+
+
+@pytest.mark.parametrize("top", [None, 1, 2])
+def test_known_distances_make_the_closer_bound_needless(monkeypatch, top):
+    rnd = np.random.default_rng(8)
+    left = rnd.normal(size=(120, 8, 8)).astype(np.float32)
+    right = np.concatenate([left + rnd.normal(0, 0.3, left.shape) for _ in range(4)] + [rnd.normal(size=(400, 8, 8))]).astype(np.float32)
+    code = np.concatenate([np.repeat(np.arange(4), 120), rnd.integers(0, 4, 400)])
+    full = block_distances(left, right)
+    best = np.stack([1.2 * full[:, code == c].min(axis=1) for c in range(4)], axis=1)  # what was found before is a little farther
+    monkeypatch.setattr(pairing, "near_bounds", None)
+    q, t, d = pairing._nearest(left, right, best, code, None, 0.1, pairing.euclidean, top, [], 0)
+    assert np.array_equal(d, full[q, t]) and len(d) < 0.05 * full.size
+    got = set(zip(q.tolist(), t.tolist(), strict=True))
+    for i in range(120):
+        first = [int(np.where(code == c, full[i], np.inf).argmin()) for c in range(4)]
+        assert {(i, j) for j in sorted(first, key=lambda j: full[i, j])[: top or 4]} <= got
+
+
 def test_bounds_hold_the_columns_of_the_band_only():
     left, right = (np.random.default_rng(k).normal(size=(128, 300, 2)).astype(np.float32) for k in range(2))
     cells = band_cells(300, 300, 0.02)
