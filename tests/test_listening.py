@@ -11,8 +11,8 @@ from quillwave.functions.cepstra import cepstra
 from quillwave.functions.frames import segment, speech_bounds
 from quillwave.operators.recognise import audio_features, enrol_audio, recognise
 from quillwave.sources.growing import GrowingReader, growing_capture
-from quillwave.streaming import bus
-from quillwave.streaming.listen import listen_batch
+from quillwave.streaming import bus, listen
+from quillwave.streaming.listen import listen_batch, next_windows
 from quillwave.streaming.loop import INPUT, AudioDecision, Change, Loop, LoopConfig, PeakDecision, Template, loop_batch, loop_stream
 
 RATE = 16_000
@@ -270,3 +270,20 @@ def test_devices_of_few_rows_are_spread(spark):
     frames = spark.range(400).selectExpr("id % 40 AS device_id", "id * 1000 AS at_ms", "id % 3 = 0 AS hit")
     made = listen_batch(frames).groupBy(F.spark_partition_id()).count()
     assert made.count() > 4
+
+
+def test_runs_of_windows_are_the_windows_one_by_one(monkeypatch):
+    monkeypatch.setattr(listen, "SLICE", 7)
+    rnd = random.Random(9)
+    for _ in range(200):
+        at = sorted(rnd.choices(range(0, rnd.choice([3_000, 40_000, 400_000]), 50), k=rnd.randrange(1, 60)))
+        frames = [(t, rnd.random() < 0.3) for t in at]
+        made, start = listen.window_runs(np.array([t for t, hit in frames if hit], np.int64), at[0], 1500, 600, at[-1])
+        assert all(1 <= n <= 7 and (n == 1 or not matched) for _, n, matched in made)
+        assert ([(s + k * 1500, s + (k + 1) * 1500, matched) for s, n, matched in made for k in range(n)], start) == next_windows(frames, at[0], 1500, 600, at[-1])
+
+
+def test_one_device_s_windows_are_made_by_many_tasks(spark):
+    frames = spark.createDataFrame([(1, 0, False), (1, 300_000_000, False)], "device_id long, at_ms long, hit boolean")
+    made = listen_batch(frames).groupBy(F.spark_partition_id()).count()
+    assert made.count() > 4 and made.agg(F.sum("count")).first()[0] == 200_000
