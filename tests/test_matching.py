@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwave.functions import dtw
-from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, listed_distances, near_bounds, row_bounds, values, with_distance
+from quillwave.functions.dtw import band_cells, block_distances, distance, distance_expression, half_up, listed_distances, near_bounds, rounded_distances, row_bounds, values, with_distance
 from quillwave.operators import decide as D
 from quillwave.operators import enrol as N
 from quillwave.operators import evaluate as E
 from quillwave.operators import pairing
-from quillwave.operators.pairing import PairCounts, _first, best_per_command, pair_distances, pairs_met
+from quillwave.operators.pairing import PairCounts, _first, best_per_command, pair_distances, pairs_met, rounded_pairs
 from quillwave.operators.recognise import recognise
 from quillwave.config import MatchConfig
 from quillwave.plans import views
@@ -309,3 +309,48 @@ def test_counting_what_meets_makes_no_pair(spark):
     assert {tuple(r) for r in met.collect()} == {(1, 2), (2, 1)}
     counted = pair_distances(q, t, best_only=False).groupBy("query_id").agg(F.count("*").alias("met"))
     assert sorted(met.collect()) == sorted(counted.collect())
+
+
+def test_half_up_is_spark_s_round(spark):
+    rng = np.random.default_rng(7)
+    some = np.concatenate([rng.random(4000), rng.integers(0, 1 << 20, 4000) / 2.0 ** rng.integers(0, 20, 4000), 10 ** rng.uniform(-8, 12, 4000), [0, 5e-6, 0.015625, 0.046875, 2**24, np.inf]]).astype(np.float32)
+    df = spark.createDataFrame([(float(v),) for v in some], "v double").select(F.round("v", 5).alias("r"))
+    assert half_up(some, 5).tolist() == [r.r for r in df.collect()]
+
+
+@pytest.mark.parametrize(("n", "m", "width", "band", "scale"), [(8, 8, 8, 0.1, 0.125), (5, 8, 8, 0.1, 0.125), (8, 5, 8, 0.3, 0.125), (6, 6, 3, 0, 1e-5), (8, 8, 8, 0.1, 3e3), (8, 8, 8, 0.1, 1e19), (10, 15, 4, 0.1, 1), (7, 7, 1, 0.5, 1)])
+def test_rounded_distances_are_the_rounded_ones_of_the_kernel(n, m, width, band, scale):
+    rng = np.random.default_rng(n * m)
+    left, right = (scale * rng.normal(size=(300, n, width))).astype(np.float32), (scale * rng.normal(size=(270, m, width))).astype(np.float32)
+    k = min(n, m)
+    left[:9, :k] = right[:9, :k]  # frames that are the same, and almost
+    right[9, :k] = np.nextafter(left[9, :k], np.float32(9e30))
+    with np.errstate(over="ignore"):
+        want = half_up(block_distances(left, right, band).astype(np.float32), 5)
+        assert np.array_equal(rounded_distances(left, right, 5, band), want, equal_nan=True)
+        left[3, 0, 0] = np.nan
+        assert np.array_equal(rounded_distances(left, right, 5, band), half_up(block_distances(left, right, band).astype(np.float32), 5), equal_nan=True)
+
+
+def test_values_halfway_between_two_digits_are_rounded_up():
+    left, right = np.zeros((200, 1, 1), np.float32), np.arange(200, dtype=np.float32).reshape(200, 1, 1) / 64
+    assert rounded_distances(left, right, 5)[0].tolist() == [math.floor(k / 128 * 1e5 + 0.5) / 1e5 for k in range(200)]
+
+
+def test_few_pairs_are_warped_exactly_to_be_rounded(monkeypatch):
+    asked = []
+    monkeypatch.setattr(dtw, "block_distances", lambda *a: pytest.fail("all pairs were warped exactly"))
+    monkeypatch.setattr(dtw, "listed_distances", lambda left, right, rows, *rest: asked.append(len(rows)) or listed_distances(left, right, rows, *rest))
+    rng = np.random.default_rng(1)
+    left, right = (rng.normal(size=(512, 8, 8)).astype(np.float32) / 8 for _ in range(2))
+    rounded_distances(left, right, 5)
+    assert sum(asked) < 0.02 * 512 * 512
+
+
+def test_rounded_pairs_are_all_pairs_rounded(spark):
+    for shape in ("fixed", "ragged"):
+        seq = views.sequences(spark, SF, shape)
+        q, t = views.queries(seq), views.templates(seq)
+        want = pair_distances(q, t, best_only=False).select("query_id", "template_id", F.round(F.col("distance").cast("double"), 5).alias("distance"))
+        made = rounded_pairs(q, t, 5)
+        assert made.schema == want.schema and sorted(made.collect()) == sorted(want.collect())
