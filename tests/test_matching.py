@@ -354,3 +354,24 @@ def test_rounded_pairs_are_all_pairs_rounded(spark):
         want = pair_distances(q, t, best_only=False).select("query_id", "template_id", F.round(F.col("distance").cast("double"), 5).alias("distance"))
         made = rounded_pairs(q, t, 5)
         assert made.schema == want.schema and sorted(made.collect()) == sorted(want.collect())
+
+
+def test_a_rounded_expression_is_spark_s_round(spark):
+    rng = np.random.default_rng(8)
+    some = np.concatenate([rng.random(2000), rng.integers(0, 1 << 20, 2000) / 2.0 ** rng.integers(0, 20, 2000), 10 ** rng.uniform(-8, 12, 2000), [0, 5e-6, 0.015625, 0.046875, 2**24, np.inf]]).astype(np.float32)
+    df = spark.createDataFrame([(float(v),) for v in some] + [(None,)], "v float")
+    rows = df.select(dtw.rounded_expression(F.col("v"), 5).alias("mine"), F.round(F.col("v").cast("double"), 5).alias("theirs")).collect()
+    assert [r.mine for r in rows] == [r.theirs for r in rows]
+
+
+def test_a_pair_s_values_are_read_by_one_step_only(spark):
+    """They are a few hundred bytes, which no step of the recurrence has to copy."""
+    rng = np.random.default_rng(9)
+    left, right = rng.normal(size=(2, 5, 8, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(left, right, strict=True))], "i int, a array<array<float>>, b array<array<float>>")
+    pairs = df.select("i", dtw.packed_values(F.col("a"), 8, 8).alias("a"), dtw.packed_values(F.col("b"), 8, 8).alias("b")).repartition(2, "i")
+    met = with_distance(pairs, ["i"], (8, 8, 8))
+    assert {r.i: r.distance for r in met.collect()} == pytest.approx({i: distance(x, y) for i, (x, y) in enumerate(zip(left, right, strict=True))}, rel=1e-12)
+    above = met._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0].splitlines()
+    assert sum(".v_63" in line for line in above) == 1
+    assert sum(" a#" in line or "a_0#" in line for line in above) <= 1
