@@ -17,6 +17,9 @@ The loop, for each device, from its first frame on:
 So a template counts from the first window that starts after it was put, and never in the middle of one.  Frames that end
 before the window's start are late, or lie in a gap, and are left out; of frames with one start the first counts; a
 device's pause is a window with what little it holds.  A pause without templates is skipped by arithmetic, however long.
+
+As a batch, the empty windows of a pause go out as one run, of which Spark makes the windows; so what passes through Python
+grows with the rows that come in and not with the time they span.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillwave.config import AFTER_MATCH_MS, IDLE_MS, WAKE_COMMAND, WINDOW_MS, CepstraConfig, EndpointConfig, GateConfig, MatchConfig
@@ -37,11 +41,12 @@ from quillwave.functions.cepstra import cepstra
 from quillwave.functions.dtw import block_distances
 from quillwave.functions.frames import speech_bounds
 from quillwave.streaming.gate import gate_step
-from quillwave.streaming.listen import spread
+from quillwave.streaming.listen import SLICE, spread
 
 INPUT = "device_id long, at long, upto long, samples array<float>, change string, template_id string, command_id string, created_at long, features array<array<float>>"
 OUTPUT = "device_id long, window_id long, start long, end long, idle_steps long, kind string, command_id string, template_id string, distance float, confidence double, reason string"
-_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+RUNS = f"n long, {OUTPUT}"
+_COLUMNS, _RUN_COLUMNS = ([c.split()[0] for c in x.split(", ")] for x in (OUTPUT, RUNS))
 INF = float("inf")
 
 
@@ -176,6 +181,13 @@ class Loop:
     templates: dict[str, Template] = field(default_factory=dict)
 
     def feed(self, frames: Iterable[tuple[int, int, np.ndarray]], changes: Iterable[Change]) -> Iterator[tuple]:
+        for n, number, start, end, *found in self.runs(frames, changes):
+            for k in range(n):
+                past = k * self.config.window
+                yield number + k, start + past, end + past, *found
+
+    def runs(self, frames: Iterable[tuple[int, int, np.ndarray]], changes: Iterable[Change]) -> Iterator[tuple]:
+        """The windows of `feed` with those that are decided alike as one: how many, and the first of them; `SLICE` at most."""
         self.changes = sorted([*self.changes, *changes], key=lambda c: c.at)
         for frame in frames:
             if self.place is None:
@@ -225,12 +237,14 @@ class Loop:
         start, end, floor = self.place, self.place + self.config.window, self.floor
         parts = [samples[max(0, start - at) : max(1, end - at)] for at, upto, samples in takewhile(lambda f: f[0] < end, self.frames) if upto > start or at >= start]
         found, self.floor = self.decide(np.concatenate(parts) if parts else np.zeros(0, np.float32), sorted(self.templates.values(), key=lambda t: (t.created_at, t.template_id)), self.floor)
-        yield self.number, start, end, self.idle, *found
+        yield 1, self.number, start, end, self.idle, *found
         self.place, self.number, self.idle = end + (self.config.after_match if found.kind == "MATCH" else 0), self.number + 1, 0
         if not parts and found.kind != "MATCH" and self.floor == floor:
-            for _ in range(self._alike()):
-                yield self.number, self.place, self.place + self.config.window, 0, *found
-                self.place, self.number = self.place + self.config.window, self.number + 1
+            left = self._alike()
+            while left:
+                n = min(left, SLICE)
+                yield n, self.number, self.place, self.place + self.config.window, 0, *found
+                self.place, self.number, left = self.place + n * self.config.window, self.number + n, left - n
 
     def _alike(self) -> int:
         """How many windows from here on are complete, without frames, and begin before the next change."""
@@ -255,20 +269,33 @@ def _table(device: int, made: Iterable[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(device, *row) for row in made], columns=_COLUMNS)
 
 
+def _run_table(made: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(made, columns=_RUN_COLUMNS)
+
+
 def loop_batch(rows: DataFrame, decide: Decide, config: LoopConfig = LoopConfig()) -> DataFrame:
     """The loop over rows that are all there; a device is one ordered run that streams through a task."""
-    columns = [c.split()[0] for c in INPUT.split(", ")]
-    ordered = rows.select(*columns).repartition(spread(rows.sparkSession), "device_id").sortWithinPartitions("device_id", "at", "change")
+    columns, tasks = [c.split()[0] for c in INPUT.split(", ")], spread(rows.sparkSession)
+    ordered = rows.select(*columns).repartition(tasks, "device_id").sortWithinPartitions("device_id", "at", "change")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         device, loop = None, Loop(config, decide)
         for pdf in parts:
+            out = []
             for d, own in pdf.groupby("device_id", sort=False):
                 if d != device:
                     device, loop = d, Loop(config, decide)
-                yield _table(device, loop.feed(*_told(own)))
-
-    return ordered.mapInPandas(run, OUTPUT)
+                for n, *row in loop.runs(*_told(own)):
+                    out.append((n, device, *row))
+                    if len(out) == SLICE:
+                        yield _run_table(out)
+                        out = []
+            yield _run_table(out)
+
+    # Dealt out anew, so that the windows of one device are not all made by one task.
+    each = ordered.mapInPandas(run, RUNS).repartition(tasks).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    steps = {"window_id": F.col("k"), "start": F.col("k") * config.window, "end": F.col("k") * config.window}
+    return each.select(*[(F.col(c) + steps[c]).alias(c) if c in steps else c for c in _COLUMNS])
 
 
 class Listening(StatefulProcessor):

@@ -287,3 +287,17 @@ def test_one_device_s_windows_are_made_by_many_tasks(spark):
     frames = spark.createDataFrame([(1, 0, False), (1, 300_000_000, False)], "device_id long, at_ms long, hit boolean")
     made = listen_batch(frames).groupBy(F.spark_partition_id()).count()
     assert made.count() > 4 and made.agg(F.sum("count")).first()[0] == 200_000
+
+
+def test_a_pause_of_the_loop_is_few_runs_and_its_windows_are_made_by_many_tasks(spark):
+    long = 300_000_000
+    template = Template("t", "c", 0, np.array([[9.0]], np.float32))
+    frames = [(t, t, np.array([50.0], np.float32)) for t in (0, long)]
+    runs = list(Loop(LoopConfig(), PeakDecision()).runs(frames, [Change(0, "put", template)]))
+    windows = list(Loop(LoopConfig(), PeakDecision()).feed(frames, [Change(0, "put", template)]))
+    assert sum(n for n, *_ in runs) == len(windows) == long // 1500 and len(runs) < 40
+    rows = [(1, t, t, [50.0], None, None, None, None, None) for t in (0, long)] + [(1, 0, 0, None, "put", "t", "c", 0, [[9.0]])]
+    made = loop_batch(spark.createDataFrame(rows, INPUT), PeakDecision()).persist()
+    assert made.groupBy(F.spark_partition_id()).count().count() > 4
+    assert [tuple(r)[1:] for r in made.orderBy("window_id").collect()] == windows
+    made.unpersist()
