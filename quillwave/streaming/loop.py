@@ -41,7 +41,7 @@ from quillwave.functions.cepstra import cepstra
 from quillwave.functions.dtw import block_distances
 from quillwave.functions.frames import speech_bounds
 from quillwave.streaming.gate import gate_step
-from quillwave.streaming.listen import SLICE, spread
+from quillwave.streaming.listen import SLICE, dealt, pieces, spread
 
 INPUT = "device_id long, at long, upto long, samples array<float>, change string, template_id string, command_id string, created_at long, features array<array<float>>"
 OUTPUT = "device_id long, window_id long, start long, end long, idle_steps long, kind string, command_id string, template_id string, distance float, confidence double, reason string"
@@ -187,7 +187,7 @@ class Loop:
                 yield number + k, start + past, end + past, *found
 
     def runs(self, frames: Iterable[tuple[int, int, np.ndarray]], changes: Iterable[Change]) -> Iterator[tuple]:
-        """The windows of `feed` with those that are decided alike as one: how many, and the first of them; `SLICE` at most."""
+        """The windows of `feed` with those that are decided alike as one, cut as by `pieces`: how many, and the first of them."""
         self.changes = sorted([*self.changes, *changes], key=lambda c: c.at)
         for frame in frames:
             if self.place is None:
@@ -240,11 +240,9 @@ class Loop:
         yield 1, self.number, start, end, self.idle, *found
         self.place, self.number, self.idle = end + (self.config.after_match if found.kind == "MATCH" else 0), self.number + 1, 0
         if not parts and found.kind != "MATCH" and self.floor == floor:
-            left = self._alike()
-            while left:
-                n = min(left, SLICE)
-                yield n, self.number, self.place, self.place + self.config.window, 0, *found
-                self.place, self.number, left = self.place + n * self.config.window, self.number + n, left - n
+            for first, n in pieces(self.place, self._alike(), self.config.window):
+                yield n, self.number, first, first + self.config.window, 0, *found
+                self.place, self.number = first + n * self.config.window, self.number + n
 
     def _alike(self) -> int:
         """How many windows from here on are complete, without frames, and begin before the next change."""
@@ -292,8 +290,7 @@ def loop_batch(rows: DataFrame, decide: Decide, config: LoopConfig = LoopConfig(
                         out = []
             yield _run_table(out)
 
-    # Dealt out anew, so that the windows of one device are not all made by one task.
-    each = ordered.mapInPandas(run, RUNS).repartition(tasks).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    each = dealt(ordered.mapInPandas(run, RUNS), "start", config.window, tasks)
     steps = {"window_id": F.col("k"), "start": F.col("k") * config.window, "end": F.col("k") * config.window}
     return each.select(*[(F.col(c) + steps[c]).alias(c) if c in steps else c for c in _COLUMNS])
 

@@ -295,9 +295,19 @@ def test_a_pause_of_the_loop_is_few_runs_and_its_windows_are_made_by_many_tasks(
     frames = [(t, t, np.array([50.0], np.float32)) for t in (0, long)]
     runs = list(Loop(LoopConfig(), PeakDecision()).runs(frames, [Change(0, "put", template)]))
     windows = list(Loop(LoopConfig(), PeakDecision()).feed(frames, [Change(0, "put", template)]))
-    assert sum(n for n, *_ in runs) == len(windows) == long // 1500 and len(runs) < 40
+    assert sum(n for n, *_ in runs) == len(windows) == long // 1500 and len(runs) < 400
     rows = [(1, t, t, [50.0], None, None, None, None, None) for t in (0, long)] + [(1, 0, 0, None, "put", "t", "c", 0, [[9.0]])]
     made = loop_batch(spark.createDataFrame(rows, INPUT), PeakDecision()).persist()
     assert made.groupBy(F.spark_partition_id()).count().count() > 4
     assert [tuple(r)[1:] for r in made.orderBy("window_id").collect()] == windows
     made.unpersist()
+
+
+def test_windows_of_one_time_lie_near_each_other_on_disk(spark, tmp_path):
+    """Times and numbers of windows are the same for many devices; written by device, each took eight bytes before compression."""
+    frames = spark.range(300).selectExpr("id AS device_id", "explode(array(id * 50, 6000000 + id * 50)) AS at_ms", "false AS hit")
+    listen_batch(frames).coalesce(2).write.parquet(f"{tmp_path}/out")
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    rows = spark.read.parquet(f"{tmp_path}/out")
+    assert rows.count() == rows.distinct().count() == 300 * 4000 and size < 3 * 300 * 4000
+    assert rows.where("end_ms - start_ms <> 1500 OR start_ms <> window_id * 1500 + device_id * 50").count() == 0
