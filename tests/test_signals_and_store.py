@@ -1,10 +1,11 @@
+import math
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillwave.config import CepstraConfig, GateConfig
+from quillwave.config import CepstraConfig, EndpointConfig, GateConfig
 from quillwave.functions import cepstra as C
 from quillwave.functions.frames import framed, rms, segment, trim
 from quillwave.operators.enrol import numbered
@@ -241,3 +242,33 @@ def test_windows_leave_a_gap_after_a_match(spark):
     assert made[:2] == [(0, 1500, True), (2100, 3600, False)] and start == 6600
     df = spark.createDataFrame([(1, t, h) for t, h in hits], "device_id long, at_ms long, hit boolean")
     assert [(r.start_ms, r.end_ms, r.matched) for r in listen_batch(df).orderBy("window_id").collect()] == next_windows(hits, 0, 1500, 600, 7900)[0]
+
+
+def test_recordings_made_in_blocks_are_those_of_the_expression(spark):
+    rnd = np.random.default_rng(3)
+    specs = [(i, "enrol", f"c{i % 3}" if i % 5 else None, "NORMAL", 300.0 + 900 * rnd.random(), 1500 * rnd.random(), 0.3 * rnd.random(), 0.25 * (i % 2)) for i in range(600)]
+    specs += [(600, "negative", None, "TIRED", None, 1.0, 0.3, 0.0), (601, "negative", None, "TIRED", float("nan"), 1.0, 0.3, 0.0)]
+    df = spark.createDataFrame(specs, "seq long, kind string, truth string, condition string, f0 double, f1 double, amp double, noise double").coalesce(1)
+    want = [tuple(r) for r in pcm.sounded(df, 20, 10).collect()]
+    made = pcm.sounded_blocks(df, 20, 10)
+    assert "lambdafunction" not in made._jdf.queryExecution().toString()
+    assert list(map(repr, want)) == [repr(tuple(r)) for r in made.collect()] and None in want[600][4]
+
+
+def test_endpoints_beside_the_features_are_those_of_the_expression(spark):
+    """Also of signals with nulls and with values that are no numbers; no lambda runs for a sample."""
+    rnd = np.random.default_rng(4)
+    config, endpoint = CepstraConfig(), EndpointConfig()
+    signals = [[float(v) for a, n in zip(rnd.choice([1e-4, 1e-3, 0.2], 4), rnd.integers(0, 2500, 4), strict=True) for v in rnd.normal(0, a, n).astype(np.float32)] for _ in range(30)]
+    for x in signals[:24]:
+        for at in rnd.integers(0, max(1, len(x)), rnd.integers(1, 5)) if x else []:
+            x[at] = rnd.choice(np.array([None, math.nan, math.inf], object))
+    signals[28:] = [None, []]
+    df = spark.createDataFrame(list(enumerate(signals)), "i int, samples array<float>")
+    made = audio_features(df, config, endpoint)
+    assert "lambdafunction" not in made._jdf.queryExecution().toString()
+    cut = df.withColumn("samples", trim(F.col("samples"), segment(F.col("samples"), config.sample_rate_hz, endpoint)))
+    want = {r.i: r for r in C.with_features(cut, config, "samples", ["i"]).collect()}
+    rows = made.collect()
+    assert [repr(r.features) for r in rows] == [repr(want[r.i].features) for r in rows]
+    assert sum(r.frame_count > 0 for r in rows) > 5 and [r.silent for r in rows if r.i >= 28] == [False, False]
